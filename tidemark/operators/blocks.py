@@ -80,14 +80,12 @@ def with_margin(
         raise ValueError(f"margin {before}/{after} must not exceed block_steps={block_steps}")
     block = floor_div(F.col(position), block_steps)
     offset = F.pmod(F.col(position), F.lit(block_steps))
-    copies = [block]
-    if after:
-        copies.append(F.when(offset < F.lit(after), block - F.lit(1)))
-    if before:
-        copies.append(F.when(offset >= F.lit(block_steps - before), block + F.lit(1)))
-    return df.withColumn(
-        BLOCK, F.explode(F.filter(F.array(*copies), lambda b: b.isNotNull()))
-    ).withColumn(CORE, F.col(BLOCK) == block)
+    one = F.lit(1).cast("long")
+    none = F.lit(0).cast("long")
+    lowest = block - F.when(offset < F.lit(after), one).otherwise(none)
+    highest = block + F.when(offset >= F.lit(block_steps - before), one).otherwise(none)
+    copied = df.withColumn(BLOCK, F.explode(F.sequence(lowest, highest)))
+    return copied.withColumn(CORE, F.col(BLOCK) == block)
 
 
 def drop_margin(df: DataFrame) -> DataFrame:
@@ -132,36 +130,6 @@ def with_previous(
     return local.select(*columns, F.col(f"{out}.v").alias(out)).unionByName(first_rows)
 
 
-def with_position(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    out: str,
-    block: Column,
-) -> DataFrame:
-    """Exact 1-based ``row_number`` per series: local number plus the rows of earlier blocks."""
-    rows = df.withColumn(BLOCK, block).repartition(partitions(df.sparkSession), *keys, BLOCK)
-    local = rows.withColumn(out, F.row_number().over(block_window(keys, *order)))
-    offsets = (
-        df.withColumn(BLOCK, block)
-        .groupBy(*keys, BLOCK)
-        .agg(F.count("*").alias("_rows"))
-        .withColumn(
-            "_offset",
-            F.coalesce(
-                F.sum("_rows").over(_across(keys).rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ),
-        )
-        .drop("_rows")
-    )
-    return (
-        local.join(offsets, [*keys, BLOCK])
-        .withColumn(out, F.col(out) + F.col("_offset"))
-        .drop(BLOCK, "_offset")
-    )
-
-
 def runs(
     df: DataFrame,
     keys: Sequence[str],
@@ -172,59 +140,69 @@ def runs(
 ) -> DataFrame:
     """Maximal runs of consecutive rows with ``flag`` true, one output row per run.
 
-    Output: keys, ``run`` (1-based), ``run_start``, ``run_end`` (values of ``order``),
-    ``run_length`` and the ``extra`` aggregates, each given as ``(row aggregate, merge
-    function over the partial column)``. Runs that continue over a block edge are merged
-    through the block summaries.
+    Output: keys, ``run_start``, ``run_end`` (values of ``order``), ``run_length`` and the
+    ``extra`` aggregates, each given as ``(row aggregate, merge function over the partial
+    column)``.
+
+    Runs are first built inside each block. Those that touch no block edge are final. The at
+    most two edge runs of a block are kept in one row per block, chained over consecutive
+    non-empty blocks and merged. Both parts read the same exchange; nothing is joined.
     """
     extra = extra or {}
     rows = df.withColumn(BLOCK, block).withColumn("_flag", F.coalesce(flag, F.lit(False)))
     rows = rows.repartition(partitions(df.sparkSession), *keys, BLOCK)
     window = block_window(keys, order)
-    before = F.coalesce(F.lag("_flag").over(window), F.lit(False))
-    marked = rows.withColumn("_start", (F.col("_flag") & ~before).cast("long"))
-    local = marked.withColumn(
-        "_run", F.sum("_start").over(window.rowsBetween(Window.unboundedPreceding, 0))
+    marked = rows.withColumns(
+        {
+            "_before": F.lag("_flag").over(window),
+            "_after": F.lead("_flag").over(window),
+        }
     )
-    pieces = (
-        local.filter("_flag")
-        .groupBy(*keys, BLOCK, "_run")
-        .agg(
-            F.min(order).alias("run_start"),
-            F.max(order).alias("run_end"),
-            F.count("*").alias("run_length"),
-            *[aggregate.alias(name) for name, (aggregate, _) in extra.items()],
-        )
+    start = F.col("_flag") & ~F.coalesce("_before", F.lit(False))
+    local = marked.withColumn(
+        "_run", F.sum(start.cast("long")).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    ).withColumn("_run", F.when(F.col("_flag"), F.col("_run")).otherwise(F.lit(0)))
+    # Run 0 collects the unflagged rows, so that every non-empty block has a row.
+    pieces = local.groupBy(*keys, BLOCK, "_run").agg(
+        F.min(order).alias("run_start"),
+        F.max(order).alias("run_end"),
+        F.count("*").alias("run_length"),
+        F.bool_or(F.col("_before").isNull()).alias("_at_head"),
+        F.bool_or(F.col("_after").isNull()).alias("_at_tail"),
+        *[aggregate.alias(name) for name, (aggregate, _) in extra.items()],
     )
-    moment = F.col(order)
-    summary = local.groupBy(*keys, BLOCK).agg(
-        F.max("_run").alias("_runs"),
-        F.min_by("_flag", moment).alias("_first"),
-        F.max_by("_flag", moment).alias("_last"),
+    names = ["run_start", "run_end", "run_length", *extra]
+    flagged = F.col("_run") > 0
+    inner = pieces.filter(flagged & ~F.col("_at_head") & ~F.col("_at_tail")).select(*keys, *names)
+    # At most one piece of a block touches its head and one its tail.
+    piece = F.struct("_run", *names)
+    edges = pieces.groupBy(*keys, BLOCK).agg(
+        F.max_by(piece, F.when(flagged & F.col("_at_head"), F.lit(1))).alias("_head"),
+        F.max_by(piece, F.when(flagged & F.col("_at_tail"), F.lit(1))).alias("_tail"),
     )
     series = _across(keys)
-    joined = F.col("_first") & F.coalesce(F.lag("_last").over(series), F.lit(False))
-    numbered = (
-        summary.withColumn("_joins", joined.cast("long"))
+    head, tail = F.col("_head").isNotNull(), F.col("_tail").isNotNull()
+    own_tail = tail & ~F.coalesce(F.col("_head._run") == F.col("_tail._run"), F.lit(False))
+    opens = (head & ~F.coalesce(F.lag(tail).over(series), F.lit(False))).cast("long")
+    chained = (
+        edges.withColumn("_own_tail", own_tail.cast("long"))
+        .withColumn("_opens", opens + F.col("_own_tail"))
         .withColumn(
-            "_base",
-            F.coalesce(
-                F.sum(F.col("_runs") - F.col("_joins")).over(
-                    series.rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
+            "_chain", F.sum("_opens").over(series.rowsBetween(Window.unboundedPreceding, 0))
         )
-        .select(*keys, BLOCK, (F.col("_base") - F.col("_joins")).alias("_base"))
     )
-    return (
-        pieces.join(numbered, [*keys, BLOCK])
-        .withColumn("run", F.col("_base") + F.col("_run"))
-        .groupBy(*keys, "run")
-        .agg(
-            F.min("run_start").alias("run_start"),
-            F.max("run_end").alias("run_end"),
-            F.sum("run_length").alias("run_length"),
-            *[merge(name).alias(name) for name, (_, merge) in extra.items()],
-        )
+    parts = F.array(
+        F.struct((F.col("_chain") - F.col("_own_tail")).alias("_chain"), F.col("_head").alias("_p")),
+        F.struct("_chain", F.when(F.col("_own_tail") == 1, F.col("_tail")).alias("_p")),
+    )
+    merge = {"run_start": F.min, "run_end": F.max, "run_length": F.sum}
+    merge.update({name: function for name, (_, function) in extra.items()})
+    outer = (
+        chained.select(*keys, F.inline(parts))
+        .filter(F.col("_p").isNotNull())
+        .select(*keys, "_chain", "_p.*")
+        .groupBy(*keys, "_chain")
+        .agg(*[merge[name](name).alias(name) for name in names])
+        .drop("_chain")
     )
+    return inner.unionByName(outer)

@@ -78,7 +78,6 @@ def event_windows(
     return found.select(
         *keys,
         "segment",
-        F.col("run").alias("event"),
         F.col("run_start").alias("event_start"),
         F.col("run_end").alias("event_end"),
         F.col("run_length").alias("event_points"),
@@ -292,12 +291,12 @@ def event_errors(
     obs, pred = finite(F.col("observed")), finite(F.col("prediction"))
     early = -F.unix_micros(F.col("target").cast("timestamp"))
     pair = obs.isNotNull() & pred.isNotNull()
-    scored = inside.groupBy(*keys, "segment", "event", "model", "horizon").agg(
+    scored = inside.groupBy(*keys, "segment", "event_start", "model", "horizon").agg(
         *regression_aggregates()[:2],
         F.max_by(F.struct(obs.alias("o"), pred.alias("p")), F.when(pair, F.struct(obs, early))).alias("_peak"),
     )
     grid = windows.join(forecasts.select(*keys, "segment", "model", "horizon").distinct(), [*keys, "segment"])
-    return grid.join(scored, [*keys, "segment", "event", "model", "horizon"], "left").select(
+    return grid.join(scored, [*keys, "segment", "event_start", "model", "horizon"], "left").select(
         *keys,
         "segment",
         "event_start",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,76 +58,100 @@ def bucket_last(obs: DataFrame, step: str = "1h", keys: Sequence[str] = KEYS) ->
     )
 
 
-def complete_grid(
+def margined_grid(
     obs: DataFrame,
-    step: str = "1h",
-    keys: Sequence[str] = KEYS,
+    step: str,
+    keys: Sequence[str],
+    before: int,
+    after: int,
     block_steps: int = DEFAULT_BLOCK_STEPS,
+    enrich: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """One row per step between the first and last step of each series.
+    """Complete grid rows cut into blocks, each block with its margin rows.
 
-    The empty steps are unioned into the same aggregation that picks the last observation:
-    one shuffle of partially aggregated rows, no join. ``grid_pos``/``grid_len`` make every
-    later position (split, segment bounds, lag reach) plain arithmetic.
+    The reduced observations and the empty steps of each series meet in the one exchange by
+    (keys, block) that the later windows use anyway. There an empty step takes over the
+    values of the observation sorted right before it: no join and no second sort.
+    ``enrich`` may add columns to the empty steps (keys, ``observed_at``) beforehand.
     """
     width = step_micros(step)
     shift = zone_shift(obs.sparkSession, width)
     seen, rank = _payload(obs)
     index = step_index(F.col("observed_at"), width, shift)
-    rows = obs.select(
-        *keys,
-        index.alias("_step"),
-        seen.alias("_seen"),
-        rank.alias("_rank"),
-        F.lit(None).cast("long").alias("_lo"),
-        F.lit(None).cast("long").alias("_hi"),
+    reduced = (
+        obs.select(*keys, index.alias("_step"), seen.alias("_seen"), rank.alias("_rank"))
+        .groupBy(*keys, "_step")
+        .agg(F.max_by("_seen", "_rank").alias("_seen"))
     )
     bounds = (
         obs.select(*keys, index.alias("_step"))
         .groupBy(*keys)
         .agg(F.min("_step").alias("_lo"), F.max("_step").alias("_hi"))
     )
-    empty = spread_steps(bounds, keys, "_lo", "_hi", "_step", block_steps).select(
+    steps = spread_steps(bounds, keys, "_lo", "_hi", "_step", block_steps).select(
         *keys,
         "_step",
-        F.lit(None).cast(rows.schema["_seen"].dataType).alias("_seen"),
-        F.lit(None).cast(rows.schema["_rank"].dataType).alias("_rank"),
-        "_lo",
-        "_hi",
+        F.lit(1).alias("_empty"),
+        step_start(F.col("_step"), width, shift).alias("observed_at"),
+        (F.col("_step") - F.col("_lo")).alias("grid_pos"),
+        (F.col("_hi") - F.col("_lo") + F.lit(1)).alias("grid_len"),
     )
+    if enrich is not None:
+        steps = enrich(steps)
+    rows = reduced.withColumn("_empty", F.lit(0)).unionByName(steps, allowMissingColumns=True)
+    margined = with_margin(rows, "_step", before, after, block_steps)
+    window = block_window(keys, "_step", "_empty")
+    same = F.lag("_step").over(window) == F.col("_step")
     return (
-        rows.unionByName(empty)
-        .groupBy(*keys, "_step")
-        .agg(
-            F.max_by("_seen", "_rank").alias("_seen"),
-            F.max("_lo").alias("_lo"),
-            F.max("_hi").alias("_hi"),
-        )
-        .select(
-            *keys,
-            step_start(F.col("_step"), width, shift).alias("observed_at"),
-            *[F.col(f"_seen.{c}").alias(c) for c in ("water_level_m", *SOURCE_COLUMNS)],
-            (F.col("_step") - F.col("_lo")).alias("grid_pos"),
-            (F.col("_hi") - F.col("_lo") + F.lit(1)).alias("grid_len"),
-        )
+        margined.withColumn("_seen", F.when(same, F.lag("_seen").over(window)))
+        .filter(F.col("_empty") == 1)
+        .withColumns({c: F.col(f"_seen.{c}") for c in ("water_level_m", *SOURCE_COLUMNS)})
+        .drop("_seen", "_empty")
     )
 
 
+def complete_grid(
+    obs: DataFrame,
+    step: str = "1h",
+    keys: Sequence[str] = KEYS,
+    block_steps: int = DEFAULT_BLOCK_STEPS,
+) -> DataFrame:
+    """One row per step between the first and last step of each series.
+
+    ``grid_pos``/``grid_len`` make every later position (split, segment bounds, lag reach)
+    plain arithmetic.
+    """
+    return drop_margin(margined_grid(obs, step, keys, 0, 0, block_steps)).drop("_step")
+
+
+def window_order(margined: DataFrame) -> str:
+    """Ordering column of a margined frame.
+
+    A frame straight from ``margined_grid`` is sorted by its step index, and ordering by it
+    again costs nothing; a frame cut from a stored grid is ordered by position.
+    """
+    return "_step" if "_step" in margined.columns else "grid_pos"
+
+
 def nearest_levels(
-    keys: Sequence[str], max_steps: int, level: str = "water_level_m", position: str = "grid_pos"
+    keys: Sequence[str],
+    max_steps: int,
+    order: str = "grid_pos",
+    level: str = "water_level_m",
+    position: str = "grid_pos",
 ) -> dict[str, Column]:
     """Nearest observed position and level on either side, as far as a fill needs them."""
     seen = F.when(F.col(level).isNotNull(), F.struct(F.col(position).alias("p"), F.col(level).alias("v")))
     if max_steps <= _BOUNDED_FRAME:
-        window = block_window(keys, position)
+        window = block_window(keys, order)
         left = F.last(seen, ignorenulls=True).over(window.rowsBetween(-max_steps, -1))
         right = F.first(seen, ignorenulls=True).over(window.rowsBetween(1, max_steps))
     else:
         left = F.last(seen, ignorenulls=True).over(
-            block_window(keys, position).rowsBetween(Window.unboundedPreceding, -1)
+            block_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
         )
         right = F.last(seen, ignorenulls=True).over(
-            block_window(keys, F.col(position).desc()).rowsBetween(Window.unboundedPreceding, -1)
+            block_window(keys, F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
         )
     return {"_left": left, "_right": right}
 
@@ -145,7 +169,7 @@ def fill_margined(margined: DataFrame, max_steps: int, keys: Sequence[str] = KEY
     if max_steps == 0:
         return margined.withColumn("is_imputed", F.lit(False))
     return (
-        margined.withColumns(nearest_levels(keys, max_steps))
+        margined.withColumns(nearest_levels(keys, max_steps, window_order(margined)))
         .withColumn("_fill", interpolated(F.lit(max_steps)))
         .withColumn("is_imputed", F.col("_fill").isNotNull())
         .withColumn("water_level_m", F.coalesce("water_level_m", "_fill"))
@@ -187,8 +211,8 @@ def resample(
 ) -> DataFrame:
     """Observations to a regular grid with short gaps filled and imputation marked."""
     steps = checked_steps(max_steps)
-    grid = complete_grid(obs, step, keys, block_steps)
-    return fill_short_gaps(grid, steps, keys, block_steps)
+    margined = margined_grid(obs, step, keys, steps, steps, max(block_steps, steps))
+    return drop_margin(fill_margined(margined, steps, keys)).drop("_step")
 
 
 def split_sizes(length: Column, train: float, validation: float) -> tuple[Column, Column]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import differs, finite, share
+from tidemark.functions.text import OFFSET_PATTERN
 from tidemark.operators.blocks import (
     CORE,
     DEFAULT_BLOCK_STEPS,
@@ -31,15 +32,12 @@ def condition_runs(
     block_steps: int = DEFAULT_BLOCK_STEPS,
 ) -> DataFrame:
     """Runs of grid rows that meet ``flag``: start, end and length in steps."""
-    slim = grid.select(*keys, "grid_pos", "observed_at", flag.alias("_wanted"))
-    times = {
-        "start_at": (F.min("observed_at"), F.min),
-        "end_at": (F.max("observed_at"), F.max),
-    }
-    found = runs(
-        slim, keys, "grid_pos", F.col("_wanted"), position_block(F.col("grid_pos"), block_steps), times
+    slim = grid.select(
+        *keys, "observed_at", position_block(F.col("grid_pos"), block_steps).alias("_at"),
+        flag.alias("_wanted"),
     )
-    return found.select(*keys, "run", "start_at", "end_at", "run_length")
+    found = runs(slim, keys, "observed_at", F.col("_wanted"), F.col("_at"))
+    return found.withColumnsRenamed({"run_start": "start_at", "run_end": "end_at"})
 
 
 def missing_runs(
@@ -70,7 +68,7 @@ def top_gaps(gaps: DataFrame, n: int = 10, keys: Sequence[str] = KEYS) -> DataFr
     """
     order = Window.partitionBy(*keys).orderBy(F.col("run_length").desc(), F.col("start_at"))
     ranked = gaps.withColumn("gap_rank", F.row_number().over(order))
-    return ranked.filter(F.col("gap_rank") <= n).drop("run")
+    return ranked.filter(F.col("gap_rank") <= n)
 
 
 def gap_statistics(
@@ -412,3 +410,26 @@ def expected_grid(spark: SparkSession, **axes: Sequence[object]) -> DataFrame:
     for name, values in axes.items():
         frame = frame.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
     return frame
+
+
+def offset_summary(rows: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Offsets named by time texts: rows, distinct offsets (more than one must be refused)
+    and the first instant after conversion."""
+    shown = F.regexp_extract(F.col(column), OFFSET_PATTERN, 1)
+    per_offset = rows.groupBy(*keys, shown.alias("_offset")).agg(
+        F.count("*").alias("_n"), F.min(F.col(column).try_cast("timestamp")).alias("_first")
+    )
+    return per_offset.groupBy(*keys).agg(
+        F.sum("_n").alias("rows"),
+        F.count("*").alias("offsets"),
+        F.min("_first").alias("first_at"),
+    )
+
+
+def require_uniform_offset(rows: DataFrame, column: str) -> DataFrame:
+    """Refuse naive or mixed-offset stamps, then convert to instants."""
+    shown = F.nullif(F.regexp_extract(F.col(column), OFFSET_PATTERN, 1), F.lit(""))
+    found = [r[0] for r in rows.select(shown.alias("o")).distinct().take(2)]
+    if len(found) > 1 or found == [None]:
+        raise ValueError(f"{column} must carry one UTC offset, found {found}")
+    return rows.withColumn(column, F.col(column).try_cast("timestamp"))

@@ -4,37 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# The table contracts.
-RAW = T.StructType.fromDDL(
+# The table contracts, as DDL text accepted by ``spark.read.schema``.
+RAW = (
     "z_id string, time_d string, up_water_level string, station_code string, station_name string"
 )
-OBSERVATIONS = T.StructType.fromDDL(
+OBSERVATIONS = (
     "series_key string, source_record_id string, observed_at timestamp, water_level_m double, "
     "station_code string, station_name string, quality_flag string"
 )
-GRID = T.StructType.fromDDL(
+GRID = (
     "series_key string, observed_at timestamp, water_level_m double, is_imputed boolean, "
     "quality_flag string, source_record_id string, station_code string, station_name string"
 )
-RAIN_POINTS = T.StructType.fromDDL(
+RAIN_POINTS = (
     "observed_at string, precipitation_mm double, rain_mm double, point_id string, "
     "longitude double, latitude double"
 )
-RAIN = T.StructType.fromDDL("observed_at timestamp, rainfall_mm double, point_count bigint")
-FORECASTS = T.StructType.fromDDL(
+RAIN = ("observed_at timestamp, rainfall_mm double, point_count bigint")
+FORECASTS = (
     "series_key string, model string, horizon int, segment string, anchor timestamp, "
     "target timestamp, observed double, prediction double"
 )
-PREDICTION_FILE = T.StructType.fromDDL(
+PREDICTION_FILE = (
     "observed_at string, segment string, observed double, prediction double"
 )
-ARCHIVE_RESPONSE = T.StructType.fromDDL(
+ARCHIVE_RESPONSE = (
     "latitude double, longitude double, elevation double, utc_offset_seconds int, "
     "hourly struct<time:array<string>, precipitation:array<double>, rain:array<double>>"
 )
-PREDICTION_ARTIFACT = T.StructType.fromDDL(
+PREDICTION_ARTIFACT = (
     "model string, model_version string, as_of string, anchor_at string, "
     "points array<struct<horizon:int, target_at:string, water_level_m:double>>"
 )
