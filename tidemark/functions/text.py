@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from datetime import datetime
+from zoneinfo import ZoneInfo
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The accepted forms of a decimal number and of a local offset.
@@ -35,38 +38,36 @@ def has_offset(text: Column) -> Column:
     return clock & F.rlike(text, F.lit(OFFSET_PATTERN))
 
 
-def local_offset_ambiguous(ts: Column) -> Column:
-    """True when the wall clock of ``ts`` is skipped or repeated in the session zone.
+def zone_changes(spark: SparkSession) -> bool:
+    """False when the session zone has one offset for all time, so nothing can be ambiguous."""
+    zone = ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))
+    days = (datetime(year, month, 1, tzinfo=zone) for year in range(1900, 2101) for month in (1, 4, 7, 10))
+    return len({day.utcoffset() for day in days}) > 1
 
-    A wall time that is repeated has a second instant within the hours around ``ts`` that
-    prints the same; both candidates are compared as zone-less timestamps.
-    """
-    wall = ts.cast("timestamp_ntz")
-    shifts = (30, 60, 120)
-    hits = [
-        (ts + F.make_dt_interval(mins=F.lit(sign * minutes))).cast("timestamp_ntz") == wall
-        for minutes in shifts
-        for sign in (1, -1)
-    ]
-    result = hits[0]
-    for hit in hits[1:]:
-        result = result | hit
-    return result
-
-
-def parse_timestamp(c: Column) -> Column:
-    """Instant of a text: ISO first, a date alone means midnight, unusable text is NULL.
-
-    A naive wall time that falls into a clock change of the session zone is refused,
-    because no offset may be guessed.
+
+def with_timestamp(df: DataFrame, source: str, out: str) -> DataFrame:
+    """Add the instant of a text: ISO first, a date alone means midnight, unusable is NULL.
+
+    A naive wall time that a clock change of the session zone skips or repeats is refused,
+    because no offset may be guessed. A skipped time comes back moved forward, so it differs
+    from its zone-less parse; a repeated time is printed again by an instant shortly after.
+    The steps are columns of their own, so each is evaluated once per row.
     """
-    text = optional_text(c)
-    instant = F.try_to_timestamp(text)
-    naive = instant.cast("timestamp_ntz")
-    # A skipped wall time comes back moved forward: it no longer equals the zone-less parse.
-    moved = ~naive.eqNullSafe(text.try_cast("timestamp_ntz"))
-    refused = ~has_offset(text) & (moved | local_offset_ambiguous(instant))
-    return F.when(refused, F.lit(None).cast("timestamp")).otherwise(instant)
+    stepped = df.withColumn("_text", optional_text(F.col(source))).withColumn(
+        "_instant", F.try_to_timestamp("_text")
+    )
+    value = F.col("_instant")
+    if zone_changes(df.sparkSession):
+        stepped = stepped.withColumn("_wall", F.col("_text").try_cast("timestamp_ntz"))
+        repeated = F.lit(False)
+        for minutes in (30, 60, 120):
+            later = F.timestamp_micros(F.unix_micros("_instant") + F.lit(minutes * 60_000_000))
+            repeated = repeated | (later.cast("timestamp_ntz") == F.col("_wall"))
+        moved = ~F.col("_instant").cast("timestamp_ntz").eqNullSafe(F.col("_wall"))
+        refused = ~has_offset(F.col("_text")) & (moved | F.coalesce(repeated, F.lit(False)))
+        value = F.when(~F.coalesce(refused, F.lit(False)), F.col("_instant"))
+        return stepped.withColumn(out, value).drop("_text", "_instant", "_wall")
+    return stepped.withColumn(out, value).drop("_text", "_instant")
 
 
 def level_state(c: Column) -> Column:

@@ -13,8 +13,8 @@ from tidemark.functions.text import (
     level_state,
     level_value,
     optional_text,
-    parse_timestamp,
     record_id,
+    with_timestamp,
 )
 from tidemark.operators.blocks import KEYS
 
@@ -72,27 +72,27 @@ def archive_counts(rows: DataFrame, member: str = "_member", id_column: str = "z
 
 def classify_rows(raw: DataFrame, *, numeric_id: bool = False) -> DataFrame:
     """Typed columns plus ``reject_reason``, checked in the fixed order id, time, level."""
-    state = level_state(F.col("up_water_level"))
     present = set(raw.columns)
     optional = {
         name: optional_text(F.col(name)) if name in present else F.lit(None).cast("string")
         for name in ("station_code", "station_name")
     }
-    typed = raw.withColumns(
+    typed = with_timestamp(raw, "time_d", "observed_at").withColumns(
         {
             "source_record_id": record_id(F.col("z_id"), numeric_source=numeric_id),
-            "observed_at": parse_timestamp(F.col("time_d")),
             "water_level_m": level_value(F.col("up_water_level")),
+            "_state": level_state(F.col("up_water_level")),
             **optional,
         }
     )
+    state = F.col("_state")
     reason = (
         F.when(F.col("source_record_id").isNull(), F.lit("invalid_timestamp"))
         .when(F.col("observed_at").isNull(), F.lit("invalid_timestamp"))
         .when(state == "missing", F.lit("missing_level"))
         .when(state == "invalid", F.lit("invalid_level"))
     )
-    return typed.withColumn("reject_reason", reason)
+    return typed.withColumn("reject_reason", reason).drop("_state")
 
 
 def normalise(
@@ -104,13 +104,15 @@ def normalise(
 ) -> DataFrame:
     """Valid observations; a repeated id keeps its last *valid* row by input position."""
     columns = ("observed_at", "water_level_m", "station_code", "station_name")
-    accepted = classify_rows(raw, numeric_id=numeric_id).filter(F.col("reject_reason").isNull())
+    accepted = F.when(F.col("reject_reason").isNull(), position)
+    # Rejected rows have no rank and cannot win. Dropping them only after the aggregation
+    # keeps the parsing expressions from being evaluated a second time in a pushed filter.
     return (
-        accepted.select(
-            *keys, "source_record_id", F.struct(*columns).alias("_row"), position.alias("_at")
-        )
+        classify_rows(raw, numeric_id=numeric_id)
+        .select(*keys, "source_record_id", F.struct(*columns).alias("_row"), accepted.alias("_at"))
         .groupBy(*keys, "source_record_id")
         .agg(F.max_by("_row", "_at").alias("_row"))
+        .filter(F.col("_row").isNotNull())
         .select(*keys, "source_record_id", "_row.*", F.lit(NORMAL_FLAG).alias("quality_flag"))
     )
 

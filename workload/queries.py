@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers, text, timeline
+from tidemark.plans.stage import stored
 from tidemark.operators import clean, events, features, forecast, grid, metrics, quality, rainfall, risk
 from workload import sqltext as S
 from workload.bindings import daily_observations, observations, prop, rain_points, raw_records, shaped, table
@@ -44,6 +45,16 @@ def split(spark, sf, key="event_type", steps=2) -> DataFrame:
     return grid.chronological_split(filled(spark, sf, key, steps))
 
 
+def both_inputs(spark, sf, key="event_type", steps=2) -> tuple[DataFrame, DataFrame]:
+    """Feature matrix and scored persistence of one grid.
+
+    The grid is stored once: the matrix, its thresholds and the forecasts all read it.
+    """
+    levels = stored(filled(spark, sf, key, steps), "grid")
+    m = stored(features.feature_matrix(levels, rain(spark, sf)), "features")
+    return m, forecast.scored_rows(forecast.persistence_forecasts(grid.chronological_split(levels)))
+
+
 def rain(spark, sf) -> DataFrame:
     return rainfall.areal_mean(rain_points(spark, sf))
 
@@ -58,9 +69,8 @@ def scored(spark, sf, key="event_type", steps=2) -> DataFrame:
     return forecast.scored_rows(forecast.persistence_forecasts(split(spark, sf, key, steps)))
 
 
-def anchored(spark, sf, key="event_type") -> DataFrame:
+def anchored(m: DataFrame) -> DataFrame:
     """The in-segment sample set as a second forecast: the anchor level for every usable row."""
-    m = matrix(spark, sf, key)
     lines = F.array(
         *[
             F.struct(F.lit(h).alias("horizon"), F.col(f"usable_h{h}").alias("u"), F.col(f"target_h{h}").alias("observed"))
@@ -672,8 +682,8 @@ def paired_counts(spark, sf):
     return metrics.paired_counts(forecast.persistence_forecasts(split(spark, sf, "user_id")))
 
 
-def both_models(spark, sf) -> DataFrame:
-    return scored(spark, sf).drop("is_imputed").unionByName(anchored(spark, sf))
+def both_models(m: DataFrame, fc: DataFrame) -> DataFrame:
+    return fc.drop("is_imputed").unionByName(anchored(m))
 
 
 BOTH_SQL = f"""WITH {S.features(S.TYPE, 2)},
@@ -692,7 +702,8 @@ SELECT series_key, model, CAST(horizon AS BIGINT) AS horizon, segment, sample_co
 FROM ({S.scores('kept', 'series_key, model, horizon, segment')}) x""",
 )
 def common_support_metrics(spark, sf):
-    scores = metrics.common_support_metrics(both_models(spark, sf), ["persistence", "anchor"])
+    m, fc = both_inputs(spark, sf)
+    scores = metrics.common_support_metrics(both_models(m, fc), ["persistence", "anchor"])
     return scores.select("series_key", "model", "horizon", "segment", "sample_count", "mae", "rmse", "nse")
 
 
@@ -705,8 +716,9 @@ SELECT w.series_key, w.segment, CAST(w.horizon AS BIGINT) AS horizon, count(*) A
 WHERE a IS NOT NULL AND observed IS NOT NULL GROUP BY 1, 2, 3""",
 )
 def predictable_rows(spark, sf):
-    levels = matrix(spark, sf).select("series_key", "observed_at", "water_level_t")
-    return metrics.predictable_rows(both_models(spark, sf), levels, ["anchor"])
+    m, fc = both_inputs(spark, sf)
+    levels = m.select("series_key", "observed_at", "water_level_t")
+    return metrics.predictable_rows(both_models(m, fc), levels, ["anchor"])
 
 
 @query(
@@ -717,8 +729,9 @@ FROM m a LEFT JOIN m b ON b.model = 'persistence' AND a.series_key = b.series_ke
 )
 def baseline_comparison(spark, sf):
     columns = ["series_key", "model", "horizon", "segment", "mae"]
-    mine = metrics.regression_metrics(anchored(spark, sf)).select(*columns)
-    base = metrics.regression_metrics(scored(spark, sf))
+    m, fc = both_inputs(spark, sf)
+    mine = metrics.regression_metrics(anchored(m)).select(*columns)
+    base = metrics.regression_metrics(fc)
     return metrics.compare_with_baseline(mine, base)
 
 
@@ -782,9 +795,8 @@ SELECT series_key, model, CAST(horizon AS BIGINT) AS horizon, segment, usable_ro
   rows_with_missing_features AS imputed_rows, missing_feature_cells AS imputed_cells FROM j""",
 )
 def imputation_profile(spark, sf):
-    return metrics.imputation_profile(
-        anchored(spark, sf, "user_id"), matrix(spark, sf, "user_id"), features.FEATURE_SETS["E2"]
-    )
+    m = stored(matrix(spark, sf, "user_id"), "features")
+    return metrics.imputation_profile(anchored(m), m, features.FEATURE_SETS["E2"])
 
 
 # --- events --------------------------------------------------------------------------
@@ -813,7 +825,7 @@ ev AS (SELECT series_key, segment, run_start AS event_start, run_end AS event_en
 
 @query("event_runs", f"WITH {S.split(S.TYPE, 1)}, {EVENT_CTE} SELECT * FROM ev")
 def event_runs(spark, sf):
-    m = matrix(spark, sf, "event_type", 1)
+    m = stored(matrix(spark, sf, "event_type", 1), "features")
     return events.event_windows(m, events.fit_thresholds(m))
 
 
@@ -825,7 +837,7 @@ b AS (SELECT s.series_key, s.segment, threshold, count(*) AS hours, count(*) FIL
 SELECT b.*, (SELECT count(*) FROM ev WHERE ev.series_key = b.series_key AND ev.segment = b.segment) AS event_segments FROM b""",
 )
 def event_summary(spark, sf):
-    m = matrix(spark, sf, "event_type", 1)
+    m = stored(matrix(spark, sf, "event_type", 1), "features")
     return events.event_summary(m, events.fit_thresholds(m))
 
 
@@ -844,13 +856,14 @@ cells AS (SELECT *, CASE WHEN observed_event_points > 0 AND predicted_event_poin
 
 @query("event_metrics", f"WITH {S.persistence(S.USER, 2)}, {METRIC_CTE} SELECT * FROM cells")
 def event_metrics(spark, sf):
-    m = matrix(spark, sf, "user_id")
-    return events.event_metrics(scored(spark, sf, "user_id"), events.fit_thresholds(m))
+    m, fc = both_inputs(spark, sf, "user_id")
+    return events.event_metrics(fc, events.fit_thresholds(m))
 
 
 @query("nested_metrics_flatten", f"WITH {S.persistence(S.TYPE, 2)}, {METRIC_CTE} SELECT * FROM cells")
 def nested_metrics_flatten(spark, sf):
-    cells = events.event_metrics(scored(spark, sf), thresholds(spark, sf))
+    m, fc = both_inputs(spark, sf)
+    cells = events.event_metrics(fc, events.fit_thresholds(m))
     inner = F.struct(*[c for c in cells.columns if c not in ("series_key", "model", "horizon", "segment")])
 
     def nest(df, keys, key, value):
@@ -894,7 +907,8 @@ SELECT series_key, model, CAST(horizon AS BIGINT) AS horizon, segment, event_sta
   ip AS first_prediction, CASE WHEN ia IS NULL THEN 'no_prediction_above_threshold' WHEN ia >= event_start THEN 'crossing_after_event_start' END AS reason FROM r""",
 )
 def warning_lead(spark, sf):
-    return events.warning_leads(scored(spark, sf), thresholds(spark, sf))
+    m, fc = both_inputs(spark, sf)
+    return events.warning_leads(fc, events.fit_thresholds(m))
 
 
 @query(
@@ -909,8 +923,8 @@ SELECT series_key, segment, event_start, event_end, event_points, model, CAST(ho
 FROM j GROUP BY 1, 2, 3, 4, 5, 6, 7""",
 )
 def event_errors(spark, sf):
-    m = matrix(spark, sf, "event_type", 1)
-    return events.event_errors(scored(spark, sf, "event_type", 1), events.event_windows(m, events.fit_thresholds(m)))
+    m, fc = both_inputs(spark, sf, "event_type", 1)
+    return events.event_errors(fc, events.event_windows(m, events.fit_thresholds(m)))
 
 
 @query(
@@ -1028,7 +1042,10 @@ def forecast_fallback(spark, sf):
 
 
 def user_thresholds(spark, sf) -> DataFrame:
-    return events.fit_thresholds(matrix(spark, sf, "user_id"), 0.9)
+    parts = split(spark, sf, "user_id").withColumnsRenamed(
+        {"water_level_m": "water_level_t", "is_imputed": "is_imputed_t"}
+    )
+    return events.fit_thresholds(parts, 0.9)
 
 
 RISK_SQL = f"""WITH {SERVED_CTE}, {S.split(S.USER, 2).replace(S.obs(S.USER) + ",", "")}, {S.thresholds(0.9)},
