@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numbers, text, timeline
 from tidemark.plans.stage import stored
-from tidemark.operators import clean, events, features, forecast, grid, metrics, quality, rainfall, risk
+from tidemark.operators import clean, events, features, forecast, grid, metrics, models, quality, rainfall, risk
+from tidemark.plans import runs
+from tidemark.schemas import ARCHIVE_RESPONSE
+from tidemark.sinks import digests
+from tidemark.sources import responses
 from workload import sqltext as S
 from workload.bindings import daily_observations, observations, prop, rain_points, raw_records, shaped, table
 
@@ -1090,3 +1094,228 @@ def risk_levels(spark, sf):
         "series_key", "target", "threshold",
         F.array_join(F.col("missing_horizons").cast("array<string>"), ",").alias("missing"), "level",
     )
+
+
+# --- models --------------------------------------------------------------------------
+
+E1 = features.FEATURE_SETS["E1"]
+E2 = features.FEATURE_SETS["E2"]
+
+
+def samples(spark, sf, columns=E2, key="event_type") -> DataFrame:
+    return models.segment_samples(matrix(spark, sf, key), columns)
+
+
+def samples_sql(columns, key=S.TYPE) -> str:
+    x = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in columns) + "]"
+    parts = " UNION ALL ".join(
+        f"SELECT series_key, segment, observed_at, CAST({h} AS BIGINT) AS horizon, target_h{h} AS y, {x} AS x FROM features WHERE usable_h{h}"
+        for h in (1, 3, 6)
+    )
+    return f"WITH {S.features(key, 2)}, samples AS ({parts})"
+
+
+@query(
+    "sample_counters",
+    f"""{samples_sql(E2, S.USER)} SELECT series_key, segment, horizon, count(*) AS usable_rows,
+  count(*) FILTER (list_count(x) < 20) AS missing_feature_rows, CAST(sum(20 - list_count(x)) AS BIGINT) AS missing_feature_cells,
+  count(*) FILTER (y IS NULL) AS bad_targets FROM samples GROUP BY 1, 2, 3""",
+)
+def sample_counters(spark, sf):
+    return models.sample_counters(samples(spark, sf, E2, "user_id"))
+
+
+@query(
+    "feature_statistics",
+    f"""{samples_sql(E1)}, v AS (SELECT series_key, horizon, unnest(x) AS v, unnest(range(9)) AS feature FROM samples
+  WHERE segment = 'train' AND list_count(x) = 9)
+SELECT series_key, horizon, count(*) AS fit_rows, feature, avg(v) AS mean, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END AS scale
+FROM v GROUP BY series_key, horizon, feature""",
+)
+def feature_statistics(spark, sf):
+    stats = models.feature_statistics(samples(spark, sf, E1), len(E1))
+    return stats.select(
+        "series_key", "horizon", "fit_rows", F.posexplode(F.arrays_zip("mean", "scale")).alias("feature", "s")
+    ).select("series_key", "horizon", "fit_rows", "feature", "s.mean", "s.scale")
+
+
+@query(
+    "train_medians",
+    f"""{samples_sql(E2)}, v AS (SELECT series_key, horizon, unnest(x) AS v, unnest(range(20)) AS feature FROM samples WHERE segment = 'train')
+SELECT series_key, horizon, feature, median(v) AS median FROM v WHERE v IS NOT NULL GROUP BY 1, 2, 3""",
+)
+def train_medians(spark, sf):
+    medians = models.train_medians(samples(spark, sf))
+    return medians.select("series_key", "horizon", F.posexplode("medians").alias("feature", "median"))
+
+
+@query(
+    "filled_samples",
+    f"""{samples_sql(E2)}, v AS (SELECT series_key, horizon, unnest(x) AS v, unnest(range(20)) AS feature FROM samples WHERE segment = 'train'),
+md AS (SELECT series_key, horizon, feature, median(v) AS m FROM v WHERE v IS NOT NULL GROUP BY 1, 2, 3),
+a AS (SELECT series_key, segment, horizon, unnest(x) AS v, unnest(range(20)) AS feature FROM samples)
+SELECT a.series_key, a.segment, a.horizon, count(*) / 20 AS rows, count(*) FILTER (v IS NULL) AS imputed_cells, sum(COALESCE(v, m)) AS total
+FROM a JOIN md ON a.series_key = md.series_key AND a.horizon = md.horizon AND a.feature = md.feature GROUP BY 1, 2, 3""",
+)
+def filled_samples(spark, sf):
+    rows = stored(samples(spark, sf), "samples")
+    filled_rows = models.fill_missing(rows, models.train_medians(rows))
+    total = F.aggregate("x", F.lit(0.0), lambda a, b: a + b)
+    return filled_rows.groupBy("series_key", "segment", "horizon").agg(
+        F.count("*").cast("double").alias("rows"), F.sum("imputed_cells").alias("imputed_cells"), F.sum(total).alias("total")
+    )
+
+
+@query(
+    "moment_matrices",
+    f"""{samples_sql(E1)}, r AS (SELECT series_key, horizon, list_concat([1.0::DOUBLE], x, [y]) AS r FROM samples WHERE segment = 'train' AND list_count(x) = 9),
+o AS (SELECT series_key, horizon, r, unnest(r) AS a, unnest(range(11)) AS i FROM r),
+p AS (SELECT series_key, horizon, a, i, unnest(r) AS b, unnest(range(11)) AS j FROM o)
+SELECT series_key, horizon, i * 11 + j AS cell, sum(a * b) AS moment FROM p GROUP BY 1, 2, 3""",
+)
+def moment_matrices(spark, sf):
+    cells = models.moment_matrices(samples(spark, sf, E1))
+    return cells.select("series_key", "horizon", F.posexplode("moments").alias("cell", "moment"))
+
+
+@query("ridge_fit")
+def ridge_fit(spark, sf):
+    fitted = models.fit_ridge(samples(spark, sf, E1))
+    return fitted.select("series_key", "horizon", "alpha", "fit_rows", "intercept", F.posexplode("coefficients").alias("feature", "weight"))
+
+
+def best_ridge(spark, sf):
+    rows = stored(samples(spark, sf, E1), "samples")
+    return rows, models.select_alpha(rows, models.fit_ridge(rows))
+
+
+@query("ridge_select")
+def ridge_select(spark, sf):
+    return best_ridge(spark, sf)[1].select("series_key", "horizon", "alpha", "fit_rows", "validation_mae")
+
+
+@query("ridge_metrics")
+def ridge_metrics(spark, sf):
+    rows, best = best_ridge(spark, sf)
+    scores = models.ridge_predictions(rows, best).withColumn("model", F.lit("ridge"))
+    return metrics.regression_metrics(scores)
+
+
+@query("tree_metrics")
+def tree_metrics(spark, sf):
+    predictions = models.run_experiments(
+        stored(matrix(spark, sf), "features"), experiments=["E1"], models=["trees"], seeds=[1], rounds=10
+    )
+    return metrics.regression_metrics(predictions)
+
+
+@query("experiment_scores")
+def experiment_scores(spark, sf):
+    predictions = models.run_experiments(stored(matrix(spark, sf), "features"), models=["ridge"])
+    out = models.experiment_scores(stored(predictions, "predictions"))
+    return out.withColumn("sample_counts_by_seed", F.array_join(F.col("sample_counts_by_seed").cast("array<string>"), ","))
+
+
+# --- landed responses, pages, digests -------------------------------------------------
+
+
+def daily_responses(spark, sf) -> DataFrame:
+    """One nested response per point and day, as its JSON text (at most 24 entries each)."""
+    hours = rain_points(spark, sf).withColumn("day", F.to_date("observed_at"))
+    entry = F.struct(
+        F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm").alias("time"), "precipitation_mm", "rain_mm"
+    )
+    days = hours.groupBy("point_id", "day").agg(F.array_sort(F.collect_list(entry)).alias("h"))
+    hourly = F.struct(
+        F.col("h.time").alias("time"), F.col("h.precipitation_mm").alias("precipitation"), F.col("h.rain_mm").alias("rain")
+    )
+    body = days.select("point_id", F.to_json(F.struct(hourly.alias("hourly"))).alias("body"))
+    return body.select("point_id", F.from_json("body", ARCHIVE_RESPONSE).alias("r")).select("point_id", "r.*")
+
+
+@query(
+    "archive_rows",
+    f"WITH {S.RAIN_POINTS} SELECT point_id, tt AS observed_at, precipitation_mm, rain_mm FROM points",
+)
+def archive_rows(spark, sf):
+    return responses.response_rows(daily_responses(spark, sf), ["point_id"])
+
+
+@query(
+    "archive_violations",
+    """SELECT event_type AS point_id, CAST(0 AS BIGINT) AS violations FROM events GROUP BY 1""",
+)
+def archive_violations(spark, sf):
+    days = daily_responses(spark, sf)
+    bad = responses.response_violations(days).groupBy("point_id").agg(F.count("*").alias("violations"))
+    return days.select("point_id").distinct().join(bad, "point_id", "left").fillna(0)
+
+
+@query(
+    "paged_landing",
+    """WITH p AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda w: w <> '') AS words FROM conversations),
+t AS (SELECT conv_id, greatest(CAST(sum(len(words)) AS BIGINT) - 5, 0) AS total, min(turn) FILTER (len(words) = 0) AS stop FROM p GROUP BY 1),
+b AS (SELECT p.*, total, stop, COALESCE(sum(len(words)) OVER (PARTITION BY p.conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM p JOIN t ON p.conv_id = t.conv_id),
+x AS (SELECT conv_id, turn, total, stop, before, unnest(words) AS row, unnest(range(len(words))) AS position FROM b)
+SELECT conv_id AS dataset_id, CAST(turn AS BIGINT) AS page, position, row FROM x WHERE (stop IS NULL OR turn < stop) AND before + position < total""",
+)
+def paged_landing(spark, sf):
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    pages = table(spark, sf, "conversations").select(F.col("conv_id").alias("dataset_id"), F.col("turn").alias("page"), words.alias("data"))
+    totals = pages.groupBy("dataset_id").agg(F.greatest(F.sum(F.size("data")) - 5, F.lit(0)).alias("total"))
+    return responses.paged_rows(pages.join(totals, "dataset_id"))
+
+
+@query(
+    "canonical_rows",
+    """SELECT CAST(to_json({'event_id': event_id, 'event_type': event_type, 'props': props, 'user_id': user_id}) AS VARCHAR) AS row_json FROM events""",
+)
+def canonical_rows(spark, sf):
+    return digests.canonical_rows(table(spark, sf, "events").select("user_id", "event_id", "props", "event_type"))
+
+
+@query(
+    "dataset_digest",
+    """WITH j AS (SELECT sha256(CAST(to_json({'event_id': event_id, 'event_type': event_type, 'props': props, 'user_id': user_id}) AS VARCHAR)) AS d FROM events),
+q AS (SELECT count(*) AS rows, """
+    + ", ".join(f"sum(CAST(('0x' || substr(d, {1 + 16 * i}, 16)) AS UBIGINT)::HUGEINT) AS q{i}" for i in range(4))
+    + """ FROM j)
+SELECT rows, sha256(concat_ws(':', rows, q0, q1, q2, q3)) AS sha256 FROM q""",
+)
+def dataset_digest(spark, sf):
+    return digests.content_digest(table(spark, sf, "events").select("user_id", "event_id", "props", "event_type"))
+
+
+@query(
+    "json_safe_rows",
+    """WITH e AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT event_id, CASE WHEN k > 0 THEN value / k END AS ratio, CASE WHEN k > 0 THEN value / k END AS nested FROM e""",
+)
+def json_safe_rows(spark, sf):
+    k = prop().cast("double")
+    # Division by zero written as infinity, zero over zero as NaN, like a float engine does.
+    ratio = F.when(k != 0, F.col("value") / k).otherwise(
+        F.when(F.col("value") > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    )
+    rows = table(spark, sf, "events").select("event_id", ratio.alias("ratio"), F.array(ratio).alias("many"))
+    return numbers.non_finite_to_null(rows).select("event_id", "ratio", F.col("many")[0].alias("nested"))
+
+
+# --- composite runs --------------------------------------------------------------------
+
+
+@query(
+    "baseline_audit",
+    f"WITH {S.RAW}, {S.persistence(S.TYPE, 2).replace(S.obs(S.TYPE), 'obs AS (SELECT series_key, id, tt, num AS level FROM kept)').replace('arg_max(level, tt)', 'arg_max(level, (tt, id))').replace('arg_max(id, tt)', 'arg_max(id, (tt, id))')} "
+    f"{SCORE_SQL.format(source='(SELECT * REPLACE (FALSE AS imp) FROM fc)')}",
+)
+def baseline_audit(spark, sf):
+    return runs.baseline_audit(raw_records(spark, sf), F.col("row_position"))["metrics"]
+
+
+@query("error_analysis")
+def error_analysis(spark, sf):
+    levels = stored(filled(spark, sf), "grid")
+    m = stored(features.feature_matrix(levels, rain(spark, sf)), "features")
+    return runs.error_analysis(levels, m, anchored(m), ["anchor"], FOCUS)["common_support"]
