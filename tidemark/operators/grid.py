@@ -241,30 +241,30 @@ def chronological_split(
     by ``unsplittable_series`` and refused by ``require_splittable``.
     """
     checked_ratios(train, validation)
-    length = F.col("grid_len")
-    first, second = split_sizes(length, train, validation)
-    usable = (length >= MIN_SPLIT_ROWS) & (first > 0) & (second > 0) & (length - first - second > 0)
-    pos = F.col("grid_pos")
-    segment = (
-        F.when(~usable, F.lit(None))
-        .when(pos < first, F.lit("train"))
-        .when(pos < first + second, F.lit("validation"))
-        .otherwise(F.lit("test"))
+    first, second = split_sizes(F.col("grid_len"), train, validation)
+    rest = F.col("grid_len") - first - second
+    splittable = (F.col("grid_len") >= MIN_SPLIT_ROWS) & (F.least(first, second, rest) > 0)
+    # The cuts are columns of their own, and every later choice is an array lookup by part
+    # number: nested conditions over conditions would be multiplied by the optimizer.
+    cut = grid.withColumn(
+        "_cuts",
+        F.when(splittable, F.array(F.lit(0).cast("long"), first, first + second, F.col("grid_len"))),
+    )
+    part = (
+        F.lit(1)
+        + (F.col("grid_pos") >= F.col("_cuts")[1]).cast("int")
+        + (F.col("grid_pos") >= F.col("_cuts")[2]).cast("int")
     )
     return (
-        grid.withColumn("segment", segment)
-        .withColumn(
-            "seg_first",
-            F.when(F.col("segment") == "train", F.lit(0))
-            .when(F.col("segment") == "validation", first)
-            .when(F.col("segment") == "test", first + second),
-        )
-        .withColumn(
-            "seg_last",
-            F.when(F.col("segment") == "train", first - 1)
-            .when(F.col("segment") == "validation", first + second - 1)
-            .when(F.col("segment") == "test", length - 1),
+        cut.withColumn("_part", part)
+        .withColumns(
+            {
+                "segment": F.element_at(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("_part")),
+                "seg_first": F.element_at("_cuts", F.col("_part")),
+                "seg_last": F.element_at("_cuts", F.col("_part") + 1) - F.lit(1),
+            }
         )
+        .drop("_cuts", "_part")
     )
 
 

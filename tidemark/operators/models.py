@@ -45,14 +45,19 @@ def segment_samples(
     missing = [c for c in (*columns, *[f"target_h{h}" for h in horizons]) if c not in features.columns]
     if missing:
         raise ValueError(f"features lack column(s) {', '.join(missing)}")
+    # ``x`` travels through the generator: a later filter on it then stays above the generator
+    # instead of being rewritten over every feature expression.
+    x = F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
     lines = F.array(
         *[
-            F.struct(F.lit(h).alias("horizon"), F.col(f"target_h{h}").alias("y"), F.col(f"usable_h{h}").alias("_u"))
+            F.struct(
+                F.lit(h).alias("horizon"), F.col(f"target_h{h}").alias("y"),
+                F.col(f"usable_h{h}").alias("_usable"), x,
+            )
             for h in horizons
         ]
     )
-    x = F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
-    return features.select(*keys, "segment", "observed_at", x, F.inline(lines)).filter("_u").drop("_u")
+    return features.select(*keys, "segment", "observed_at", F.inline(lines)).filter("_usable").drop("_usable")
 
 
 def is_complete(x: Column) -> Column:
