@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from datetime import datetime
-from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.zones import session_zone
+
 # The accepted forms of a decimal number and of a local offset.
 NUMBER_PATTERN = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
 NOT_A_NUMBER_PATTERN = r"(?i)^[+-]?nan$"
@@ -40,7 +41,7 @@ def has_offset(text: Column) -> Column:
 
 def zone_changes(spark: SparkSession) -> bool:
     """False when the session zone has one offset for all time, so nothing can be ambiguous."""
-    zone = ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))
+    zone = session_zone(spark)
     days = (datetime(year, month, 1, tzinfo=zone) for year in range(1900, 2101) for month in (1, 4, 7, 10))
     return len({day.utcoffset() for day in days}) > 1
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 from datetime import datetime
-from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.zones import session_zone
+
 HOUR_US = 3_600_000_000
 
 _UNITS_US = {
@@ -40,7 +41,7 @@ def zone_shift(spark: SparkSession, step_us: int) -> int:
     Zones whose offset changes during the year have no fixed day grid, so they are
     refused unless every offset is a whole number of steps.
     """
-    zone = ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))
+    zone = session_zone(spark)
     offsets = {
         int(datetime(year, month, 1, tzinfo=zone).utcoffset().total_seconds() * 1_000_000)
         for year in range(2000, 2031)
@@ -48,7 +49,7 @@ def zone_shift(spark: SparkSession, step_us: int) -> int:
     }
     shifts = {offset % step_us for offset in offsets}
     if len(shifts) > 1:
-        raise ValueError(f"time zone {zone.key} has no fixed grid of this step width; use UTC")
+        raise ValueError(f"time zone {zone} has no fixed grid of this step width; use UTC")
     return shifts.pop()
 
 

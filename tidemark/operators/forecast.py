@@ -257,4 +257,4 @@ def choose_forecasts(
 def worst_status(status: Column) -> Column:
     """Aggregate: the worst of several status values."""
     rank = F.array_position(F.array(*[F.lit(s) for s in STATUS_ORDER]), status)
-    return F.element_at(F.array(*[F.lit(s) for s in STATUS_ORDER]), F.max(rank).cast("int"))
+    return F.get(F.array(*[F.lit(s) for s in STATUS_ORDER]), F.max(rank).cast("int") - 1)

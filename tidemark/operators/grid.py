@@ -250,18 +250,17 @@ def chronological_split(
         "_cuts",
         F.when(splittable, F.array(F.lit(0).cast("long"), first, first + second, F.col("grid_len"))),
     )
-    part = (
-        F.lit(1)
-        + (F.col("grid_pos") >= F.col("_cuts")[1]).cast("int")
-        + (F.col("grid_pos") >= F.col("_cuts")[2]).cast("int")
-    )
+    # ``get`` is NULL for a missing array; ``element_at`` promises a value and must not be used.
+    part = (F.col("grid_pos") >= F.get("_cuts", F.lit(1))).cast("int") + (
+        F.col("grid_pos") >= F.get("_cuts", F.lit(2))
+    ).cast("int")
     return (
         cut.withColumn("_part", part)
         .withColumns(
             {
-                "segment": F.element_at(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("_part")),
-                "seg_first": F.element_at("_cuts", F.col("_part")),
-                "seg_last": F.element_at("_cuts", F.col("_part") + 1) - F.lit(1),
+                "segment": F.get(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("_part")),
+                "seg_first": F.get("_cuts", F.col("_part")),
+                "seg_last": F.get("_cuts", F.col("_part") + 1) - F.lit(1),
             }
         )
         .drop("_cuts", "_part")

@@ -83,7 +83,7 @@ def complete_cases(samples: DataFrame) -> DataFrame:
 def feature_statistics(samples: DataFrame, width: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Train-only mean and population deviation per feature; a constant column scales by 1."""
     train = complete_cases(samples.filter(F.col("segment") == "train"))
-    columns = [F.col("x")[i] for i in range(width)]
+    columns = [F.get("x", F.lit(i)) for i in range(width)]
     deviation = [F.stddev_pop(c) for c in columns]
     return train.groupBy(*keys, "horizon").agg(
         F.count("*").alias("fit_rows"),
@@ -96,7 +96,7 @@ def entirely_missing(samples: DataFrame, width: int, keys: Sequence[str] = KEYS)
     """Cells with a feature that has no train value at all (they cannot be standardised)."""
     train = samples.filter(F.col("segment") == "train")
     counts = train.groupBy(*keys, "horizon").agg(
-        F.array(*[F.count(F.col("x")[i]) for i in range(width)]).alias("_n")
+        F.array(*[F.count(F.get("x", F.lit(i))) for i in range(width)]).alias("_n")
     )
     return counts.filter(F.array_contains("_n", 0)).drop("_n")
 

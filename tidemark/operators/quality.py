@@ -106,7 +106,7 @@ def gap_statistics(
             share(F.col("expected_buckets") - F.col("observed_buckets"), F.col("expected_buckets")), 6
         ).alias("missing_rate"),
         F.coalesce("gap_segments", F.lit(0)).alias("gap_segments"),
-        *[F.col("_q")[i].alias(name) for i, name in enumerate(("gap_p50", "gap_p90", "gap_p99"))],
+        *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(("gap_p50", "gap_p90", "gap_p99"))],
         F.coalesce("longest_gap", F.lit(0)).alias("longest_gap"),
         F.col("_longest.start_at").alias("longest_gap_start"),
         F.col("_longest.end_at").alias("longest_gap_end"),
