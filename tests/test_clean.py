@@ -102,7 +102,7 @@ def test_archive_counts(spark):
     )
     got = {r._member: r for r in clean.archive_counts(rows).collect()}
     assert (got["m1"].rows, got["m2"].rows) == (2, 3)
-    assert (got["m1"].total_rows, got["m1"].unique_rows, got["m1"].duplicate_rows) == (5, 4, 1)
+    assert (got[None].rows, got[None].unique_rows, got[None].duplicate_rows) == (5, 4, 1)
 
 
 def test_selection_and_range(spark):

@@ -58,7 +58,7 @@ def test_archive_is_recognised_by_content_and_merged(spark, tmp_path):
     merged = archives.merged_shards(rows)
     assert sorted((r.z_id or "", r.up_water_level) for r in merged.collect()) == [("", "3.3"), ("7", "3.1"), ("8", ""), ("9", "3.4")]
     counts = {r._member: r for r in clean.archive_counts(rows).collect()}
-    assert (counts["2.csv"].rows, counts["2.csv"].duplicate_rows) == (3, 1)
+    assert (counts["2.csv"].rows, counts[None].duplicate_rows) == (3, 1)
 
 
 def test_archive_errors(spark, tmp_path):

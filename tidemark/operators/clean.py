@@ -57,17 +57,21 @@ def last_occurrence(
 
 
 def archive_counts(rows: DataFrame, member: str = "_member", id_column: str = "z_id") -> DataFrame:
-    """Rows per archive member, with total, unique and duplicate rows of the whole archive."""
+    """Rows per archive member, and one total row (NULL member) with unique and duplicate rows.
+
+    A row without an id is unique by definition.
+    """
     ident = optional_text(F.col(id_column))
     per_id = rows.groupBy(member, ident.alias("_id")).agg(F.count("*").alias("_n"))
     members = per_id.groupBy(member).agg(F.sum("_n").alias("rows"))
-    unique = per_id.groupBy("_id").agg(F.sum("_n").alias("_n")).agg(
-        F.sum("_n").alias("total_rows"),
-        F.sum(F.when(F.col("_id").isNull(), F.col("_n")).otherwise(1)).alias("unique_rows"),
-    )
-    return members.crossJoin(F.broadcast(unique)).withColumn(
-        "duplicate_rows", F.col("total_rows") - F.col("unique_rows")
+    once = F.when(F.col("_id").isNull(), F.col("_n")).otherwise(F.lit(1))
+    total = per_id.groupBy("_id").agg(F.sum("_n").alias("_n")).agg(
+        F.lit(None).cast("string").alias(member),
+        F.sum("_n").alias("rows"),
+        F.sum(once).alias("unique_rows"),
+        (F.sum("_n") - F.sum(once)).alias("duplicate_rows"),
     )
+    return members.unionByName(total, allowMissingColumns=True)
 
 
 def classify_rows(raw: DataFrame, *, numeric_id: bool = False) -> DataFrame:
@@ -95,26 +99,69 @@ def classify_rows(raw: DataFrame, *, numeric_id: bool = False) -> DataFrame:
     return typed.withColumn("reject_reason", reason).drop("_state")
 
 
-def normalise(
+def audit_ids(
     raw: DataFrame,
     position: Column,
     keys: Sequence[str] = KEYS,
     *,
     numeric_id: bool = False,
 ) -> DataFrame:
-    """Valid observations; a repeated id keeps its last *valid* row by input position."""
+    """One row per (series, id): its last valid row and its counters, from one pass.
+
+    Both the observations and the audit counters are read off this table. Rejected rows have
+    no rank, so they cannot win; an id that fills a third of the input is combined before
+    the shuffle.
+    """
     columns = ("observed_at", "water_level_m", "station_code", "station_name")
-    accepted = F.when(F.col("reject_reason").isNull(), position)
-    # Rejected rows have no rank and cannot win. Dropping them only after the aggregation
-    # keeps the parsing expressions from being evaluated a second time in a pushed filter.
+    accepted = F.col("reject_reason").isNull()
     return (
         classify_rows(raw, numeric_id=numeric_id)
-        .select(*keys, "source_record_id", F.struct(*columns).alias("_row"), accepted.alias("_at"))
         .groupBy(*keys, "source_record_id")
-        .agg(F.max_by("_row", "_at").alias("_row"))
-        .filter(F.col("_row").isNotNull())
-        .select(*keys, "source_record_id", "_row.*", F.lit(NORMAL_FLAG).alias("quality_flag"))
+        .agg(
+            F.max_by(F.struct(*columns), F.when(accepted, position)).alias("kept"),
+            F.count("*").alias("rows"),
+            F.count_if(accepted).alias("accepted_rows"),
+            *[
+                F.count_if(F.coalesce(F.col("reject_reason") == reason, F.lit(False))).alias(f"{reason}_rows")
+                for reason in ("invalid_timestamp", "invalid_level", "missing_level")
+            ],
+            F.count_if(date_only(F.col("time_d"))).alias("date_only_rows"),
+        )
+    )
+
+
+def audited_observations(audit: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The valid observations of an audit table."""
+    return audit.filter(F.col("kept").isNotNull()).select(
+        *keys, "source_record_id", "kept.*", F.lit(NORMAL_FLAG).alias("quality_flag")
+    )
+
+
+def audited_counts(audit: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Audit counters per series, including the conservation identity."""
+    summary = audit.groupBy(*keys).agg(
+        F.sum("rows").alias("total_rows"),
+        F.count_if(F.col("accepted_rows") > 0).alias("valid_rows"),
+        F.sum(F.greatest(F.col("accepted_rows") - 1, F.lit(0))).alias("duplicate_rows"),
+        F.sum("invalid_timestamp_rows").alias("invalid_timestamp_rows"),
+        F.sum("invalid_level_rows").alias("invalid_level_rows"),
+        F.sum("missing_level_rows").alias("missing_level_rows"),
+        F.sum("date_only_rows").alias("date_only_rows"),
+        F.min("kept.observed_at").alias("start_at"),
+        F.max("kept.observed_at").alias("end_at"),
     )
+    return with_conservation(summary)
+
+
+def normalise(
+    raw: DataFrame,
+    position: Column,
+    keys: Sequence[str] = KEYS,
+    *,
+    numeric_id: bool = False,
+) -> DataFrame:
+    """Valid observations; a repeated id keeps its last *valid* row by input position."""
+    return audited_observations(audit_ids(raw, position, keys, numeric_id=numeric_id), keys)
 
 
 def sorted_observations(obs: DataFrame) -> DataFrame:
@@ -129,35 +176,8 @@ def reject_counts(
     *,
     numeric_id: bool = False,
 ) -> DataFrame:
-    """Audit counters per series, including the conservation identity.
-
-    Two stacked aggregations: rows to (series, id), then to series. Both combine before the
-    shuffle; distinct ids are counted without a distinct-expansion.
-    """
-    rows = classify_rows(raw, numeric_id=numeric_id)
-    accepted = F.col("reject_reason").isNull()
-    per_id = rows.groupBy(*keys, "source_record_id").agg(
-        F.count("*").alias("_rows"),
-        F.count_if(accepted).alias("_ok"),
-        *[
-            F.count_if(F.col("reject_reason") == reason).alias(f"{reason}_rows")
-            for reason in ("invalid_timestamp", "invalid_level", "missing_level")
-        ],
-        F.count_if(date_only(F.col("time_d"))).alias("date_only_rows"),
-        F.max_by(F.when(accepted, F.col("observed_at")), F.when(accepted, position)).alias("_kept"),
-    )
-    summary = per_id.groupBy(*keys).agg(
-        F.sum("_rows").alias("total_rows"),
-        F.count_if(F.col("_ok") > 0).alias("valid_rows"),
-        F.sum(F.greatest(F.col("_ok") - 1, F.lit(0))).alias("duplicate_rows"),
-        F.sum("invalid_timestamp_rows").alias("invalid_timestamp_rows"),
-        F.sum("invalid_level_rows").alias("invalid_level_rows"),
-        F.sum("missing_level_rows").alias("missing_level_rows"),
-        F.sum("date_only_rows").alias("date_only_rows"),
-        F.min("_kept").alias("start_at"),
-        F.max("_kept").alias("end_at"),
-    )
-    return with_conservation(summary)
+    """Audit counters per series straight from raw records."""
+    return audited_counts(audit_ids(raw, position, keys, numeric_id=numeric_id), keys)
 
 
 def with_conservation(summary: DataFrame) -> DataFrame:

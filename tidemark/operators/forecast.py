@@ -137,16 +137,17 @@ def asof_join(
 ) -> DataFrame:
     """Each request with the latest observation of its series at or before its time.
 
-    Requests and observations are ordered together inside (keys, time block). A request
-    without an observation earlier in its block takes the last one of the blocks before,
-    from a table with one row per block. Times must be unique per series in ``obs``.
+    The distinct request times and the observations are ordered together inside (keys, time
+    block); a time without an observation earlier in its block takes the last one of the
+    blocks before, from a table with one row per block. The answers are then joined back to
+    the requests, so many requests for one moment do not pile up in one window group. Times
+    must be unique per series in ``obs``.
     """
-    found = F.struct(F.col(time), *[F.col(v) for v in values])
+    found = F.struct(F.col(time).alias("t"), *[F.col(v).alias(v) for v in values])
     right = obs.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_side"), found.alias("_seen"))
-    asked = F.struct(*requests.columns)
-    left = requests.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), asked.alias("_ask"))
+    moments = requests.select(*keys, F.col(at).alias("_t")).distinct().withColumn("_side", F.lit(1))
     rows = (
-        right.unionByName(left, allowMissingColumns=True)
+        right.unionByName(moments, allowMissingColumns=True)
         .withColumn(BLOCK, time_block(F.col("_t"), block_us))
         .repartition(partitions(obs.sparkSession), *keys, BLOCK)
     )
@@ -154,7 +155,7 @@ def asof_join(
     local = (
         rows.withColumn("_here", F.last("_seen", ignorenulls=True).over(window))
         .filter(F.col("_side") == 1)
-        .select(*keys, BLOCK, "_ask", "_here")
+        .select(*keys, BLOCK, "_t", "_here")
     )
     last = rows.groupBy(*keys, BLOCK).agg(
         F.max_by("_seen", F.when(F.col("_seen").isNotNull(), F.col("_t"))).alias("_last")
@@ -164,8 +165,9 @@ def asof_join(
         *keys, BLOCK, F.last("_last", ignorenulls=True).over(earlier).alias("_carried")
     )
     hit = F.coalesce("_here", "_carried")
-    return local.join(carried, [*keys, BLOCK]).select(
-        "_ask.*", hit[time].alias(time), *[hit[v].alias(v) for v in values]
+    answers = local.join(carried, [*keys, BLOCK]).select(*keys, F.col("_t").alias(at), hit.alias("_hit"))
+    return requests.join(answers, [*keys, at], "left").select(
+        *requests.columns, F.col("_hit.t").alias(time), *[F.col(f"_hit.{v}").alias(v) for v in values]
     )
 
 

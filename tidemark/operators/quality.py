@@ -404,12 +404,16 @@ def no_rows_expected(rows: DataFrame, what: str, limit: int = 10) -> None:
         raise ValueError(f"{what}: {[r.asDict() for r in found]}")
 
 
-def expected_grid(spark: SparkSession, **axes: Sequence[object]) -> DataFrame:
-    """All combinations of a few named axes, as one exploded row (a fixed, tiny table)."""
-    frame = spark.range(1).select()
+def with_axes(df: DataFrame, **axes: Sequence[object]) -> DataFrame:
+    """Every row of ``df`` for each combination of a few fixed axis values."""
     for name, values in axes.items():
-        frame = frame.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
-    return frame
+        df = df.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+    return df
+
+
+def expected_grid(spark: SparkSession, **axes: Sequence[object]) -> DataFrame:
+    """All combinations of a few named axes (a fixed, tiny table)."""
+    return with_axes(spark.range(1).select(), **axes)
 
 
 def offset_summary(rows: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:

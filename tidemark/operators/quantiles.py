@@ -8,18 +8,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _narrowed(counts: DataFrame, state: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """Shrink each rank's value interval to the one of ``bins`` equal parts that holds it.
+
+    The new interval is the range of the values really present in that part, so a far outlier
+    costs one round and no more.
+    """
+    width = F.col("_hi") - F.col("_lo")
+    slot = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(bins)), F.lit(bins - 1))
+    inside = counts.join(state, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    parts = (
+        inside.withColumn("_slot", F.when(width > 0, slot).otherwise(F.lit(0)))
+        .groupBy(*keys, "n", "quantile", "_rank", "_before", "_slot")
+        .agg(F.sum("_n").alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    )
+    # At most ``bins`` rows per rank.
+    order = Window.partitionBy(*keys, "quantile", "_rank").orderBy("_slot")
+    reached = parts.withColumn("_upto", F.col("_before") + F.sum("_in").over(order))
+    return (
+        reached.withColumn("_before", F.col("_upto") - F.col("_in"))
+        .filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_upto")))
+        .select(*keys, "n", "quantile", "_rank", "_before", "_lo", "_hi")
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
     quantiles: Sequence[float],
     keys: Sequence[str],
-    bins: int = 4096,
+    bins: int = 1024,
+    rounds: int = 2,
 ) -> DataFrame:
     """Linear-interpolated quantiles per key: columns keys, ``quantile``, ``value``, ``n``.
 
-    Values are first counted per distinct value. A histogram of ``bins`` equal widths per
-    key then tells which bin holds each wanted rank; only the values of those bins are
-    ordered. The result is exact for any bin count.
+    Values are first counted per distinct value. Histograms then narrow the value interval
+    of every wanted rank; only the distinct values left in that interval (about one in
+    ``bins ** rounds``) are ordered. The result is exact for any bin and round count.
     """
     if any(not 0.0 <= q <= 1.0 for q in quantiles):
         raise ValueError(f"quantiles must lie in [0, 1], got {tuple(quantiles)!r}")
@@ -32,16 +57,6 @@ def exact_quantiles(
     span = counts.groupBy(*keys).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("n")
     )
-    slot = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(bins))
-    binned = counts.join(span, keys).withColumn(
-        "_bin",
-        F.when(F.col("_hi") > F.col("_lo"), F.least(slot, F.lit(bins - 1))).otherwise(F.lit(0)),
-    )
-    cumulative = (
-        binned.groupBy(*keys, "_bin", "n")
-        .agg(F.sum("_n").alias("_in"))
-        .withColumn("_upto", F.sum("_in").over(Window.partitionBy(*keys).orderBy("_bin")))
-    )
     wanted = F.array(
         *[
             F.struct(F.lit(float(q)).alias("quantile"), edge.cast("long").alias("_rank"))
@@ -52,16 +67,16 @@ def exact_quantiles(
             )
         ]
     )
-    targets = (
-        cumulative.withColumn("_before", F.col("_upto") - F.col("_in"))
-        .select(*keys, "_bin", "_before", "_upto", F.inline(F.array_distinct(wanted)))
-        .filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_upto")))
-        .drop("_upto")
+    state = span.select(
+        *keys, "n", "_lo", "_hi", F.lit(0).cast("long").alias("_before"), F.inline(F.array_distinct(wanted))
     )
-    inside = Window.partitionBy(*keys, "_bin", "quantile", "_rank").orderBy("_v")
+    for _ in range(rounds):
+        state = _narrowed(counts, state, keys, bins)
+    order = Window.partitionBy(*keys, "quantile", "_rank").orderBy("_v")
     hits = (
-        binned.join(targets, [*keys, "_bin"])
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+        counts.join(state, keys)
+        .filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        .withColumn("_end", F.col("_before") + F.sum("_n").over(order))
         .filter((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n")))
     )
     place = F.col("quantile") * (F.col("n") - 1)

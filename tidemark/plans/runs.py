@@ -25,12 +25,13 @@ def baseline_audit(
     keys: Sequence[str] = KEYS,
 ) -> dict[str, DataFrame]:
     """Raw text to audit counters, grid, segments, persistence forecasts and their scores."""
-    obs = stored(clean.normalise(raw, position, keys), "observations")
+    audit = stored(clean.audit_ids(raw, position, keys), "audit")
+    obs = clean.audited_observations(audit, keys)
     levels = stored(grid.resample(obs, step, max_steps=max_steps, keys=keys), "grid")
     split = grid.require_splittable(grid.chronological_split(levels, train, validation), keys)
     forecasts = forecast.persistence_forecasts(split, horizons, step, keys)
     return {
-        "summary": quality.quality_summary(clean.reject_counts(raw, position, keys), obs, keys),
+        "summary": quality.quality_summary(clean.audited_counts(audit, keys), obs, keys),
         "observations": obs,
         "grid": levels,
         "forecasts": forecasts,
@@ -55,13 +56,14 @@ def grid_build(
     The unfilled grid is stored once; the delivered fill, the threshold sweep and the gap
     reports all read it.
     """
-    obs = stored(clean.normalise(raw, position, keys), "observations")
+    audit = stored(clean.audit_ids(raw, position, keys), "audit")
+    obs = clean.audited_observations(audit, keys)
     base = stored(grid.complete_grid(obs, step, keys), "unfilled")
     levels = stored(grid.fill_short_gaps(base, max_steps, keys), "grid")
     gaps = quality.missing_runs(levels, keys)
     split = grid.chronological_split(levels)
     return {
-        "summary": clean.reject_counts(raw, position, keys),
+        "summary": clean.audited_counts(audit, keys),
         "grid": levels,
         "sweep": grid.interpolation_sweep(base, candidates, horizons, keys),
         "gap_statistics": quality.gap_statistics(levels, keys),

@@ -233,9 +233,8 @@ SELECT t.series_key, total_rows, valid_rows, duplicate_rows, invalid_timestamp_r
 FROM tally t JOIN good USING (series_key) LEFT JOIN med USING (series_key)""",
 )
 def quality_audit(spark, sf):
-    raw = raw_records(spark, sf)
-    position = F.col("row_position")
-    return quality.quality_summary(clean.reject_counts(raw, position), clean.normalise(raw, position))
+    audit = stored(clean.audit_ids(raw_records(spark, sf), F.col("row_position")), "audit")
+    return quality.quality_summary(clean.audited_counts(audit), clean.audited_observations(audit))
 
 
 @query(
@@ -252,8 +251,8 @@ def dedup_last_any(spark, sf):
     "archive_inspection",
     f"""WITH {S.RAW}, per AS (SELECT id, count(*) AS n FROM typed GROUP BY 1),
 u AS (SELECT CAST(sum(n) AS BIGINT) AS total_rows, CAST(sum(CASE WHEN id IS NULL THEN n ELSE 1 END) AS BIGINT) AS unique_rows FROM per)
-SELECT series_key AS member, count(*) AS rows, any_value(total_rows) AS total_rows, any_value(unique_rows) AS unique_rows,
-  any_value(total_rows - unique_rows) AS duplicate_rows FROM typed, u GROUP BY 1""",
+SELECT series_key AS member, count(*) AS rows, CAST(NULL AS BIGINT) AS unique_rows, CAST(NULL AS BIGINT) AS duplicate_rows FROM typed GROUP BY 1
+UNION ALL SELECT NULL, total_rows, unique_rows, total_rows - unique_rows FROM u""",
 )
 def archive_inspection(spark, sf):
     rows = raw_records(spark, sf).withColumnRenamed("series_key", "member")
@@ -529,15 +528,20 @@ def areal_mean(spark, sf):
 
 @query(
     "rain_volume",
-    f"""WITH {S.RAIN_POINTS}, h AS (SELECT tt, avg(precipitation_mm) AS p, avg(rain_mm) AS r FROM points GROUP BY 1),
-m AS (SELECT count(*) AS hours, count(*) FILTER (p <> r) AS mean_diff_rows FROM h)
-SELECT count(DISTINCT point_id) AS files, count(DISTINCT point_id) AS points, count(*) AS rows, min(tt) AS first_at, max(tt) AS last_at,
-  count(*) FILTER (precipitation_mm <> rain_mm) AS raw_diff_rows, any_value(m.hours) AS hours, any_value(m.mean_diff_rows) AS mean_diff_rows
-FROM points, m""",
+    f"""WITH {S.RAIN_POINTS} SELECT count(DISTINCT point_id) AS files, count(DISTINCT point_id) AS points, count(*) AS rows, min(tt) AS first_at,
+  max(tt) AS last_at, count(*) FILTER (precipitation_mm <> rain_mm) AS raw_diff_rows FROM points""",
 )
 def rain_volume(spark, sf):
-    points = rain_points(spark, sf)
-    return rainfall.source_volume(points, F.col("point_id")).crossJoin(rainfall.mean_differences(points))
+    return rainfall.source_volume(rain_points(spark, sf), F.col("point_id"))
+
+
+@query(
+    "mean_differences",
+    f"""WITH {S.RAIN_POINTS}, h AS (SELECT tt, avg(precipitation_mm) AS p, avg(rain_mm) AS r FROM points GROUP BY 1)
+SELECT count(*) AS hours, count(*) FILTER (p <> r) AS mean_diff_rows FROM h""",
+)
+def mean_differences(spark, sf):
+    return rainfall.mean_differences(rain_points(spark, sf))
 
 
 @query(
@@ -782,8 +786,7 @@ WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.series_key = e.series_key AND s
 )
 def missing_cells(spark, sf):
     series = observations(spark, sf, "user_id").select("series_key").distinct()
-    axes = quality.expected_grid(spark, model=["persistence"], horizon=[1, 3, 6], segment=list(grid.SEGMENTS))
-    expected = series.crossJoin(F.broadcast(axes))
+    expected = quality.with_axes(series, model=["persistence"], horizon=[1, 3, 6], segment=list(grid.SEGMENTS))
     return metrics.missing_cells(expected, scored(spark, sf, "user_id"), ["series_key", "model", "horizon", "segment"])
 
 
