@@ -90,7 +90,8 @@ def shaped(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, 6)
+            # The offset takes exact halves off the rounding edge; adding zero drops a sign.
+            c = F.round(c.cast("double") + F.lit(1e-9), 6) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         out.append(c.alias(f.name))

@@ -17,6 +17,7 @@ from tidemark.sinks import digests
 from tidemark.sources import responses
 from workload import sqltext as S
 from workload.bindings import daily_observations, observations, prop, rain_points, raw_records, shaped, table
+from workload.result_types import DOUBLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,11 +29,17 @@ AS_OF = dt.datetime(2024, 1, 20, 6)
 AS_OF_SQL = "TIMESTAMP '2024-01-20 06:00:00'"
 
 
+def printed_alike(name: str, sql: str) -> str:
+    """The SQL with doubles rounded like ``shaped`` does."""
+    changes = [f"round({c} + 1e-9, 6) + 0.0 AS {c}" for c in DOUBLES.get(name, "").split()]
+    return f"SELECT * REPLACE ({', '.join(changes)}) FROM ({sql}) AS result" if changes else sql
+
+
 def query(name: str, sql: str | None = None):
     def add(build: Query) -> Query:
         QUERIES[name] = lambda spark, sf: shaped(build(spark, sf))
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = printed_alike(name, sql)
         return build
 
     return add
