@@ -103,6 +103,9 @@ def test_level_table_round_trip(spark, tmp_path):
     assert [(r.observed_at, r.water_level_m, r.is_imputed) for r in back] == [(START, 3.0, False), (START + HOUR, None, True)]
     text = spark.read.text(str(tmp_path / "g")).filter(F.col("value").contains("3.000000")).first().value
     assert text.startswith("a,2024-01-01T00:00:00Z,3.000000,false")
+    tables.write_table(grid.drop("quality_flag"), str(tmp_path / "p"))
+    with pytest.raises(ValueError, match="quality_flag"):
+        files.read_levels(spark, str(tmp_path / "p"), schemas.GRID, "parquet")
     tables.write_contract_csv(grid.withColumn("is_imputed", F.lit("maybe")), str(tmp_path / "h"))
     with pytest.raises(Exception, match="not a boolean"):
         files.read_levels(spark, str(tmp_path / "h"), schemas.GRID).collect()

@@ -126,7 +126,9 @@ def with_previous(
         F.min_by(whole, moment).alias("_first"), F.max_by(F.col("_value"), moment).alias("_last")
     )
     edges = summary.withColumn(out, F.lag("_last").over(_across(keys)))
-    first_rows = edges.select("_first.*", F.col(f"{out}.v").alias(out))
+    # Keys come from the grouping, so that a filter on them reaches both branches alike.
+    own = [F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in columns]
+    first_rows = edges.select(*own, F.col(f"{out}.v").alias(out))
     return local.select(*columns, F.col(f"{out}.v").alias(out)).unionByName(first_rows)
 
 

@@ -149,6 +149,8 @@ def asof_join(
     rows = (
         right.unionByName(moments, allowMissingColumns=True)
         .withColumn(BLOCK, time_block(F.col("_t"), block_us))
+        # Stated before the exchange: the joins below infer it on one side only.
+        .filter(F.col(BLOCK).isNotNull())
         .repartition(partitions(obs.sparkSession), *keys, BLOCK)
     )
     window = block_window(keys, "_t", "_side").rowsBetween(Window.unboundedPreceding, 0)

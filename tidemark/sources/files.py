@@ -98,13 +98,20 @@ def read_rain_points(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def read_levels(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_levels(spark: SparkSession, path: str, schema: str, kind: str | None = None) -> DataFrame:
     """A stored grid or feature table (CSV or Parquet) with times restored as instants.
 
-    Boolean text of a CSV round trip is coerced; a spelling outside the contract fails.
+    ``kind`` is ``csv`` or ``parquet``; by default the path's suffix decides. Boolean text of
+    a CSV round trip is coerced; a spelling outside the contract fails.
     """
-    if path.lower().rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(path)
+    stored_as = kind or ("parquet" if path.lower().rstrip("/").endswith(".parquet") else "csv")
+    if stored_as == "parquet":
+        names = [part.split()[0] for part in schema.split(", ")]
+        rows = spark.read.parquet(path)
+        missing = [n for n in names if n not in rows.columns]
+        if missing:
+            raise ValueError(f"{path} lacks column(s) {', '.join(missing)}")
+        return rows
     fields = [part.split() for part in schema.split(", ")]
     text = ", ".join(f"{name} {'string' if kind == 'boolean' else kind}" for name, kind in fields)
     rows = (

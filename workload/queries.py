@@ -23,9 +23,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-FOCUS = (dt.datetime(2024, 1, 26), dt.datetime(2024, 1, 29, 12))
+UTC = dt.timezone.utc
+FOCUS = (dt.datetime(2024, 1, 26, tzinfo=UTC), dt.datetime(2024, 1, 29, 12, tzinfo=UTC))
 FOCUS_SQL = "BETWEEN TIMESTAMP '2024-01-26 00:00:00' AND TIMESTAMP '2024-01-29 12:00:00'"
-AS_OF = dt.datetime(2024, 1, 20, 6)
+AS_OF = dt.datetime(2024, 1, 20, 6, tzinfo=UTC)
 AS_OF_SQL = "TIMESTAMP '2024-01-20 06:00:00'"
 
 
