@@ -710,13 +710,13 @@ scored AS (SELECT * EXCLUDE (imp) FROM fc WHERE observed IS NOT NULL AND predict
 both_models AS (SELECT * FROM scored UNION ALL {ANCHORED_SQL})"""
 
 
-@query(
-    "common_support_metrics",
-    f"""{BOTH_SQL}, shared AS (SELECT series_key, segment, horizon, target FROM both_models GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT model) = 2),
+COMMON_SQL = f"""{BOTH_SQL}, shared AS (SELECT series_key, segment, horizon, target FROM both_models GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT model) = 2),
 kept AS (SELECT b.* FROM both_models b SEMI JOIN shared s ON b.series_key = s.series_key AND b.segment = s.segment AND b.horizon = s.horizon AND b.target = s.target)
 SELECT series_key, model, CAST(horizon AS BIGINT) AS horizon, segment, sample_count, mae, rmse, nse
-FROM ({S.scores('kept', 'series_key, model, horizon, segment')}) x""",
-)
+FROM ({S.scores('kept', 'series_key, model, horizon, segment')}) x"""
+
+
+@query("common_support_metrics", COMMON_SQL)
 def common_support_metrics(spark, sf):
     m, fc = both_inputs(spark, sf)
     scores = metrics.common_support_metrics(both_models(m, fc), ["persistence", "anchor"])
@@ -1071,7 +1071,7 @@ SELECT mp.series_key, mp.tt AS observed_at, lv.lvl AS water_level_m, (epoch_us({
   CASE WHEN st = 'ok' AND (epoch_us({AS_OF_SQL}) - epoch_us(mp.tt)) / 6e7 > 180 THEN 'degraded' ELSE st END AS status, fallback_reason, threshold,
   {AS_OF_SQL} AS generated_at, concat_ws(',', CASE WHEN p1 >= threshold THEN '1' END, CASE WHEN p3 >= threshold THEN '3' END, CASE WHEN p6 >= threshold THEN '6' END) AS triggered,
   CASE WHEN p1 >= threshold THEN 'elevated' WHEN p3 >= threshold OR p6 >= threshold THEN 'watch' ELSE 'normal' END AS level,
-  (epoch_us({AS_OF_SQL}) - epoch_us(mp.tt)) / 3.6e9 AS data_age_hours, (epoch_us({AS_OF_SQL}) - epoch_us(mp.tt)) / 3.6e9 > 3 AS is_stale
+  round_even((epoch_us({AS_OF_SQL}) - epoch_us(mp.tt)) / 3.6e9, 6) AS data_age_hours, (epoch_us({AS_OF_SQL}) - epoch_us(mp.tt)) / 3.6e9 > 3 AS is_stale
 FROM mp JOIN lv USING (series_key) LEFT JOIN th USING (series_key)"""
 
 
@@ -1325,8 +1325,9 @@ def baseline_audit(spark, sf):
     return runs.baseline_audit(raw_records(spark, sf), F.col("row_position"))["metrics"]
 
 
-@query("error_analysis")
+@query("error_analysis", COMMON_SQL)
 def error_analysis(spark, sf):
     levels = stored(filled(spark, sf), "grid")
     m = stored(features.feature_matrix(levels, rain(spark, sf)), "features")
-    return runs.error_analysis(levels, m, anchored(m), ["anchor"], FOCUS)["common_support"]
+    result = runs.error_analysis(levels, m, anchored(m), ["anchor"], FOCUS)
+    return result["common_support"].select("series_key", "model", "horizon", "segment", "sample_count", "mae", "rmse", "nse")

@@ -57,5 +57,6 @@ DOUBLES = {
     "moment_matrices": "moment",
     "archive_rows": "precipitation_mm rain_mm",
     "json_safe_rows": "ratio nested",
+    "error_analysis": "mae rmse nse",
     "baseline_audit": "mae rmse r2 nse peak_absolute_error",
 }
