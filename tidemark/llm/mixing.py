@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import require, word_count
+from tidemark.plans.stage import stored
 
 #: Hex digits of the hash that name a bucket: 16 ** 4 buckets a source.
 BUCKET_DIGITS = 4
@@ -42,9 +43,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
     onward = Window.partitionBy(one).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy(one)
     poured = F.col("cap") * F.col("weight_on") + F.col("weight") * F.col("caps_before")
-    level = (F.col("total") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(everything)) / F.sum(
-        F.when(F.col("full"), 0).otherwise(F.col("weight"))
-    ).over(everything)
+    level = (F.col("total") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(everything)) / F.nullif(
+        F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(everything), F.lit(0)
+    )
     return (
         capped.withColumn("caps_before", F.coalesce(F.sum("cap").over(before), F.lit(0)))
         .withColumn("weight_on", F.sum("weight").over(onward))
@@ -73,7 +74,7 @@ def mix(
     ).withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS))
     # A null source must meet itself in joins.
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
-    sized = sized.withColumn("name", name)
+    sized = stored(sized.withColumn("name", name), "sizes")  # texts are read once
     targets = source_targets(sized, weights, max_epochs).withColumn("name", name).drop("source")
     buckets = (
         sized.groupBy("name", "bucket")

@@ -102,25 +102,20 @@ def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def _shrink(groups: DataFrame, mean: Column, level: str) -> DataFrame:
     """Adds ``{level}_mean`` and ``{level}_strength`` to groups that carry ``n, bad`` and the mean above them."""
     v = mean * (1 - mean)
-    spread = groups.agg(
-        (
-            (F.sum((F.col("bad") - F.col("n") * mean) ** 2) - F.sum(F.col("n") * v))
-            / F.sum(F.col("n") * (F.col("n") - 1) * v)
-        ).alias("rho")
-    ).select((1 / F.least(F.greatest(F.coalesce("rho", F.lit(0.01)), F.lit(0.01)), F.lit(0.99)) - 1).alias(f"{level}_strength"))
-    # One row by construction; the constant key keeps this an equi-join.
-    joined = groups.withColumn("_one", F.lit(1)).join(F.broadcast(spread.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    s = F.col(f"{level}_strength")
-    return joined.withColumn(f"{level}_mean", (s * mean + F.col("bad")) / (s + F.col("n")))
+    # One number; joining it as a row would be a nested loop.
+    rho = groups.agg(
+        (F.sum((F.col("bad") - F.col("n") * mean) ** 2) - F.sum(F.col("n") * v)) / F.nullif(F.sum(F.col("n") * (F.col("n") - 1) * v), F.lit(0.0))
+    ).first()[0]
+    s = F.lit(1 / min(max(0.01 if rho is None else rho, 0.01), 0.99) - 1)
+    return groups.withColumn(f"{level}_strength", s).withColumn(f"{level}_mean", (s * mean + F.col("bad")) / (s + F.col("n")))
 
 
 def reputations(pages: DataFrame, labels: DataFrame, z: float = 1.645) -> DataFrame:
     """``host, n, bad, bound``: the posterior lower bound of badness of each host with labelled pages."""
     hosts = stored(outcomes(pages, labels), "hosts")
-    one = F.lit(1).alias("_one")
-    total = hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("all_mean")).select("all_mean", one)
+    bad, n = hosts.agg(F.sum("bad"), F.sum("n")).first()
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = _shrink(suffixes.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one"), F.col("all_mean"), "suffix")
+    suffixes = _shrink(suffixes, F.lit(((bad or 0) + 1) / ((n or 0) + 2)), "suffix")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = _shrink(domains.join(suffixes.select("suffix", "suffix_mean"), "suffix"), F.col("suffix_mean"), "domain")
     final = _shrink(hosts.join(domains.select("domain", "domain_mean"), "domain"), F.col("domain_mean"), "host")
