@@ -17,13 +17,32 @@ def _bit(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << BITS)).cast("long")
 
 
-def possible(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be among the values of the one-column ``keys``."""
+def _mask(bit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+
+
+def flagged(df: DataFrame, column: str, keys: DataFrame, flag: str = "_possible") -> DataFrame:
+    """``df`` with a column that tells whether ``column`` may be among the one-column ``keys``."""
     name = keys.columns[0]
     bit = _bit(F.col(name))
-    words = keys.groupBy(F.shiftright(bit, 6).alias("_word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("_bits")
-    )
+    words = keys.groupBy(F.shiftright(bit, 6).alias("_word")).agg(F.bit_or(_mask(bit)).alias("_bits"))
     own = _bit(F.col(column))
-    held = F.col("_bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (own % 64).cast("int"))) != 0
-    return df.withColumn("_word", F.shiftright(own, 6)).join(F.broadcast(words), "_word").where(held).drop("_word", "_bits")
+    held = F.coalesce(F.col("_bits").bitwiseAND(_mask(own)) != 0, F.lit(False))
+    return (
+        df.withColumn("_word", F.shiftright(own, 6))
+        .join(F.broadcast(words), "_word", "left")
+        .withColumn(flag, held)
+        .drop("_word", "_bits")
+    )
+
+
+def possible(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among the values of the one-column ``keys``."""
+    return flagged(df, column, keys).where("_possible").drop("_possible")
+
+
+def without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is none of the keys; only rows that may be are shuffled."""
+    parted = flagged(df, column, keys)
+    unsure = parted.where("_possible").join(keys.select(F.col(keys.columns[0]).alias(column)), column, "left_anti")
+    return parted.where("NOT _possible").select(df.columns).unionByName(unsure.select(df.columns))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,3 +35,25 @@ def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}; there are {df.columns}")
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Bits of 64-bit numbers spread out."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def gram_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """A hash for every ``width`` consecutive words; none if there are fewer."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = len(h) - width + 1
+    if n <= 0:
+        return h[:0]
+    out = h[:n].copy()
+    for j in range(1, width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : n + j]
+    return mixed(out)
+
+
+by_value(__name__)

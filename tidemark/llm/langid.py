@@ -238,49 +238,68 @@ def _runs(labels: list[str], best: np.ndarray) -> list[dict]:
     ]
 
 
+class Judge:
+    """Languages and scores of arrays of texts; made once in each task."""
+
+    def __init__(self, model: Model):
+        self.model, self.decoder, self.letter = model, Decoder(model), re.compile(r"[^\W\d_]")
+
+    def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
+        """Language, score and the words' labels of each text. Texts are decoded longest first, many at once."""
+        texts = column.to_pylist()
+        lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        labels = [np.empty(0, np.int8)] * len(texts)
+        chunk: list[tuple[int, list[bytes]]] = []
+
+        def settle() -> None:
+            chunk.sort(key=lambda x: -len(x[1]))
+            means, best = self.decoder.decode([ws for _, ws in chunk])
+            for (i, _), mean, own in zip(chunk, means, best):
+                top = int(mean.argmax())
+                lang[i], score[i], labels[i] = self.model.labels[top], mean[top], own
+            chunk.clear()
+
+        held = 0
+        for i in sorted(range(len(texts)), key=lambda i: -len(texts[i] or "")) if self.model.labels else ():
+            text = texts[i]
+            if text is None or not self.letter.search(text):
+                continue
+            words = words_of(text)
+            if chunk and held + len(words) > CHUNK_WORDS:
+                settle()
+                held = 0
+            chunk.append((i, words))
+            held += len(words)
+        if chunk:
+            settle()
+        return lang, score, labels
+
+
 def _identify(model: Model, with_runs: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, letter = Decoder(model), re.compile(r"[^\W\d_]")
+        judge = Judge(model)
         run_kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
         for batch in batches:
-            texts = batch.column(1)
-            lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            runs: list = [[] for _ in range(len(texts))]
-            lengths = np.array([len(t.as_py() or "") for t in texts]) if len(texts) else np.empty(0, int)
-            todo = np.argsort(-lengths, kind="stable") if model.labels else []
-            chunk: list[tuple[int, list[bytes]]] = []
-
-            def settle() -> None:
-                chunk.sort(key=lambda x: -len(x[1]))
-                means, labels = decoder.decode([ws for _, ws in chunk])
-                for (i, _), mean, best in zip(chunk, means, labels):
-                    top = int(mean.argmax())
-                    lang[i], score[i] = model.labels[top], mean[top]
-                    if with_runs:
-                        runs[i] = _runs(model.labels, best)
-                chunk.clear()
-
-            held = 0
-            for i in todo:
-                text = texts[int(i)].as_py()
-                if text is None or not letter.search(text):
-                    continue
-                words = words_of(text)
-                if chunk and held + len(words) > CHUNK_WORDS:
-                    settle()
-                    held = 0
-                chunk.append((int(i), words))
-                held += len(words)
-            if chunk:
-                settle()
-            columns, names = [batch.column(0), pa.array(lang), pa.array(score)], ["key", "lang_pred", "score"]
+            lang, score, labels = judge.judge(batch.column(1))
+            columns, names = [batch.column(0), pa.array(lang, pa.string()), pa.array(score)], ["key", "lang_pred", "score"]
             if with_runs:
-                columns, names = columns + [pa.array(runs, run_kind)], names + ["runs"]
+                runs = [_runs(model.labels, best) if len(best) else [] for best in labels]
+                columns, names = [*columns, pa.array(runs, run_kind)], [*names, "runs"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
+def _accept(model: Model, place: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(model)
+        for batch in batches:
+            lang, score, _ = judge.judge(batch.column(place))
+            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score)], pa.bool_()))
+
+    return run
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Fit on the bounded sample of ``labelled``: the first documents of each language in hash order."""
     require(labelled, text, lang, key)
@@ -306,4 +325,10 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(_identify(model, with_runs), schema).withColumnRenamed("key", key)
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The documents with a language, told with at least this score."""
+    require(docs, text)
+    return docs.mapInArrow(_accept(model, docs.columns.index(text), least), docs.schema)
+
+
 by_value(__name__)

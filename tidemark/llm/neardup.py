@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bloom import possible
-from tidemark.llm.common import by_value, require
+from tidemark.llm.common import by_value, gram_hashes, mixed, require
 from tidemark.llm.graph import components
 from tidemark.plans.stage import stored
 
@@ -46,24 +46,10 @@ PART = 2000
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Bits of 64-bit numbers spread out."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
     words = (text or "").encode().translate(FOLD).split()
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    width = min(SHINGLE, len(h))
-    if not width:
-        return h
-    out = h[: len(h) - width + 1].copy()
-    for j in range(1, width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - width + 1 + j]
-    return np.unique(mixed(out))
+    return np.unique(gram_hashes(words, min(SHINGLE, len(words)))) if words else np.empty(0, np.uint64)
 
 
 def signature(shingles: np.ndarray, factors: np.ndarray) -> bytes:

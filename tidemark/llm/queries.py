@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, langid, mixing, neardup, secrets, urls
+from tidemark.llm import chat, decontaminate, extraction, fingerprints, langid, mixing, neardup, repeats, secrets, urls
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,21 @@ def op9(spark, sf):
 @query("op4_near_duplicates")
 def op4(spark, sf):
     return neardup.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op1_repeated_passages")
+def op1(spark, sf):
+    found = repeats.remove_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_fingerprints")
+def op5(spark, sf):
+    return fingerprints.digest(fingerprints.edited_halves(table(spark, sf, "documents")))
+
+
+@query("op10_main_text")
+def op10(spark, sf):
+    pages = table(spark, sf, "pages")
+    found = extraction.extract(pages, extraction.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
