@@ -62,7 +62,7 @@ def model(spark):
 
 
 def test_other_layouts(model):
-    features = dom.Features(model.tokens)
+    features = dom.Features(model.tokens, model.tags)
     assert extraction.extract_pages(model, features, [PAGE]) == [WANT]
     other = PAGE.replace('<div id="content" class="post">', "<main>").replace("</script>\n</div>", "</script>\n</main>")
     assert extraction.extract_pages(model, features, [other]) == [WANT]
@@ -73,7 +73,7 @@ def test_held_out_layouts(model):
     rng = np.random.default_rng(99)
     texts = [" ".join(f"{chr(97 + int(c))}ord{int(n)}" for c, n in rng.integers(0, 20, (40, 2))) + "." for _ in range(40)]
     dresser, right, total = extraction._Dresser(texts, rng), 0, 0
-    features = dom.Features(model.tokens)
+    features = dom.Features(model.tokens, model.tags)
     for _ in range(60):
         root = dresser.page([("h1", "Some title here")] + [("p", dresser.pick(texts)) for _ in range(rng.integers(2, 9))])
         nodes = extraction.seen(root)
@@ -102,7 +102,7 @@ def test_decoding_is_the_best_of_all_choices():
 
 
 def test_broken_pages(model, spark):
-    features = dom.Features(model.tokens)
+    features = dom.Features(model.tokens, model.tags)
     texts = extraction.extract_pages(model, features, [None, "", "   ", "<", "<p", "</div></p>", "<!-- x", "&am"])
     assert texts[:3] == ["", "", ""] and len(texts) == 8
     assert extraction.extract_pages(model, features, ["<div>" * 3000 + "x"])

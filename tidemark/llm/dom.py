@@ -145,12 +145,16 @@ def blocks(root: Node, kept) -> list[str]:
 
 
 class Features:
-    """Turns pages into rows of numbers; ``tokens`` are the attribute words it knows."""
+    """Turns pages into rows of numbers.
 
-    def __init__(self, tokens: list[str]):
-        self.tokens = {t: i for i, t in enumerate(tokens)}
+    ``tokens`` and ``tags`` give each attribute word and tag its learned lean to the article. A node
+    is told the least and greatest lean of its own words, and of words and tags above it.
+    """
+
+    def __init__(self, tokens: dict[str, float], tags: dict[str, float]):
+        self.tokens, self.leans = tokens, tags
         self.tags = {t: i for i, t in enumerate(TAGS)}
-        self.width = NUMBERS + 2 * (len(TAGS) + 1) + 2 * len(tokens)
+        self.width = NUMBERS + len(TAGS) + 1 + 6
 
     def of(self, nodes: list[Node]) -> np.ndarray:
         """A row for each node; ``nodes`` are parents first."""
@@ -178,6 +182,7 @@ class Features:
         for i in range(1, n):
             kids[up[i]].append(i)
         out = np.zeros((n, self.width), np.float32)
+        token_lean, tag_lean, above_token, above_tag = (np.zeros((n, 2)) for _ in range(4))
         before = 0.0
         for i, x in enumerate(nodes):
             group = kids[up[i]] if up[i] >= 0 else [i]
@@ -205,17 +210,15 @@ class Features:
             if up[i] >= 0:
                 seen[up[i]] += 1
             before += own[i]
-            # Tag and tokens of the node, then those of all above it.
-            own_at, above_at = NUMBERS, NUMBERS + len(TAGS) + 1
-            token_at, above_token_at = above_at + len(TAGS) + 1, above_at + len(TAGS) + 1 + len(self.tokens)
-            out[i, own_at + self.tags.get(x.tag, len(TAGS))] = 1
-            for t in x.tokens:
-                if t in self.tokens:
-                    out[i, token_at + self.tokens[t]] = 1
+            out[i, NUMBERS + self.tags.get(x.tag, len(TAGS))] = 1
+            own_leans = [self.tokens[t] for t in x.tokens if t in self.tokens]
+            token_lean[i] = (min(own_leans, default=0.0), max(own_leans, default=0.0))
+            tag_lean[i] = (min(self.leans.get(x.tag, 0.0), 0.0), max(self.leans.get(x.tag, 0.0), 0.0))
             if up[i] >= 0:
-                j = up[i]
-                out[i, above_at:token_at] = np.maximum(out[j, above_at:token_at], out[j, own_at:above_at])
-                out[i, above_token_at:] = np.maximum(out[j, above_token_at:], out[j, token_at:above_token_at])
+                for above, leans in ((above_token, token_lean), (above_tag, tag_lean)):
+                    above[i, 0] = min(above[up[i], 0], leans[up[i], 0])
+                    above[i, 1] = max(above[up[i], 1], leans[up[i], 1])
+        out[:, -6:] = np.hstack((token_lean, above_token, above_tag))
         return out
 
 

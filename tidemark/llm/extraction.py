@@ -18,7 +18,7 @@ built-in layouts alone teach. Equal pages get equal texts.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +34,9 @@ SAMPLE_PAGES = 120
 SAMPLE_CHARS = 100_000
 DRESSES = 3
 TOKENS = 120
+ROUNDS, DEPTH = 120, 5
+#: Added to the log-odds of being kept: losing a paragraph is worse than keeping a line too much.
+KEEP = 1.0
 #: Pages whose elements are judged together.
 PAGES_AT_ONCE = 64
 
@@ -60,7 +63,8 @@ WRAPPERS = ("div wrapper", "div page", "div container", "div", "div row", "div l
 
 @dataclass
 class Model:
-    tokens: list[str]
+    tokens: dict[str, float]
+    tags: dict[str, float]
     trees: boosting.Trees
 
 
@@ -199,6 +203,13 @@ def seen(root: dom.Node) -> list[dom.Node]:
     return out
 
 
+def _leans(said: Iterable[tuple[str, bool]]) -> dict[str, float]:
+    """Log-odds of being kept, for the ``TOKENS`` most frequent words."""
+    seen_in = Counter(said)
+    words = Counter({w: seen_in[w, True] + seen_in[w, False] for w, _ in seen_in}).most_common(TOKENS)
+    return {w: float(np.log((seen_in[w, True] + 0.5) / (seen_in[w, False] + 0.5))) for w, _ in words}
+
+
 def fit(pages: list[str], seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     roots = [dom.parse(p) for p in pages]
@@ -218,9 +229,10 @@ def fit(pages: list[str], seed: int = 11) -> Model:
     articles = articles or [plain] * 20
     dresser = _Dresser(texts, rng)
     taught = marked + [dresser.page(a) for a in articles for _ in range(DRESSES)]
-    counts = Counter(t for r in taught for n in seen(r) for t in n.tokens)
-    tokens = sorted(t for t, _ in counts.most_common(TOKENS))
-    features = dom.Features(tokens)
+    known = [n for r in taught for n in seen(r) if n.keep is not None]
+    tokens = _leans((t, n.keep) for n in known for t in n.tokens)
+    tags = _leans((n.tag, n.keep) for n in known)
+    features = dom.Features(tokens, tags)
     x, y = [], []
     for root in taught:
         nodes = seen(root)
@@ -228,7 +240,7 @@ def fit(pages: list[str], seed: int = 11) -> Model:
         known = [i for i, n in enumerate(nodes) if n.keep is not None]
         x.append(rows[known])
         y += [nodes[i].keep for i in known]
-    return Model(tokens, boosting.fit(np.concatenate(x), np.array(y, float)))
+    return Model(tokens, tags, boosting.fit(np.concatenate(x), np.array(y, float), rounds=ROUNDS, depth=DEPTH))
 
 
 def decode(nodes: list[dom.Node], keep: np.ndarray) -> set[int]:
@@ -256,7 +268,8 @@ def extract_pages(model: Model, features: dom.Features, pages: list[str | None])
     lists = [seen(r) for r in roots]
     if not lists:
         return []
-    scores = model.trees.probability(np.concatenate([features.of(nodes) for nodes in lists]))
+    margins = model.trees.margin(np.concatenate([features.of(nodes) for nodes in lists]))
+    scores = 1 / (1 + np.exp(-margins - KEEP))
     out, at = [], 0
     for root, nodes in zip(roots, lists):
         chosen = decode(nodes, scores[at : at + len(nodes)])
@@ -267,7 +280,7 @@ def extract_pages(model: Model, features: dom.Features, pages: list[str | None])
 
 def _extract(model: Model, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = dom.Features(model.tokens)
+        features = dom.Features(model.tokens, model.tags)
         for batch in batches:
             for first in range(0, batch.num_rows, PAGES_AT_ONCE):
                 part = batch.slice(first, PAGES_AT_ONCE)
