@@ -86,6 +86,11 @@ def printed(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lower(F.hex(x))), ",")
 
 
+def _part(number: Column, width: int) -> Column:
+    """Which of the parts of this width holds the whole number."""
+    return F.call_function("div", number - F.pmod(number, F.lit(width)), F.lit(width))
+
+
 def with_next(docs: DataFrame, key: str, columns: tuple[str, ...], make) -> DataFrame:
     """Adds ``next_<column>`` of the row that follows by ascending key; the first follows the last.
 
@@ -93,9 +98,9 @@ def with_next(docs: DataFrame, key: str, columns: tuple[str, ...], make) -> Data
     task holds more than a block; the last row of a block is given the first of the next, which
     is found among the blocks' first keys alone. Null keys come last; equal keys are ordered by the columns.
     """
-    home = F.coalesce(F.floor(F.col(key) / BLOCK).cast("long"), F.lit(2**62))
+    home = F.coalesce(_part(F.col(key), BLOCK), F.lit(2**62))
     placed = docs.withColumn("_block", home)
-    blocks = placed.groupBy("_block").agg(F.min(key).alias("_first")).withColumn("_group", F.floor(F.col("_block") / BLOCKS))
+    blocks = placed.groupBy("_block").agg(F.min(key).alias("_first")).withColumn("_group", _part(F.col("_block"), BLOCKS))
     heads = blocks.groupBy("_group").agg(F.min("_block").alias("_head"))
     order = Window.partitionBy(F.lit(1)).orderBy("_group")  # a row for each BLOCK * BLOCKS keys
     first = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -141,12 +146,7 @@ def edited_halves(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
 def digest(full: DataFrame, key: str = "doc_id", k: int = K) -> DataFrame:
     """The fingerprints as text, the edited text's digest, and the likenesses."""
     a, e, n = (F.col(c) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint"))
-    return full.select(
-        key,
-        "n_chars",
-        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        printed(a).alias("fingerprint"),
-        printed(e).alias("edited_fingerprint"),
-        resemblance(a, e, k).alias("near_edited"),
-        resemblance(a, n, k).alias("near_next"),
-    )
+    judged = full.withColumns(
+        {"edited_sha256": F.sha2(F.col("edited"), 256), "near_edited": resemblance(a, e, k), "near_next": resemblance(a, n, k)}
+    ).select(key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return judged.withColumns({"fingerprint": printed(a), "edited_fingerprint": printed(e)})
