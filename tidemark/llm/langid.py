@@ -304,9 +304,14 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     """Fit on the bounded sample of ``labelled``: the first documents of each language in hash order."""
     require(labelled, text, lang, key)
     first = Window.partitionBy("lang").orderBy("order", "key")
+    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).alias("lang"), F.col(key).alias("key"), F.xxhash64(F.lit("fit"), key).alias("order"), F.col(text).alias("text")
+    )
+    # The first in hash order lie below a share of the hashes; no text beyond it is sent.
+    share = usable.groupBy("lang").agg((4.0 * PER_LANGUAGE / F.count("*") * 2.0**63 - 2.0**62).alias("limit"))
     sample = (
-        labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.xxhash64(F.lit("fit"), key).alias("order"), F.col(text).alias("text"))
+        usable.join(share, "lang")
+        .where(F.shiftright("order", 1) < F.col("limit"))
         .withColumn("place", F.row_number().over(first))
         .where(F.col("place") <= PER_LANGUAGE)
         .select("lang", "place", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
