@@ -65,7 +65,9 @@ def test_edges_of_similarity_nulls_and_short_texts(documents):
 
 
 def test_parts_of_buckets_and_loosely_similar_groups(documents, monkeypatch):
-    monkeypatch.setattr(neardup, "PART", 7)
+    monkeypatch.setattr(neardup, "PART_ROWS", 7)
+    monkeypatch.setattr(neardup, "PART_SHINGLES", 900)
+    monkeypatch.setattr(neardup, "CELLS", 4000)
     rng = random.Random(5)
     shared = [f"w{rng.randrange(10**6)}" for _ in range(100)]
     texts = [" ".join(shared + [f"u{i}_{j}" for j in range(rng.choice((8, 12, 16, 25)))]) for i in range(80)]

@@ -8,13 +8,14 @@ symbol of a piece may be wrong gives keys of which they share one. At similarity
 pair passes the distance with probability 1 - 3e-5, and more often above. Candidates become links only
 when ``100 * intersection >= 85 * union`` holds for their full sets.
 
-No bucket is turned into all its pairs. Equal sets are one class from the start. Then, in order:
-each class is compared with the nearest of the first classes of its buckets; the others of these pairs that
-still join different components are compared; and what then still lies in a bucket with another component
-is paired only where signatures are near and components differ. A pair within one component
-needs no test, so no link between components is lost.
-
-Documents without words have no shingles and are alone; null documents ids are, too. Shorter ones
+Groups are never turned into all their pairs. Equal sets are one class from the start. Each
+bucket of equal keys gives a forest of its candidate pairs; the forests' components are families,
+and every candidate pair lies within one. The full sets of a family then meet, each sent
+once, and a family gives a forest of its links: a pair that is already joined needs no test, any
+other candidate pair is tested. Buckets and families too large for a task are cut
+into parts, and every two parts meet.
+
+Documents without words have no shingles and are alone; those without id are, too. Shorter ones
 than five words have one shingle. Rows that share a document id count as one node.
 """
 
@@ -40,8 +41,11 @@ DISTANCE = 16
 CHUNKS = DISTANCE // 2 + 1
 #: Least similarity of a link, in hundredths.
 SIMILAR = 85
-#: Rows of a bucket that are compared at once; larger buckets are cut into pairs of parts.
-PART = 2000
+#: Most rows of a part of a bucket or family, and shingles of a family's part.
+PART_ROWS = 1000
+PART_SHINGLES = 1_000_000
+#: Places of shared shingles in the sets that are held as bits at a time.
+CELLS = 1 << 25
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -84,12 +88,6 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
-
-
 def _chunks() -> list[np.ndarray]:
     return np.array_split(np.arange(SYMBOLS), CHUNKS)
 
@@ -112,66 +110,127 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(keys))], ["id", "key"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distance of two signatures, for pairs that are near."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for i in (2, 3))
-        far = (x != y).sum(axis=1)
-        kept = pa.array(np.flatnonzero(far <= DISTANCE))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(kept), batch.column(1).take(kept), pa.array(far.astype(np.int32)).take(kept)], ["a", "b", "far"]
-        )
-
-
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept = []
-        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = len(p) + len(q) - len(np.unique(np.concatenate((p, q))))
-            if 100 * both >= SIMILAR * (len(p) + len(q) - both):
-                kept.append(i)
-        rows = pa.array(kept, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "b"])
-
-
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs of different components within each (bucket, part, part), in sorted rows."""
-    for (_, low, high), group in groupby(_rows(batches), key=lambda r: r[:3]):
-        part, ids, comp, sig = zip(*(r[3:] for r in group))
-        part, ids, comp = map(np.array, (part, ids, comp))
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the near pairs in each (bucket, part, part); rows come sorted by these."""
+    out: list[tuple[int, int]] = []
+    for _, group in groupby(_rows(batches), key=lambda r: r[:3]):
+        ids, sig = zip(*(r[3:] for r in group))
         sig = np.frombuffer(b"".join(sig), np.uint16).reshape(-1, SYMBOLS)
-        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        found = []
-        for first in range(0, len(left), 64):
-            rows = left[first : first + 64]
-            far = (sig[rows, None, :] != sig[None, right, :]).sum(axis=2)
-            i, j = np.nonzero((far <= DISTANCE) & (comp[rows, None] != comp[None, right]))
-            a, b = ids[rows[i]], ids[right[j]]
-            found.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that hold for the full sets. The sets are shuffled only as far as some pair needs them."""
-    left = possible(sets, "id", pairs.select("a")).select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = possible(sets, "id", pairs.select("b")).select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(_similar, "a long, b long"), "links")
-
-
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    for end in ("a", "b"):
-        pairs = pairs.join(comps.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
-    return pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).drop("_a", "_b")
+        left = np.arange(len(ids))
+        while len(left):
+            todo, left = [int(left[0])], left[1:]
+            while todo and len(left):
+                i = todo.pop()
+                near = (sig[left] != sig[i]).sum(axis=1) <= DISTANCE
+                found = left[near].tolist()
+                out += [(ids[i], ids[j]) for j in found if ids[i] != ids[j]]
+                todo += found
+                left = left[~near]
+        if len(out) >= 10_000:
+            yield _pairs(out)
+            out = []
+    if out:
+        yield _pairs(out)
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Family, part and set of each text; signatures are made again rather than sent."""
+    factors = _factors()
+    for batch in batches:
+        sets = [shingle_set(t.as_py()) for t in batch.column(1)]
+        columns = [pa.array([signature(s, factors) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        keep = pa.array(np.flatnonzero([len(s) > 0 for s in sets]))
+        columns = [c.take(keep) for c in (batch.column(0), batch.column(2), batch.column(3), *columns)]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "family", "parts", "sig", "shingles"])
+
+
+def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``i`` and ``j``, by bits of the shingles that several sets hold."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    fresh = np.concatenate(([True], every[1:] != every[:-1]))
+    several = ~fresh | np.concatenate((~fresh[1:], [False]))
+    column = (np.cumsum(fresh & several) - 1)[several]
+    owner = owner[several]
+    out = np.zeros(len(i), np.int64)
+    width = int(column[-1]) + 1 if len(column) else 0
+    columns = 64 * max(1, min(-(-width // 64), CELLS // len(sets) // 64))
+    for first in range(0, width, columns):
+        low, high = np.searchsorted(column, [first, first + columns])
+        bits = np.zeros((len(sets), columns), np.uint8)
+        bits[owner[low:high], column[low:high] - first] = 1
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        for at in range(0, len(i), 2048):
+            part = slice(at, at + 2048)
+            out[part] += np.bitwise_count(packed[i[part]] & packed[j[part]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def links_among(ids: list[int], sigs: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links; candidate pairs not joined so far are tested, row by row."""
+    sizes = np.array([len(s) for s in sets])
+    label = np.arange(len(ids))
+    out = []
+    for first in range(0, len(ids), 64):
+        rows = np.arange(first, min(first + 64, len(ids)))
+        near = (sigs[rows, None, :] != sigs[None, :, :]).sum(axis=2) <= DISTANCE
+        if first == 0:
+            # The first row may join most others, which then need no more tests.
+            blocks = [rows[:1], rows[1:]]
+        else:
+            blocks = [rows]
+        for block in blocks:
+            i, j = np.nonzero(near[block - first] & (label[block, None] != label[None, :]))
+            i = i + (block[0] if len(block) else 0)
+            i, j = i[i != j], j[i != j]
+            if not len(i):
+                continue
+            used = np.unique(np.concatenate((i, j)))
+            both = shared_counts([sets[k] for k in used], np.searchsorted(used, i), np.searchsorted(used, j))
+            good = 100 * both >= SIMILAR * (sizes[i] + sizes[j] - both)
+            for a, b in zip(i[good].tolist(), j[good].tolist()):
+                if label[a] != label[b]:
+                    label[label == label[b]] = label[a]
+                    out.append((ids[a], ids[b]))
+    return out
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each (family, part, part); rows come sorted by these."""
+    out: list[tuple[int, int]] = []
+    for _, group in groupby(_rows(batches), key=lambda r: r[:3]):
+        ids, sigs, sets = zip(*(r[3:] for r in group))
+        sigs = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, SYMBOLS)
+        out += links_among(ids, sigs, [np.frombuffer(s, np.uint64) for s in sets])
+        if len(out) >= 10_000:
+            yield _pairs(out)
+            out = []
+    if out:
+        yield _pairs(out)
+
+
+def _meeting(rows: DataFrame, group: str, parts: str, columns: list[str]) -> DataFrame:
+    """Rows in tasks where every two parts of a group meet; ``parts`` counts the group's parts."""
+    last = F.col(parts).cast("int") - 1
+    part = F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
+    return (
+        rows.withColumn("part", part)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        .select(group, F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), *columns)
+        .repartition(group, "low", "high")
+        .sortWithinPartitions(group, "low", "high", "id")
+    )
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,51 +241,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = stored(
         sketch.where(F.col("set_hash").isNotNull() & F.col("id").isNotNull())
         .groupBy("set_hash")
-        .agg(F.min("id").alias("id"), F.first("sig").alias("sig")),
+        .agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n")),
         "classes",
     )
     keys = classes.select("id", "sig").mapInArrow(_keys, "id long, key long")
-    firsts = keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("many")).where("many > 1")
-    # Buckets of two and more; smaller by far than the keys.
-    buckets = stored(keys.join(firsts, "key"), "buckets")
-    sigs = classes.select("id", "sig")
-    stars = buckets.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    near = stored(
-        stars.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a")
-        .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(_near, "a long, b long, far int"),
-        "near",
-    )
-    sets = stored(possible(given, "id", buckets.select("id")).select("id", "text").mapInArrow(_sets, "id long, shingles binary"), "sets")
-
-    nearest = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = _confirm(nearest, sets)
-    comps = components(links)
-    more = _confirm(stored(_apart(near.select("a", "b").join(nearest, ["a", "b"], "left_anti"), comps), "pairs"), sets)
-    links = links.unionByName(more)
-    comps = stored(components(links), "components")
-
-    labelled = buckets.join(comps.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("comp"), "many"
-    )
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p != q").select("key")
-    parts = F.ceil(F.col("many") / PART).cast("int")
-    spread = (
-        labelled.join(open_keys, "key")
-        .join(sigs, "id")
-        .withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "comp", "sig")
-    )
-    rest = (
-        spread.repartition("key", "low", "high")
-        .sortWithinPartitions("key", "low", "high")
-        .mapInArrow(_across, "a long, b long")
-        .distinct()
-        .join(near.select("a", "b"), ["a", "b"], "left_anti")
+    many = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    # Keys that one class alone has lead to nobody, and most are such.
+    buckets = keys.join(many, "key").withColumn("parts", F.ceil(F.col("many") / PART_ROWS))
+    signed = buckets.join(classes.select("id", "sig"), "id")
+    forest = _meeting(signed, "key", "parts", ["id", "sig"]).mapInArrow(_forest, "a long, b long")
+    families = stored(components(forest), "families")
+
+    sizes = families.join(classes.select(F.col("id").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("held"), F.count("*").alias("many"))
+    parts = F.greatest(F.ceil(F.col("held") / PART_SHINGLES), F.ceil(F.col("many") / PART_ROWS)).alias("parts")
+    of_family = families.join(sizes.select("component", parts), "component").select(
+        F.col("node").alias("id"), F.col("component").alias("family"), "parts"
     )
-    links = links.unionByName(_confirm(stored(rest, "pairs"), sets))
+    texts = possible(given, "id", families.select("node")).join(of_family, "id").select("id", "text", "family", "parts")
+    sets = texts.mapInArrow(_with_sets, "id long, family long, parts long, sig binary, shingles binary")
+    links = _meeting(sets, "family", "parts", ["id", "sig", "shingles"]).mapInArrow(_links, "a long, b long")
     comps = components(links)
 
     of_set = classes.join(comps.withColumnRenamed("node", "id"), "id", "left").select(
