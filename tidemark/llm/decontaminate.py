@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import by_value, require
 
 SHARD_ITEMS = 4096
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
 CHUNK_WORDS = 300_000
 SHINGLE = 5
 
