@@ -19,9 +19,18 @@ TRUE_TEXT = ("true", "1", "1.0")
 FALSE_TEXT = ("false", "0", "0.0")
 
 
+# The white space of Unicode, for patterns.
+SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
+def trimmed(c: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(c.cast("string"), f"^{SPACE}+|{SPACE}+$", "")
+
+
 def optional_text(c: Column) -> Column:
     """Trimmed text, NULL when blank."""
-    return F.nullif(F.trim(c.cast("string")), F.lit(""))
+    return F.nullif(trimmed(c), F.lit(""))
 
 
 def record_id(c: Column, *, numeric_source: bool = False) -> Column:
@@ -29,7 +38,11 @@ def record_id(c: Column, *, numeric_source: bool = False) -> Column:
     text = optional_text(c)
     if not numeric_source:
         return text
-    plain = F.regexp_replace(text, r"^(-?\d+)\.0$", "$1")
+    # Large doubles are printed with an exponent.
+    printed = F.rlike(text, F.lit(r"^-?\d+(\.\d+)?[eE]\+?\d+$"))
+    whole = text.try_cast("double").try_cast("decimal(38,0)")
+    spelt = F.when(printed & (whole.cast("double") == text.try_cast("double")), whole.cast("string")).otherwise(text)
+    plain = F.regexp_replace(spelt, r"^(-?\d+)\.0$", "$1")
     return F.when(F.lower(plain) == "nan", F.lit(None).cast("string")).otherwise(plain)
 
 
@@ -39,6 +52,44 @@ def has_offset(text: Column) -> Column:
     return clock & F.rlike(text, F.lit(OFFSET_PATTERN))
 
 
+# Month names by number.
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+
+
+def iso_text(text: Column) -> Column:
+    """Accepted spellings of a time in the ISO form; NULL without a date.
+
+    Understood are slashes or nothing between the parts of a date, month first with slashes when the year comes last, names of
+    months, ISO weeks, clocks without colons, and offsets without minutes or colon.
+    """
+    named = r"(?i)^([a-z]{3})[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})(.*)$"
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.regexp_extract(text, named, 1)))
+    by_name = F.concat_ws("-", F.regexp_extract(text, named, 3), month.cast("string"), F.regexp_extract(text, named, 2))
+    week = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?((?:[T ].*)?)$"
+    fourth = F.try_to_date(F.concat(F.regexp_extract(text, week, 1), F.lit("-01-04")))
+    days = (F.regexp_extract(text, week, 2).try_cast("int") - 1) * 7 + F.coalesce(
+        F.regexp_extract(text, week, 3).try_cast("int"), F.lit(1)
+    ) - 1
+    by_week = F.date_add(F.date_sub(fourth, F.weekday(fourth)), days).cast("string")
+    spelt = (
+        F.when(F.rlike(text, F.lit(named)) & (month > 0), F.concat(by_name, F.regexp_extract(text, named, 4)))
+        .when(F.rlike(text, F.lit(week)), F.concat(by_week, F.regexp_extract(text, week, 4)))
+        .otherwise(text)
+    )
+    for pattern, form in (
+        (r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"),
+        (r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"),
+        (r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3"),
+        (r"([T ]\d{2})(\d{2})(\d{2})(?=$|[.,Z+-])", "$1:$2:$3"),
+        (r"([T ]\d{2})(\d{2})(?=$|[Z+-])", "$1:$2"),
+        (r"([T ][\d:.]+[+-]\d{2})$", "$1:00"),
+        (r"([T ][\d:.]+[+-]\d{2})(\d{2})$", "$1:$2"),
+        (r"([T ]\d{1,2}:\d{2})(?=[Z+-])", "$1:00"),
+    ):
+        spelt = F.regexp_replace(spelt, pattern, form)
+    return F.when(F.rlike(spelt, F.lit(r"^\d{4}-\d{1,2}-\d{1,2}")), spelt)
+
+
 def zone_changes(spark: SparkSession) -> bool:
     """False when the session zone has one offset for all time, so nothing can be ambiguous."""
     zone = session_zone(spark)
@@ -47,14 +98,14 @@ def zone_changes(spark: SparkSession) -> bool:
 
 
 def with_timestamp(df: DataFrame, source: str, out: str) -> DataFrame:
-    """Add the instant of a text: ISO first, a date alone means midnight, unusable is NULL.
+    """Add the instant of a text: its ISO form, a date alone means midnight, unusable is NULL.
 
     A naive wall time that a clock change of the session zone skips or repeats is refused,
     because no offset may be guessed. A skipped time comes back moved forward, so it differs
     from its zone-less parse; a repeated time is printed again by an instant shortly after.
     The steps are columns of their own, so each is evaluated once per row.
     """
-    stepped = df.withColumn("_text", optional_text(F.col(source))).withColumn(
+    stepped = df.withColumn("_text", iso_text(optional_text(F.col(source)))).withColumn(
         "_instant", F.try_to_timestamp("_text")
     )
     value = F.col("_instant")
@@ -92,11 +143,11 @@ def level_value(c: Column) -> Column:
 
 def boolean_text(c: Column) -> Column:
     """Boolean of its accepted spellings, NULL for anything else."""
-    text = F.lower(F.trim(c.cast("string")))
+    text = F.lower(trimmed(c))
     return F.when(text.isin(*TRUE_TEXT), F.lit(True)).when(text.isin(*FALSE_TEXT), F.lit(False))
 
 
 def date_only(c: Column) -> Column:
     """True for a non-blank stamp without a clock part."""
-    text = F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    text = trimmed(F.coalesce(c.cast("string"), F.lit("")))
     return (text != "") & ~F.contains(text, F.lit(" "))

@@ -39,7 +39,8 @@ def zone_shift(spark: SparkSession, step_us: int) -> int:
     """Microseconds that align step edges with the wall clock of the session time zone.
 
     Zones whose offset changes during the year have no fixed day grid, so they are
-    refused unless every offset is a whole number of steps.
+    refused unless every offset is a whole number of steps. Moments at which the zone had
+    another offset are found by ``aligned_index``.
     """
     zone = session_zone(spark)
     offsets = {
@@ -53,6 +54,22 @@ def zone_shift(spark: SparkSession, step_us: int) -> int:
     return shifts.pop()
 
 
+def aligned_index(spark: SparkSession, ts: Column, step_us: int, shift_us: int) -> Column:
+    """``step_index``, failing for a moment whose wall clock is not aligned with the grid."""
+    zone = session_zone(spark)
+    months = (datetime(year, month, 1, tzinfo=zone) for year in range(1900, 2101) for month in range(1, 13))
+    index = step_index(ts, step_us, shift_us)
+    if all(int(m.utcoffset().total_seconds() * 1_000_000) % step_us == shift_us for m in months):
+        return index
+    instant = ts.cast("timestamp")
+    minutes = F.date_format(instant, "xxx")
+    offset = (F.substring(minutes, 2, 2).cast("int") * 60 + F.substring(minutes, 5, 2).cast("int")) * F.when(
+        F.startswith(minutes, F.lit("-")), F.lit(-60_000_000).cast("long")
+    ).otherwise(F.lit(60_000_000).cast("long"))
+    moved = F.raise_error(F.concat(F.lit(f"{zone} has no grid of this step at "), ts.cast("string"))).cast("long")
+    return F.when(ts.isNull() | (F.pmod(offset, F.lit(step_us)) == shift_us), index).otherwise(moved)
+
+
 def step_index(ts: Column, step_us: int, shift_us: int = 0) -> Column:
     """Index of the left-closed step holding ``ts`` (floor, also before 1970)."""
     us = F.unix_micros(ts.cast("timestamp")) + F.lit(shift_us)

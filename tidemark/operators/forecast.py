@@ -104,6 +104,11 @@ def constant_forecasts(
     )
 
 
+def _ties(obs: DataFrame) -> list[str]:
+    """What decides between readings of one moment: the later row, the larger id, the higher level."""
+    return [c for c in ("row_position", "source_record_id", "water_level_m") if c in obs.columns]
+
+
 def latest_before(
     obs: DataFrame, as_of: object = None, keys: Sequence[str] = KEYS, n: int = 1
 ) -> DataFrame:
@@ -118,9 +123,9 @@ def latest_before(
     if n == 1:
         return seen.groupBy(*keys).agg(
             F.max("observed_at").alias("observed_at"),
-            F.max_by("water_level_m", "observed_at").alias("water_level_m"),
+            F.max_by("water_level_m", F.struct("observed_at", *_ties(seen))).alias("water_level_m"),
         )
-    order = Window.partitionBy(*keys).orderBy(F.col("observed_at").desc())
+    order = Window.partitionBy(*keys).orderBy(F.col("observed_at").desc(), *[F.col(c).desc() for c in _ties(seen)])
     ranked = seen.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n)
     return ranked.drop("_rank")
 

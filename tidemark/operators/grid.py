@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import finite
-from tidemark.functions.timeline import step_index, step_micros, step_start, zone_shift
+from tidemark.functions.timeline import aligned_index, step_micros, step_start, zone_shift
 from tidemark.operators.blocks import (
     CORE,
     DEFAULT_BLOCK_STEPS,
@@ -24,9 +24,6 @@ SEGMENTS = ("train", "validation", "test")
 IMPUTED_FLAG = "imputed"
 MIN_SPLIT_ROWS = 7
 
-# Frames up to this width are evaluated as bounded window frames, wider ones by a second sort.
-_BOUNDED_FRAME = 32
-
 
 def _payload(obs: DataFrame) -> tuple[Column, Column]:
     """The columns that travel with the winning row, and the order that picks it."""
@@ -50,7 +47,7 @@ def bucket_last(obs: DataFrame, step: str = "1h", keys: Sequence[str] = KEYS) ->
     shift = zone_shift(obs.sparkSession, width)
     seen, rank = _payload(obs)
     return (
-        obs.select(*keys, step_index(F.col("observed_at"), width, shift).alias("_step"),
+        obs.select(*keys, aligned_index(obs.sparkSession, F.col("observed_at"), width, shift).alias("_step"),
                    seen.alias("_seen"), rank.alias("_rank"))
         .groupBy(*keys, "_step")
         .agg(F.max_by("_seen", "_rank").alias("_seen"))
@@ -77,17 +74,14 @@ def margined_grid(
     width = step_micros(step)
     shift = zone_shift(obs.sparkSession, width)
     seen, rank = _payload(obs)
-    index = step_index(F.col("observed_at"), width, shift)
+    index = aligned_index(obs.sparkSession, F.col("observed_at"), width, shift)
     reduced = (
         obs.select(*keys, index.alias("_step"), seen.alias("_seen"), rank.alias("_rank"))
         .groupBy(*keys, "_step")
         .agg(F.max_by("_seen", "_rank").alias("_seen"))
     )
-    bounds = (
-        obs.select(*keys, index.alias("_step"))
-        .groupBy(*keys)
-        .agg(F.min("_step").alias("_lo"), F.max("_step").alias("_hi"))
-    )
+    # From the reduced rows, whose exchange is reused: the source is read once.
+    bounds = reduced.groupBy(*keys).agg(F.min("_step").alias("_lo"), F.max("_step").alias("_hi"))
     steps = spread_steps(bounds, keys, "_lo", "_hi", "_step", block_steps).select(
         *keys,
         "_step",
@@ -142,17 +136,11 @@ def nearest_levels(
 ) -> dict[str, Column]:
     """Nearest observed position and level on either side, as far as a fill needs them."""
     seen = F.when(F.col(level).isNotNull(), F.struct(F.col(position).alias("p"), F.col(level).alias("v")))
-    if max_steps <= _BOUNDED_FRAME:
-        window = block_window(keys, order)
-        left = F.last(seen, ignorenulls=True).over(window.rowsBetween(-max_steps, -1))
-        right = F.first(seen, ignorenulls=True).over(window.rowsBetween(1, max_steps))
-    else:
-        left = F.last(seen, ignorenulls=True).over(
-            block_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        right = F.last(seen, ignorenulls=True).over(
-            block_window(keys, F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
-        )
+    # Growing frames, so the cost of a row does not depend on ``max_steps``.
+    left = F.last(seen, ignorenulls=True).over(block_window(keys, order).rowsBetween(Window.unboundedPreceding, -1))
+    right = F.last(seen, ignorenulls=True).over(
+        block_window(keys, F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    )
     return {"_left": left, "_right": right}
 
 
@@ -295,7 +283,7 @@ def with_grid_position(
         return grid
     width = step_micros(step)
     shift = zone_shift(grid.sparkSession, width)
-    index = step_index(F.col("observed_at"), width, shift)
+    index = aligned_index(obs.sparkSession, F.col("observed_at"), width, shift)
     bounds = grid.select(*keys, index.alias("_step")).groupBy(*keys).agg(
         F.min("_step").alias("_lo"), F.max("_step").alias("_hi")
     )

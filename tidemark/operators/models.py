@@ -19,11 +19,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.tasks import by_value
 from tidemark.operators.blocks import KEYS
 from tidemark.operators.features import FEATURE_SETS, experiment_features
 from tidemark.operators.metrics import regression_metrics, seed_summary
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans.stage import stored
+from tidemark.schemas import require_columns
 
 # Penalties, seeds and tree settings of the experiments.
 ALPHAS = (0.1, 1.0, 10.0, 100.0)
@@ -42,9 +44,7 @@ def segment_samples(
     Missing features stay NULL inside ``x``; whether such rows are dropped or filled is the
     model's choice.
     """
-    missing = [c for c in (*columns, *[f"target_h{h}" for h in horizons]) if c not in features.columns]
-    if missing:
-        raise ValueError(f"features lack column(s) {', '.join(missing)}")
+    require_columns(features, [*columns, *[f"target_h{h}" for h in horizons]], "features")
     # ``x`` travels through the generator: a later filter on it then stays above the generator
     # instead of being rewritten over every feature expression.
     x = F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
@@ -182,8 +182,9 @@ def fit_ridge(
     matrix per row, never the samples.
     """
     penalties = [float(a) for a in alphas]
-    if not penalties or any(not np.isfinite(a) or a <= 0 for a in penalties):
-        raise ValueError(f"alphas must be positive finite numbers, got {tuple(alphas)!r}")
+    usable = [a for a in penalties if 0 < a < float("inf")]
+    if len(usable) < max(1, len(penalties)):
+        raise ValueError(f"every penalty has to be a finite number above zero: {penalties}")
     matrices = moment_matrices(samples, keys)
     kept = [f for f in matrices.schema.fields if f.name != "moments"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
@@ -265,9 +266,14 @@ def tree_rows(filled: DataFrame) -> DataFrame:
 
 
 def fit_trees(
-    rows: DataFrame, seed: int, rounds: int = 100, **settings: object
+    rows: DataFrame, seed: int, rounds: int = 2000, **settings: object
 ) -> GBTRegressionModel:
-    """Boosted trees on the train rows, stopped early on the validation rows when there are any."""
+    """Boosted trees on the train rows, stopped early on the validation rows when there are any.
+
+    ``rounds`` is the most that are tried. Boosting ends at the first round that lowers the
+    validation error by less than a thousandth, and the best round so far is the model. Missing
+    features come filled; ``segment_samples`` keeps their places.
+    """
     options = {**TREE_SETTINGS, **settings}
     booster = GBTRegressor(
         featuresCol="features", labelCol="y", predictionCol="prediction", seed=seed, maxIter=rounds,
@@ -292,7 +298,7 @@ def run_experiments(
     seeds: Sequence[int] = SEEDS,
     models: Sequence[str] = ("ridge", "trees"),
     alphas: Sequence[float] = ALPHAS,
-    rounds: int = 100,
+    rounds: int = 2000,
     parallel: int = 4,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
@@ -344,3 +350,6 @@ def experiment_scores(predictions: DataFrame, keys: Sequence[str] = KEYS) -> Dat
     cell = ["experiment", "model", "horizon", "segment"]
     per_seed = regression_metrics(predictions, [*cell, "seed"], keys)
     return seed_summary(per_seed, [*keys, *cell])
+
+
+by_value(__name__)

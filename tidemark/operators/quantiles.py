@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _spread(c: Column) -> Column:
+    """A rising function that gives every order of magnitude the same room.
+
+    Equal parts of its range part outliers and heavy tails from the bulk in one round.
+    """
+    c = c.cast("double")
+    return F.signum(c) * F.log1p(F.abs(c) * F.lit(float(2**20)))
+
+
 def _narrowed(counts: DataFrame, state: DataFrame, keys: list[str], bins: int) -> DataFrame:
     """Shrink each rank's value interval to the one of ``bins`` equal parts that holds it.
 
-    The new interval is the range of the values really present in that part, so a far outlier
-    costs one round and no more.
+    The new interval is the range of the values really present in that part. Where the
+    interval is too narrow for the function, it stays as it is.
     """
-    width = F.col("_hi") - F.col("_lo")
-    slot = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(bins)), F.lit(bins - 1))
+    v, low, high = (_spread(F.col(c)) for c in ("_v", "_lo", "_hi"))
+    width = high - low
+    slot = F.least(F.floor((v - low) / width * F.lit(bins)), F.lit(bins - 1))
     inside = counts.join(state, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     parts = (
         inside.withColumn("_slot", F.when(width > 0, slot).otherwise(F.lit(0)))
@@ -38,13 +48,14 @@ def exact_quantiles(
     quantiles: Sequence[float],
     keys: Sequence[str],
     bins: int = 1024,
-    rounds: int = 2,
+    rounds: int = 3,
 ) -> DataFrame:
     """Linear-interpolated quantiles per key: columns keys, ``quantile``, ``value``, ``n``.
 
     Values are first counted per distinct value. Histograms then narrow the value interval
-    of every wanted rank; only the distinct values left in that interval (about one in
-    ``bins ** rounds``) are ordered. The result is exact for any bin and round count.
+    of every wanted rank; only the distinct values left in that interval are ordered. The first
+    round separates magnitudes, each further one leaves about one value in ``bins``. The result is
+    exact for any bin and round count.
     """
     if any(not 0.0 <= q <= 1.0 for q in quantiles):
         raise ValueError(f"quantiles must lie in [0, 1], got {tuple(quantiles)!r}")

@@ -1,28 +1,24 @@
 """Stored stages: a table that several results read is computed once.
 
 The files go to the shared folder the cluster names in ``spark.checkpoint.dir``. A lost
-executor then costs the re-read of a file, not a recomputation from the raw data.
+executor then costs the re-read of a file, not a recomputation from the raw data. Writing is a
+job: a query that stores a stage runs that part while it is built.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_own_folder: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder; a local one is made only where the setting is absent (tests)."""
+    """The cluster's folder; where it names none, a folder below the warehouse, which is shared too."""
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    if named:
-        return named.rstrip("/")
-    if "path" not in _own_folder:
-        _own_folder["path"] = tempfile.mkdtemp(prefix="tidemark-")
-    return _own_folder["path"]
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages").rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -30,4 +26,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Delete every stage this process has stored; queries that read them must have ended."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        place.getFileSystem(conf).delete(place, True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The table contracts, as DDL text accepted by ``spark.read.schema``.
@@ -76,3 +78,10 @@ def point_rules() -> dict[str, Column]:
         "bad_longitude": ~F.coalesce(F.abs("longitude") <= 180.0, F.lit(False)),
         "bad_latitude": ~F.coalesce(F.abs("latitude") <= 90.0, F.lit(False)),
     }
+
+
+def require_columns(df: DataFrame, names: Sequence[str], what: str) -> None:
+    """The frame must hold every one of the columns."""
+    absent = sorted(set(names) - set(df.columns))
+    if absent:
+        raise ValueError(f"{what} lack column(s) {', '.join(absent)}")

@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import non_finite_to_null
 
 
+# How the JSON text spells what it could leave open.
+_JSON = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def canonical_rows(df: DataFrame) -> DataFrame:
-    """Each row as JSON text: sorted keys, non-finite numbers as null, nothing left out."""
+    """Each row as JSON text: sorted keys, non-finite numbers as null, times to the microsecond, nothing left out."""
     clean = non_finite_to_null(df)
     columns = [F.col(f"`{c}`") for c in sorted(clean.columns)]
-    return clean.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("row_json"))
+    return clean.select(F.to_json(F.struct(*columns), _JSON).alias("row_json"))
 
 
 def _combined(digest: Column) -> list[Column]:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.tasks import by_value
 from tidemark.operators.clean import RAW_KEYS, last_occurrence
 
 # The text encoding of the official shards and their header mapping.
@@ -95,3 +96,6 @@ def shard_position():
 def merged_shards(rows: DataFrame) -> DataFrame:
     """Shard rows with overlaps resolved per archive: the last occurrence of an id wins."""
     return last_occurrence(rows, shard_position(), ["_file"])
+
+
+by_value(__name__)

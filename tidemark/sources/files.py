@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, FloatType
 
 from tidemark.functions.text import boolean_text
 from tidemark.functions.timeline import HOUR_US, shift_steps
@@ -37,46 +38,50 @@ def input_position():
     return F.struct("_file", "_block_start", "_pos")
 
 
+def _as_text(c: Column, kind: DataType) -> Column:
+    """Text of a value; whole numbers kept as doubles are spelt without exponent or fraction."""
+    if not isinstance(kind, (DoubleType, FloatType)):
+        return c.cast("string")
+    whole = c.try_cast("decimal(38,0)")
+    return F.when(whole.cast("double") == c.cast("double"), whole.cast("string")).otherwise(c.cast("string"))
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Raw records by file suffix, every value as text, nothing cleaned."""
     lower = path.lower()
     suffix = next((s for s in RAW_SUFFIXES if lower.endswith(s)), None)
     if suffix is None:
-        raise ValueError(f"unsupported file type: {path}; expected one of {RAW_SUFFIXES}")
+        raise ValueError(f"no reader for {path}: its name should end in {' or '.join(RAW_SUFFIXES)}")
     if suffix == ".json":
         return read_json_records(spark, path)
     if suffix == ".csv":
         rows = spark.read.option("header", True).csv(path)
         return _with_origin(rows)
     rows = spark.read.parquet(path)
-    text = [F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns]
+    text = [_as_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema]
     return _with_origin(rows).select(*text, "_file", "_block_start", "_pos")
 
 
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of objects per file; anything else fails the read with the file name."""
-    whole = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("_file"), F.trim("value").alias("_json")
-    )
-    items = F.from_json("_json", "array<string>")
-    is_array = F.startswith(F.col("_json"), F.lit("[")) & items.isNotNull()
-    checked = F.when(is_array, items).otherwise(
-        F.raise_error(F.concat(F.lit("not a JSON array of records: "), F.col("_file")))
-    )
-    lines = whole.select("_file", F.posexplode(checked).alias("_pos", "_item"))
-    broken = F.raise_error(
-        F.concat(F.lit("record "), F.col("_pos").cast("string"), F.lit(" is not an object in "), F.col("_file"))
+    """A JSON array of objects per file, every key as text; anything else fails the read.
+
+    The reader streams the elements of an array. The first sign of each file is checked before.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.trim("value").alias("_line"), F.monotonically_increasing_id().alias("_at")
     )
-    fields = F.from_json("_item", "map<string,string>")
-    record = F.when(F.startswith(F.trim("_item"), F.lit("{")), fields).otherwise(broken)
-    parsed = lines.withColumn("_map", record)
+    begins = lines.where("_line <> ''").groupBy("_file").agg(F.min_by("_line", "_at").alias("_line"))
+    wrong = begins.where(~F.startswith("_line", F.lit("["))).select("_file").take(1)
+    if wrong:
+        raise ValueError(f"not a JSON array of records: {wrong[0]._file}")
+    reader = spark.read.option("multiLine", True).option("primitivesAsString", True)
+    rows = reader.option("columnNameOfCorruptRecord", "_broken").json(path)
     names = [part.split()[0] for part in RAW.split(", ")]
-    return parsed.select(
-        *[F.col("_map")[n].alias(n) for n in names],
-        "_file",
-        F.lit(0).cast("long").alias("_block_start"),
-        F.col("_pos").cast("long").alias("_pos"),
-    )
+    if "_broken" in rows.columns:
+        raise ValueError(f"a record is not an object in {path}")
+    kept = [F.col(f"`{f.name}`") if f.dataType.simpleString() == "string" else F.to_json(f"`{f.name}`").alias(f.name) for f in rows.schema]
+    absent = [F.lit(None).cast("string").alias(n) for n in names if n not in rows.columns]
+    return _with_origin(rows).select(*kept, *absent, "_file", "_block_start", "_pos")
 
 
 def read_rain_points(spark: SparkSession, directory: str) -> DataFrame:
@@ -147,12 +152,13 @@ def read_predictions(
 ) -> DataFrame:
     """Prediction files ``<experiment>/<model>_h<h>_<segment>.csv`` as long forecasts.
 
-    The expected set must be complete; missing files are listed. ``observed_at`` is the
+    The expected set must be complete; missing files are listed. A header in another order, or a
+    segment other than the file's, fails the read. ``observed_at`` is the
     anchor, so the target is the anchor plus the horizon.
     """
     rows = (
         spark.read.schema(PREDICTION_FILE).option("header", True).option("recursiveFileLookup", True)
-        .option("mode", "FAILFAST").csv(directory)
+        .option("mode", "FAILFAST").option("enforceSchema", False).csv(directory)
     )
     named = rows.withColumn("_path", F.col("_metadata.file_path"))
     part = lambda i: F.regexp_extract("_path", PREDICTION_PATH, i)
@@ -160,7 +166,9 @@ def read_predictions(
         F.lit(series_key).alias("series_key"),
         F.concat(part(2), F.lit("_"), part(1)).alias("model"),
         part(3).try_cast("int").alias("horizon"),
-        part(4).alias("segment"),
+        F.when(F.col("segment") == part(4), part(4))
+        .otherwise(F.raise_error(F.concat(F.lit("segment differs from the one named by the file: "), F.col("_path"))))
+        .alias("segment"),
         F.col("observed_at").try_cast("timestamp").alias("anchor"),
         "observed",
         "prediction",

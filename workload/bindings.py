@@ -47,10 +47,15 @@ def raw_records(spark: SparkSession, sf: str) -> DataFrame:
     return events.select(
         F.col("event_type").alias("series_key"),
         F.when(k < 3, F.lit("  "))
+        .when(k == 3, F.lit("\t\u3000"))
+        .when(k == 12, F.concat(F.lit("\t"), F.col("user_id").cast("string"), F.lit("-12\u3000")))
         .otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit("-"), k.cast("string")))
         .alias("z_id"),
         F.when(k == 7, F.lit("2024-01-01 25:00:00"))
         .when(k == 8, F.date_format(stamp, "yyyy-MM-dd"))
+        .when(k == 9, F.date_format(stamp, "yyyy/MM/dd HH:mm:ss"))
+        .when(k == 10, F.date_format(stamp, "yyyyMMdd HHmmss"))
+        .when(k == 11, F.concat(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"), F.lit("+00")))
         .otherwise(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"))
         .alias("time_d"),
         F.when(k == 20, F.lit(""))

@@ -67,6 +67,17 @@ def both_inputs(spark, sf, key="event_type", steps=2) -> tuple[DataFrame, DataFr
     return m, forecast.scored_rows(forecast.persistence_forecasts(grid.chronological_split(levels)))
 
 
+def labelled_levels(parts: DataFrame) -> DataFrame:
+    """Levels and segments of a split, named as in the matrix; thresholds and windows need no more."""
+    return parts.withColumnsRenamed({"water_level_m": "water_level_t", "is_imputed": "is_imputed_t"})
+
+
+def split_and_scored(spark, sf, key="event_type", steps=2) -> tuple[DataFrame, DataFrame]:
+    """Levels of the split and scored persistence of one grid, which is stored once."""
+    levels = grid.chronological_split(stored(filled(spark, sf, key, steps), "grid"))
+    return labelled_levels(levels), forecast.scored_rows(forecast.persistence_forecasts(levels))
+
+
 def rain(spark, sf) -> DataFrame:
     return rainfall.areal_mean(rain_points(spark, sf))
 
@@ -818,12 +829,12 @@ def imputation_profile(spark, sf):
 
 
 def thresholds(spark, sf, q=0.9) -> DataFrame:
-    return events.fit_thresholds(matrix(spark, sf), q)
+    return events.fit_thresholds(labelled_levels(split(spark, sf)), q)
 
 
 @query("high_level_thresholds", f"WITH {S.split(S.USER, 2)}, {S.thresholds(0.9)} SELECT * FROM th")
 def high_level_thresholds(spark, sf):
-    return events.fit_thresholds(matrix(spark, sf, "user_id"), 0.9)
+    return events.fit_thresholds(labelled_levels(split(spark, sf, "user_id")), 0.9)
 
 
 @query("threshold_sensitivity", f"WITH {S.split(S.TYPE, 2)}, {S.thresholds(0.8)} SELECT * FROM th")
@@ -871,14 +882,14 @@ cells AS (SELECT *, CASE WHEN observed_event_points > 0 AND predicted_event_poin
 
 @query("event_metrics", f"WITH {S.persistence(S.USER, 2)}, {METRIC_CTE} SELECT * FROM cells")
 def event_metrics(spark, sf):
-    m, fc = both_inputs(spark, sf, "user_id")
-    return events.event_metrics(fc, events.fit_thresholds(m))
+    levels, fc = split_and_scored(spark, sf, "user_id")
+    return events.event_metrics(fc, events.fit_thresholds(levels))
 
 
 @query("nested_metrics_flatten", f"WITH {S.persistence(S.TYPE, 2)}, {METRIC_CTE} SELECT * FROM cells")
 def nested_metrics_flatten(spark, sf):
-    m, fc = both_inputs(spark, sf)
-    cells = events.event_metrics(fc, events.fit_thresholds(m))
+    levels, fc = split_and_scored(spark, sf)
+    cells = events.event_metrics(fc, events.fit_thresholds(levels))
     inner = F.struct(*[c for c in cells.columns if c not in ("series_key", "model", "horizon", "segment")])
 
     def nest(df, keys, key, value):
@@ -922,8 +933,8 @@ SELECT series_key, model, CAST(horizon AS BIGINT) AS horizon, segment, event_sta
   ip AS first_prediction, CASE WHEN ia IS NULL THEN 'no_prediction_above_threshold' WHEN ia >= event_start THEN 'crossing_after_event_start' END AS reason FROM r""",
 )
 def warning_lead(spark, sf):
-    m, fc = both_inputs(spark, sf)
-    return events.warning_leads(fc, events.fit_thresholds(m))
+    levels, fc = split_and_scored(spark, sf)
+    return events.warning_leads(fc, events.fit_thresholds(levels))
 
 
 @query(
@@ -938,8 +949,8 @@ SELECT series_key, segment, event_start, event_end, event_points, model, CAST(ho
 FROM j GROUP BY 1, 2, 3, 4, 5, 6, 7""",
 )
 def event_errors(spark, sf):
-    m, fc = both_inputs(spark, sf, "event_type", 1)
-    return events.event_errors(fc, events.event_windows(m, events.fit_thresholds(m)))
+    levels, fc = split_and_scored(spark, sf, "event_type", 1)
+    return events.event_errors(fc, events.event_windows(levels, events.fit_thresholds(levels)))
 
 
 @query(
@@ -1057,10 +1068,7 @@ def forecast_fallback(spark, sf):
 
 
 def user_thresholds(spark, sf) -> DataFrame:
-    parts = split(spark, sf, "user_id").withColumnsRenamed(
-        {"water_level_m": "water_level_t", "is_imputed": "is_imputed_t"}
-    )
-    return events.fit_thresholds(parts, 0.9)
+    return events.fit_thresholds(labelled_levels(split(spark, sf, "user_id")), 0.9)
 
 
 RISK_SQL = f"""WITH {SERVED_CTE}, {S.split(S.USER, 2).replace(S.obs(S.USER) + ",", "")}, {S.thresholds(0.9)},
@@ -1215,14 +1223,14 @@ def ridge_metrics(spark, sf):
 @query("tree_metrics")
 def tree_metrics(spark, sf):
     predictions = models.run_experiments(
-        stored(matrix(spark, sf), "features"), experiments=["E1"], models=["trees"], seeds=[1], rounds=10
+        stored(matrix(spark, sf), "features"), models=["trees"]
     )
     return metrics.regression_metrics(predictions)
 
 
 @query("experiment_scores")
 def experiment_scores(spark, sf):
-    predictions = models.run_experiments(stored(matrix(spark, sf), "features"), models=["ridge"])
+    predictions = models.run_experiments(stored(matrix(spark, sf), "features"))
     out = models.experiment_scores(stored(predictions, "predictions"))
     return out.withColumn("sample_counts_by_seed", F.array_join(F.col("sample_counts_by_seed").cast("array<string>"), ","))
 
@@ -1280,22 +1288,22 @@ def paged_landing(spark, sf):
 
 @query(
     "canonical_rows",
-    """SELECT CAST(to_json({'event_id': event_id, 'event_type': event_type, 'props': props, 'user_id': user_id}) AS VARCHAR) AS row_json FROM events""",
+    """SELECT CAST(to_json({'event_id': event_id, 'event_type': event_type, 'props': props, 'ts': strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 'user_id': user_id, 'value': value}) AS VARCHAR) AS row_json FROM events""",
 )
 def canonical_rows(spark, sf):
-    return digests.canonical_rows(table(spark, sf, "events").select("user_id", "event_id", "props", "event_type"))
+    return digests.canonical_rows(table(spark, sf, "events"))
 
 
 @query(
     "dataset_digest",
-    """WITH j AS (SELECT sha256(CAST(to_json({'event_id': event_id, 'event_type': event_type, 'props': props, 'user_id': user_id}) AS VARCHAR)) AS d FROM events),
+    """WITH j AS (SELECT sha256(CAST(to_json({'event_id': event_id, 'event_type': event_type, 'props': props, 'ts': strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 'user_id': user_id, 'value': value}) AS VARCHAR)) AS d FROM events),
 q AS (SELECT count(*) AS rows, """
     + ", ".join(f"sum(CAST(('0x' || substr(d, {1 + 16 * i}, 16)) AS UBIGINT)::HUGEINT) AS q{i}" for i in range(4))
     + """ FROM j)
 SELECT rows, sha256(concat_ws(':', rows, q0, q1, q2, q3)) AS sha256 FROM q""",
 )
 def dataset_digest(spark, sf):
-    return digests.content_digest(table(spark, sf, "events").select("user_id", "event_id", "props", "event_type"))
+    return digests.content_digest(table(spark, sf, "events"))
 
 
 @query(

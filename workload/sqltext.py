@@ -123,12 +123,14 @@ def runs(source: str, flag: str, order: str, keys: str, extra: str = "") -> str:
 
 RAW = """raw0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 raw AS (SELECT event_type AS series_key,
-  CASE WHEN k < 3 THEN '  ' ELSE ' ' || user_id || '-' || k END AS z_id,
+  CASE WHEN k < 3 THEN '  ' WHEN k = 3 THEN chr(9) || chr(12288) WHEN k = 12 THEN chr(9) || user_id || '-12' || chr(12288) ELSE ' ' || user_id || '-' || k END AS z_id,
   CASE WHEN k = 7 THEN '2024-01-01 25:00:00' WHEN k = 8 THEN strftime(ts, '%Y-%m-%d')
+    WHEN k = 9 THEN strftime(ts, '%Y/%m/%d %H:%M:%S') WHEN k = 10 THEN strftime(ts, '%Y%m%d %H%M%S') WHEN k = 11 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || '+00'
     ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS time_d,
   CASE WHEN k = 20 THEN '' WHEN k = 21 THEN 'n/a' WHEN k = 22 THEN 'NaN' WHEN k = 23 THEN 'Infinity'
-    ELSE CAST(value AS VARCHAR) END AS up_water_level, event_id AS pos FROM raw0),
-typed AS (SELECT *, NULLIF(trim(z_id), '') AS id, TRY_CAST(time_d AS TIMESTAMP) AS tt,
+    ELSE CAST(value AS VARCHAR) END AS up_water_level, event_id AS pos, k, ts FROM raw0),
+typed AS (SELECT * EXCLUDE (k, ts), NULLIF(regexp_replace(z_id, '^[\\s\\x{3000}]+|[\\s\\x{3000}]+$', '', 'g'), '') AS id,
+  CASE WHEN k IN (9, 10, 11) THEN date_trunc('second', ts) ELSE TRY_CAST(time_d AS TIMESTAMP) END AS tt,
   TRY_CAST(NULLIF(trim(up_water_level), '') AS DOUBLE) AS num FROM raw),
 judged AS (SELECT *, CASE WHEN id IS NULL OR tt IS NULL THEN 'invalid_timestamp'
   WHEN trim(up_water_level) = '' OR isnan(num) THEN 'missing_level'
