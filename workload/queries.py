@@ -1197,7 +1197,39 @@ def moment_matrices(spark, sf):
     return cells.select("series_key", "horizon", F.posexplode("moments").alias("cell", "moment"))
 
 
-@query("ridge_fit")
+# Ridge from the moment matrix of (1, x, y), solved by elimination. Cell (i, j) of the 11 by 11
+# matrix is f[i * 11 + j + 1]; the system of a penalty is 9 rows of 10 numbers.
+RIDGE_CTE = f"""{samples_sql(E1).replace("WITH ", "", 1)},
+rr AS (SELECT series_key, horizon, list_concat([1.0::DOUBLE], x, [y]) AS r FROM samples WHERE segment = 'train' AND list_count(x) = 9),
+ro AS (SELECT series_key, horizon, r, unnest(r) AS a, unnest(range(11)) AS i FROM rr),
+rp AS (SELECT series_key, horizon, a, i, unnest(r) AS b, unnest(range(11)) AS j FROM ro),
+rm AS (SELECT series_key, horizon, i, j, sum(a * b) AS v FROM rp GROUP BY 1, 2, 3, 4),
+rf AS (SELECT series_key, horizon, list(v ORDER BY i, j) AS f FROM rm GROUP BY 1, 2),
+rs AS (SELECT *, f[1] AS n, f[11] / f[1] AS y_mean, list_transform(range(1, 10), lambda i: f[i + 1] / f[1]) AS mean FROM rf),
+rv AS (SELECT *, list_transform(range(1, 10), lambda i: f[i * 12 + 1] / n - mean[i] * mean[i]) AS var FROM rs),
+rt AS (SELECT *, list_transform(range(1, 10), lambda i: var[i] <= 1e-12 * greatest(f[i * 12 + 1] / n, 1e-300)) AS flat FROM rv),
+ru AS (SELECT *, list_transform(range(1, 10), lambda i: CASE WHEN flat[i] THEN 1.0 ELSE sqrt(var[i]) END) AS scale FROM rt),
+ra AS (SELECT *, unnest([0.1, 1.0, 10.0, 100.0])::DOUBLE AS alpha FROM ru),
+r0 AS (SELECT series_key, horizon, alpha, n, y_mean, mean, scale, list_transform(range(1, 10), lambda i: list_concat(
+  list_transform(range(1, 10), lambda j: (CASE WHEN flat[i] OR flat[j] THEN 0.0 ELSE (f[i * 11 + j + 1] / n - mean[i] * mean[j]) / (scale[i] * scale[j]) * n END)
+    + (CASE WHEN i = j THEN alpha ELSE 0.0 END)),
+  [CASE WHEN flat[i] THEN 0.0 ELSE (f[i * 11 + 11] / n - mean[i] * y_mean) / scale[i] * n END])) AS m FROM ra),
+re AS (SELECT *, 1 AS k FROM r0 UNION ALL
+  SELECT series_key, horizon, alpha, n, y_mean, mean, scale, list_transform(range(1, 10), lambda i: list_transform(range(1, 11),
+    lambda j: CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] / m[k][k] * m[k][j] END)), k + 1 FROM re WHERE k <= 9),
+fit AS (SELECT series_key, horizon, alpha, CAST(n AS BIGINT) AS fit_rows, y_mean AS intercept, list_transform(range(1, 10), lambda i: m[i][10]) AS w,
+  list_transform(range(1, 10), lambda i: m[i][10] / scale[i]) AS slopes, mean FROM re WHERE k = 10),
+off AS (SELECT *, intercept - list_sum(list_transform(range(1, 10), lambda i: slopes[i] * mean[i])) AS shift FROM fit),
+val AS (SELECT s.series_key, s.horizon, o.alpha, avg(abs(shift + list_sum(list_transform(range(1, 10), lambda i: slopes[i] * x[i])) - y)) AS validation_mae
+  FROM samples s JOIN off o ON s.series_key = o.series_key AND s.horizon = o.horizon WHERE segment = 'validation' AND list_count(x) = 9 GROUP BY 1, 2, 3),
+best AS (SELECT o.*, v.validation_mae FROM off o LEFT JOIN val v ON o.series_key = v.series_key AND o.horizon = v.horizon AND o.alpha = v.alpha
+  QUALIFY row_number() OVER (PARTITION BY o.series_key, o.horizon ORDER BY v.validation_mae NULLS LAST, o.alpha) = 1)"""
+
+
+@query(
+    "ridge_fit",
+    f"WITH RECURSIVE {RIDGE_CTE} SELECT series_key, horizon, alpha, fit_rows, intercept, unnest(range(9)) AS feature, unnest(w) AS weight FROM off",
+)
 def ridge_fit(spark, sf):
     fitted = models.fit_ridge(samples(spark, sf, E1))
     return fitted.select("series_key", "horizon", "alpha", "fit_rows", "intercept", F.posexplode("coefficients").alias("feature", "weight"))
@@ -1208,12 +1240,17 @@ def best_ridge(spark, sf):
     return rows, models.select_alpha(rows, models.fit_ridge(rows))
 
 
-@query("ridge_select")
+@query("ridge_select", f"WITH RECURSIVE {RIDGE_CTE} SELECT series_key, horizon, alpha, fit_rows, validation_mae FROM best")
 def ridge_select(spark, sf):
     return best_ridge(spark, sf)[1].select("series_key", "horizon", "alpha", "fit_rows", "validation_mae")
 
 
-@query("ridge_metrics")
+@query(
+    "ridge_metrics",
+    f"""WITH RECURSIVE {RIDGE_CTE}, told AS (SELECT s.series_key, 'ridge' AS model, s.horizon, s.segment, s.y AS observed, FALSE AS imp,
+  CASE WHEN list_count(x) = 9 THEN shift + list_sum(list_transform(range(1, 10), lambda i: slopes[i] * x[i])) END AS prediction
+  FROM samples s JOIN best b ON s.series_key = b.series_key AND s.horizon = b.horizon) {SCORE_SQL.format(source='told')}""",
+)
 def ridge_metrics(spark, sf):
     rows, best = best_ridge(spark, sf)
     scores = models.ridge_predictions(rows, best).withColumn("model", F.lit("ridge"))

@@ -55,6 +55,9 @@ DOUBLES = {
     "train_medians": "median",
     "filled_samples": "rows total",
     "moment_matrices": "moment",
+    "ridge_fit": "alpha intercept weight",
+    "ridge_select": "alpha validation_mae",
+    "ridge_metrics": "mae rmse r2 nse peak_absolute_error",
     "archive_rows": "precipitation_mm rain_mm",
     "json_safe_rows": "ratio nested",
     "error_analysis": "mae rmse nse",
