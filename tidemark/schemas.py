@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import optional_text
+
 # The table contracts, as DDL text accepted by ``spark.read.schema``.
 RAW = (
     "z_id string, time_d string, up_water_level string, station_code string, station_name string"
@@ -52,7 +54,7 @@ def observation_rules() -> dict[str, Column]:
     """A rule is true for a row that breaks the contract."""
     level = F.col("water_level_m")
     return {
-        "blank_id": F.coalesce(F.trim("source_record_id"), F.lit("")) == "",
+        "blank_id": optional_text(F.col("source_record_id")).isNull(),
         "missing_time": F.col("observed_at").isNull(),
         "non_finite_level": level.isNull() | F.isnan(level) | (F.abs(level) == float("inf")),
         "unknown_flag": ~F.coalesce(F.col("quality_flag"), F.lit("")).isin(*QUALITY_FLAGS),
@@ -74,7 +76,7 @@ def summary_rules() -> dict[str, Column]:
 def point_rules() -> dict[str, Column]:
     """Grid-point attributes: non-empty id and finite coordinates on the globe."""
     return {
-        "blank_point": F.coalesce(F.trim("point_id"), F.lit("")) == "",
+        "blank_point": optional_text(F.col("point_id")).isNull(),
         "bad_longitude": ~F.coalesce(F.abs("longitude") <= 180.0, F.lit(False)),
         "bad_latitude": ~F.coalesce(F.abs("latitude") <= 90.0, F.lit(False)),
     }

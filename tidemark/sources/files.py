@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from tidemark.functions.text import boolean_text
 from tidemark.functions.timeline import HOUR_US, shift_steps
@@ -79,7 +79,11 @@ def read_json_records(spark: SparkSession, path: str) -> DataFrame:
     names = [part.split()[0] for part in RAW.split(", ")]
     if "_broken" in rows.columns:
         raise ValueError(f"a record is not an object in {path}")
-    kept = [F.col(f"`{f.name}`") if f.dataType.simpleString() == "string" else F.to_json(f"`{f.name}`").alias(f.name) for f in rows.schema]
+    nested = (ArrayType, MapType, StructType)
+    kept = [
+        F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`").cast("string").alias(f.name)
+        for f in rows.schema
+    ]
     absent = [F.lit(None).cast("string").alias(n) for n in names if n not in rows.columns]
     return _with_origin(rows).select(*kept, *absent, "_file", "_block_start", "_pos")
 

@@ -340,14 +340,23 @@ def uniform_offset(spark, sf):
 
 @query(
     "contract_checks",
-    """SELECT event_type AS series_key, count(*) AS checked_rows, count(*) FILTER (event_id IS NULL) AS blank_id,
-  count(*) FILTER (ts IS NULL) AS missing_time, count(*) FILTER (value IS NULL) AS non_finite_level,
-  CAST(0 AS BIGINT) AS unknown_flag FROM events GROUP BY 1""",
+    """WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT event_type AS series_key, count(*) AS checked_rows, count(*) FILTER (k < 3) AS blank_id,
+  count(*) FILTER (k = 7) AS missing_time, count(*) FILTER (value IS NULL OR k IN (20, 22, 23)) AS non_finite_level,
+  count(*) FILTER (k IN (30, 31)) AS unknown_flag FROM e GROUP BY 1""",
 )
 def contract_checks(spark, sf):
     from tidemark.schemas import observation_rules
 
-    return quality.check_rows(observations(spark, sf), observation_rules(), ["series_key"])
+    k = F.col("k")
+    flawed = table(spark, sf, "events").withColumn("k", prop()).select(
+        F.col("event_type").alias("series_key"),
+        F.when(k < 3, F.lit(" \t")).otherwise(F.col("event_id").cast("string")).alias("source_record_id"),
+        F.when(k != 7, F.col("ts").cast("timestamp")).alias("observed_at"),
+        F.when(k == 22, F.lit(float("nan"))).when(k == 23, F.lit(float("inf"))).when(k != 20, F.col("value")).alias("water_level_m"),
+        F.when(k == 30, F.lit("odd")).when(k != 31, F.lit("normal")).alias("quality_flag"),
+    )
+    return quality.check_rows(flawed, observation_rules(), ["series_key"])
 
 
 @query(

@@ -55,6 +55,12 @@ DOUBLES = {
     "train_medians": "median",
     "filled_samples": "rows total",
     "moment_matrices": "moment",
+    "contract_csv_round_trip": "water_level_m",
+    "grid_table_round_trip": "water_level_m",
+    "rain_files_round_trip": "precipitation_mm rain_mm",
+    "results_round_trip": "ratio",
+    "one_series": "water_level_m",
+    "serving_run": "p1 p3 p6",
     "ridge_fit": "alpha intercept weight",
     "ridge_select": "alpha validation_mae",
     "ridge_metrics": "mae rmse r2 nse peak_absolute_error",
