@@ -531,8 +531,11 @@ y AS (SELECT point_id, unnest(generate_series(1994, 2002)) AS y FROM p),
 plan AS (SELECT point_id, greatest(make_date(y, 1, 1), DATE '1994-06-01') AS start_date, least(make_date(y, 12, 31), DATE '2002-03-31') AS end_date FROM y),
 l AS (SELECT o_orderpriority AS point_id, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1, 2),
 j AS (SELECT plan.*, n, (date_diff('day', start_date, end_date) + 1) * 24 AS e FROM plan LEFT JOIN l ON plan.point_id = l.point_id AND year(start_date) = l.y)
-SELECT point_id, start_date, end_date, n AS rows, n AS receipt_rows, CAST(e AS BIGINT) AS expected_hours,
-  CASE WHEN n IS NULL THEN 'missing' WHEN n <= 0 THEN 'empty' WHEN n <> e THEN 'incomplete' ELSE 'complete' END AS state FROM j""",
+SELECT point_id, start_date, end_date, rows, receipt_rows, CAST(e AS BIGINT) AS expected_hours,
+  CASE WHEN rows IS NULL THEN 'missing' WHEN rows <= 0 THEN 'empty' WHEN rows <> e THEN 'incomplete'
+    WHEN receipt_rows <> rows THEN 'stale_receipt' ELSE 'complete' END AS state
+FROM (SELECT *, CASE WHEN n IS NULL THEN NULL WHEN point_id LIKE '1%' THEN e WHEN point_id LIKE '2%' THEN 0 ELSE n END AS rows,
+  CASE WHEN n IS NULL OR year(start_date) = 1996 THEN NULL WHEN point_id LIKE '1%' AND year(start_date) % 2 = 1 THEN e ELSE n END AS receipt_rows FROM j) z""",
 )
 def chunk_state(spark, sf):
     orders = table(spark, sf, "orders")
@@ -540,8 +543,14 @@ def chunk_state(spark, sf):
     planned = quality.year_chunks(points, dt.date(1994, 6, 1), dt.date(2002, 3, 31))
     year = F.year("o_orderdate")
     loaded = orders.groupBy(F.col("o_orderpriority").alias("point_id"), year.alias("y")).agg(F.count("*").alias("rows"))
+    # One priority is loaded in full and one came empty; receipts of even years are older, one year has none.
+    full, n = F.startswith("point_id", F.lit("1")), F.col("rows")
+    hours = ((F.date_diff("end_date", "start_date") + 1) * 24).cast("long")
+    receipt = F.when(F.col("y") != 1996, F.when(full & (F.col("y") % 2 == 1), hours).otherwise(n))
     dated = planned.withColumn("y", F.year("start_date")).join(loaded, ["point_id", "y"]).select(
-        "point_id", "start_date", "end_date", "rows", F.col("rows").alias("receipt_rows")
+        "point_id", "start_date", "end_date",
+        F.when(full, hours).when(F.startswith("point_id", F.lit("2")), 0).otherwise(n).alias("rows"),
+        receipt.alias("receipt_rows"),
     )
     return quality.chunk_state(planned, dated)
 
