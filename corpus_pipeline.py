@@ -44,7 +44,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix with ``copies``, the times each is repeated."""
     copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return docs.drop("copies").join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
 STAGES: list[tuple[str, Stage]] = [
