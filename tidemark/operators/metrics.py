@@ -114,16 +114,26 @@ def common_support_metrics(
 ) -> DataFrame:
     """Every model scored on the targets all of them share.
 
-    The rows of one target are gathered (at most one per model), kept when complete, and
-    scored: the intersection needs no self join.
+    A target becomes one row with a column for each model, which combines before the shuffle; it
+    is kept when every model has a row, and scored. Two rows of one model for a target fail.
     """
-    models = list(models)
-    rows = forecasts.filter(F.col("model").isin(*models)).groupBy(
-        *keys, "segment", "horizon", "target"
-    ).agg(F.collect_list(F.struct("model", "observed", "prediction")).alias("_m"))
-    shared = rows.filter(F.size(F.array_distinct(F.col("_m.model"))) == len(models))
+    own = {m: F.col("model") == m for m in models}
+    wide = forecasts.filter(F.col("model").isin(*own)).groupBy(*keys, "segment", "horizon", "target").agg(
+        *[F.count_if(c).alias(f"_n{i}") for i, c in enumerate(own.values())],
+        *[F.max(F.when(c, F.col("observed"))).alias(f"_o{i}") for i, c in enumerate(own.values())],
+        *[F.max(F.when(c, F.col("prediction"))).alias(f"_p{i}") for i, c in enumerate(own.values())],
+    )
+    least = F.least(*[F.col(f"_n{i}") for i in range(len(own))]) if len(own) > 1 else F.col("_n0")
+    most = F.greatest(*[F.col(f"_n{i}") for i in range(len(own))]) if len(own) > 1 else F.col("_n0")
+    single = F.when(most > 1, F.raise_error(F.lit("a model has two rows for one target")).cast("boolean")).otherwise(least > 0)
+    lines = F.array(
+        *[
+            F.struct(F.lit(m).alias("model"), F.col(f"_o{i}").alias("observed"), F.col(f"_p{i}").alias("prediction"))
+            for i, m in enumerate(own)
+        ]
+    )
     return regression_metrics(
-        shared.select(*keys, "segment", "horizon", "target", F.inline("_m")), CELL, keys
+        wide.filter(single).select(*keys, "segment", "horizon", "target", F.inline(lines)), CELL, keys
     )
 
 
