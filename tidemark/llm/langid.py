@@ -308,10 +308,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         F.col(lang).alias("lang"), F.col(key).alias("key"), F.xxhash64(F.lit("fit"), key).alias("order"), F.col(text).alias("text")
     )
     # The first in hash order lie below a share of the hashes; no text beyond it is sent.
-    share = usable.groupBy("lang").agg((4.0 * PER_LANGUAGE / F.count("*") * 2.0**63 - 2.0**62).alias("limit"))
+    # One number for each language, as the model has a column for each.
+    counts = usable.groupBy("lang").count().collect()
+    if not counts:
+        return fit([])
+    limits = [x for r in counts for x in (F.lit(r.lang), F.lit(int((min(1.0, 4.0 * PER_LANGUAGE / r["count"]) - 0.5) * 2**63)))]
     sample = (
-        usable.join(share, "lang")
-        .where(F.shiftright("order", 1) < F.col("limit"))
+        usable.where(F.shiftright("order", 1) < F.element_at(F.create_map(*limits), F.col("lang")))
         .withColumn("place", F.row_number().over(first))
         .where(F.col("place") <= PER_LANGUAGE)
         .select("lang", "place", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
