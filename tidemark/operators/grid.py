@@ -283,7 +283,7 @@ def with_grid_position(
         return grid
     width = step_micros(step)
     shift = zone_shift(grid.sparkSession, width)
-    index = aligned_index(obs.sparkSession, F.col("observed_at"), width, shift)
+    index = aligned_index(grid.sparkSession, F.col("observed_at"), width, shift)
     bounds = grid.select(*keys, index.alias("_step")).groupBy(*keys).agg(
         F.min("_step").alias("_lo"), F.max("_step").alias("_hi")
     )
