@@ -295,12 +295,11 @@ def _extract(model: Model, place: int):
 def train(pages: DataFrame, html: str = "html") -> Model:
     """Fit on the first pages in hash order that fit the bounds."""
     require(pages, html)
-    sample = (
-        pages.where(F.col(html).isNotNull() & (F.length(html) <= SAMPLE_CHARS))
-        .select(html)
-        .orderBy(F.xxhash64(F.lit("fit"), html), html)
-        .limit(SAMPLE_PAGES)
-    )
+    usable = pages.where(F.col(html).isNotNull() & (F.length(html) <= SAMPLE_CHARS)).select(html)
+    order = F.xxhash64(F.lit("fit"), html)
+    # The first in hash order lie below a share of the hashes; no page beyond it is sent.
+    share = min(1.0, 4.0 * SAMPLE_PAGES / max(1, usable.count()))
+    sample = usable.where(F.shiftright(order, 1) < F.lit(int((share - 0.5) * 2**63))).orderBy(order, html).limit(SAMPLE_PAGES)
     return fit([r[0] for r in sample.collect()])
 
 
