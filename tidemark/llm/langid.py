@@ -333,8 +333,11 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(_identify(model, with_runs), schema).withColumnRenamed("key", key)
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The documents with a language, told with at least this score."""
+def accepted(docs: DataFrame, model: Model, least: float = 0.3, text: str = "text") -> DataFrame:
+    """The documents with a language, told with at least this score.
+
+    The score of a text in two or three languages is the share of the largest, so the bound is low.
+    """
     require(docs, text)
     return docs.mapInArrow(_accept(model, docs.columns.index(text), least), docs.schema)
 
