@@ -54,7 +54,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     from tidemark.operators import models
-    from tidemark.plans.stage import stored
+    from tidemark.plans.stage import remove_stored, stored
     from workload import queries
 
     def run(frame) -> None:
@@ -73,6 +73,7 @@ def main() -> None:
     began = time.perf_counter()
     experiments()
     times["experiments"] = round(time.perf_counter() - began, 3)
+    remove_stored(spark)
     spark.stop()
     print(
         json.dumps(

@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from tidemark.plans.stage import remove_stored  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -24,6 +26,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_stored(session)
     session.stop()
 
 
