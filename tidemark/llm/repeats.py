@@ -10,8 +10,8 @@ meet, about one word in eight. They are grouped by their first words:
   intervals are the tree's nodes) and a second tree over the words before the anchor. A node of
   each, together ``WINDOW`` words deep, is a repeat; all but its first place are removed.
 * Suffixes of a more frequent prefix are given longer prefixes, up to the whole window. At that depth a
-  node needs no tree: the first place is a combinable minimum, joined back, so a passage that
-  stands in a third of all documents is no hot group.
+  node needs no tree: the first place is a combinable minimum, taken out by digest and place, so a
+  passage that stands in a third of all documents is no hot group.
 
 Trees compare words, not hashes. Texts are shuffled only for documents that share some prefix.
 Windows are judged on the input; a removed word is one that any repeated window covers.
@@ -40,9 +40,11 @@ PREFIX = 6
 #: Prefixes in a window; words before an anchor that a window can reach.
 SPAN = WINDOW - PREFIX + 1
 REACH = SPAN - 1
-#: Most suffixes of a group, and suffixes whose trees are built together.
-GROUP = 10_000
-BATCH = 40_000
+#: Most suffixes of a group (some 150 MB while its trees are built), and suffixes whose trees are built together.
+GROUP = 100_000
+BATCH = 20_000
+#: Rows with words that a task hands on at once.
+ROWS_OUT = 20_000
 
 
 def running(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -63,31 +65,51 @@ def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made() -> pa.RecordBatch:
+        ids = batch.column(0).take(pa.array(np.concatenate(rows)))
+        columns = [pa.array(np.concatenate(prefixes).view(np.int64)), ids, pa.array(np.concatenate(places).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, ["prefix", "id", "pos"])
+
     for batch in batches:
-        places, prefixes, rows = [], [], []
+        places, prefixes, rows, held = [], [], [], 0
         for i, text in enumerate(batch.column(1)):
             words = (text.as_py() or "").encode().split()
-            if len(words) >= WINDOW:
-                h, _, at = anchors(words)
-                places.append(at)
-                prefixes.append(h[at])
-                rows.append(np.full(len(at), i))
-        if places:
-            ids = batch.column(0).take(pa.array(np.concatenate(rows)))
-            columns = [pa.array(np.concatenate(prefixes).view(np.int64)), ids, pa.array(np.concatenate(places).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["prefix", "id", "pos"])
+            if len(words) < WINDOW:
+                continue
+            h, _, at = anchors(words)
+            places.append(at)
+            prefixes.append(h[at])
+            rows.append(np.full(len(at), i))
+            held += len(at)
+            if held >= 10 * ROWS_OUT:
+                yield made()
+                places, prefixes, rows, held = [], [], [], 0
+        if rows:
+            yield made()
+
+
+def _placed(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], list[int]]]:
+    """Row, words and places of each document; a place past the end belongs to another text of the same id."""
+    for i, (text, at) in enumerate(zip(batch.column(1), batch.column(2))):
+        words = (text.as_py() or "").encode().split()
+        places = [p for p in at.as_py() if p + PREFIX <= len(words)]
+        if places and len(words) >= WINDOW:
+            yield i, words, places
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words around each place, with the number of them before it."""
-    names = ["prefix", "id", "pos", "before", "words"]
+
+    def made() -> pa.RecordBatch:
+        columns = [
+            pa.array(np.concatenate(prefixes).view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(places, pa.int32()),
+            pa.array(before, pa.int32()), pa.array(around, pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["prefix", "id", "pos", "before", "words"])
+
     for batch in batches:
         prefixes, rows, places, before, around = [], [], [], [], []
-        for i, (text, at) in enumerate(zip(batch.column(1), batch.column(2))):
-            words = (text.as_py() or "").encode().split()
-            at = [p for p in at.as_py() if p + PREFIX <= len(words)]
-            if not at:
-                continue
+        for i, words, at in _placed(batch):
             prefixes.append(gram_hashes(words, PREFIX)[at])
             for p in at:
                 low = max(0, p - REACH)
@@ -95,31 +117,33 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 places.append(p)
                 before.append(p - low)
                 around.append(b" ".join(words[low : p + WINDOW]))
+            if len(rows) >= ROWS_OUT:
+                yield made()
+                prefixes, rows, places, before, around = [], [], [], [], []
         if rows:
-            columns = [
-                pa.array(np.concatenate(prefixes).view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(places, pa.int32()),
-                pa.array(before, pa.int32()), pa.array(around, pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield made()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows whose anchor is one of the places, as digests of their words."""
+
+    def made() -> pa.RecordBatch:
+        columns = [pa.array(digests, pa.binary()), batch.column(0).take(pa.array(rows)), pa.array(starts, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["digest", "id", "pos"])
+
     for batch in batches:
         digests, rows, starts = [], [], []
-        for i, (text, at) in enumerate(zip(batch.column(1), batch.column(2))):
-            words = (text.as_py() or "").encode().split()
-            at = [p for p in at.as_py() if p + PREFIX <= len(words)]
-            if not at or len(words) < WINDOW:
-                continue
+        for i, words, at in _placed(batch):
             h, least, _ = anchors(words)
             for s in np.flatnonzero(np.isin(least, h[at])).tolist():
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words[s : s + WINDOW])))
                 rows.append(i)
                 starts.append(s)
+            if len(rows) >= ROWS_OUT:
+                yield made()
+                digests, rows, starts = [], [], []
         if rows:
-            columns = [pa.array(digests, pa.binary()), batch.column(0).take(pa.array(rows)), pa.array(starts, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["digest", "id", "pos"])
+            yield made()
 
 
 def nodes(group: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -233,15 +257,24 @@ def repeat_marks(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("prefix", "id", "pos")
         .mapInArrow(_trees, f"id {kind}, pos int, mask int")
     )
-    # Stored, as the minimum and the rows that are held against it both read them.
+    # Stored, as the first places and what is left without them both read it.
     windows = stored(
         _at_places(given, places.where("large")).mapInArrow(_windows, f"digest binary, id {kind}, pos int").withColumn(
             "order", F.col("id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("pos")
         ),
         "windows",
     )
-    firsts = windows.groupBy("digest").agg(F.min("order").alias("origin"))
-    of_windows = windows.join(firsts, "digest").where("order > origin").select("id", "pos", F.lit(1).alias("mask"))
+    firsts = windows.groupBy("digest").agg(F.min("order").alias("order"))
+    # What is left without the first places. Rows meet by digest and place, so no digest is a hot key.
+    tagged = windows.select("digest", "order", "id", "pos", F.lit(False).alias("first")).unionByName(
+        firsts.select("digest", "order", F.lit(True).alias("first")), allowMissingColumns=True
+    )
+    of_windows = (
+        tagged.groupBy("digest", "order")
+        .agg(F.max("first").alias("first"), F.min("id").alias("id"), F.min("pos").alias("pos"))
+        .where("NOT first")
+        .select("id", "pos", F.lit(1).alias("mask"))
+    )
     return of_trees.unionByName(of_windows)
 
 
