@@ -16,6 +16,9 @@ from tidemark.llm.common import table
 from tidemark.llm.queries import HELD_OUT
 from tidemark.plans.stage import stored
 
+#: Least similarity of near duplicates in the corpus, in hundredths, on sets of five-word shingles.
+SIMILAR = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -26,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component."""
-    found = stored(neardup.near_duplicates(docs), "near_duplicates")
+    found = stored(neardup.near_duplicates(docs, similar=SIMILAR), "near_duplicates")
     return bloom.without(docs, "doc_id", found.where("NOT kept").select("doc_id"))
 
 

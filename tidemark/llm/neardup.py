@@ -2,11 +2,11 @@
 
 A signature has ``SYMBOLS`` symbols of 16 bits, each the low bits of one minimum over the hashes
 of the document's five-word shingles. Two documents whose sets have similarity ``J`` differ in a symbol with probability
-``1 - J``. All pairs that differ in at most ``DISTANCE`` symbols are candidates: by the pigeonhole principle such a
-pair has at most one error in one of the ``CHUNKS`` pieces of the signature, and enumerating which
-symbol of a piece may be wrong gives keys of which they share one. At similarity 0.85 a
-pair passes the distance with probability 1 - 3e-5, and more often above. Candidates become links only
-when ``100 * intersection >= 85 * union`` holds for their full sets.
+``1 - J``. All pairs that differ in at most ``distance`` symbols are candidates: by the pigeonhole principle such a
+pair has at most one error in one of ``distance // 2 + 1`` pieces of the signature, and enumerating which
+symbol of a piece may be wrong gives keys of which they share one. The distance follows from the similarity asked for: a
+pair at that similarity passes it with probability 1 - ``MISSED`` or more, and more often above. Candidates become links only
+when ``100 * intersection >= similar * union`` holds for their full sets.
 
 Groups are never turned into all their pairs. Equal sets are one class from the start. Each
 bucket of equal keys gives a forest of its candidate pairs; the forests' components are families,
@@ -22,7 +22,9 @@ than five words have one shingle. Rows that share a document id count as one nod
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import groupby
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,26 @@ from tidemark.plans.stage import stored
 
 SHINGLE = 5
 SYMBOLS = 40
-DISTANCE = 16
-CHUNKS = DISTANCE // 2 + 1
-#: Least similarity of a link, in hundredths.
+#: Least similarity of a link, in hundredths, where none is asked for.
 SIMILAR = 85
+#: Largest probability with which a pair at the least similarity is no candidate.
+MISSED = 3e-5
+
+
+def distance_of(similar: int) -> int:
+    """Symbols in which a pair may differ so that it is missed with probability ``MISSED`` at most."""
+    if not 0 < similar <= 100:
+        raise ValueError(f"similarity in hundredths must be in 1..100, not {similar}")
+    wrong, passed = 1 - similar / 100, 0.0
+    for most in range(SYMBOLS):
+        passed += comb(SYMBOLS, most) * wrong**most * (1 - wrong) ** (SYMBOLS - most)
+        if 1 - passed <= MISSED:
+            return most
+    return SYMBOLS - 1
+
+
+DISTANCE = distance_of(SIMILAR)
+CHUNKS = DISTANCE // 2 + 1
 #: Most rows of a part of a bucket or family, and shingles of a family's part.
 PART_ROWS = 1000
 PART_SHINGLES = 1_000_000
@@ -88,16 +106,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _chunks() -> list[np.ndarray]:
-    return np.array_split(np.arange(SYMBOLS), CHUNKS)
+def _chunks(distance: int) -> list[np.ndarray]:
+    return np.array_split(np.arange(SYMBOLS), distance // 2 + 1)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], distance: int = DISTANCE) -> Iterator[pa.RecordBatch]:
     """A row for each piece of the signature and each symbol of it that may be wrong."""
     for batch in batches:
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
         keys, which = [], 0
-        for chunk in _chunks():
+        for chunk in _chunks(distance):
             for wrong in chunk:
                 h = np.full(len(sig), which, np.uint64)
                 for s in chunk:
@@ -119,7 +137,7 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch], distance: int = DISTANCE) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the near pairs in each (bucket, part, part); rows come sorted by these."""
     out: list[tuple[int, int]] = []
     for _, group in groupby(_rows(batches), key=lambda r: r[:3]):
@@ -130,7 +148,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             todo, left = [int(left[0])], left[1:]
             while todo and len(left):
                 i = todo.pop()
-                near = (sig[left] != sig[i]).sum(axis=1) <= DISTANCE
+                near = (sig[left] != sig[i]).sum(axis=1) <= distance
                 found = left[near].tolist()
                 out += [(ids[i], ids[j]) for j in found if ids[i] != ids[j]]
                 todo += found
@@ -177,14 +195,15 @@ def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
     return out
 
 
-def links_among(ids: list[int], sigs: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def links_among(ids: list[int], sigs: np.ndarray, sets: list[np.ndarray], similar: int = SIMILAR) -> list[tuple[int, int]]:
     """A spanning forest of the links; candidate pairs not joined so far are tested, row by row."""
+    distance = distance_of(similar)
     sizes = np.array([len(s) for s in sets])
     label = np.arange(len(ids))
     out = []
     for first in range(0, len(ids), 64):
         rows = np.arange(first, min(first + 64, len(ids)))
-        near = (sigs[rows, None, :] != sigs[None, :, :]).sum(axis=2) <= DISTANCE
+        near = (sigs[rows, None, :] != sigs[None, :, :]).sum(axis=2) <= distance
         if first == 0:
             # The first row may join most others, which then need no more tests.
             blocks = [rows[:1], rows[1:]]
@@ -198,7 +217,7 @@ def links_among(ids: list[int], sigs: np.ndarray, sets: list[np.ndarray]) -> lis
                 continue
             used = np.unique(np.concatenate((i, j)))
             both = shared_counts([sets[k] for k in used], np.searchsorted(used, i), np.searchsorted(used, j))
-            good = 100 * both >= SIMILAR * (sizes[i] + sizes[j] - both)
+            good = 100 * both >= similar * (sizes[i] + sizes[j] - both)
             for a, b in zip(i[good].tolist(), j[good].tolist()):
                 if label[a] != label[b]:
                     label[label == label[b]] = label[a]
@@ -206,13 +225,13 @@ def links_among(ids: list[int], sigs: np.ndarray, sets: list[np.ndarray]) -> lis
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], similar: int = SIMILAR) -> Iterator[pa.RecordBatch]:
     """Links within each (family, part, part); rows come sorted by these."""
     out: list[tuple[int, int]] = []
     for _, group in groupby(_rows(batches), key=lambda r: r[:3]):
         ids, sigs, sets = zip(*(r[3:] for r in group))
         sigs = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, SYMBOLS)
-        out += links_among(ids, sigs, [np.frombuffer(s, np.uint64) for s in sets])
+        out += links_among(ids, sigs, [np.frombuffer(s, np.uint64) for s in sets], similar)
         if len(out) >= 10_000:
             yield _pairs(out)
             out = []
@@ -233,9 +252,10 @@ def _meeting(rows: DataFrame, group: str, parts: str, columns: list[str]) -> Dat
     )
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_shingles, component_id, kept`` for every document."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
+    """``key, n_shingles, component_id, kept`` for every document; links have ``similar`` hundredths or more."""
     require(docs, key, text)
+    distance = distance_of(similar)
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketch = stored(given.mapInArrow(_sketch, "id long, n long, set_hash binary, sig binary"), "sketch")
     classes = stored(
@@ -244,12 +264,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n")),
         "classes",
     )
-    keys = classes.select("id", "sig").mapInArrow(_keys, "id long, key long")
+    keys = classes.select("id", "sig").mapInArrow(partial(_keys, distance=distance), "id long, key long")
     many = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     # Keys that one class alone has lead to nobody, and most are such.
     buckets = keys.join(many, "key").withColumn("parts", F.ceil(F.col("many") / PART_ROWS))
     signed = buckets.join(classes.select("id", "sig"), "id")
-    forest = _meeting(signed, "key", "parts", ["id", "sig"]).mapInArrow(_forest, "a long, b long")
+    forest = _meeting(signed, "key", "parts", ["id", "sig"]).mapInArrow(partial(_forest, distance=distance), "a long, b long")
     families = stored(components(forest), "families")
 
     sizes = families.join(classes.select(F.col("id").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("held"), F.count("*").alias("many"))
@@ -259,7 +279,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     texts = possible(given, "id", families.select("node")).join(of_family, "id").select("id", "text", "family", "parts")
     sets = texts.mapInArrow(_with_sets, "id long, family long, parts long, sig binary, shingles binary")
-    links = _meeting(sets, "family", "parts", ["id", "sig", "shingles"]).mapInArrow(_links, "a long, b long")
+    links = _meeting(sets, "family", "parts", ["id", "sig", "shingles"]).mapInArrow(partial(_links, similar=similar), "a long, b long")
     comps = components(links)
 
     of_set = classes.join(comps.withColumnRenamed("node", "id"), "id", "left").select(
