@@ -4,7 +4,8 @@ Each labelled page is a trial that ends well or badly. Its outcomes are counted
 badness of a host is shrunk to that of its registered domain, that to the public suffix, that to
 all pages. The strength of each prior is estimated from the spread of the groups under it (method of moments for
 the beta-binomial). A host is blocked when the lower bound of its posterior badness exceeds a
-limit, so a host without many bad pages is let through.
+limit, so a host without many bad pages is let through. A host without labelled pages has the mean of its domain, else of
+its suffix, else of all pages, with the strength of the prior that has this mean.
 
 Null urls and urls without ``://`` have an empty host and path. Repeated pages count once for each
 row, repeated labels of a page as one (bad if any is). Without labels nothing is blocked but by rules.
@@ -85,22 +86,25 @@ def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[C
 
 
 def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``host, suffix, domain, n, bad``: labelled pages and the bad ones among them."""
+    """``host, suffix, domain, n, bad`` of every host: labelled pages and the bad ones among them."""
     judged = labels.groupBy(F.col("doc_id").alias("page_id")).agg(
         F.max(((F.coalesce("toxic", F.lit(0)) > 0) | (F.coalesce("quality", F.lit(1)) == 0)).cast("long")).alias("bad")
     )
     bare = bare_host(F.col("host"))
     return (
         pages.select("page_id", host_of(F.col("url")).alias("host"))
-        .join(judged, "page_id")
+        .join(judged, "page_id", "left")
         .groupBy("host")
-        .agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+        .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         .withColumns({"suffix": suffix_of(bare), "domain": domain_of(bare)})
     )
 
 
 def _shrink(groups: DataFrame, mean: Column, level: str) -> DataFrame:
-    """Adds ``{level}_mean`` and ``{level}_strength`` to groups that carry ``n, bad`` and the mean above them."""
+    """Adds ``{level}_mean`` and ``{level}_strength`` to groups that carry ``n, bad`` and the mean above them.
+
+    Groups without labels add nothing to the strength and get the mean above them.
+    """
     v = mean * (1 - mean)
     # One number; joining it as a row would be a nested loop.
     rho = groups.agg(
@@ -111,16 +115,20 @@ def _shrink(groups: DataFrame, mean: Column, level: str) -> DataFrame:
 
 
 def reputations(pages: DataFrame, labels: DataFrame, z: float = 1.645) -> DataFrame:
-    """``host, n, bad, bound``: the posterior lower bound of badness of each host with labelled pages."""
+    """``host, n, bad, bound``: the posterior lower bound of badness of each host."""
     hosts = stored(outcomes(pages, labels), "hosts")
     bad, n = hosts.agg(F.sum("bad"), F.sum("n")).first()
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = _shrink(suffixes, F.lit(((bad or 0) + 1) / ((n or 0) + 2)), "suffix")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains = _shrink(domains.join(suffixes.select("suffix", "suffix_mean"), "suffix"), F.col("suffix_mean"), "domain")
-    final = _shrink(hosts.join(domains.select("domain", "domain_mean"), "domain"), F.col("domain_mean"), "host")
-    a = F.col("host_strength") * F.col("domain_mean") + F.col("bad")
-    both = F.col("host_strength") + F.col("n")
+    above = suffixes.select("suffix", "suffix_mean", "suffix_strength", F.col("n").alias("suffix_n"))
+    domains = _shrink(domains.join(above, "suffix"), F.col("suffix_mean"), "domain")
+    above = domains.select("domain", "domain_mean", "domain_strength", "suffix_strength", "suffix_n", F.col("n").alias("domain_n"))
+    final = _shrink(hosts.join(above, "domain"), F.col("domain_mean"), "host")
+    strength = F.when(F.col("domain_n") > 0, F.col("host_strength")).when(F.col("suffix_n") > 0, F.col("domain_strength"))
+    strength = strength.otherwise(F.col("suffix_strength"))
+    a = strength * F.col("domain_mean") + F.col("bad")
+    both = strength + F.col("n")
     mean = a / both
     bound = mean - z * F.sqrt(mean * (1 - mean) / (both + 1))
     return final.select("host", "n", "bad", F.round(bound, 4).alias("bound"))
