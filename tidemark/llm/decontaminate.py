@@ -8,8 +8,10 @@ lowest threshold of the block are scored item by item (the pruning of block-max
 results above a threshold instead of the best few). An item is retrieved when its
 score reaches ``share`` of the score that it gives itself.
 
-Retrieved items are verified: ``overlap`` of the five-word shingles of the question and of the
-answer (its last sentence, or the last third of its words) must stand in the passage.
+Retrieved items are verified: ``overlap`` of the question and of the answer (its last sentence, or the
+last third of its words) must stand in the passage. What stands there is the larger of two shares: that of the five-word
+shingles, which lets sentences move, and that of the words less the edits of the best alignment, which lets single words be
+replaced, left out or put in. Parts shorter than five words are aligned with the words next to them.
 
 Every word of every document is read. Items without words are left out; null texts match
 nothing. Equal items and documents are each reported. The index is built in shards of at
@@ -60,6 +62,7 @@ class Item:
     width: int  # of its shingles; shorter items are one shingle
     question: set[tuple[bytes, ...]]
     answer: set[tuple[bytes, ...]]
+    parts: tuple[list[bytes], list[bytes]]  # question and answer, of five words or more where the item has them
     enough: float = 0.0
 
 
@@ -74,7 +77,18 @@ def item_of(item_id: int, text: str) -> Item | None:
     every = shingles(words, width)
     cut = len(words) - tail
     question = {s for i, s in enumerate(every) if i + width <= cut}
-    return Item(item_id, words, width, question or set(every), {s for i, s in enumerate(every) if i + width > cut})
+    answer = {s for i, s in enumerate(every) if i + width > cut}
+    return Item(item_id, words, width, question or set(every), answer, (words[: max(cut, width)], words[-max(tail, width) :]))
+
+
+def edits(part: np.ndarray, passage: np.ndarray) -> int:
+    """Fewest words to replace, leave out or put in that turn ``part`` into some stretch of the passage."""
+    place = np.arange(len(passage) + 1)
+    row = np.zeros(len(passage) + 1, np.int64)
+    for n, word in enumerate(part.tolist(), 1):
+        new = np.minimum(row[:-1] + (passage != word), row[1:] + 1)
+        row = np.minimum.accumulate(np.concatenate(([n], new)) - place) + place
+    return int(row.min())
 
 
 class Index:
@@ -91,6 +105,7 @@ class Index:
                 idf = math.log(1 + (len(self.items) - holding[w] + 0.5) / (holding[w] + 0.5))
                 self.weights[self.terms[w], d] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(item.words) / mean))
             item.enough = share * float(self.weights[:, d].sum())
+        self.parts = [[np.array([self.terms[w] for w in part], np.int64) for part in item.parts] for item in self.items]
         self.blocks = []
         for first in range(0, len(self.items), BLOCK_ITEMS):
             part = slice(first, min(first + BLOCK_ITEMS, len(self.items)))
@@ -98,8 +113,11 @@ class Index:
             lowest = min(i.enough for i in self.items[part])
             self.blocks.append((part, longest, lowest * (1 - 1e-5), self.weights[:, part].max(axis=1).astype(np.float64)))
 
-    def search(self, docs: list[list[bytes]]) -> Iterator[tuple[int, int, float, float, float]]:
-        """``(document, item_id, score, question overlap, answer overlap)`` of everything retrieved."""
+    def search(self, docs: list[list[bytes]], overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
+        """``(document, item_id, score, question overlap, answer overlap)`` of everything retrieved.
+
+        Parts that lack too many words to reach ``overlap`` are not aligned.
+        """
         lengths = np.array([len(d) for d in docs], np.int64)
         ends = np.cumsum(lengths)
         begins = ends - lengths
@@ -125,7 +143,12 @@ class Index:
                     if item.width not in held:
                         low = start[i] - begins[doc[i]]
                         held[item.width] = set(shingles(docs[doc[i]][low : low + 2 * longest], item.width))
-                    row = (float(scores[j]), *(len(want & held[item.width]) / len(want) for want in (item.question, item.answer)))
+                    shares = [len(want & held[item.width]) / len(want) for want in (item.question, item.answer)]
+                    for k, words in enumerate(self.parts[part.start + j]):
+                        # Each word that the passage lacks is an edit.
+                        if shares[k] < np.isin(words, found).mean() >= overlap:
+                            shares[k] = max(shares[k], (len(words) - edits(words, ids[start[i] : stop[i]])) / len(words))
+                    row = (float(scores[j]), *shares)
                     at = (int(doc[i]), item.item_id)
                     if at not in best or (min(row[1:]), row) > (min(best[at][1:]), best[at]):
                         best[at] = row
@@ -153,7 +176,7 @@ def _matches(index: Index, overlap: float):
             for first, chunk in _chunks(batch.column(1).to_pylist()):
                 out += [
                     (first + d, item, score, q, a)
-                    for d, item, score, q, a in index.search(chunk)
+                    for d, item, score, q, a in index.search(chunk, overlap)
                     if min(q, a) >= overlap
                 ]
             rows = pa.array([o[0] for o in out], pa.int64())
@@ -170,7 +193,7 @@ def _clean(index: Index, place: int, overlap: float):
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for first, chunk in _chunks(batch.column(place).to_pylist()):
-                for d, _, _, q, a in index.search(chunk):
+                for d, _, _, q, a in index.search(chunk, overlap):
                     if min(q, a) >= overlap:
                         keep[first + d] = False
             yield batch.filter(pa.array(keep))
