@@ -15,7 +15,7 @@ def shingles(text):
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if width else set()
 
 
-def brute(texts):
+def brute(texts, similar=85):
     """Row for each document id, from all pairs."""
     sets = {i: shingles(t) for i, t in texts.items()}
     at = {i: i for i in texts}
@@ -36,7 +36,7 @@ def brute(texts):
             for b in hs[n + 1 :]:
                 seen[a, b] = seen.get((a, b), 0) + 1
     for (a, b), both in seen.items():
-        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+        if 100 * both >= similar * (len(sets[a]) + len(sets[b]) - both):
             x, y = sorted((root(a), root(b)))
             at[y] = x
     return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}

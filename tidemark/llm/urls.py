@@ -7,6 +7,8 @@ the beta-binomial). A host is blocked when the lower bound of its posterior badn
 limit, so a host without many bad pages is let through. A host without labelled pages has the mean of its domain, else of
 its suffix, else of all pages, with the strength of the prior that has this mean.
 
+Labels name documents; a page is taken to be labelled by the row with its own id (``doc_id = page_id``).
+
 Null urls and urls without ``://`` have an empty host and path. Repeated pages count once for each
 row, repeated labels of a page as one (bad if any is). Without labels nothing is blocked but by rules.
 """
@@ -166,7 +168,7 @@ def _level(name: str, source: str, above: str) -> str:
 SQL = f"""WITH p AS (SELECT page_id, translate(COALESCE(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{UPPER.lower()}') AS host,
   COALESCE(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 l AS (SELECT doc_id, max(CASE WHEN COALESCE(toxic, 0) > 0 OR COALESCE(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
-h0 AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad FROM p JOIN l ON p.page_id = l.doc_id GROUP BY 1),
+h0 AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(COALESCE(sum(bad), 0) AS DOUBLE) AS bad FROM p LEFT JOIN l ON p.page_id = l.doc_id GROUP BY 1),
 h1 AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*)?\\.?$', '') AS bare FROM h0),
 h2 AS (SELECT *, regexp_extract(bare, '[^.]*\\.?[^.]*$') AS two FROM h1),
 h AS (SELECT host, n, bad, CASE WHEN two IN ({_TWO}) THEN two ELSE regexp_extract(bare, '[^.]*$') END AS suffix,
@@ -177,9 +179,11 @@ x1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(all_mean) AS all_m
 x2 AS (SELECT h.domain, h.suffix, sum(h.n) AS n, sum(h.bad) AS bad, any_value(suffix_mean) AS suffix_mean
   FROM h JOIN suffix_p USING (suffix) GROUP BY 1, 2),
 {_level("domain", "x2", "suffix_mean")},
-x3 AS (SELECT h.*, domain_mean FROM h JOIN domain_p ON h.domain = domain_p.domain),
+x3 AS (SELECT h.*, domain_mean, domain_strength, domain_p.n AS domain_n, suffix_strength, suffix_p.n AS suffix_n
+  FROM h JOIN domain_p ON h.domain = domain_p.domain JOIN suffix_p ON h.suffix = suffix_p.suffix),
 {_level("host", "x3", "domain_mean")},
-post AS (SELECT host, (host_strength * domain_mean + bad) / (host_strength + n) AS m, host_strength + n AS ab FROM host_p),
+x4 AS (SELECT *, CASE WHEN domain_n > 0 THEN host_strength WHEN suffix_n > 0 THEN domain_strength ELSE suffix_strength END AS strength FROM host_p),
+post AS (SELECT host, (strength * domain_mean + bad) / (strength + n) AS m, strength + n AS ab FROM x4),
 bounds AS (SELECT host, round(m - 1.645 * sqrt(m * (1 - m) / (ab + 1)), 4) AS bound FROM post),
 r AS (SELECT p.*, bound, CASE
   WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
