@@ -123,3 +123,32 @@ def test_trees_learn_a_rule():
     y = ((x[:, 1] > 0) ^ (x[:, 3] > 0.5)).astype(float)
     model = boosting.fit(x[:1500], y[:1500], rounds=20, depth=3)
     assert ((model.probability(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
+
+
+def texts_of(html):
+    return dom.blocks(dom.parse(html), lambda n: n.tag not in dom.UNSEEN)
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<head><title>T</title><p>Article text</p><p>More", ["Article text", "More"]),
+        ("<title>T</title><meta charset=x><div>Text<p>More</div>", ["Text", "More"]),
+        ("<head><link rel=x><script>var p;</script>Bare text <b>and</b> more", ["Bare text and more"]),
+        ("<head><template><p>no</p></template><title>T</title></head><body><p>Yes", ["Yes"]),
+        ("<body><p>x <math><mi>a</mi>=<mn>1</mn></math> <object data=f>fallback</object> <noscript>still</noscript>", ["x a=1 fallback still"]),
+        ("<p>a < b and c <", ["a < b and c <"]),
+        ("<p>cut off <a href=", ["cut off"]),
+    ],
+)
+def test_pages_that_leave_out_tags(html, want):
+    assert texts_of(html) == want
+
+
+def test_many_siblings():
+    import time
+
+    nodes = dom.parse("<body>" + "<p>Some text here.</p>" * 20_000).nodes()
+    began = time.perf_counter()
+    rows = dom.Features({}, {}).of(nodes)
+    assert len(rows) == len(nodes) and time.perf_counter() - began < 10

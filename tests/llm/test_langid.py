@@ -70,3 +70,14 @@ def test_no_labels(documents):
     rows = langid.identify(docs, langid.train(docs)).collect()
     assert [r.lang_pred for r in rows] == ["und", "und"]
     assert langid.identify(docs.limit(0), langid.train(docs)).count() == 0
+
+
+def test_control_characters_and_signs_that_are_no_letters(documents):
+    docs = documents(["the house and the tree", "das Haus und der Baum", "the\x03 ho\x02use\x03", "½ ²", "Ⅷ ١٢", "\x03"], {0: "en", 1: "de"})
+    rows = langid.identify(docs, langid.train(docs)).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in rows[3:]] == ["und"] * 3
+    assert rows[2].lang_pred in ("en", "de")
+    words = [b"a\x03b", b"\x03", b"c"]
+    got, begins = langid.grams(words)
+    for one, part in zip(words, np.split(got, begins[1:])):
+        assert sorted(part[part < langid.TABLE_ROWS]) == sorted(x for x in langid.grams([one])[0] if x < langid.TABLE_ROWS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -12,7 +13,8 @@ from tidemark.llm.common import by_value
 
 # HTML's element groups.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("head script style template noscript title iframe svg math object canvas datalist".split())
+UNSEEN = set("head script style template title iframe svg datalist".split())
+IN_HEAD = set("title meta link base basefont bgsound script style noscript noframes template".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary "
@@ -28,7 +30,6 @@ ENDS = {
     "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
-    "body": ({"head"}, {"html"}),
 }
 
 #: Tags that are features of their own; others share one.
@@ -80,9 +81,16 @@ class _Builder(HTMLParser):
             if self.open[i].tag in fences:
                 return
 
+    def leave_head(self) -> None:
+        """What cannot stand in a head ends it, as pages may leave out its end tag and the body's start tag."""
+        if not any(n.tag == "template" for n in self.open):
+            self.close_to({"head"}, {"html"})
+
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             return
+        if tag not in IN_HEAD:
+            self.leave_head()
         if tag in ENDS_PARAGRAPH:
             self.close_to({"p"}, {"button", "table", "td", "th"})
         if tag in ENDS:
@@ -105,6 +113,8 @@ class _Builder(HTMLParser):
                 return  # an inline end tag closes no block
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and data.strip():
+            self.leave_head()
         parts = self.open[-1].parts
         if parts and isinstance(parts[-1], str):
             parts[-1] += data
@@ -115,7 +125,7 @@ class _Builder(HTMLParser):
 def parse(html: str) -> Node:
     builder = _Builder()
     # A tag that the page breaks off in is no text.
-    builder.feed(re.sub(r"<(?:[A-Za-z/][^<>]*|!(?:--)?[^<>]*)?$", "", html))
+    builder.feed(re.sub(r"<(?:[A-Za-z/][^<>]*|!(?:--)?[^<>]*)$", "", html))
     builder.close()
     return builder.root
 
@@ -184,9 +194,13 @@ class Features:
         out = np.zeros((n, self.width), np.float32)
         token_lean, tag_lean, above_token, above_tag = (np.zeros((n, 2)) for _ in range(4))
         before = 0.0
+        # Counts of children by tag and their texts' length, once for each parent.
+        kinds = [Counter(nodes[j].tag for j in group) for group in kids]
+        under = [sum(whole[j] for j in group) for group in kids]
         for i, x in enumerate(nodes):
-            group = kids[up[i]] if up[i] >= 0 else [i]
-            same = sum(nodes[j].tag == x.tag for j in group)
+            top = up[i] < 0
+            size = 1 if top else len(kids[up[i]])
+            same = 1 if top else kinds[up[i]][x.tag]
             parent = max(1.0, whole[up[i]]) if up[i] >= 0 else total
             out[i, :NUMBERS] = (
                 depth[i],
@@ -199,13 +213,13 @@ class Features:
                 signs[i] / max(1.0, whole[i]),
                 inner[i],
                 len(kids[i]),
-                len(group),
+                size,
                 seen[up[i]] if up[i] >= 0 else 0,
-                same / len(group),
-                math.log1p(sum(whole[j] for j in group) / len(group)),
+                same / size,
+                math.log1p((whole[i] if top else under[up[i]]) / size),
                 before / total,
                 letters[i] / max(1.0, own[i]),
-                sum(nodes[j].tag == "p" for j in kids[i]),
+                kinds[i]["p"],
             )
             if up[i] >= 0:
                 seen[up[i]] += 1

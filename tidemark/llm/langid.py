@@ -16,7 +16,6 @@ labelled. Equal texts get equal results.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -64,7 +63,8 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the n-gram table for all words, and where each word's rows begin."""
     data = np.frombuffer(b"\x02" + b"\x03\x02".join(words) + b"\x03\x00\x00\x00", np.uint8).astype(np.uint32)
     n = len(data) - 3
-    ends = np.flatnonzero(data[:n] == 3)
+    # Words may hold the marks themselves, so their ends come from their lengths.
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2) - 1
     begins = np.concatenate(([0], ends[:-1] + 1))
     # An n-gram that would run past its word's end mark is the empty row.
     left = np.repeat(ends, ends - begins + 1) - np.arange(n)
@@ -242,7 +242,7 @@ class Judge:
     """Languages and scores of arrays of texts; made once in each task."""
 
     def __init__(self, model: Model):
-        self.model, self.decoder, self.letter = model, Decoder(model), re.compile(r"[^\W\d_]")
+        self.model, self.decoder = model, Decoder(model)
 
     def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
         """Language, score and the words' labels of each text. Texts are decoded longest first, many at once."""
@@ -262,7 +262,7 @@ class Judge:
         held = 0
         for i in sorted(range(len(texts)), key=lambda i: -len(texts[i] or "")) if self.model.labels else ():
             text = texts[i]
-            if text is None or not self.letter.search(text):
+            if not any(map(str.isalpha, text or "")):
                 continue
             words = words_of(text)
             if chunk and held + len(words) > CHUNK_WORDS:
