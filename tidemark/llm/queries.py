@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, extraction, fingerprints, langid, mixing, neardup, repeats, secrets, urls
+from tidemark.llm import chat, decontaminate, extraction, fingerprints, langid, mixing, neardup, repeats, secrets, tokens, urls
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +89,12 @@ def op10(spark, sf):
     pages = table(spark, sf, "pages")
     found = extraction.extract(pages, extraction.train(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: The vocabulary that op11 counts with.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op11_token_counts")
+def op11(spark, sf):
+    return tokens.token_counts(table(spark, sf, "documents"), tokens.Vocabulary.read(VOCABULARY))
