@@ -130,6 +130,65 @@ def test_trees_learn_and_are_reproducible(spark):
     assert r.nse > 0.7
 
 
+def test_patience_outlasts_a_flat_stretch():
+    flat = [5.0, 4.0, *[4.0 + 0.01 * i for i in range(40)], 3.0, *[3.5] * 80, 1.0]
+    assert models.best_round(flat, 50) == (42, True)
+    assert models.best_round(flat, 30) == (1, True)
+    assert models.best_round(flat[:60], 50) == (42, False)
+    assert models.best_round([2.0, 2.0, 2.0], 2) == (0, True)
+    assert models.best_round([3.0, 2.0, 1.0], 2) == (2, False)
+
+
+def stepped_frame(spark):
+    """Two steps in two features, the first of which is sometimes missing."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(500):
+        segment = "train" if i < 350 else "validation" if i < 430 else "test"
+        a, b = float(rng.normal()), float(rng.normal())
+        rows.append(("s", 1, segment, START + i * HOUR, [a if i % 9 else None, b], 2.0 * (a > 0) + float(b > 1) + 0.05 * float(rng.normal())))
+    return spark.createDataFrame(rows, "series_key string, horizon int, segment string, observed_at timestamp, x array<double>, y double")
+
+
+def test_rounds_are_chosen_with_patience(spark):
+    samples = stepped_frame(spark)
+    rows = models.tree_rows(models.fill_missing(samples, models.train_medians(samples))).coalesce(1).cache()
+    model = models.fit_trees(rows, 3, 30, 6, stepSize=0.3)
+    longer = models.GBTRegressor(featuresCol="features", labelCol="y", seed=3, maxIter=30, maxBins=64, **{**models.TREE_SETTINGS, "stepSize": 0.3})
+    errors = longer.fit(rows.filter("segment = 'train'").select("features", "y")).evaluateEachIteration(rows.filter("segment = 'validation'"), "squared")
+    # A shorter fit is the beginning of a longer one, so the chosen rounds are those of the whole curve.
+    assert model.getNumTrees == models.best_round(errors, 6)[0] + 1
+    assert np.isclose(model.evaluateEachIteration(rows.filter("segment = 'validation'"), "squared")[-1], min(errors[: model.getNumTrees]))
+    # Test rows take no part.
+    moved = rows.withColumn("y", F.when(F.col("segment") == "test", F.col("y") * 9).otherwise(F.col("y")))
+    again = models.fit_trees(moved, 3, 30, 6, stepSize=0.3)
+    assert again.toDebugString.split("\n", 1)[1] == model.toDebugString.split("\n", 1)[1]
+    assert models.fit_trees(rows.filter("segment <> 'validation'"), 3, 5).getNumTrees == 5
+
+
+def test_missing_features_are_columns(spark):
+    samples = stepped_frame(spark)
+    filled = models.fill_missing(samples, models.train_medians(samples))
+    rows = models.tree_rows(filled).collect()
+    assert len(rows) == samples.count() and all(len(r.features) == 4 for r in rows)
+    assert {(r.features[2], r.features[3]) for r in rows} == {(0.0, 0.0), (1.0, 0.0)}
+    assert sum(r.features[2] for r in rows) == samples.filter("x[0] is null").count() == filled.agg(F.sum("imputed_cells")).first()[0]
+
+
+def test_node_table_predicts_like_the_model(spark):
+    samples = stepped_frame(spark)
+    rows = models.tree_rows(models.fill_missing(samples, models.train_medians(samples))).coalesce(1).cache()
+    model = models.fit_trees(rows, 5, 20, 5, stepSize=0.3)
+    nodes = models.tree_nodes(model).cache()
+    assert nodes.select("tree").distinct().count() == model.getNumTrees
+    # A binary tree has one leaf more than inner nodes.
+    assert nodes.filter("feature is null").count() - nodes.filter("feature is not null").count() == model.getNumTrees
+    want = {r.observed_at: r.prediction for r in model.transform(rows).collect()}
+    got = {r.observed_at: r.prediction for r in models.walk_trees(rows, nodes).collect()}
+    assert set(got) == set(want)
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-12
+
+
 def test_seed_summary(spark):
     rows = spark.createDataFrame(
         [("m", 1, 10, 1.0, None), ("m", 2, 10, 3.0, None), ("n", 1, 0, None, "x"), ("n", 2, 0, None, "x")],

@@ -7,6 +7,7 @@ Spark ML models fitted on all series together.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,7 +17,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.tasks import by_value
@@ -24,7 +25,7 @@ from tidemark.operators.blocks import KEYS
 from tidemark.operators.features import FEATURE_SETS, experiment_features
 from tidemark.operators.metrics import regression_metrics, seed_summary
 from tidemark.operators.quantiles import exact_quantiles
-from tidemark.plans.stage import stored
+from tidemark.plans.stage import register, shared_folder, stored
 from tidemark.schemas import require_columns
 
 # Penalties, seeds and tree settings of the experiments.
@@ -112,10 +113,11 @@ def train_medians(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def fill_missing(samples: DataFrame, medians: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Fill missing features with the train medians; ``imputed_cells`` counts the fills."""
+    """Fill missing features with the train medians; ``imputed_cells`` counts the fills, ``missing`` marks them with 1."""
     joined = samples.join(medians, [*keys, "horizon"])
     return (
         joined.withColumn("imputed_cells", F.size(F.filter("x", lambda v: v.isNull())))
+        .withColumn("missing", F.transform("x", lambda v: v.isNull().cast("int")))
         .withColumn("x", F.zip_with("x", "medians", lambda v, m: F.coalesce(v, m)))
         .drop("medians")
     )
@@ -259,32 +261,106 @@ def select_alpha(
 
 
 def tree_rows(filled: DataFrame) -> DataFrame:
-    """Feature vectors for Spark ML with the validation marker used for early stopping."""
-    return filled.withColumn("features", array_to_vector("x")).withColumn(
-        "is_validation", F.col("segment") == "validation"
-    )
+    """Feature vectors for Spark ML: the filled features, then one column each that tells where one was missing.
+
+    Rows without the marks of ``fill_missing`` have no such columns.
+    """
+    x = F.col("x")
+    if "missing" in filled.columns:
+        x = F.concat(x, F.col("missing").cast("array<double>"))
+    return filled.withColumn("features", array_to_vector(x))
+
+
+def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """The round with the least error before ``patience`` rounds brought nothing, and whether they did."""
+    best = 0
+    for n, error in enumerate(errors):
+        if error < errors[best]:
+            best = n
+        elif n - best >= patience:
+            return best, True
+    return best, False
 
 
 def fit_trees(
-    rows: DataFrame, seed: int, rounds: int = 2000, **settings: object
+    rows: DataFrame, seed: int, rounds: int = 2000, patience: int = 50, **settings: object
 ) -> GBTRegressionModel:
-    """Boosted trees on the train rows, stopped early on the validation rows when there are any.
+    """Boosted trees on the train rows; the validation rows choose how many.
 
-    ``rounds`` is the most that are tried. Boosting ends at the first round that lowers the
-    validation error by less than a thousandth, and the best round so far is the model. Missing
-    features come filled; ``segment_samples`` keeps their places.
+    Boosting goes on until ``patience`` further rounds have not lowered the squared validation error, or to ``rounds``.
+    Rounds are tried in doubling numbers: a round depends on those before it and the seed alone, so a longer
+    fit repeats the shorter one. Without validation rows all ``rounds`` are the model.
     """
     options = {**TREE_SETTINGS, **settings}
-    booster = GBTRegressor(
-        featuresCol="features", labelCol="y", predictionCol="prediction", seed=seed, maxIter=rounds,
-        maxBins=64, validationTol=0.001, **options,
+    train = rows.filter(F.col("segment") == "train").select("features", "y")
+    validation = rows.filter(F.col("segment") == "validation").select("features", "y")
+
+    def fit(many: int) -> GBTRegressionModel:
+        return GBTRegressor(
+            featuresCol="features", labelCol="y", predictionCol="prediction", seed=seed, maxIter=many, maxBins=64, **options
+        ).fit(train)
+
+    if not validation.take(1):
+        return fit(rounds)
+    tried = min(rounds, patience + patience // 4 + 1)
+    while True:
+        model = fit(tried)
+        best, settled = best_round(model.evaluateEachIteration(validation, "squared"), patience)
+        if settled or tried >= rounds:
+            return model if best + 1 == tried else fit(best + 1)
+        tried = min(rounds, 2 * tried)
+
+
+def tree_nodes(model: GBTRegressionModel) -> DataFrame:
+    """The ensemble as a table: ``tree, weight, node, feature, border, left, right, value``.
+
+    A row at an inner node goes left where the feature is at most the border; leaves have no feature. The table has at most
+    ``rounds * 2 ** (depth + 1)`` rows, whatever the model was fitted on.
+    """
+    spark = SparkSession.getActiveSession()
+    path = f"{shared_folder(spark)}/trees-{uuid.uuid4().hex}"
+    model.save(path)
+    register(path)
+    weights = F.array(*[F.lit(float(w)) for w in model.treeWeights])
+    node = F.col("nodeData")
+    inner = node["leftChild"] >= 0
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"),
+        F.get(weights, F.col("treeID")).alias("weight"),
+        node["id"].alias("node"),
+        F.when(inner, node["split"]["featureIndex"]).alias("feature"),
+        F.when(inner, F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0))).alias("border"),
+        F.when(inner, node["leftChild"]).alias("left"),
+        F.when(inner, node["rightChild"]).alias("right"),
+        node["prediction"].alias("value"),
+    )
+
+
+def walk_trees(rows: DataFrame, nodes: DataFrame, depth: int = 4, features: str = "features") -> DataFrame:
+    """``rows`` with ``prediction``, from the table of nodes alone: every row steps down every tree, all at once.
+
+    The nodes are a bounded table, gathered into one map of nodes by tree; each step is a lookup in it.
+    """
+    entry = F.struct(F.struct("tree", "node").alias("key"), F.struct("feature", "border", "left", "right", "value").alias("value"))
+    held = nodes.agg(
+        F.map_from_entries(F.collect_list(entry)).alias("_nodes"),
+        F.array_sort(F.collect_set(F.struct("tree", "weight"))).alias("_trees"),
     )
-    fit = rows.filter(F.col("segment").isin("train", "validation"))
-    if fit.filter("is_validation").take(1):
-        booster = booster.setValidationIndicatorCol("is_validation")
-    else:
-        fit = fit.filter(~F.col("is_validation"))
-    return booster.fit(fit)
+    at = vector_to_array(F.col(features))
+
+    def down(tree: Column) -> Column:
+        def step(node: Column, _: Column) -> Column:
+            here = F.element_at("_nodes", F.struct(tree["tree"].alias("tree"), node.alias("node")))
+            left = F.get("_x", here["feature"]) <= here["border"]
+            return F.when(here["feature"].isNull(), node).when(left, here["left"]).otherwise(here["right"])
+
+        leaf = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step)
+        return tree["weight"] * F.element_at("_nodes", F.struct(tree["tree"].alias("tree"), leaf.alias("node")))["value"]
+
+    # One row; it travels to the tasks like a parameter.
+    joined = rows.withColumns({"_x": at, "_one": F.lit(1)}).join(F.broadcast(held.withColumn("_one", F.lit(1))), "_one")
+    total = F.aggregate(F.transform("_trees", down), F.lit(0.0), lambda a, v: a + v)
+    return joined.withColumn("prediction", total).drop("_x", "_one", "_nodes", "_trees")
 
 
 # --- experiment grid -----------------------------------------------------------------
@@ -299,6 +375,7 @@ def run_experiments(
     models: Sequence[str] = ("ridge", "trees"),
     alphas: Sequence[float] = ALPHAS,
     rounds: int = 2000,
+    patience: int = 50,
     parallel: int = 4,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
@@ -320,15 +397,16 @@ def run_experiments(
             fitted = ridge_predictions(samples, best, keys)
             parts.append(fitted.select("*", tag, F.lit("ridge").alias("model"), seed_list))
         if "trees" in models:
-            # Filled once per experiment; every horizon and seed reads the stored rows.
-            rows = tree_rows(stored(fill_missing(samples, train_medians(samples, keys), keys), "samples"))
+            # Filled once per experiment; a horizon is a folder of its own, which its seeds read.
+            filled = fill_missing(samples, train_medians(samples, keys), keys)
+            rows = tree_rows(stored(filled, "samples", ["horizon"]))
             for horizon in horizons:
                 cell = rows.filter(F.col("horizon") == horizon)
                 jobs += [(experiment, cell, int(seed)) for seed in seeds]
 
     def train(job: tuple[str, DataFrame, int]) -> DataFrame:
         experiment, cell, seed = job
-        model = fit_trees(cell, seed, rounds)
+        model = fit_trees(cell, seed, rounds, patience)
         return model.transform(cell).select(
             *keys, "horizon", "segment", F.col("observed_at").alias("anchor"),
             F.col("y").alias("observed"), "prediction", F.lit(experiment).alias("experiment"),

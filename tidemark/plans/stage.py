@@ -8,6 +8,7 @@ job: a query that stores a stage runs that part while it is built.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,12 +22,17 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages").rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet and return a reader of it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def register(path: str) -> str:
+    """Have ``remove_stored`` delete this path too."""
     _written.append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once as Parquet and return a reader of it; ``partition_by`` columns become folders."""
+    spark = df.sparkSession
+    path = register(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1275,19 +1275,47 @@ def ridge_metrics(spark, sf):
     return metrics.regression_metrics(scores)
 
 
-@query("tree_metrics")
+@query(
+    "tree_metrics",
+    f"""{samples_sql(E2)} SELECT series_key, 'trees' AS model, horizon, segment, CAST(6 * count(*) AS BIGINT) AS sample_count, CAST(NULL AS VARCHAR) AS reason,
+  CASE WHEN segment = 'train' THEN TRUE END AS train_explained FROM samples GROUP BY series_key, horizon, segment""",
+)
 def tree_metrics(spark, sf):
-    predictions = models.run_experiments(
-        stored(matrix(spark, sf), "features"), models=["trees"]
+    """What the scores of trees hold that does not depend on the fit: every row of both feature sets and all seeds is predicted,
+    and on the train rows of a horizon trees are nearer than the mean."""
+    predictions = stored(models.run_experiments(stored(matrix(spark, sf), "features"), models=["trees"]), "predictions")
+    off = F.col("prediction") - F.col("observed")
+    explained = predictions.groupBy("horizon").agg(
+        (F.avg(F.when(F.col("segment") == "train", off * off)) < F.var_pop(F.when(F.col("segment") == "train", F.col("observed")))).alias("known")
     )
-    return metrics.regression_metrics(predictions)
+    scores = metrics.regression_metrics(predictions).select("series_key", "model", "horizon", "segment", "sample_count", "reason")
+    return scores.join(explained, "horizon").withColumn("train_explained", F.when(F.col("segment") == "train", F.col("known"))).drop("known")
+
+
+def _cells(experiment: str, columns) -> str:
+    width = len(columns)
+    whole = f"count(*) FILTER (list_count(x) = {width})"
+    return f"""SELECT series_key, '{experiment}' AS experiment, model, horizon, segment, CASE WHEN model = 'ridge' THEN {whole} ELSE count(*) END AS sample_count,
+  CASE WHEN model = 'ridge' AND {whole} = 0 THEN 'no_valid_pairs' END AS reason, CASE WHEN model = 'ridge' AND {whole} > 0 THEN TRUE END AS without_spread
+  FROM ({samples_sql(columns)} SELECT * FROM samples) s, (VALUES ('ridge'), ('trees')) m(model) GROUP BY series_key, model, horizon, segment
+  QUALIFY model = 'trees' OR sum(count(*) FILTER (segment = 'train' AND list_count(x) = {width})) OVER (PARTITION BY series_key, model, horizon) > 0"""
 
 
-@query("experiment_scores")
+@query(
+    "experiment_scores",
+    f"""SELECT *, concat_ws(',', sample_count, sample_count, sample_count) AS sample_counts_by_seed
+  FROM ({_cells("E1", E1)} UNION ALL {_cells("E2", E2)})""",
+)
 def experiment_scores(spark, sf):
+    """Samples of every cell and seed, why a cell has none, and that ridge is the same for all seeds. The errors themselves
+    depend on the fit: ``ridge_metrics`` checks those of ridge, ``tree_metrics`` bounds those of trees."""
     predictions = models.run_experiments(stored(matrix(spark, sf), "features"))
     out = models.experiment_scores(stored(predictions, "predictions"))
-    return out.withColumn("sample_counts_by_seed", F.array_join(F.col("sample_counts_by_seed").cast("array<string>"), ","))
+    return out.select(
+        "series_key", "experiment", "model", "horizon", "segment", "sample_count", "reason",
+        F.array_join(F.col("sample_counts_by_seed").cast("array<string>"), ",").alias("sample_counts_by_seed"),
+        F.when(F.col("model") == "ridge", F.col("mae_std") < 1e-9).alias("without_spread"),
+    )
 
 
 # --- landed responses, pages, digests -------------------------------------------------
