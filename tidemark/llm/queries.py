@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, extraction, fingerprints, langid, mixing, neardup, repeats, secrets, tokens, urls
+from tidemark.llm import centroids, chat, decontaminate, extraction, fingerprints, langid, manifest, mixing, neardup, repeats, secrets, tokens, urls
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,13 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 @query("op11_token_counts")
 def op11(spark, sf):
     return tokens.token_counts(table(spark, sf, "documents"), tokens.Vocabulary.read(VOCABULARY))
+
+
+@query("op12_centroid_clusters", centroids.SQL)
+def op12(spark, sf):
+    return centroids.digest(centroids.cluster(table(spark, sf, "embeddings")))
+
+
+@query("op13_merkle_manifest", manifest.SQL)
+def op13(spark, sf):
+    return manifest.digest(manifest.manifest(table(spark, sf, "documents")))
