@@ -9,16 +9,21 @@ crosses a block edge is handled in one of two exact ways:
 * block summaries: one row per ``(keys, block)`` (first row, last row, counts). A window
   over the summaries is short - rows divided by the block size - and its result is merged
   back. Both readers of the rows ask for the same columns, so Spark reuses the exchange.
+
+Blocks of grid rows are equal stretches of positions. Raw stamps may crowd, so their blocks are
+cut by counts (``equal_blocks``). Exchanges state no number of partitions, so that adaptive
+execution may join small ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeline import floor_div
+from tidemark.plans.stage import stored
 
 BLOCK = "_block"
 CORE = "_core"
@@ -28,10 +33,6 @@ KEYS = ("series_key",)
 Merge = tuple[Column, Callable[[str], Column]]
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def position_block(position: Column, block_steps: int = DEFAULT_BLOCK_STEPS) -> Column:
     """Block number of an integer position."""
     return floor_div(position, block_steps)
@@ -42,6 +43,49 @@ def time_block(ts: Column, width_us: int) -> Column:
     return floor_div(F.unix_micros(ts.cast("timestamp")), width_us)
 
 
+#: Rows a block of equal depth holds at most, and how many crowded slots may be cut again.
+BLOCK_ROWS = 100_000
+CROWDED = 100_000
+
+
+def finer(width: int) -> int:
+    """The next width: the largest divisor that cuts a slot into 32 or more, else single units."""
+    return next((width // f for f in range(32, 129) if width % f == 0), 1)
+
+
+def equal_blocks(
+    df: DataFrame, keys: Sequence[str], time: str, width_us: int, most: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add ``_block``: time slots of at most ``most`` rows of one series, in the order of time.
+
+    Rows are counted per slot of ``width_us``. Slots that hold more are cut again, into slots a fraction as
+    wide, until none holds more or the slots are single microseconds, so a series that crowds its rows into
+    one day is spread like any other. A block is named by its first microsecond. Only crowded
+    slots are told to the tasks; above ``CROWDED`` of them ``most`` grows, so that their table stays bounded.
+    Counting is a job of its own and reads ``df``.
+    """
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    slot = lambda width: floor_div(at, width) * F.lit(width)
+    out = df.withColumn(BLOCK, slot(width_us))
+    open_rows, width = df, width_us
+    while True:
+        counts = open_rows.filter(at.isNotNull()).groupBy(*keys, slot(width).alias(BLOCK)).agg(F.count("*").alias("_n"))
+        fullest, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+        most = max(most, -(-(total or 0) // CROWDED))
+        if width == 1 or (fullest or 0) <= most:
+            return out
+        crowded = counts.filter(F.col("_n") > most).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(BLOCK).alias("_slot"))
+        crowded = F.broadcast(stored(crowded, "crowded"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        named = [f"_k{i}" for i in range(len(keys))]
+        open_rows = open_rows.join(crowded, [*same, slot(width) == F.col("_slot")], "left_semi")
+        narrow = finer(width)
+        # A slot of this width is a block's name only where no wider one was left whole.
+        out = out.join(crowded, [*same, F.col(BLOCK) == F.col("_slot"), slot(width) == F.col("_slot")], "left")
+        out = out.withColumn(BLOCK, F.when(F.col("_slot").isNotNull(), slot(narrow)).otherwise(F.col(BLOCK))).drop(*named, "_slot")
+        width = narrow
+
+
 def spread_steps(
     bounds: DataFrame,
     keys: Sequence[str],
@@ -58,7 +102,7 @@ def spread_steps(
     low = floor_div(F.col(first), block_steps)
     high = floor_div(F.col(last), block_steps)
     blocks = bounds.withColumn(BLOCK, F.explode(F.sequence(low, high)))
-    spread = blocks.repartition(partitions(bounds.sparkSession), *keys, BLOCK)
+    spread = blocks.repartition(*keys, BLOCK)
     begin = F.greatest(F.col(first), F.col(BLOCK) * F.lit(block_steps))
     end = F.least(F.col(last), F.col(BLOCK) * F.lit(block_steps) + F.lit(block_steps - 1))
     return spread.withColumn(out, F.explode(F.sequence(begin, end))).drop(BLOCK)
@@ -107,17 +151,19 @@ def with_previous(
     order: Sequence[str],
     value: Column,
     out: str,
-    block: Column,
+    block: Column | None = None,
 ) -> DataFrame:
     """Exact ``lag(value, 1)`` per series over rows with arbitrary gaps.
 
     Rows that have a predecessor inside their block are finished locally; the first row of
-    each block takes it from the summary of the last non-empty block before.
+    each block takes it from the summary of the last non-empty block before. Without ``block``
+    the rows carry the ``_block`` of ``equal_blocks``.
     """
-    columns = df.columns
-    rows = df.withColumn(BLOCK, block).withColumn("_value", F.struct(value.alias("v")))
-    # An explicit exchange with fixed columns: both branches below read the same one.
-    rows = rows.repartition(partitions(df.sparkSession), *keys, BLOCK)
+    columns = [c for c in df.columns if c != BLOCK]
+    rows = df if block is None else df.withColumn(BLOCK, block)
+    rows = rows.withColumn("_value", F.struct(value.alias("v")))
+    # An explicit exchange: both branches below read the same one.
+    rows = rows.repartition(*keys, BLOCK)
     window = block_window(keys, *order)
     local = rows.withColumn(out, F.lag("_value").over(window)).filter(F.col(out).isNotNull())
     moment = F.struct(*order)
@@ -152,7 +198,7 @@ def runs(
     """
     extra = extra or {}
     rows = df.withColumn(BLOCK, block).withColumn("_flag", F.coalesce(flag, F.lit(False)))
-    rows = rows.repartition(partitions(df.sparkSession), *keys, BLOCK)
+    rows = rows.repartition(*keys, BLOCK)
     window = block_window(keys, order)
     marked = rows.withColumns(
         {

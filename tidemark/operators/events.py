@@ -11,8 +11,10 @@ from tidemark.functions.numbers import direction, finite
 from tidemark.functions.timeline import HOUR_US
 from tidemark.operators.blocks import (
     BLOCK,
+    BLOCK_ROWS,
     KEYS,
     block_window,
+    equal_blocks,
     runs,
     time_block,
     with_previous,
@@ -335,15 +337,15 @@ def phase_errors(
     segment: str = "test",
     keys: Sequence[str] = KEYS,
     block_us: int = BLOCK_US,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Errors on rising and falling observations inside the window, per model and horizon."""
     cell = [*keys, "model", "horizon"]
     inside = forecasts.filter(
         (F.col("segment") == segment) & F.col("target").between(F.lit(start), F.lit(end))
     ).select(*cell, "target", "observed", "prediction")
-    rows = with_previous(
-        inside, cell, ["target"], F.col("observed"), "_before", time_block(F.col("target"), block_us)
-    )
+    placed = equal_blocks(inside, cell, "target", block_us, block_rows)
+    rows = with_previous(placed, cell, ["target"], F.col("observed"), "_before")
     step = finite(F.col("observed")) - finite(F.col("_before"))
     pair = finite(F.col("observed")).isNotNull() & finite(F.col("prediction")).isNotNull()
     signed = F.col("prediction") - F.col("observed")
@@ -380,12 +382,12 @@ def largest_change(
     time: str = "target",
     level: str = "observed",
     block_us: int = BLOCK_US,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Largest change between consecutive rows in a window; the first one on ties."""
     inside = rows.filter(F.col(time).between(F.lit(start), F.lit(end))).select(*keys, time, level)
-    pairs = with_previous(
-        inside, keys, [time], F.col(level), "_before", time_block(F.col(time), block_us)
-    )
+    placed = equal_blocks(inside, keys, time, block_us, block_rows)
+    pairs = with_previous(placed, keys, [time], F.col(level), "_before")
     change = F.col(level) - F.col("_before")
     early = -F.unix_micros(F.col(time).cast("timestamp"))
     best = pairs.groupBy(*keys).agg(

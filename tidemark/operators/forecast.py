@@ -11,12 +11,12 @@ from tidemark.functions.numbers import finite
 from tidemark.functions.timeline import shift_steps, step_micros
 from tidemark.operators.blocks import (
     BLOCK,
+    BLOCK_ROWS,
     CORE,
     DEFAULT_BLOCK_STEPS,
     KEYS,
     block_window,
-    partitions,
-    time_block,
+    equal_blocks,
     with_margin,
 )
 
@@ -139,33 +139,34 @@ def asof_join(
     time: str = "observed_at",
     values: Sequence[str] = ("water_level_m",),
     block_us: int = DAY_US,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Each request with the latest observation of its series at or before its time.
 
     The distinct request times and the observations are ordered together inside (keys, time
-    block); a time without an observation earlier in its block takes the last one of the
+    block) of bounded rows; a time without an observation earlier in its block takes the last one of the
     blocks before, from a table with one row per block. The answers are then joined back to
-    the requests, so many requests for one moment do not pile up in one window group. Times
-    must be unique per series in ``obs``.
+    the requests, so many requests for one moment do not pile up in one window group. Of
+    observations of one moment the one with the largest ``values`` is taken, compared in their order.
     """
     found = F.struct(F.col(time).alias("t"), *[F.col(v).alias(v) for v in values])
     right = obs.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_side"), found.alias("_seen"))
     moments = requests.select(*keys, F.col(at).alias("_t")).distinct().withColumn("_side", F.lit(1))
+    both = right.unionByName(moments, allowMissingColumns=True).filter(F.col("_t").isNotNull())
     rows = (
-        right.unionByName(moments, allowMissingColumns=True)
-        .withColumn(BLOCK, time_block(F.col("_t"), block_us))
+        equal_blocks(both, keys, "_t", block_us, block_rows)
         # Stated before the exchange: the joins below infer it on one side only.
         .filter(F.col(BLOCK).isNotNull())
-        .repartition(partitions(obs.sparkSession), *keys, BLOCK)
+        .repartition(*keys, BLOCK)
     )
     window = block_window(keys, "_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     local = (
-        rows.withColumn("_here", F.last("_seen", ignorenulls=True).over(window))
+        rows.withColumn("_here", F.max("_seen").over(window))
         .filter(F.col("_side") == 1)
         .select(*keys, BLOCK, "_t", "_here")
     )
     last = rows.groupBy(*keys, BLOCK).agg(
-        F.max_by("_seen", F.when(F.col("_seen").isNotNull(), F.col("_t"))).alias("_last")
+        F.max("_seen").alias("_last")
     )
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import differs, finite, share
 from tidemark.functions.text import OFFSET_PATTERN
 from tidemark.operators.blocks import (
+    BLOCK_ROWS,
     CORE,
     DEFAULT_BLOCK_STEPS,
     KEYS,
     block_window,
+    equal_blocks,
     position_block,
     runs,
-    time_block,
     with_margin,
     with_previous,
 )
@@ -114,12 +115,12 @@ def gap_statistics(
 
 
 def stamp_gaps(
-    obs: DataFrame, keys: Sequence[str] = KEYS, block_us: int = DAY_US
+    obs: DataFrame, keys: Sequence[str] = KEYS, block_us: int = DAY_US, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Microseconds between consecutive distinct stamps, counted per distinct gap."""
     stamps = obs.select(*keys, "observed_at").distinct()
-    block = time_block(F.col("observed_at"), block_us)
-    pairs = with_previous(stamps, keys, ["observed_at"], F.col("observed_at"), "_before", block)
+    placed = equal_blocks(stamps, keys, "observed_at", block_us, block_rows)
+    pairs = with_previous(placed, keys, ["observed_at"], F.col("observed_at"), "_before")
     gap = F.unix_micros(F.col("observed_at").cast("timestamp")) - F.unix_micros(
         F.col("_before").cast("timestamp")
     )
@@ -131,14 +132,14 @@ def stamp_gaps(
 
 
 def sampling_interval(
-    obs: DataFrame, keys: Sequence[str] = KEYS, block_us: int = DAY_US
+    obs: DataFrame, keys: Sequence[str] = KEYS, block_us: int = DAY_US, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Mode (smallest on ties), median, minimum and maximum gap in seconds.
 
     ``interval_minutes`` is the dominant interval: the median of the positive gaps. Series
     with fewer than two stamps carry NULLs.
     """
-    gaps = stamp_gaps(obs, keys, block_us)
+    gaps = stamp_gaps(obs, keys, block_us, block_rows)
     seconds = F.col("gap_us") / F.lit(1_000_000.0)
     stats = gaps.groupBy(*keys).agg(
         F.max_by("gap_us", F.struct(F.col("n"), -F.col("gap_us"))).alias("_mode"),

@@ -442,7 +442,7 @@ def longest_run(spark, sf):
 
 @query(
     "sampling_interval",
-    """WITH s AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS series_key, date_trunc('minute', ts) AS tt FROM events),
+    """WITH s AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS series_key, ts AS tt FROM events),
 g AS (SELECT series_key, epoch_us(tt) - epoch_us(lag(tt) OVER (PARTITION BY series_key ORDER BY tt)) AS d FROM s),
 c AS (SELECT series_key, d, count(*) AS n FROM g WHERE d IS NOT NULL GROUP BY 1, 2),
 m AS (SELECT series_key, d FROM c QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY n DESC, d) = 1),
@@ -452,8 +452,7 @@ SELECT k.series_key, m.d / 1e6 AS mode_seconds, med AS median_seconds, lo AS min
   med / 60 AS interval_minutes FROM k LEFT JOIN m USING (series_key) LEFT JOIN a USING (series_key)""",
 )
 def sampling_interval(spark, sf):
-    minutes = observations(spark, sf, "user_id").withColumn("observed_at", F.date_trunc("minute", "observed_at"))
-    return quality.sampling_interval(minutes)
+    return quality.sampling_interval(observations(spark, sf, "user_id"))
 
 
 @query(
