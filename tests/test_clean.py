@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import zoneinfo
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.functions import numbers, text
+from tidemark.functions import numbers, text, zones
 from tidemark.operators import clean, quality
 
 RAW = "series_key string, z_id string, time_d string, up_water_level string, row_position long"
@@ -65,12 +66,27 @@ def test_clock_change_times_are_refused_unless_the_offset_is_given(spark, value,
 def test_only_zones_with_clock_changes_are_checked(spark):
     for zone, changes in (("Asia/Shanghai", True), ("UTC", False), ("+08:00", False)):
         spark.conf.set("spark.sql.session.timeZone", zone)
-        assert text.zone_changes(spark) is changes
+        assert bool(zones.changed_spans(zones.session_zone(spark))) is changes
     spark.conf.set("spark.sql.session.timeZone", "Asia/Shanghai")
     df = spark.createDataFrame([("2024-06-01 01:30:00",)], "t string")
     assert text.with_timestamp(df, "t", "at").first()["at"] is not None
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Singapore", "Australia/Lord_Howe", "Pacific/Apia", "Europe/Lisbon"])
+def test_wall_times_at_the_edges_of_every_change(spark, zone):
+    """Refused is exactly what Python finds to have two offsets; Singapore once moved by 20 minutes, Lord Howe moves by 30, Apia lost a day."""
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    here = zoneinfo.ZoneInfo(zone)
+    spans = zones.changed_spans(here)
+    assert list(spans) == sorted(spans) and all(a < b for a, b in spans)
+    walls = {dt.datetime(1970, 1, 1) + dt.timedelta(seconds=s) for a, b in spans for s in (a - 1, a, (a + b) // 2, b - 1, b)}
+    walls |= {dt.datetime(1933, 1, 1, 0, m) for m in (0, 19, 20)}
+    df = spark.createDataFrame([(w.strftime("%Y-%m-%d %H:%M:%S"),) for w in walls if 1901 < w.year < 2099], "t string")
+    for r in text.with_timestamp(df, "t", "at").select("t", F.col("at").isNotNull().alias("ok")).collect():
+        w = dt.datetime.strptime(r.t, "%Y-%m-%d %H:%M:%S")
+        assert r.ok == (w.replace(tzinfo=here, fold=0).utcoffset() == w.replace(tzinfo=here, fold=1).utcoffset()), r.t
+
+
 def test_scalar_helpers(spark):
     df = spark.createDataFrame([("1001.0", " TRUE ", 1.0, None), ("a.0", "0.0", 0.0, 2.0)], "i string, b string, x double, y double")
     got = df.select(

@@ -33,6 +33,22 @@ UTC = dt.timezone.utc
         ("2026-W01", "2025-12-29 00:00:00"),
         ("01/31/2026 5:06", "2026-01-31 05:06:00"),
         ("　2026-01-01\t", "2026-01-01 00:00:00"),
+        ("1 Jan 2026 08:00", "2026-01-01 08:00:00"),
+        ("01-Jan-2026", "2026-01-01 00:00:00"),
+        ("Jan 1, 2026 8:00 AM", "2026-01-01 08:00:00"),
+        ("2026-01-01 08:00 PM", "2026-01-01 20:00:00"),
+        ("2026.01.01 08:00", "2026-01-01 08:00:00"),
+        ("2026-01-01T08+08", "2026-01-01 00:00:00"),
+        ("Thu, 01 Jan 2026 08:00:00 +0000", "2026-01-01 08:00:00"),
+        ("31/01/2026 12:05 am", "2026-01-31 00:05:00"),
+        ("2026-01-01T08:00:00.123456789+05:30", "2026-01-01 02:30:00"),
+        ("2026-01-01 08:00 GMT", "2026-01-01 08:00:00"),
+        ("2026-1-2 3:04", "2026-01-02 03:04:00"),
+        ("2026-01-01 13:00 PM", None),
+        ("2026-02-30", None),
+        ("2026-13-01 08:00", None),
+        ("32 Jan 2026", None),
+        ("2026-01-01 08:00 nonsense", None),
         ("2026-01-01 25:00:00", None),
         ("12:30", None),
         ("Jux 1 2026", None),
@@ -111,3 +127,11 @@ print(models.fit_ridge(df).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert out.stdout.split()[-1:] == ["4"], out.stderr[-2000:]
+
+
+def test_plain_times_are_parsed_as_they_stand(spark):
+    """Every form of the fast path is read alike by the table of spellings."""
+    forms = ["2026-01-05", "2026-01-05 06:07", "2026-01-05T06:07", "2026-01-05 06:07:08", "2026-01-05T06:07:08.9", "2026-01-05 06:07:08.123456", "2026-01-05T06:07:08Z", "2026-01-05T06:07:08.5+08:00", "2026-01-05 06:07:08-03:30"]
+    df = spark.createDataFrame([(f,) for f in forms], "t string").withColumn("padded", F.concat(F.lit(" "), "t", F.lit("  ")))
+    rows = text.with_timestamp(text.with_timestamp(df, "t", "a"), "padded", "b").collect()
+    assert all(r.a is not None and r.a == r.b for r in rows)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.zones import session_zone
+from tidemark.functions.zones import changed_spans, session_zone
 
 # The accepted forms of a decimal number and of a local offset.
 NUMBER_PATTERN = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
@@ -55,71 +55,108 @@ def has_offset(text: Column) -> Column:
 # Month names by number.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
+# The form that is parsed as it stands, and a clock in any of its spellings.
+PLAIN = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:\d{2})?)?)?$"
+CLOCK = (
+    r"(?i)^(?:\s*T|\s*,?\s+)(\d{1,2})(?::?(\d{2}))?(?::?(\d{2})(?:[.,](\d{1,9}))?)?"
+    r"(?:\s*([ap])\.?m\.?)?(?:\s*(z|utc|gmt|[+-]\d{2}(?::?\d{2})?))?$"
+)
+
+# Spellings of a date with the groups of its year, month and day; the last group is the rest. The first that fits holds.
+DATES = (
+    (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(|[T ,].*)$", 1, 2, 3),
+    (r"^(\d{4})(\d{2})(\d{2})(|[T ].*)$", 1, 2, 3),
+    (r"^(1[3-9]|[23]\d)[-/.](\d{1,2})[-/.](\d{4})(|[T ,].*)$", 3, 2, 1),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(|[T ,].*)$", 3, 1, 2),
+    (r"(?i)^(?:[a-z]{3,9},?\s+)?(\d{1,2})[-\s]([a-z]{3,9})\.?[-,\s]+(\d{4})(|[T ,].*)$", 3, 2, 1),
+    (r"(?i)^(?:[a-z]{3,9},?\s+)?([a-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})(|[T ,].*)$", 3, 1, 2),
+)
+WEEK = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?(|[T ].*)$"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _month(text: Column) -> Column:
+    """Month number of digits or of a name; NULL for other words."""
+    named = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(text, 1, 3))), F.lit(0))
+    return F.coalesce(text.try_cast("long"), named)
+
+
+def _date_and_rest(text: Column) -> Column:
+    """``(date, rest)`` by the first spelling that fits, NULL without one."""
+    week = lambda i: F.regexp_extract(text, WEEK, i)
+    fourth = F.try_to_date(F.concat(week(1), F.lit("-01-04")))
+    days = (week(2).try_cast("int") - 1) * 7 + F.coalesce(week(3).try_cast("int"), F.lit(1)) - 1
+    by_week = F.date_add(F.date_sub(fourth, F.weekday(fourth)), days).cast("string")
+    out = F.when(F.rlike(text, F.lit(WEEK)), F.struct(by_week.alias("date"), week(4).alias("rest")))
+    for pattern, year, month, day in DATES:
+        part = lambda i, pattern=pattern: F.regexp_extract(text, pattern, i)
+        date = F.concat(part(year), F.lit("-"), F.lpad(_month(part(month)).cast("string"), 2, "0"), F.lit("-"), F.lpad(part(day), 2, "0"))
+        out = out.when(F.rlike(text, F.lit(pattern)), F.struct(date.alias("date"), part(4).alias("rest")))
+    return out
+
+
+def _clock(rest: Column) -> Column:
+    """``HH:mm:ss`` with fraction and offset from any of its spellings; midnight without one, NULL if unreadable."""
+    part = lambda i: F.regexp_extract(rest, CLOCK, i)
+    hour, half, offset = part(1).try_cast("int"), F.lower(part(5)), F.upper(part(6))
+    on_dial = F.when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+    shown = F.lpad(F.when(half == "", hour).otherwise(on_dial).cast("string"), 2, "0")
+    fraction = F.when(part(4) != "", F.concat(F.lit("."), F.substring(part(4), 1, 6))).otherwise("")
+    named = F.when(offset.isin("Z", "UTC", "GMT"), F.lit("Z")).when(offset == "", F.lit(""))
+    spelt = F.concat(F.substring(offset, 1, 3), F.lit(":"), F.rpad(F.regexp_replace(F.substring(offset, 4, 3), ":", ""), 2, "0"))
+    two = lambda i: F.when(part(i) == "", F.lit("00")).otherwise(part(i))
+    clock = F.concat(F.lit(" "), shown, F.lit(":"), two(2), F.lit(":"), two(3), fraction, F.coalesce(named, spelt))
+    return F.when(F.trim(rest) == "", F.lit(" 00:00:00")).when(F.rlike(rest, F.lit(CLOCK)), clock)
+
 
 def iso_text(text: Column) -> Column:
     """Accepted spellings of a time in the ISO form; NULL without a date.
 
-    Understood are slashes or nothing between the parts of a date, month first with slashes when the year comes last, names of
-    months, ISO weeks, clocks without colons, and offsets without minutes or colon.
+    The plain form is taken as it stands. Else the text is trimmed and its date is read by an ordered table of spellings:
+    dashes, slashes, dots or nothing between the parts, month first when the year comes last (day first where
+    the month would be above 12), names of months with or without a weekday, ISO weeks. The clock may lack
+    colons, minutes or seconds, and may carry AM or PM and an offset of any length.
     """
-    named = r"(?i)^([a-z]{3})[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})(.*)$"
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.regexp_extract(text, named, 1)))
-    by_name = F.concat_ws("-", F.regexp_extract(text, named, 3), month.cast("string"), F.regexp_extract(text, named, 2))
-    week = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?((?:[T ].*)?)$"
-    fourth = F.try_to_date(F.concat(F.regexp_extract(text, week, 1), F.lit("-01-04")))
-    days = (F.regexp_extract(text, week, 2).try_cast("int") - 1) * 7 + F.coalesce(
-        F.regexp_extract(text, week, 3).try_cast("int"), F.lit(1)
-    ) - 1
-    by_week = F.date_add(F.date_sub(fourth, F.weekday(fourth)), days).cast("string")
-    spelt = (
-        F.when(F.rlike(text, F.lit(named)) & (month > 0), F.concat(by_name, F.regexp_extract(text, named, 4)))
-        .when(F.rlike(text, F.lit(week)), F.concat(by_week, F.regexp_extract(text, week, 4)))
-        .otherwise(text)
-    )
-    for pattern, form in (
-        (r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"),
-        (r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"),
-        (r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3"),
-        (r"([T ]\d{2})(\d{2})(\d{2})(?=$|[.,Z+-])", "$1:$2:$3"),
-        (r"([T ]\d{2})(\d{2})(?=$|[Z+-])", "$1:$2"),
-        (r"([T ][\d:.]+[+-]\d{2})$", "$1:00"),
-        (r"([T ][\d:.]+[+-]\d{2})(\d{2})$", "$1:$2"),
-        (r"([T ]\d{1,2}:\d{2})(?=[Z+-])", "$1:00"),
-    ):
-        spelt = F.regexp_replace(spelt, pattern, form)
-    return F.when(F.rlike(spelt, F.lit(r"^\d{4}-\d{1,2}-\d{1,2}")), spelt)
-
-
-def zone_changes(spark: SparkSession) -> bool:
-    """False when the session zone has one offset for all time, so nothing can be ambiguous."""
-    zone = session_zone(spark)
-    days = (datetime(year, month, 1, tzinfo=zone) for year in range(1900, 2101) for month in (1, 4, 7, 10))
-    return len({day.utcoffset() for day in days}) > 1
+
+    def read(trim: Column) -> Column:
+        return let(_date_and_rest(trim), lambda p: F.concat(p["date"], let(p["rest"], _clock)))
+
+    return F.when(F.rlike(text, F.lit(PLAIN)), text).otherwise(let(optional_text(text), read))
+
+
+def refused_wall(wall: Column, spans: Sequence[tuple[int, int]]) -> Column:
+    """Whether a zone-less time lies in one of the sorted ``(first, end)`` spans of wall seconds, by binary search."""
+    if not spans:
+        return F.lit(False)
+    seconds = F.unix_date(F.to_date(wall)).cast("long") * 86_400 + F.hour(wall) * 3600 + F.minute(wall) * 60 + F.second(wall)
+    firsts = F.array(*[F.lit(a).cast("long") for a, _ in spans])
+    ends = F.array(*[F.lit(b).cast("long") for _, b in spans])
+    steps = F.array(*[F.lit(1 << k) for k in range(len(spans).bit_length() - 1, -1, -1)])
+
+    def look(at: Column) -> Column:
+        last = F.aggregate(steps, F.lit(-1), lambda i, step: F.when(F.get(firsts, i + step) <= at, i + step).otherwise(i))
+        return (last >= 0) & (at < F.get(ends, last))
+
+    return F.coalesce(let(seconds, lambda at: F.coalesce(look(at), F.lit(False))), F.lit(False))
 
 
 def with_timestamp(df: DataFrame, source: str, out: str) -> DataFrame:
     """Add the instant of a text: its ISO form, a date alone means midnight, unusable is NULL.
 
     A naive wall time that a clock change of the session zone skips or repeats is refused,
-    because no offset may be guessed. A skipped time comes back moved forward, so it differs
-    from its zone-less parse; a repeated time is printed again by an instant shortly after.
-    The steps are columns of their own, so each is evaluated once per row.
+    because no offset may be guessed. The zone's skipped and repeated spans are a short sorted table.
     """
-    stepped = df.withColumn("_text", iso_text(optional_text(F.col(source)))).withColumn(
-        "_instant", F.try_to_timestamp("_text")
-    )
-    value = F.col("_instant")
-    if zone_changes(df.sparkSession):
-        stepped = stepped.withColumn("_wall", F.col("_text").try_cast("timestamp_ntz"))
-        repeated = F.lit(False)
-        for minutes in (30, 60, 120):
-            later = F.timestamp_micros(F.unix_micros("_instant") + F.lit(minutes * 60_000_000))
-            repeated = repeated | (later.cast("timestamp_ntz") == F.col("_wall"))
-        moved = ~F.col("_instant").cast("timestamp_ntz").eqNullSafe(F.col("_wall"))
-        refused = ~has_offset(F.col("_text")) & (moved | F.coalesce(repeated, F.lit(False)))
-        value = F.when(~F.coalesce(refused, F.lit(False)), F.col("_instant"))
-        return stepped.withColumn(out, value).drop("_text", "_instant", "_wall")
-    return stepped.withColumn(out, value).drop("_text", "_instant")
+    stepped = df.withColumn("_text", iso_text(F.col(source).cast("string")))
+    instant = F.try_to_timestamp("_text")
+    spans = changed_spans(session_zone(df.sparkSession))
+    if spans:
+        wall = F.col("_text").try_cast("timestamp_ntz")
+        instant = F.when(has_offset(F.col("_text")) | ~refused_wall(wall, spans), instant)
+    return stepped.withColumn(out, instant).drop("_text")
 
 
 def level_state(c: Column) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from datetime import timedelta, timezone, tzinfo
+from datetime import datetime, timedelta, timezone, tzinfo
+from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import SparkSession
@@ -21,3 +22,29 @@ def session_zone(spark: SparkSession) -> tzinfo:
         size = timedelta(hours=int(hours), minutes=int(minutes or 0))
         return timezone(size if sign == "+" else -size)
     return ZoneInfo("UTC" if name in ("Z", "UT") else name)
+
+
+@lru_cache
+def changed_spans(zone: tzinfo, first: int = 1900, last: int = 2100) -> tuple[tuple[int, int], ...]:
+    """The wall times that offset changes skip or repeat, as sorted ``(first, end)`` seconds since 1970 of the wall clock.
+
+    A change of offset at an instant skips or repeats the wall times between the instant under the smaller and
+    under the larger offset. Changes are found a week apart or more and narrowed down to the second.
+    """
+    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+    def offset(at: int) -> int:
+        return int((epoch + timedelta(seconds=at)).astimezone(zone).utcoffset().total_seconds())
+
+    begin, end = (int((datetime(y, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds()) for y in (first, last))
+    spans = []
+    for low in range(begin, end, 7 * 86_400):
+        high = low + 7 * 86_400
+        before, after = offset(low), offset(high)
+        if before == after:
+            continue
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if offset(middle) == before else (low, middle)
+        spans.append((high + min(before, after), high + max(before, after)))
+    return tuple(spans)

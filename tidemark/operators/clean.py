@@ -199,7 +199,7 @@ def latest_per_stamp(
     """Coerced rows, unusable ones dropped, one row per timestamp (the last by position)."""
     usable = rows.select(
         *keys,
-        F.try_to_timestamp(iso_text(optional_text(F.col("time_d")))).alias("observed_at"),
+        F.try_to_timestamp(iso_text(F.col("time_d").cast("string"))).alias("observed_at"),
         finite(F.col("up_water_level").try_cast("double")).alias("_level"),
         position.alias("_at"),
     ).filter(F.col("observed_at").isNotNull() & F.col("_level").isNotNull())
@@ -210,7 +210,7 @@ def latest_per_stamp(
 
 def sample_notes(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Counters that accompany ``latest_per_stamp``: totals and dropped rows by cause."""
-    stamp = F.try_to_timestamp(iso_text(optional_text(F.col("time_d"))))
+    stamp = F.try_to_timestamp(iso_text(F.col("time_d").cast("string")))
     level = finite(F.col("up_water_level").try_cast("double"))
     usable = stamp.isNotNull() & level.isNotNull()
     per_stamp = rows.groupBy(*keys, stamp.alias("_stamp")).agg(

@@ -306,14 +306,23 @@ def sample_notes(spark, sf):
 SELECT event_id, CAST(k AS VARCHAR) AS numeric_id,
   CASE WHEN k = 1 THEN TRUE WHEN k = 0 THEN FALSE END AS flag,
   upper(event_type) AS label, CAST(hour(ts) AS BIGINT) AS hour_of_day, CAST(month(ts) AS BIGINT) AS month,
-  ts + k * INTERVAL 1 HOUR AS shifted, CASE WHEN k > 0 THEN value / k END AS ratio FROM e""",
+  ts + k * INTERVAL 1 HOUR AS shifted, CASE WHEN k > 0 THEN value / k END AS ratio,
+  CASE event_id % 9 WHEN 1 THEN date_trunc('day', ts) WHEN 5 THEN date_trunc('hour', ts) - INTERVAL 8 HOUR WHEN 6 THEN date_trunc('second', ts)
+    WHEN 7 THEN ts WHEN 8 THEN NULL ELSE date_trunc('minute', ts) END AS spelt FROM e""",
 )
 def scalar_coercion(spark, sf):
     k = F.col("k")
     ts = F.col("ts").cast("timestamp")
     clock = timeline.clock_features(ts)
-    return table(spark, sf, "events").withColumn("k", prop()).select(
+    forms = ("d MMM yyyy HH:mm", "dd-MMM-yyyy", "MMM d, yyyy h:mm a", "yyyy-MM-dd hh:mm a", "yyyy.MM.dd HH:mm", "yyyy-MM-dd'T'HH'+08'",
+             "EEE, dd MMM yyyy HH:mm:ss '+0000'", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    spelt = F.lit("no time")
+    for n, form in enumerate(forms):
+        spelt = F.when(F.col("event_id") % 9 == n, F.date_format(ts, form)).otherwise(spelt)
+    rows = table(spark, sf, "events").withColumns({"k": prop(), "stamp": spelt})
+    return text.with_timestamp(rows, "stamp", "spelt").select(
         "event_id",
+        "spelt",
         text.record_id(k.cast("double").cast("string"), numeric_source=True).alias("numeric_id"),
         text.boolean_text(F.concat(F.lit(" "), k.cast("string"), F.lit(".0"))).alias("flag"),
         text.optional_text(F.concat(F.lit(" "), F.upper("event_type"), F.lit(" "))).alias("label"),
@@ -324,6 +333,30 @@ def scalar_coercion(spark, sf):
     )
 
 
+@query(
+    "zone_stamps",
+    """WITH e AS (SELECT event_id, event_id % 300 AS m FROM events),
+w AS (SELECT event_id, m, CASE event_id % 3 WHEN 0 THEN TIMESTAMP '2024-03-10' WHEN 1 THEN TIMESTAMP '2024-11-03' ELSE TIMESTAMP '2024-07-01' END + m * INTERVAL 1 MINUTE AS t FROM e)
+SELECT event_id, CAST(CASE event_id % 3
+  WHEN 0 THEN CASE WHEN m < 120 THEN epoch(t) + 18000 WHEN m >= 180 THEN epoch(t) + 14400 END
+  WHEN 1 THEN CASE WHEN m < 60 THEN epoch(t) + 14400 WHEN m >= 120 THEN epoch(t) + 18000 END
+  ELSE epoch(t) + 14400 END AS BIGINT) AS at_second FROM w""",
+)
+def zone_stamps(spark, sf):
+    """Wall times of New York around both clock changes: what an hour skips or repeats is refused."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    day = F.when(F.col("event_id") % 3 == 0, "2024-03-10").when(F.col("event_id") % 3 == 1, "2024-11-03").otherwise("2024-07-01")
+    minute = (F.col("event_id") % 300).cast("int")
+    clock = F.format_string("%s %02d:%02d:00", day, F.floor(minute / 60).cast("int"), minute % 60)
+    rows = table(spark, sf, "events").select("event_id", clock.alias("stamp"))
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        # Stored while the zone holds: what is read from it does not depend on the session.
+        return stored(text.with_timestamp(rows, "stamp", "at").select("event_id", F.unix_seconds("at").alias("at_second")), "stamps")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 @query(
     "uniform_offset",
     """WITH e AS (SELECT event_type, '+0' || CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) < 50 THEN '8' ELSE '1' END || ':00' AS o, ts FROM events)
