@@ -74,6 +74,33 @@ def test_archive_errors(spark, tmp_path):
             archives.read_shards(spark, str(folder)).collect()
 
 
+def test_members_of_one_archive_are_tasks_of_their_own(spark, tmp_path):
+    line = "2022-06-02 00:00:00,3.1,{}\n"
+    members = {f"{m:02}.csv": "监测时间,实时水位,主键\n" + "".join(line.format(m * 1000 + i) for i in range(300)) for m in range(40)}
+    (tmp_path / "big.zip").write_bytes(gbk_zip(members))
+    rows = archives.read_shards(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r._member_no, r._pos, r.z_id) for r in rows) == [(m, i, str(m * 1000 + i)) for m in range(40) for i in range(300)]
+    assert len({r.task for r in rows}) > 1
+
+
+def test_packed_shards_come_back(spark):
+    table = spark.range(500).selectExpr(
+        "concat('a', id % 3) AS archive", "concat(id % 7, '.csv') AS member", "id AS _pos", "cast(id AS string) AS z_id",
+        "if(id % 5 = 0, null, '水位,\"x\"') AS up_water_level", "'2022-06-02 00:00:00' AS time_d",
+    )
+    back = archives.unpack_shards(archives.pack_shards(table, "archive", "member"))
+    got = sorted((r._file, r._member, r.z_id, r.up_water_level or None) for r in back.collect())
+    assert got == sorted((r.archive, r.member, r.z_id, r.up_water_level) for r in table.collect())
+
+
+def test_damaged_members_fail(spark):
+    good = gbk_zip({"1.csv": "监测时间,实时水位,主键\nx,1,7\n"})
+    bad = good.replace(b"x,1,7", b"x,1,8")
+    assert good != bad
+    with pytest.raises(Exception, match="damaged"):
+        archives.unpack_shards(spark.createDataFrame([("a.zip", bytearray(bad))], "path string, content binary")).collect()
+
+
 def test_extracted_shards(spark, tmp_path):
     (tmp_path / "s.csv").write_bytes("监测时间,实时水位,主键\n2022-06-02,3.1,7\n".encode("gbk"))
     rows = archives.read_extracted_shards(spark, str(tmp_path / "s.csv"))

@@ -13,7 +13,7 @@ from tidemark.plans import runs
 from tidemark.plans.stage import shared_folder, stored
 from tidemark.schemas import GRID
 from tidemark.sinks import tables
-from tidemark.sources import files
+from tidemark.sources import archives, files
 from workload import sqltext as S
 from workload.bindings import observations, rain_points, raw_records, table
 from workload.queries import AS_OF, RISK_SQL, SQL, artifacts, filled, query, user_thresholds
@@ -56,6 +56,29 @@ def json_round_trip(spark, sf):
     return files.read_raw(spark, path).select("z_id", "time_d", "station_code", "note", "station_name")
 
 
+@query(
+    "archive_round_trip",
+    """SELECT CAST(event_id // 3000 AS VARCHAR) || '.zip' AS archive, CAST(event_id % 7 AS VARCHAR) || '.csv' AS member, count(*) AS rows,
+  CAST(count(DISTINCT event_id // 2) AS BIGINT) AS unique_rows, CAST(sum(event_id) AS BIGINT) AS ids, max(event_type || '水位') AS level, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS last_time
+FROM events GROUP BY event_id // 3000, event_id % 7""",
+)
+def archive_round_trip(spark, sf):
+    """Shards in a Chinese encoding, packed into archives of at most 3000 rows, landed and read back member by member."""
+    rows = table(spark, sf, "events").select(
+        F.concat(F.floor(F.col("event_id") / 3000).cast("string"), F.lit(".zip")).alias("archive"),
+        F.concat((F.col("event_id") % 7).cast("string"), F.lit(".csv")).alias("member"),
+        F.col("event_id").alias("_pos"), F.col("event_id").cast("string").alias("z_id"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time_d"), F.concat("event_type", F.lit("水位")).alias("up_water_level"),
+    )
+    landed = stored(archives.pack_shards(rows, "archive", "member"), "landed")
+    back = archives.unpack_shards(landed)
+    number = F.col("z_id").cast("long")
+    return back.groupBy(F.col("_file").alias("archive"), F.col("_member").alias("member")).agg(
+        F.count("*").alias("rows"), F.count_distinct(F.floor(number / 2)).alias("unique_rows"), F.sum(number).alias("ids"),
+        F.max("up_water_level").alias("level"), F.max("time_d").alias("last_time"),
+    )
+
+
 GRID_SQL = f"WITH {S.grid(S.TYPE, 2)} SELECT series_key, tt AS observed_at, level AS water_level_m, imp AS is_imputed FROM grid"
 
 
