@@ -100,3 +100,29 @@ def test_as_of_with_several_observations_of_one_moment(spark):
     for most in (1, 1000):
         got = {(r.series_key, r.as_of): r.water_level_m for r in forecast.asof_join(asked, obs, block_rows=most).collect()}
         assert list(got[k] for k in sorted(got)) == [None, 9.0, 3.0, 3.0, None]
+
+
+@pytest.mark.parametrize("width", [1, 7, 4096])
+def test_gap_statistics_count_every_kind_of_row(spark, width):
+    """Missing rows, infinite ones, and two rows of one stamp, whatever the blocks."""
+    level = [1.0, None, None, 2.0, float("inf"), None, 3.0, None, None, None, 4.0, float("nan"), None]
+    rows = [("a", i, START + dt.timedelta(hours=i), v) for i, v in enumerate(level)] + [("a", 3, START + dt.timedelta(hours=3), 2.5), ("b", 0, START, 1.0)]
+    df = spark.createDataFrame(rows, "series_key string, grid_pos long, observed_at timestamp, water_level_m double")
+    got = {r.series_key: r for r in quality.gap_statistics(df, block_steps=width).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.expected_buckets, a.observed_buckets, a.missing_buckets, a.total_missing_steps) == (14, 7, 7, 7)
+    assert (a.duplicate_timestamps, a.non_finite_values, a.gap_segments, a.longest_gap) == (1, 9, 4, 3)
+    assert (a.gap_p50, a.longest_gap_start, a.first_at, a.last_at) == (1.5, START + dt.timedelta(hours=7), START, START + dt.timedelta(hours=12))
+    assert (b.expected_buckets, b.missing_buckets, b.gap_segments, b.gap_p50, b.longest_gap_start) == (1, 0, 0, None, None)
+
+
+def test_gap_statistics_read_the_grid_once(spark):
+    df = spark.range(1000).selectExpr("'a' AS series_key", "id AS grid_pos", "timestamp_seconds(id * 3600) AS observed_at", "if(id % 7 < 2, null, 1D) AS water_level_m")
+    df.write.mode("overwrite").saveAsTable("one_grid")
+    try:
+        frame = quality.gap_statistics(spark.table("one_grid"))
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[0].count("FileScan") == 1
+    finally:
+        spark.sql("DROP TABLE one_grid")

@@ -77,17 +77,20 @@ def test_quantiles_leave_few_values_to_order(spark):
         "lognormal": rng.lognormal(0, 8, 20000),
         "pareto": rng.pareto(0.3, 20000),
         "signed": rng.normal(size=20000) ** 3,
+        "nested": np.concatenate((1 + 1e-12 * rng.uniform(size=20000), [1e300, 1.2, 1.0001, 1.0000001])),
+        "repeated": np.concatenate((np.full(15000, 3.0), rng.uniform(size=5000))),
     }
     rows = [(k, float(v)) for k, vs in columns.items() for v in vs]
     df = spark.createDataFrame(rows, "k string, v double")
-    counts = df.groupBy("k", F.col("v").alias("_v")).agg(F.count("*").alias("_n"))
-    span = counts.groupBy("k").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("n"))
-    state = span.select("k", "n", "_lo", "_hi", F.lit(0).cast("long").alias("_before"), F.lit(0.5).alias("quantile"), F.lit(10000).cast("long").alias("_rank"))
-    for _ in range(2):
-        state = quantiles._narrowed(counts, state, ["k"], 64)
+    counts = df.groupBy("k", F.col("v").alias("_v")).agg(F.count("*").alias("_n")).cache()
+    span = counts.groupBy("k").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("n"), F.count("*").alias("_left"))
+    state = span.select("k", "n", "_lo", "_hi", "_left", F.lit(0).cast("long").alias("_before"), F.lit(0.5).alias("quantile"), F.lit(10000).cast("long").alias("_rank"))
+    once = quantiles._narrowed(counts, state, ["k"], 64)
+    assert max(r["_left"] for r in once.collect()) <= 20001 * 0.06
+    state = quantiles.located(counts, state, ["k"], 64, 64)
     left = counts.join(state, "k").where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).groupBy("k").count()
-    assert max(r["count"] for r in left.collect()) <= 200
-    got = {(r.k, r.quantile): r.value for r in quantiles.exact_quantiles(df, "v", [0.0, 0.5, 0.99, 1.0], ["k"]).collect()}
+    assert max(r["count"] for r in left.collect()) <= 64
+    got = {(r.k, r.quantile): r.value for r in quantiles.exact_quantiles(df, "v", [0.0, 0.5, 0.99, 1.0], ["k"], most=64).collect()}
     for (k, q), value in got.items():
         assert np.isclose(value, np.quantile(columns[k], q), rtol=1e-12)
 

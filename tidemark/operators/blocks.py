@@ -185,12 +185,18 @@ def runs(
     flag: Column,
     block: Column,
     extra: dict[str, Merge] | None = None,
+    rest: bool = False,
 ) -> DataFrame:
     """Maximal runs of consecutive rows with ``flag`` true, one output row per run.
 
     Output: keys, ``run_start``, ``run_end`` (values of ``order``), ``run_length`` and the
     ``extra`` aggregates, each given as ``(row aggregate, merge function over the partial
-    column)``.
+    column)``. Row aggregates may read ``_again``, which marks a row with the same
+    ``order`` as the one before it in its block.
+
+    With ``rest`` a series has one more row, with ``flagged`` false, for all its rows outside runs: their
+    first and last ``order``, their count, and the same aggregates. So what is asked of all
+    rows comes from the exchange that finds the runs.
 
     Runs are first built inside each block. Those that touch no block edge are final. The at
     most two edge runs of a block are kept in one row per block, chained over consecutive
@@ -204,6 +210,7 @@ def runs(
         {
             "_before": F.lag("_flag").over(window),
             "_after": F.lead("_flag").over(window),
+            "_again": F.coalesce(F.lag(order).over(window) == F.col(order), F.lit(False)),
         }
     )
     start = F.col("_flag") & ~F.coalesce("_before", F.lit(False))
@@ -221,12 +228,14 @@ def runs(
     )
     names = ["run_start", "run_end", "run_length", *extra]
     flagged = F.col("_run") > 0
-    inner = pieces.filter(flagged & ~F.col("_at_head") & ~F.col("_at_tail")).select(*keys, *names)
+    shown = [F.lit(True).alias("flagged")] if rest else []
+    inner = pieces.filter(flagged & ~F.col("_at_head") & ~F.col("_at_tail")).select(*keys, *names, *shown)
     # At most one piece of a block touches its head and one its tail.
     piece = F.struct("_run", *names)
     edges = pieces.groupBy(*keys, BLOCK).agg(
         F.max_by(piece, F.when(flagged & F.col("_at_head"), F.lit(1))).alias("_head"),
         F.max_by(piece, F.when(flagged & F.col("_at_tail"), F.lit(1))).alias("_tail"),
+        F.max_by(piece, F.when(~flagged, F.lit(1))).alias("_rest"),
     )
     series = _across(keys)
     head, tail = F.col("_head").isNotNull(), F.col("_tail").isNotNull()
@@ -242,6 +251,8 @@ def runs(
     parts = F.array(
         F.struct((F.col("_chain") - F.col("_own_tail")).alias("_chain"), F.col("_head").alias("_p")),
         F.struct("_chain", F.when(F.col("_own_tail") == 1, F.col("_tail")).alias("_p")),
+        # All rows outside runs are one chain.
+        *([F.struct(F.lit(-1).cast("long").alias("_chain"), F.col("_rest").alias("_p"))] if rest else []),
     )
     merge = {"run_start": F.min, "run_end": F.max, "run_length": F.sum}
     merge.update({name: function for name, (_, function) in extra.items()})
@@ -251,6 +262,6 @@ def runs(
         .select(*keys, "_chain", "_p.*")
         .groupBy(*keys, "_chain")
         .agg(*[merge[name](name).alias(name) for name in names])
-        .drop("_chain")
+        .select(*keys, *names, *([(F.col("_chain") >= 0).alias("flagged")] if rest else []))
     )
     return inner.unionByName(outer)

@@ -75,42 +75,56 @@ def top_gaps(gaps: DataFrame, n: int = 10, keys: Sequence[str] = KEYS) -> DataFr
 def gap_statistics(
     grid: DataFrame, keys: Sequence[str] = KEYS, block_steps: int = DEFAULT_BLOCK_STEPS
 ) -> DataFrame:
-    """Bucket counts and the distribution of gap lengths.
+    """Bucket counts, repeated stamps, values that are no finite number, and the distribution of gap lengths.
 
+    Runs and the rows between them carry the same counters, so all of it comes from one exchange of the grid.
     Lengths are counted per distinct value first. Distinct lengths of one series are at most
     the square root of twice its rows, which bounds the exact percentile state.
     """
-    cells = grid.groupBy(*keys).agg(
-        F.min("observed_at").alias("first_at"),
-        F.max("observed_at").alias("last_at"),
-        F.count("*").alias("expected_buckets"),
-        F.count("water_level_m").alias("observed_buckets"),
-    )
-    lengths = missing_runs(grid, keys, block_steps).groupBy(*keys, "run_length").agg(
-        F.count("*").alias("_n"), F.min(F.struct("start_at", "end_at")).alias("_first")
-    )
-    quantiles = F.percentile("run_length", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), F.col("_n"))
-    gaps = lengths.groupBy(*keys).agg(
-        F.sum("_n").alias("gap_segments"),
-        quantiles.alias("_q"),
-        F.max("run_length").alias("longest_gap"),
-        F.max_by("_first", "run_length").alias("_longest"),
+    level = F.col("water_level_m")
+    slim = grid.select(*keys, "observed_at", position_block(F.col("grid_pos"), block_steps).alias("_at"), "water_level_m")
+    counters = {
+        "non_finite": (F.count_if(finite(level).isNull()), F.sum),
+        "repeated": (F.count_if(F.col("_again")), F.sum),
+    }
+    found = runs(slim, keys, "observed_at", level.isNull(), F.col("_at"), counters, rest=True)
+    length = F.when(F.col("flagged"), F.col("run_length"))
+    lengths = found.groupBy(*keys, length.alias("length")).agg(
+        F.count("*").alias("_n"),
+        F.sum("run_length").alias("_rows"),
+        F.min("run_start").alias("first_at"),
+        F.max("run_end").alias("last_at"),
+        F.sum("non_finite").alias("_non_finite"),
+        F.sum("repeated").alias("_repeated"),
+        F.min(F.struct(F.col("run_start").alias("start_at"), F.col("run_end").alias("end_at"))).alias("_first"),
     )
-    return cells.join(gaps, list(keys), "left").select(
-        *keys,
-        "first_at",
-        "last_at",
-        "expected_buckets",
-        "observed_buckets",
-        (F.col("expected_buckets") - F.col("observed_buckets")).alias("missing_buckets"),
-        F.round(
-            share(F.col("expected_buckets") - F.col("observed_buckets"), F.col("expected_buckets")), 6
-        ).alias("missing_rate"),
-        F.coalesce("gap_segments", F.lit(0)).alias("gap_segments"),
-        *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(("gap_p50", "gap_p90", "gap_p99"))],
-        F.coalesce("longest_gap", F.lit(0)).alias("longest_gap"),
-        F.col("_longest.start_at").alias("longest_gap_start"),
-        F.col("_longest.end_at").alias("longest_gap_end"),
+    gap = F.col("length").isNotNull()
+    missing = F.coalesce(F.sum(F.when(gap, F.col("_rows"))), F.lit(0))
+    quantiles = F.percentile("length", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), F.col("_n"))
+    return (
+        lengths.groupBy(*keys)
+        .agg(
+            F.min("first_at").alias("first_at"),
+            F.max("last_at").alias("last_at"),
+            F.sum("_rows").alias("expected_buckets"),
+            (F.sum("_rows") - missing).alias("observed_buckets"),
+            missing.alias("missing_buckets"),
+            F.round(share(missing, F.sum("_rows")), 6).alias("missing_rate"),
+            F.sum("_repeated").alias("duplicate_timestamps"),
+            F.sum("_non_finite").alias("non_finite_values"),
+            F.coalesce(F.sum(F.when(gap, F.col("_n"))), F.lit(0)).alias("gap_segments"),
+            missing.alias("total_missing_steps"),
+            quantiles.alias("_q"),
+            F.coalesce(F.max("length"), F.lit(0)).alias("longest_gap"),
+            F.max_by("_first", "length").alias("_longest"),
+        )
+        .select(
+            "*",
+            *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(("gap_p50", "gap_p90", "gap_p99"))],
+            F.col("_longest.start_at").alias("longest_gap_start"),
+            F.col("_longest.end_at").alias("longest_gap_end"),
+        )
+        .drop("_q", "_longest")
     )
 
 

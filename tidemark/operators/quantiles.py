@@ -7,66 +7,87 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.stage import stored
 
-def _spread(c: Column) -> Column:
-    """A rising function that gives every order of magnitude the same room.
 
-    Equal parts of its range part outliers and heavy tails from the bulk in one round.
-    """
-    c = c.cast("double")
-    return F.signum(c) * F.log1p(F.abs(c) * F.lit(float(2**20)))
+def _slot(value: Column, cuts: Column, bins: int) -> Column:
+    """How many of the ascending ``cuts`` are at most the value, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in range(bins.bit_length() - 1, -1, -1)])
+
+    def look(at: Column, step: Column) -> Column:
+        return F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), look)
 
 
 def _narrowed(counts: DataFrame, state: DataFrame, keys: list[str], bins: int) -> DataFrame:
-    """Shrink each rank's value interval to the one of ``bins`` equal parts that holds it.
+    """Shrink each rank's value interval to the part that holds it, parts having about equally many distinct values.
 
-    The new interval is the range of the values really present in that part. Where the
-    interval is too narrow for the function, it stays as it is.
+    The borders come from a mergeable rank sketch of the interval's distinct values, so how they are distributed
+    does not matter: a part holds one in ``bins`` of them plus the sketch's error, a few hundredths. The new
+    interval is the range of the values really present in the part, and ``_left`` how many those are.
     """
-    v, low, high = (_spread(F.col(c)) for c in ("_v", "_lo", "_hi"))
-    width = high - low
-    slot = F.least(F.floor((v - low) / width * F.lit(bins)), F.lit(bins - 1))
+    by = [*keys, "quantile", "_rank"]
     inside = counts.join(state, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    sketches = inside.groupBy(*by).agg(F.kll_sketch_agg_double(F.col("_v").cast("double")).alias("_sketch"))
+    cuts = sketches.select(*by, F.array_distinct(F.kll_sketch_get_quantile_double("_sketch", shares)).alias("_cuts"))
+    cut = counts.join(state.join(cuts, by), keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     parts = (
-        inside.withColumn("_slot", F.when(width > 0, slot).otherwise(F.lit(0)))
-        .groupBy(*keys, "n", "quantile", "_rank", "_before", "_slot")
-        .agg(F.sum("_n").alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        cut.groupBy(*by, "n", "_before", _slot(F.col("_v").cast("double"), F.col("_cuts"), bins).alias("_part"))
+        .agg(F.sum("_n").alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_left"))
     )
     # At most ``bins`` rows per rank.
-    order = Window.partitionBy(*keys, "quantile", "_rank").orderBy("_slot")
+    order = Window.partitionBy(*by).orderBy("_part")
     reached = parts.withColumn("_upto", F.col("_before") + F.sum("_in").over(order))
     return (
         reached.withColumn("_before", F.col("_upto") - F.col("_in"))
         .filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_upto")))
-        .select(*keys, "n", "quantile", "_rank", "_before", "_lo", "_hi")
+        .select(*keys, "n", "_lo", "_hi", "_left", "_before", "quantile", "_rank")
     )
 
 
+def located(counts: DataFrame, state: DataFrame, keys: list[str], bins: int, most: int) -> DataFrame:
+    """Narrow every rank's interval until at most ``most`` distinct values are left in it.
+
+    A round leaves a few hundredths of them, so the rounds grow with the logarithm of the distinct values. Intervals
+    that no round can shrink any more stay as they are.
+    """
+    left = state.agg(F.max("_left")).first()[0] or 0
+    while left > most:
+        wide = state.filter(F.col("_left") > most)
+        state = stored(state.filter(F.col("_left") <= most).unionByName(_narrowed(counts, wide, keys, bins)), "ranks")
+        before, left = left, state.agg(F.max("_left")).first()[0] or 0
+        if left >= before:
+            break
+    return state
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
     quantiles: Sequence[float],
     keys: Sequence[str],
-    bins: int = 1024,
-    rounds: int = 3,
+    bins: int = 64,
+    most: int = 4096,
 ) -> DataFrame:
     """Linear-interpolated quantiles per key: columns keys, ``quantile``, ``value``, ``n``.
 
-    Values are first counted per distinct value. Histograms then narrow the value interval
-    of every wanted rank; only the distinct values left in that interval are ordered. The first
-    round separates magnitudes, each further one leaves about one value in ``bins``. The result is
-    exact for any bin and round count.
+    Values are first counted per distinct value, which is stored. Rank sketches and exact counts then narrow the value
+    interval of every wanted rank until at most ``most`` distinct values are left in it; only those
+    are ordered. The result is exact for any ``bins`` and ``most``.
     """
     if any(not 0.0 <= q <= 1.0 for q in quantiles):
         raise ValueError(f"quantiles must lie in [0, 1], got {tuple(quantiles)!r}")
     keys = list(keys)
-    counts = (
+    counts = stored(
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_n"))
+        .agg(F.count("*").alias("_n")),
+        "counts",
     )
     span = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("n")
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_left"), F.sum("_n").alias("n")
     )
     wanted = F.array(
         *[
@@ -79,10 +100,9 @@ def exact_quantiles(
         ]
     )
     state = span.select(
-        *keys, "n", "_lo", "_hi", F.lit(0).cast("long").alias("_before"), F.inline(F.array_distinct(wanted))
+        *keys, "n", "_lo", "_hi", "_left", F.lit(0).cast("long").alias("_before"), F.inline(F.array_distinct(wanted))
     )
-    for _ in range(rounds):
-        state = _narrowed(counts, state, keys, bins)
+    state = located(counts, state, keys, bins, most)
     order = Window.partitionBy(*keys, "quantile", "_rank").orderBy("_v")
     hits = (
         counts.join(state, keys)

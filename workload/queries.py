@@ -449,14 +449,16 @@ def gap_runs_topk(spark, sf):
     "gap_statistics",
     f"""{gap_cte(S.USER, 2)},
 cells AS (SELECT series_key, min(tt) AS first_at, max(tt) AS last_at, count(*) AS expected_buckets,
-  count(level) AS observed_buckets FROM grid GROUP BY 1),
+  count(level) AS observed_buckets, count(*) - count(DISTINCT tt) AS duplicate_timestamps,
+  count(*) FILTER (level IS NULL OR NOT isfinite(level)) AS non_finite_values FROM grid GROUP BY 1),
 stats AS (SELECT series_key, count(*) AS gap_segments, quantile_cont(run_length, 0.5) AS p50, quantile_cont(run_length, 0.9) AS p90,
-  quantile_cont(run_length, 0.99) AS p99, max(run_length) AS longest FROM gaps GROUP BY 1),
+  quantile_cont(run_length, 0.99) AS p99, max(run_length) AS longest, sum(run_length) AS total FROM gaps GROUP BY 1),
 top AS (SELECT * FROM gaps QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY run_length DESC, run_start) = 1)
 SELECT c.series_key, first_at, last_at, expected_buckets, observed_buckets, expected_buckets - observed_buckets AS missing_buckets,
   round((expected_buckets - observed_buckets) / CAST(expected_buckets AS DOUBLE), 6) AS missing_rate,
   COALESCE(gap_segments, 0) AS gap_segments, p50 AS gap_p50, p90 AS gap_p90, p99 AS gap_p99,
-  COALESCE(longest, 0) AS longest_gap, t.run_start AS longest_gap_start, t.run_end AS longest_gap_end
+  COALESCE(longest, 0) AS longest_gap, t.run_start AS longest_gap_start, t.run_end AS longest_gap_end,
+  duplicate_timestamps, non_finite_values, CAST(COALESCE(total, 0) AS BIGINT) AS total_missing_steps
 FROM cells c LEFT JOIN stats s ON c.series_key = s.series_key LEFT JOIN top t ON c.series_key = t.series_key""",
 )
 def gap_statistics(spark, sf):
