@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean
+from tidemark.operators import clean, features
 from tidemark.plans import runs
 from tidemark.plans.stage import shared_folder, stored
 from tidemark.schemas import GRID
@@ -16,7 +16,22 @@ from tidemark.sinks import tables
 from tidemark.sources import archives, files
 from workload import sqltext as S
 from workload.bindings import observations, rain_points, raw_records, table
-from workload.queries import AS_OF, RISK_SQL, SQL, artifacts, filled, query, user_thresholds
+from workload.queries import (
+    ANCHORED_SQL,
+    AS_OF,
+    COMMON_SQL,
+    FOCUS,
+    FOCUS_SQL,
+    RISK_SQL,
+    SCORE_SQL,
+    SQL,
+    anchored,
+    artifacts,
+    filled,
+    query,
+    rain,
+    user_thresholds,
+)
 
 # --- round trips ----------------------------------------------------------------------
 
@@ -163,6 +178,10 @@ def one_series(spark, sf):
 # --- composite runs -------------------------------------------------------------------
 
 
+#: Times among the id columns whose names do not say so.
+STAMPS = ("target", "event_start")
+
+
 def long_form(frames: dict[str, tuple[DataFrame, list[str], list[str]]]) -> DataFrame:
     """``table_name, cell, metric, value`` of several tables, given as frame, id columns and metrics."""
     out = None
@@ -184,7 +203,7 @@ def long_sql(tables: dict[str, tuple[str, list[str], list[str]]]) -> str:
     parts = []
     for name, (sql, ids, metrics) in tables.items():
         cell = " || '|' || ".join(
-            f"COALESCE({f'strftime({c}, ' + repr('%Y-%m-%d %H:%M:%S') + ')' if c.endswith('_at') else f'CAST({c} AS VARCHAR)'}, '')" for c in ids
+            f"COALESCE({f'strftime({c}, ' + repr('%Y-%m-%d %H:%M:%S') + ')' if c.endswith('_at') or c in STAMPS else f'CAST({c} AS VARCHAR)'}, '')" for c in ids
         ) or "''"
         names = ", ".join(f"'{m}'" for m in metrics)
         values = ", ".join(f"CAST({m} AS DOUBLE)" for m in metrics)
@@ -198,31 +217,46 @@ CELL = ["series_key", "model", "horizon", "segment"]
 SCORES = ["sample_count", "mae", "rmse", "r2", "nse", "peak_absolute_error"]
 PAIRS = ["paired_rows", "paired_observed_rows"]
 
+def tables_of(result: dict[str, DataFrame], wanted: dict[str, tuple[str, list[str], list[str]]]) -> DataFrame:
+    """The long form of every table of a run; a run must not return others."""
+    if set(result) != set(wanted):
+        raise ValueError(f"tables differ: {sorted(set(result) ^ set(wanted))}")
+    return long_form({n: (result[n], ids, metrics) for n, (_, ids, metrics) in wanted.items()})
+
+
+CONSTANT_CTE = f"""{S.persistence(S.USER, 2)}, m AS (SELECT series_key, avg(level) AS c FROM split WHERE segment = 'train' AND NOT imp AND level IS NOT NULL GROUP BY 1),
+both_fc AS (SELECT * FROM fc UNION ALL BY NAME SELECT fc.* REPLACE ('train_mean' AS model, CASE WHEN prediction IS NOT NULL THEN c END AS prediction)
+  FROM fc LEFT JOIN m ON fc.series_key = m.series_key)"""
+
 HOURLY = {
     "metrics": (f"({SQL['persistence_metrics']}) UNION ALL BY NAME ({SQL['train_mean_metrics']})", CELL, [*SCORES, "excluded_imputed"]),
     "train_means": (
         f"WITH {S.split(S.USER, 2)} SELECT series_key, avg(level) AS train_mean FROM split WHERE segment = 'train' AND NOT imp AND level IS NOT NULL GROUP BY 1",
         ["series_key"], ["train_mean"],
     ),
-    "paired": (SQL["paired_counts"], ["series_key", "model", "horizon"], PAIRS),
+    "forecasts": (f"WITH {CONSTANT_CTE} SELECT * FROM both_fc", [*CELL, "target"], ["observed", "prediction"]),
+    "paired": (
+        f"""WITH {CONSTANT_CTE} SELECT series_key, model, horizon, count(*) FILTER (observed IS NOT NULL AND prediction IS NOT NULL) AS paired_rows,
+  count(*) FILTER (observed IS NOT NULL AND prediction IS NOT NULL AND NOT imp) AS paired_observed_rows FROM both_fc GROUP BY 1, 2, 3""",
+        ["series_key", "model", "horizon"], PAIRS,
+    ),
 }
 
 
 @query("hourly_baseline_run", long_sql(HOURLY))
 def hourly_baseline_run(spark, sf):
-    result = runs.hourly_baseline(stored(filled(spark, sf, "user_id"), "grid"))
-    frames = {n: (result[n], ids, metrics) for n, (_, ids, metrics) in HOURLY.items()}
-    # The constant's pairs follow from its scores; the table of pairs is compared for persistence.
-    paired, ids, metrics = frames["paired"]
-    return long_form({**frames, "paired": (paired.where("model = 'persistence'"), ids, metrics)})
+    return tables_of(runs.hourly_baseline(stored(filled(spark, sf, "user_id"), "grid")), HOURLY)
 
 
 FEATURES = {
     "rain": (SQL["areal_mean"], ["observed_at"], ["rainfall_mm", "point_count"]),
+    "features": (SQL["station_feature_matrix"], ["series_key", "segment", "observed_at"],
+                 ["water_level_t", "water_level_lag_6", "rain_lag_2", "rain_cum_12", "target_h3", "usable_h6"]),
     "ladder": (SQL["usability_ladder"], ["series_key", "horizon"],
                ["finite_pairs", "after_imputed_targets", "delivered", "targets_lost_to_imputation"]),
     "imputed_rows": (SQL["imputed_rows"], ["series_key", "observed_at"], ["water_level_m"]),
     "usable": (SQL["usable_per_segment"], ["series_key", "segment"], ["rows", "fit_rows", "usable_h1", "usable_h3", "usable_h6"]),
+    "alignment": (SQL["rain_alignment"], ["series_key", "rain_point_count"], ["hours"]),
     "volume": (SQL["rain_volume"], [], ["points", "rows", "raw_diff_rows"]),
     "mean_differences": (SQL["mean_differences"], [], ["hours", "mean_diff_rows"]),
 }
@@ -230,32 +264,130 @@ FEATURES = {
 
 @query("feature_build_run", long_sql(FEATURES))
 def feature_build_run(spark, sf):
-    result = runs.feature_build(stored(filled(spark, sf, "user_id"), "grid"), rain_points(spark, sf))
-    return long_form({n: (result[n], ids, metrics) for n, (_, ids, metrics) in FEATURES.items()})
+    return tables_of(runs.feature_build(stored(filled(spark, sf, "user_id"), "grid"), rain_points(spark, sf)), FEATURES)
+
+
+CLEANED = f"{S.RAW},\nobs AS (SELECT series_key, id, tt, num AS level FROM kept)"
 
 
 def on_raw(sql: str, key: str = S.USER) -> str:
     """The SQL of a query over observations, over the cleaned raw records instead."""
-    cleaned = f"{S.RAW},\nobs AS (SELECT series_key, id, tt, num AS level FROM kept)"
-    out = sql.replace(S.obs(key), cleaned)
+    out = sql.replace(S.obs(key), CLEANED)
+    for cast, name in (("ts AS tt", "tt"), ("CAST(ts AS DATE) AS day", "CAST(tt AS DATE) AS day")):
+        bare = f"SELECT DISTINCT CAST(user_id AS VARCHAR) AS series_key, {cast} FROM events"
+        out = out.replace(bare, f"WITH {CLEANED} SELECT DISTINCT series_key, {name} FROM obs")
     return out.replace("arg_max(level, tt)", "arg_max(level, (tt, id))").replace("arg_max(id, tt)", "arg_max(id, (tt, id))")
 
 
+LEVELS = ["water_level_m", "is_imputed"]
+COUNTS = ["total_rows", "valid_rows", "duplicate_rows", "invalid_timestamp_rows", "invalid_level_rows", "missing_level_rows", "date_only_rows"]
+
 BUILD = {
+    "grid": (on_raw(GRID_SQL, S.TYPE), ["series_key", "observed_at"], LEVELS),
     "sweep": (on_raw(SQL["interpolation_sweep"]), ["series_key", "max_steps"], ["imputed_rows"]),
     "gap_statistics": (on_raw(SQL["gap_statistics"]), ["series_key"],
-                       ["expected_buckets", "observed_buckets", "missing_buckets", "missing_rate", "gap_segments", "gap_p50", "gap_p90", "gap_p99", "longest_gap"]),
+                       ["expected_buckets", "observed_buckets", "missing_buckets", "missing_rate", "duplicate_timestamps", "non_finite_values",
+                        "total_missing_steps", "gap_segments", "gap_p50", "gap_p90", "gap_p99", "longest_gap"]),
     "top_gaps": (on_raw(SQL["gap_runs_topk"]), ["series_key", "gap_rank"], ["run_length"]),
+    "sampling_interval": (on_raw(SQL["sampling_interval"]), ["series_key"], ["mode_seconds", "median_seconds", "min_seconds", "max_seconds", "interval_minutes"]),
+    "day_coverage": (on_raw(SQL["day_coverage"]), ["series_key", "span_start", "span_end"], ["days_with_records", "longest_day_step", "missing_days"]),
+    "missing_days": (f"SELECT *, 1 AS missing FROM ({on_raw(SQL['missing_days'])})", ["series_key", "day"], ["missing"]),
     "usable_samples": (on_raw(SQL["usable_samples"]), ["series_key"], ["usable_h1", "usable_h3", "usable_h6"]),
     "segments": (on_raw(SQL["chronological_segments"]), ["series_key", "segment"], ["hours", "missing_buckets", "imputed_rows", "usable_h1", "missing_rate"]),
-    "summary": (SQL["quality_audit"], ["series_key"], ["total_rows", "valid_rows", "duplicate_rows", "invalid_timestamp_rows"]),
+    "summary": (SQL["quality_audit"], ["series_key"], COUNTS),
 }
 
 
 @query("grid_build_run", long_sql(BUILD))
 def grid_build_run(spark, sf):
     result = runs.grid_build(raw_records(spark, sf), F.col("row_position"), max_steps=2)
-    return long_form({n: (result[n], ids, metrics) for n, (_, ids, metrics) in BUILD.items()})
+    result["missing_days"] = result["missing_days"].withColumn("missing", F.lit(1))
+    return tables_of(result, BUILD)
+
+
+AUDIT_CTE = on_raw(S.persistence(S.TYPE, 2), S.TYPE)
+
+AUDIT = {
+    "summary": (SQL["quality_audit"], ["series_key"], [*COUNTS, "inferred_interval_minutes"]),
+    "observations": (SQL["normalised_observations"], ["series_key", "source_record_id", "observed_at"], ["water_level_m"]),
+    "grid": (on_raw(GRID_SQL, S.TYPE), ["series_key", "observed_at"], LEVELS),
+    "forecasts": (f"WITH {AUDIT_CTE} SELECT * FROM fc", [*CELL, "target"], ["observed", "prediction"]),
+    "metrics": (f"WITH {AUDIT_CTE} {SCORE_SQL.format(source='(SELECT * REPLACE (FALSE AS imp) FROM fc)')}", CELL, [*SCORES, "excluded_imputed"]),
+    "segments": (on_raw(SQL["segment_counters"]), ["series_key", "segment"], ["rows", "imputed_rows", "missing_rows", "evaluated_rows", "imputed_ratio"]),
+    "longest_run": (on_raw(SQL["longest_run"]), ["series_key"], ["rows", "longest_run"]),
+}
+
+
+@query("baseline_audit", long_sql(AUDIT))
+def baseline_audit(spark, sf):
+    return tables_of(runs.baseline_audit(raw_records(spark, sf), F.col("row_position")), AUDIT)
+
+
+def per_model(sql: str) -> str:
+    """The SQL of a query over persistence, over persistence and the anchor's level, one after the other.
+
+    Both are scored on the rows of the same features.
+    """
+    persistence = S.persistence(S.TYPE, 2).removeprefix(f"{S.split(S.TYPE, 2)},\n")
+    anchor = f"scored AS (SELECT *, FALSE AS imp FROM ({ANCHORED_SQL})), fc AS (SELECT * FROM scored)"
+    given = [S.persistence(key, fill) for key in (S.USER, S.TYPE) for fill in (1, 2)]
+    parts = []
+    for made in (persistence, anchor):
+        part = sql
+        for old in given:
+            part = part.replace(old, f"{S.features(S.TYPE, 2)},\n{made}")
+        parts.append(f"({part})")
+    return " UNION ALL ".join(parts)
+
+
+def on_types(sql: str) -> str:
+    """The SQL of a query, by event type and with gaps of two hours filled."""
+    for old in (S.features(S.USER, 2), S.features(S.TYPE, 1)):
+        sql = sql.replace(old, S.features(S.TYPE, 2))
+    return sql.replace(S.split(S.TYPE, 1), S.split(S.TYPE, 2)).replace(S.split(S.USER, 2), S.split(S.TYPE, 2))
+
+
+def at_80(sql: str) -> str:
+    return sql.replace(S.thresholds(0.9), S.thresholds(0.8))
+
+
+EVENT_COUNTS = ["tp", "fp", "fn", "observed_event_points", "observed_event_segments", "predicted_event_points", "predicted_event_segments", "precision", "recall", "f1"]
+SUMMARY = ["threshold", "hours", "usable_observations", "max_level", "event_points", "event_segments"]
+
+ANALYSIS = {
+    "threshold": (on_types(SQL["high_level_thresholds"]), ["series_key"], ["threshold", "fit_rows"]),
+    "threshold_sensitivity": (SQL["threshold_sensitivity"], ["series_key"], ["threshold", "fit_rows"]),
+    "metrics": (per_model(f"WITH {S.persistence(S.TYPE, 2)} {SCORE_SQL.format(source='scored')}"), CELL, SCORES),
+    "event_summary": (on_types(SQL["event_summary"]), ["series_key", "segment"], SUMMARY),
+    "event_summary_sensitivity": (at_80(on_types(SQL["event_summary"])), ["series_key", "segment"], SUMMARY),
+    "event_metrics": (per_model(SQL["event_metrics"]), CELL, EVENT_COUNTS),
+    "event_metrics_sensitivity": (at_80(per_model(SQL["event_metrics"])), CELL, EVENT_COUNTS),
+    "event_errors": (per_model(SQL["event_errors"]), [*CELL, "event_start"],
+                     ["event_points", "sample_count", "mae", "observed_peak", "peak_prediction", "peak_underestimation"]),
+    "peaks": (per_model(SQL["peak_diagnostics"]), CELL,
+              ["sample_count", "observed_peak", "prediction_at_peak", "underestimation", "max_absolute_error", "peak_lag_hours"]),
+    "leads": (per_model(SQL["warning_lead"]), [*CELL, "event_start"], ["event_points", "lead_hours", "first_prediction"]),
+    "focus_rows": (per_model(SQL["residual_rows"]), ["series_key", "model", "horizon", "target"], ["absolute_error", "signed_error"]),
+    "phases": (per_model(SQL["phase_error"]), ["series_key", "model", "horizon", "phase"], ["sample_count", "mae", "mean_signed_error"]),
+    "largest_change": (
+        f"""WITH {S.persistence(S.TYPE, 2)}, w AS (SELECT series_key, target, observed - lag(observed) OVER (PARTITION BY series_key ORDER BY target) AS d
+  FROM scored WHERE horizon = 1 AND segment = 'test' AND target {FOCUS_SQL}),
+b AS (SELECT series_key, d FROM w WHERE d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY abs(d) DESC, target) = 1)
+SELECT k.series_key, d AS value FROM (SELECT DISTINCT series_key FROM w) k LEFT JOIN b USING (series_key)""",
+        ["series_key"], ["value"],
+    ),
+    "common_support": (COMMON_SQL, CELL, ["sample_count", "mae", "rmse", "nse"]),
+    "imputation": (on_types(SQL["imputation_profile"]), CELL,
+                   ["usable_rows", "unmatched_rows", "rows_with_missing_features", "missing_feature_cells", "input_cells", "missing_cell_share"]),
+    "usable": (on_types(SQL["usable_per_segment"]), ["series_key", "segment"], ["rows", "fit_rows", "usable_h1", "usable_h3", "usable_h6"]),
+}
+
+
+@query("error_analysis", long_sql(ANALYSIS))
+def error_analysis(spark, sf):
+    levels = stored(filled(spark, sf), "grid")
+    m = stored(features.feature_matrix(levels, rain(spark, sf)), "features")
+    return tables_of(runs.error_analysis(levels, m, anchored(m), ["anchor"], FOCUS), ANALYSIS)
 
 
 @query("serving_run", f"SELECT series_key, observed_at, p1, p3, p6, model, level FROM ({RISK_SQL}) AS bundle")

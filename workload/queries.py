@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tidemark.functions import numbers, text, timeline
 from tidemark.plans.stage import stored
 from tidemark.operators import clean, events, features, forecast, grid, metrics, models, quality, rainfall, risk
-from tidemark.plans import runs
 from tidemark.schemas import ARCHIVE_RESPONSE
 from tidemark.sinks import digests
 from tidemark.sources import responses
@@ -1436,23 +1435,3 @@ def json_safe_rows(spark, sf):
     )
     rows = table(spark, sf, "events").select("event_id", ratio.alias("ratio"), F.array(ratio).alias("many"))
     return numbers.non_finite_to_null(rows).select("event_id", "ratio", F.col("many")[0].alias("nested"))
-
-
-# --- composite runs --------------------------------------------------------------------
-
-
-@query(
-    "baseline_audit",
-    f"WITH {S.RAW}, {S.persistence(S.TYPE, 2).replace(S.obs(S.TYPE), 'obs AS (SELECT series_key, id, tt, num AS level FROM kept)').replace('arg_max(level, tt)', 'arg_max(level, (tt, id))').replace('arg_max(id, tt)', 'arg_max(id, (tt, id))')} "
-    f"{SCORE_SQL.format(source='(SELECT * REPLACE (FALSE AS imp) FROM fc)')}",
-)
-def baseline_audit(spark, sf):
-    return runs.baseline_audit(raw_records(spark, sf), F.col("row_position"))["metrics"]
-
-
-@query("error_analysis", COMMON_SQL)
-def error_analysis(spark, sf):
-    levels = stored(filled(spark, sf), "grid")
-    m = stored(features.feature_matrix(levels, rain(spark, sf)), "features")
-    result = runs.error_analysis(levels, m, anchored(m), ["anchor"], FOCUS)
-    return result["common_support"].select("series_key", "model", "horizon", "segment", "sample_count", "mae", "rmse", "nse")

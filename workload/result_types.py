@@ -66,6 +66,4 @@ DOUBLES = {
     "ridge_metrics": "mae rmse r2 nse peak_absolute_error",
     "archive_rows": "precipitation_mm rain_mm",
     "json_safe_rows": "ratio nested",
-    "error_analysis": "mae rmse nse",
-    "baseline_audit": "mae rmse r2 nse peak_absolute_error",
 }
