@@ -236,3 +236,30 @@ def test_results_and_file_digests(spark, tmp_path):
     assert one == two and one.rows == 1
     (tmp_path / "y" / "g.csv").write_text("1")
     assert digests.directory_digest(spark, str(tmp_path / "y"), "*.csv").first() != one
+
+
+def test_hash_tree_names_the_bucket_of_a_changed_row(spark):
+    rows = spark.range(2000).selectExpr("id", "concat('row ', id) AS text")
+    changed = rows.withColumn("text", F.when(F.col("id") == 77, "other").otherwise(F.col("text")))
+    tree, again, other = (digests.hash_tree(df, 2).cache() for df in (rows, rows.repartition(7).orderBy(F.desc("id")), changed))
+    assert sorted(tree.collect()) == sorted(again.collect())
+    assert digests.differing_buckets(tree, again).count() == 0
+    hash_of = lambda df: digests.canonical_rows(df.filter("id = 77")).select(F.sha2("row_json", 256)).first()[0]
+    found = {r.prefix: r.other_rows - r.rows for r in digests.differing_buckets(tree, other).collect()}
+    was, now = hash_of(rows)[:2], hash_of(changed)[:2]
+    assert was != now and found == {was: -1, now: 1}
+    roots = [t.filter("prefix = ''").first() for t in (tree, other)]
+    assert roots[0].rows == roots[1].rows == 2000 and roots[0].sha256 != roots[1].sha256
+
+
+def test_hash_tree_counts_repeated_rows_and_has_no_root_without_rows(spark):
+    one = spark.createDataFrame([(1,), (1,), (2,)], "a int")
+    assert digests.hash_tree(one, 1).filter("prefix = ''").first() != digests.hash_tree(one.distinct(), 1).filter("prefix = ''").first()
+    assert digests.hash_tree(one.limit(0), 2).count() == 0
+
+
+def test_places_of_rows_in_sorted_files(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("(id * 7919) % 5000 AS v")
+    rows.repartitionByRange(5, "v").sortWithinPartitions("v").write.parquet(str(tmp_path / "o"))
+    got = files.read_in_order(spark, str(tmp_path / "o")).collect()
+    assert sorted((r.v, r.place) for r in got) == [(i, i + 1) for i in range(5000)]

@@ -47,6 +47,35 @@ def content_digest(df: DataFrame) -> DataFrame:
     return _final(digests.agg(F.count("*").alias("rows"), *_combined(F.col("_d"))))
 
 
+def hash_tree(df: DataFrame, digits: int = 3) -> DataFrame:
+    """``prefix, rows, sha256`` of a tree over a dataset's row hashes, equal for any order of its rows.
+
+    A leaf holds the rows whose hashes begin with the same ``digits`` hexadecimal digits, and is a combinable sum like
+    ``content_digest``. A node above is the digest of its at most 16 children with their names, up to the root, whose
+    prefix is empty. Rows meet only in sums; the nodes are at most ``16 ** digits`` and a sixteenth more.
+    """
+    digests = canonical_rows(df).select(F.sha2("row_json", 256).alias("_d"))
+    sums = digests.groupBy(F.substring("_d", 1, digits).alias("prefix")).agg(F.count("*").alias("rows"), *_combined(F.col("_d")))
+    parts = [F.col(f"_q{i}").cast("string") for i in range(4)]
+    level = sums.select("prefix", "rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), *parts), 256).alias("sha256"))
+    out = level
+    for depth in range(digits - 1, -1, -1):
+        kids = F.array_sort(F.collect_list(F.struct("prefix", "sha256")))
+        told = F.array_join(F.transform(kids, lambda k: F.concat(k["prefix"], F.lit(":"), k["sha256"])), ",")
+        level = level.groupBy(F.substring("prefix", 1, depth).alias("prefix")).agg(F.sum("rows").alias("rows"), F.sha2(told, 256).alias("sha256"))
+        out = out.unionByName(level)
+    return out
+
+
+def differing_buckets(one: DataFrame, other: DataFrame) -> DataFrame:
+    """``prefix, rows, other_rows`` of the leaves in which two trees of one depth differ."""
+    depth = F.length("prefix")
+    leaves = [t.filter(depth == t.agg(F.max(depth)).first()[0]) for t in (one, other)]
+    renamed = leaves[1].select("prefix", F.col("rows").alias("other_rows"), F.col("sha256").alias("_other"))
+    both = leaves[0].join(renamed, "prefix", "full").filter(~F.col("sha256").eqNullSafe(F.col("_other")))
+    return both.select("prefix", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("other_rows", F.lit(0)).alias("other_rows"))
+
+
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """SHA-256 of every file below a folder."""
     files = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
@@ -15,7 +15,7 @@ from tidemark.schemas import PREDICTION_ARTIFACT, PREDICTION_FILE, RAIN_POINTS,
 
 # Accepted raw file types, and how a prediction file is named.
 RAW_SUFFIXES = (".csv", ".json", ".parquet")
-PREDICTION_PATH = r"([^/]+)/([A-Za-z0-9]+)_h(\d+)_([a-z]+)\.csv$"
+PREDICTION_PATH = r"([^/]+)/([A-Za-z0-9]+)_h(\d+)_([a-z]+)\.csv(?:/[^/]+)?$"
 
 
 def _with_origin(df: DataFrame) -> DataFrame:
@@ -156,10 +156,20 @@ def read_predictions(
 ) -> DataFrame:
     """Prediction files ``<experiment>/<model>_h<h>_<segment>.csv`` as long forecasts.
 
-    The expected set must be complete; missing files are listed. A header in another order, or a
+    A file may be a folder of parts with that name. The listing is compared with the expected set before any row is
+    read; missing files are named. A header in another order, or a
     segment other than the file's, fails the read. ``observed_at`` is the
     anchor, so the target is the anchor plus the horizon.
     """
+    names = [f"{m}_{e}" for e in experiments for m in models]
+    expected = expected_grid(spark, model=names, horizon=list(horizons), segment=list(segments))
+    keys = ["model", "horizon", "segment"]
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(directory)
+    place = lambda i: F.regexp_extract("path", PREDICTION_PATH, i)
+    cells = listing.select(
+        F.concat(place(2), F.lit("_"), place(1)).alias("model"), place(3).try_cast("int").alias("horizon"), place(4).alias("segment")
+    )
+    no_rows_expected(expected.join(cells.distinct(), keys, "left_anti"), "prediction files missing")
     rows = (
         spark.read.schema(PREDICTION_FILE).option("header", True).option("recursiveFileLookup", True)
         .option("mode", "FAILFAST").option("enforceSchema", False).csv(directory)
@@ -177,11 +187,6 @@ def read_predictions(
         "observed",
         "prediction",
     )
-    names = [f"{m}_{e}" for e in experiments for m in models]
-    expected = expected_grid(spark, model=names, horizon=list(horizons), segment=list(segments))
-    keys = ["model", "horizon", "segment"]
-    absent = expected.join(found.select(*keys).distinct(), keys, "left_anti")
-    no_rows_expected(absent, "prediction files missing")
     return found.join(F.broadcast(expected), keys, "left_semi").withColumn(
         "target", shift_steps(F.col("anchor"), F.col("horizon"), HOUR_US)
     )
@@ -220,3 +225,17 @@ def read_artifacts(
         F.try_element_at(order, F.col("_name")).alias("priority"),
         times.alias("points"),
     ).filter(F.col("as_of").isNotNull() & F.col("anchor_at").isNotNull() & F.col("priority").isNotNull())
+
+
+def read_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """A table written in sorted order, with ``place``: the number of each row in that order, from 1.
+
+    A row's place is its number in its own file plus the rows of the files before it, which are counted in a table with
+    one row for each file.
+    """
+    rows = spark.read.parquet(path)
+    placed = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = placed.groupBy("_file").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(F.lit(1)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = files.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return placed.join(before, "_file").select(*rows.columns, (F.col("_before") + F.col("_row") + 1).alias("place"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import clean, features
 from tidemark.plans import runs
-from tidemark.plans.stage import shared_folder, stored
+from tidemark.plans.stage import register, shared_folder, stored
 from tidemark.schemas import GRID
 from tidemark.sinks import tables
 from tidemark.sources import archives, files
@@ -28,6 +28,7 @@ from workload.queries import (
     anchored,
     artifacts,
     filled,
+    matrix,
     query,
     rain,
     user_thresholds,
@@ -37,7 +38,7 @@ from workload.queries import (
 
 
 def place(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}-{name}"
+    return register(f"{shared_folder(spark)}/{uuid.uuid4().hex}-{name}")
 
 
 @query("csv_round_trip", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, props FROM events")
@@ -61,13 +62,14 @@ def parquet_round_trip(spark, sf):
     "SELECT CAST(event_id AS VARCHAR) AS z_id, event_type AS time_d, CAST(user_id AS VARCHAR) AS station_code, props AS note, CAST(NULL AS VARCHAR) AS station_name FROM events",
 )
 def json_round_trip(spark, sf):
-    """Each user's events as one file that holds a JSON array; keys beyond the contract stay."""
+    """Each user's events as files that hold a JSON array of a bounded stretch of ids; keys beyond the contract stay."""
     path = place(spark, "events.json")
     record = F.struct(
         F.col("event_id").alias("z_id"), F.col("event_type").alias("time_d"), F.col("user_id").alias("station_code"), F.col("props").alias("note")
     )
-    arrays = table(spark, sf, "events").groupBy("user_id").agg(F.to_json(F.collect_list(record)).alias("value"))
-    arrays.repartition("user_id").write.partitionBy("user_id").text(path)
+    stretch = F.floor(F.col("event_id") / 100_000).alias("stretch")
+    arrays = table(spark, sf, "events").groupBy("user_id", stretch).agg(F.to_json(F.collect_list(record)).alias("value"))
+    arrays.repartition("user_id", "stretch").write.partitionBy("user_id", "stretch").text(path)
     return files.read_raw(spark, path).select("z_id", "time_d", "station_code", "note", "station_name")
 
 
@@ -170,9 +172,38 @@ def one_series(spark, sf):
     ordered = clean.sorted_observations(clean.select_series(observations(spark, sf), "purchase"))
     # The order of a stored table is restored from where its rows stand.
     path = place(spark, "ordered.parquet")
-    ordered.coalesce(1).write.parquet(path)
-    kept = spark.read.parquet(path).select("source_record_id", "observed_at", "water_level_m", F.col("_metadata.row_index").alias("at"))
-    return kept.withColumn("place", F.col("at") + 1).drop("at")
+    ordered.select("source_record_id", "observed_at", "water_level_m").write.parquet(path)
+    return files.read_in_order(spark, path)
+
+
+@query(
+    "prediction_files_round_trip",
+    f"""WITH {S.features(S.TYPE, 2)}, a AS ({ANCHORED_SQL})
+SELECT model || '_E1' AS model, CAST(horizon AS BIGINT) AS horizon, segment, anchor, target, observed, prediction FROM a""",
+)
+def prediction_files_round_trip(spark, sf):
+    """A file for each horizon and segment, as models store them; the listing is checked before they are read."""
+    told = stored(anchored(matrix(spark, sf)), "told")
+    folder = place(spark, "predictions")
+    for h in (1, 3, 6):
+        for segment in ("train", "validation", "test"):
+            rows = told.where((F.col("horizon") == h) & (F.col("segment") == segment))
+            stamp = F.date_format("anchor", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("observed_at")
+            rows.select(stamp, "segment", "observed", "prediction").write.option("header", True).csv(f"{folder}/E1/anchor_h{h}_{segment}.csv")
+    back = files.read_predictions(spark, folder, experiments=["E1"], models=["anchor"])
+    return back.select("model", "horizon", "segment", "anchor", "target", "observed", "prediction")
+
+
+NUMBERS = ("water_level_t", "water_level_lag_24", "rain_lag_0", "rain_cum_24", "target_h1")
+
+
+@query("feature_file_round_trip", f"WITH {S.features(S.TYPE, 2)} SELECT series_key, observed_at, {', '.join(NUMBERS)}, is_imputed_t FROM features")
+def feature_file_round_trip(spark, sf):
+    """Every number of a feature file must parse; missing ones stay missing."""
+    path = place(spark, "features.csv")
+    tables.write_contract_csv(matrix(spark, sf).select("series_key", "observed_at", *NUMBERS, "is_imputed_t"), path)
+    schema = "series_key string, observed_at timestamp, " + ", ".join(f"{n} double" for n in NUMBERS) + ", is_imputed_t boolean"
+    return files.read_levels(spark, path, schema, "csv")
 
 
 # --- composite runs -------------------------------------------------------------------

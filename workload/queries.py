@@ -1378,12 +1378,22 @@ def archive_rows(spark, sf):
 
 @query(
     "archive_violations",
-    """SELECT event_type AS point_id, CAST(0 AS BIGINT) AS violations FROM events GROUP BY 1""",
+    f"""WITH {S.RAIN_POINTS}, d AS (SELECT point_id, date_diff('day', DATE '1970-01-01', CAST(tt AS DATE)) % 5 AS kind, count(*) AS n FROM points GROUP BY point_id, CAST(tt AS DATE)),
+v AS (SELECT point_id, CASE WHEN kind = 0 AND n > 1 THEN 'time_not_increasing' WHEN kind = 1 THEN 'length_rain' WHEN kind = 2 THEN 'missing_rain' WHEN kind = 3 THEN 'unparsable_time' END AS violation FROM d)
+SELECT point_id, violation, count(*) AS responses FROM v WHERE violation IS NOT NULL GROUP BY 1, 2""",
 )
 def archive_violations(spark, sf):
+    """Responses of four days in five are spoilt: times backwards, an array too short, one missing, a time that is none."""
     days = daily_responses(spark, sf)
-    bad = responses.response_violations(days).groupBy("point_id").agg(F.count("*").alias("violations"))
-    return days.select("point_id").distinct().join(bad, "point_id", "left").fillna(0)
+    kind = F.pmod(F.unix_date(F.to_date(F.col("hourly.time")[0].cast("timestamp"))), F.lit(5))
+    time, rain_mm = F.col("hourly.time"), F.col("hourly.rain")
+    spoilt = F.struct(
+        F.when(kind == 0, F.reverse(time)).when(kind == 3, F.transform(time, lambda t, i: F.when(i == 0, F.lit("soon")).otherwise(t))).otherwise(time).alias("time"),
+        F.col("hourly.precipitation").alias("precipitation"),
+        F.when(kind == 1, F.slice(rain_mm, 1, F.size(rain_mm) - 1)).when(kind != 2, rain_mm).alias("rain"),
+    )
+    bad = responses.response_violations(days.withColumn("hourly", spoilt))
+    return bad.groupBy("point_id", "violation").agg(F.count("*").alias("responses"))
 
 
 @query(
@@ -1422,6 +1432,52 @@ def dataset_digest(spark, sf):
     return digests.content_digest(table(spark, sf, "events"))
 
 
+@query(
+    "dataset_hash_tree",
+    """WITH j AS (SELECT sha256(CAST(to_json({'event_id': event_id, 'event_type': event_type, 'props': props, 'ts': strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 'user_id': user_id, 'value': value}) AS VARCHAR)) AS d FROM events),
+q AS (SELECT substr(d, 1, 2) AS prefix, count(*) AS rows, """
+    + ", ".join(f"sum(CAST(('0x' || substr(d, {1 + 16 * i}, 16)) AS UBIGINT)::HUGEINT) AS q{i}" for i in range(4))
+    + """ FROM j GROUP BY 1),
+l2 AS (SELECT prefix, rows, sha256(concat_ws(':', rows, q0, q1, q2, q3)) AS sha256 FROM q),
+l1 AS (SELECT substr(prefix, 1, 1) AS prefix, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(prefix || ':' || sha256, ',' ORDER BY prefix)) AS sha256 FROM l2 GROUP BY 1),
+l0 AS (SELECT '' AS prefix, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(prefix || ':' || sha256, ',' ORDER BY prefix)) AS sha256 FROM l1)
+SELECT * FROM l2 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l0""",
+)
+def dataset_hash_tree(spark, sf):
+    return digests.hash_tree(table(spark, sf, "events"), 2)
+
+
+@query(
+    "point_checks",
+    """WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT event_type, count(*) AS checked_rows, count(*) FILTER (k < 2) AS blank_point, count(*) FILTER (k IN (5, 6)) AS bad_longitude,
+  count(*) FILTER (k IN (6, 7)) AS bad_latitude FROM e GROUP BY 1""",
+)
+def point_checks(spark, sf):
+    from tidemark.schemas import point_rules
+
+    k = F.col("k")
+    points = table(spark, sf, "events").withColumn("k", prop()).select(
+        "event_type",
+        F.when(k == 0, F.lit(" ")).when(k > 1, F.concat(F.lit("p"), k)).alias("point_id"),
+        F.when(k == 5, F.lit(180.5)).when(k == 6, F.lit(float("nan"))).otherwise(k * 1.8).alias("longitude"),
+        F.when(k == 7, F.lit(-91.0)).when(k != 6, k * 0.9).alias("latitude"),
+    )
+    return quality.check_rows(points, point_rules(), ["event_type"])
+
+
+@query(
+    "chosen_horizons",
+    f"""WITH {S.persistence(S.TYPE, 2)} SELECT series_key, CAST(horizon AS BIGINT) AS horizon, count(*) AS rows, count(prediction) AS predicted
+FROM fc WHERE horizon IN (3, 1) GROUP BY 1, 2""",
+)
+def chosen_horizons(spark, sf):
+    """Some horizons, named twice and out of order."""
+    chosen = forecast.checked_horizons((3, 1, 3))
+    told = forecast.persistence_forecasts(split(spark, sf), chosen)
+    return told.groupBy("series_key", "horizon").agg(F.count("*").alias("rows"), F.count("prediction").alias("predicted"))
+
+
 @query(
     "json_safe_rows",
     """WITH e AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)

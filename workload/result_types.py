@@ -61,6 +61,8 @@ DOUBLES = {
     "results_round_trip": "ratio",
     "one_series": "water_level_m",
     "serving_run": "p1 p3 p6",
+    "prediction_files_round_trip": "observed prediction",
+    "feature_file_round_trip": "water_level_t water_level_lag_24 rain_lag_0 rain_cum_24 target_h1",
     "ridge_fit": "alpha intercept weight",
     "ridge_select": "alpha validation_mae",
     "ridge_metrics": "mae rmse r2 nse peak_absolute_error",
