@@ -135,6 +135,10 @@ class Index:
             saved = [counts[w] * (K1 + 1) / (counts[w] + K1 * (1 - B + B * len(item.words) / mean)) for w in own]
             self.weights.append((np.array([self.terms[w] for w in own]), np.array(idf) * np.array(saved)))
         self.enough = [share * float(w.sum()) * (1 - 1e-9) for _, w in self.weights]
+        # The terms of all items, one after the other, and where each item's begin.
+        self.flat = np.concatenate([t for t, _ in self.weights])
+        self.gains = np.concatenate([w for _, w in self.weights])
+        self.starts = np.concatenate(([0], np.cumsum([len(t) for t, _ in self.weights])))
         self.lists = []
         lengths = [i.length() for i in self.items]
         for length in sorted(set(lengths)):
@@ -204,6 +208,8 @@ class Index:
         ids = every[known]
         doc = np.repeat(np.arange(len(docs)), sizes)[known]
         place = known - begins[doc]
+        # Which terms a passage holds; the last place is for words that are no terms.
+        held_terms = np.zeros(len(self.terms) + 1, bool)
         for lists in self.lists:
             # Passages start every ``length`` words of a document.
             many = np.maximum(1, -(-sizes // lists.length) - 1)
@@ -212,27 +218,29 @@ class Index:
             for passage, block in zip(*(x.tolist() for x in self.candidates(lists, doc, place, ids, many))):
                 d = int(np.searchsorted(base, passage, side="right")) - 1
                 low = (passage - int(base[d])) * lists.length
-                text = docs[d][low : low + 2 * lists.length]
-                here = every[begins[d] + low : begins[d] + low + len(text)]
-                found = np.unique(here)
+                here = every[begins[d] + low : min(begins[d] + low + 2 * lists.length, begins[d] + sizes[d])]
+                first, end = int(lists.first[block]), int(lists.first[block + 1])
+                own = slice(int(self.starts[first]), int(self.starts[end]))
+                held_terms[here], held_terms[-1] = True, False
+                scores = np.add.reduceat(self.gains[own] * held_terms[self.flat[own]], self.starts[first:end] - self.starts[first])
                 held: dict[int, set] = {}
-                for j in range(int(lists.first[block]), int(lists.first[block + 1])):
-                    terms, weights = self.weights[j]
-                    score = float(weights[np.isin(terms, found)].sum())
+                for j in range(first, end):
+                    score = float(scores[j - first])
                     if score < self.enough[j]:
                         continue
                     item = self.items[j]
                     if item.width not in held:
-                        held[item.width] = set(shingles(text, item.width))
+                        held[item.width] = set(shingles(docs[d][low : low + len(here)], item.width))
                     shares = [len(want & held[item.width]) / len(want) for want in item.shingles()]
                     for k, words in enumerate(item.parts()):
                         # Each word that the passage lacks is an edit.
                         part = np.array([self.terms[w] for w in words])
-                        if shares[k] < np.isin(part, found).mean() >= overlap:
+                        if shares[k] < held_terms[part].mean() >= overlap:
                             shares[k] = max(shares[k], (len(part) - edits(part, here)) / len(part))
                     row = (score, *shares)
                     if (d, j) not in best or (min(row[1:]), row) > (min(best[d, j][1:]), best[d, j]):
                         best[d, j] = row
+                held_terms[here] = False
             for (d, j), row in best.items():
                 yield d, self.items[j].item_id, *row
 
