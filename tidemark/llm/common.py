@@ -37,6 +37,14 @@ def require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {missing}; there are {df.columns}")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this that the rows do not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Bits of 64-bit numbers spread out."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

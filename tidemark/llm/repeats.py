@@ -43,6 +43,8 @@ REACH = SPAN - 1
 #: Most suffixes of a group (some 150 MB while its trees are built), and suffixes whose trees are built together.
 GROUP = 100_000
 BATCH = 20_000
+#: Most prefixes that are dealt out, and over how many keys each.
+FREQUENT, SALTS = 10_000, 64
 #: Rows with words that a task hands on at once.
 ROWS_OUT = 20_000
 
@@ -241,13 +243,28 @@ def _at_places(docs: DataFrame, places: DataFrame) -> DataFrame:
     return possible(docs, "id", places.select("id")).join(at, "id").select("id", "text", "at")
 
 
+def _counted(found: DataFrame, many: DataFrame) -> DataFrame:
+    """Places with how ``many`` have their prefix, where several do.
+
+    Prefixes with many places are few by definition, at most ``FREQUENT`` of them. They are told to all tasks, which
+    deal their places out over ``SALTS`` keys, so a prefix of a third of all places is no hot key.
+    """
+    total = many.agg(F.sum("many")).first()[0] or 0
+    frequent = F.broadcast(many.where(F.col("many") > max(GROUP // 20, total // FREQUENT)).select("prefix", F.lit(True).alias("often")))
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS))).otherwise(0).cast("int")
+    each = F.when(F.col("often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = found.join(frequent, "prefix", "left").withColumn("salt", salt)
+    told = many.join(frequent, "prefix", "left").withColumn("salt", F.explode(each))
+    return dealt.drop("often").join(told.drop("often"), ["prefix", "salt"])
+
+
 def repeat_marks(docs: DataFrame) -> DataFrame:
     """``id, pos, mask`` of the repeated windows of ``id, text``."""
     kind = docs.schema["id"].dataType.simpleString()
     given = docs.where(F.col("id").isNotNull())
     found = given.mapInArrow(_anchors, f"prefix long, id {kind}, pos int")
-    many = found.groupBy("prefix").agg(F.count("*").alias("many")).where("many > 1")
-    places = stored(found.join(many, "prefix").select("id", "pos", (F.col("many") > GROUP).alias("large")), "places")
+    many = stored(found.groupBy("prefix").agg(F.count("*").alias("many")).where("many > 1"), "prefixes")
+    places = stored(_counted(found, many).select("id", "pos", (F.col("many") > GROUP).alias("large")), "places")
 
     suffixes = _at_places(given, places.where("NOT large")).mapInArrow(
         _suffixes, f"prefix long, id {kind}, pos int, before int, words binary"
@@ -286,10 +303,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     marks = stored(repeat_marks(given), "marks")
     listed = marks.groupBy("id").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
     # Only documents that may have marks are shuffled; the others are cut as they are read.
-    parted = flagged(given, "id", marks.select("id"))
+    parted = flagged(given, "id", marks.select("id"), "possible")
     nothing = F.lit(None).cast(listed.schema["marks"].dataType)
-    alone = parted.where("NOT _possible").select("id", "text", nothing.alias("marks"))
-    marked = parted.where("_possible").join(listed, "id", "left").select("id", "text", "marks")
+    alone = parted.where("NOT possible").select("id", "text", nothing.alias("marks"))
+    marked = parted.where("possible").join(listed, "id", "left").select("id", "text", "marks")
     schema = f"id {kind}, n_words long, n_removed long, kept string"
     return alone.mapInArrow(_cut, schema).unionByName(marked.mapInArrow(_cut, schema)).withColumnRenamed("id", key)
 
