@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bloom import possible
 from tidemark.llm.common import require
+from tidemark.plans.stage import stored
 
 K = 256
 SHINGLE = 5
@@ -23,6 +24,8 @@ HASH_BITS = 48
 #: Ids in a block of documents, and blocks in a group of blocks.
 BLOCK = 512
 BLOCKS = 4096
+#: Bits of the hash that names the block of a row without id.
+NULL_BITS = 20
 
 
 def let(value: Column, body) -> Column:
@@ -96,11 +99,13 @@ def with_next(docs: DataFrame, key: str, columns: tuple[str, ...], make) -> Data
 
     ``make`` adds the columns, which must not be null, to rows of ``docs``. Rows are read in blocks of consecutive keys, so no
     task holds more than a block; the last row of a block is given the first of the next, which
-    is found among the blocks' first keys alone. Null keys come last; equal keys are ordered by the columns.
+    is found among the blocks' first keys alone. Null keys come last, ordered by a hash of ``columns[0]``, whose leading
+    bits are their blocks, so they are spread however many they are; equal keys are ordered by the columns.
     """
-    home = F.coalesce(_part(F.col(key), BLOCK), F.lit(2**62))
+    last = F.lit(2**62) + F.shiftrightunsigned(F.xxhash64(columns[0]), 64 - NULL_BITS)
+    home = F.coalesce(_part(F.col(key), BLOCK), last)
     placed = docs.withColumn("_block", home)
-    blocks = placed.groupBy("_block").agg(F.min(key).alias("_first")).withColumn("_group", _part(F.col("_block"), BLOCKS))
+    blocks = stored(placed.groupBy("_block").agg(F.min(key).alias("_first")).withColumn("_group", _part(F.col("_block"), BLOCKS)), "blocks")
     heads = blocks.groupBy("_group").agg(F.min("_block").alias("_head"))
     order = Window.partitionBy(F.lit(1)).orderBy("_group")  # a row for each BLOCK * BLOCKS keys
     first = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
