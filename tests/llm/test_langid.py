@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import numpy as np
 
@@ -28,7 +29,7 @@ def test_decoder_equals_chain():
     model = langid.Model(["a", "b"], rng.normal(size=(langid.TABLE_ROWS + 1, 2)).astype(np.float32), {}, rng.normal(size=2), rng.normal(size=(2, 2)))
     model.weights[-1] = 0
     docs = [b"one two three four five".split(), b"one two three".split(), b"six".split()]
-    means, labels = langid.Decoder(model).decode(docs)
+    means, labels, _ = langid.Decoder(model).decode(docs)
     for d, mean in zip(docs, means):
         p, _, _ = langid.chain(langid.emissions(model, d)[:, None, :].astype(float), model.start, model.moves)
         assert np.allclose(p[:, 0].mean(axis=0), mean)
@@ -81,3 +82,14 @@ def test_control_characters_and_signs_that_are_no_letters(documents):
     got, begins = langid.grams(words)
     for one, part in zip(words, np.split(got, begins[1:])):
         assert sorted(part[part < langid.TABLE_ROWS]) == sorted(x for x in langid.grams([one])[0] if x < langid.TABLE_ROWS)
+
+
+def test_far_languages_go_and_mixed_short_and_listed_texts_stay(spark, documents):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pick = {r.lang: r.text.split()[:60] for r in docs.where("n_chars > 800").collect()}
+    rng = random.Random(2)
+    far = [" ".join("".join(rng.choices("абвгдежзиклмнопрст", k=rng.randrange(2, 9))) for _ in range(100)) for _ in range(20)]
+    near = [" ".join(pick["en"] + pick["de"] + pick["es"]), " ".join(w + " |" for w in pick["fr"]), pick["de"][0], "12 " * 50 + " ".join(pick["es"])]
+    kept = {r.doc_id for r in langid.accepted(documents(far + near), langid.train(docs)).collect()}
+    assert kept == {20, 21, 22, 23}
+    assert langid.accepted(docs, langid.train(docs)).count() == docs.where("text rlike '[A-Za-z]'").count()

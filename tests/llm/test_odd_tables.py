@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import chat, decontaminate, extraction, fingerprints, langid, mixing, neardup, repeats, secrets, urls
 from tidemark.plans.stage import stored
 
-CLASHES = "key id score spans host prefix sig size hash item_id part text_ words kept component family lang_pred next_text copies".split()
+CLASHES = "key id score spans host prefix sig size hash item_id part text_ words kept component family lang_pred next_text copies _word _bits _possible _id word bits possible place salt often prefix order _block".split()
 
 
 def clashing(df):
@@ -38,6 +38,20 @@ def test_document_operators(spark, odd):
     assert {r.doc_id for r in decontaminate.matches(odd, bench).collect()} == {2**62}
     assert secrets.scan(odd).where("size(spans) > 0").count() == 2
     assert langid.identify(odd, model, with_runs=True).count() == n
+    import test_neardup
+
+    texts = {r.doc_id: r.text for r in odd.where("doc_id IS NOT NULL").collect()}
+    want = test_neardup.brute(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(odd).where("doc_id IS NOT NULL").collect()}
+    assert got == want
+    # Nothing repeats but in rows of one id, which are one document.
+    cut = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in repeats.remove_repeats(odd).collect()}
+    words = {i: (t or "").encode().split() for i, t in texts.items()}
+    assert all(cut[i][0] == len(w) and (i == 1 or cut[i][1:] == (0, b" ".join(w).decode())) for i, w in words.items())
+    sizes = {(r.doc_id, r.size) for r in mixing.mix(odd).collect()}
+    assert {(i, len(w)) for i, w in words.items()} < sizes
+    marks = {r.doc_id: r.lang_pred for r in langid.identify(odd, model).collect()}
+    assert {i for i, p in marks.items() if p == "und"} == {2, 3, 6}
     kept = {r.doc_id: (r.component_id, r.kept) for r in neardup.near_duplicates(odd).collect()}
     assert kept[5] == (4, False) and kept[2] == (2, True) and kept[3] == (3, True)
 
@@ -47,7 +61,7 @@ def test_pipeline_stages(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, "/root/testdata/sf0.001"), name)
         assert set(docs.columns) == set(columns)
-    assert docs.columns[-1] == "copies"
+    assert docs.columns[-1] == "copies" and docs.where("copies IS NULL OR copies < 1").count() == 0
 
 
 def test_pages_and_conversations(spark):

@@ -39,6 +39,9 @@ SEQUENCES = 2000
 STEPS = 120
 BATCH = 250
 
+#: Words of full clearness that every text is given, so that short ones are not judged by a word or two.
+TRUST = 5
+
 #: Words decoded together, and words whose scores a task remembers.
 CHUNK_WORDS = 300_000
 CACHE_WORDS = 300_000
@@ -179,8 +182,10 @@ class Decoder:
 
         self.fresh, self.numbers = fresh, Numbers()
         self.seen = np.empty((1024, len(self.model.labels)), np.float32)
+        self.lettered = np.empty(1024, bool)
 
-    def scores(self, words: list[bytes]) -> np.ndarray:
+    def scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A row of scores for each word, and whether it has a letter."""
         if len(self.numbers) > CACHE_WORDS:
             self.forget()
         had = len(self.numbers)
@@ -191,17 +196,22 @@ class Decoder:
                 grown = np.empty((2 * now, self.seen.shape[1]), np.float32)
                 grown[:had] = self.seen[:had]
                 self.seen = grown
+                self.lettered = np.concatenate((self.lettered[:had], np.empty(len(grown) - had, bool)))
+            self.lettered[had:now] = [any(map(str.isalpha, w.decode())) for w in self.fresh]
             self.seen[had:now] = emissions(self.model, self.fresh)
             self.fresh.clear()
-        return self.seen[ids]
+        return self.seen[ids], self.lettered[ids]
 
-    def decode(self, docs: list[list[bytes]]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Mean label probabilities of each document (longest first), and its words' labels."""
+    def decode(self, docs: list[list[bytes]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Mean label probabilities of each document (longest first), its words' labels, and how clear these are."""
         n, m = len(self.model.labels), self.model
         lengths = np.array([len(d) for d in docs])
         begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        flat = self.scores([w for d in docs for w in d])
+        flat, lettered = self.scores([w for d in docs for w in d])
         seen = np.exp(flat - flat.max(axis=1, keepdims=True)).astype(np.float64)
+        # What a word by itself says for its best language, from 0 (nothing) to 1, whatever the number of languages.
+        own = (1 / seen.sum(axis=1) - 1 / n) / max(1 - 1 / n, 1 / n) * lettered
+        clear = (np.add.reduceat(own, begins) + TRUST) / (np.add.reduceat(lettered.astype(np.int64), begins) + TRUST)
         active = len(docs) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
         place = np.concatenate(([0], np.cumsum(active)))
         order = np.concatenate([begins[:k] + t for t, k in enumerate(active)])
@@ -226,7 +236,7 @@ class Decoder:
             p /= p.sum(axis=1, keepdims=True)
             total[:k] += p
             best[order[here]] = p.argmax(axis=1)
-        return total / lengths[:, None], np.split(best, begins[1:])
+        return total / lengths[:, None], np.split(best, begins[1:]), clear
 
 
 def _runs(labels: list[str], best: np.ndarray) -> list[dict]:
@@ -244,19 +254,18 @@ class Judge:
     def __init__(self, model: Model):
         self.model, self.decoder = model, Decoder(model)
 
-    def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
-        """Language, score and the words' labels of each text. Texts are decoded longest first, many at once."""
+    def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray, list[np.ndarray], np.ndarray]:
+        """Language, score, the words' labels and clearness of each text. Texts are decoded longest first, many at once."""
         texts = column.to_pylist()
-        lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        lang, score, clear = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         labels = [np.empty(0, np.int8)] * len(texts)
         chunk: list[tuple[int, list[bytes]]] = []
 
         def settle() -> None:
             chunk.sort(key=lambda x: -len(x[1]))
-            means, best = self.decoder.decode([ws for _, ws in chunk])
-            for (i, _), mean, own in zip(chunk, means, best):
+            for (i, _), mean, own, sure in zip(chunk, *self.decoder.decode([ws for _, ws in chunk])):
                 top = int(mean.argmax())
-                lang[i], score[i], labels[i] = self.model.labels[top], mean[top], own
+                lang[i], score[i], labels[i], clear[i] = self.model.labels[top], mean[top], own, sure
             chunk.clear()
 
         held = 0
@@ -272,7 +281,7 @@ class Judge:
             held += len(words)
         if chunk:
             settle()
-        return lang, score, labels
+        return lang, score, labels, clear
 
 
 def _identify(model: Model, with_runs: bool):
@@ -280,7 +289,7 @@ def _identify(model: Model, with_runs: bool):
         judge = Judge(model)
         run_kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
         for batch in batches:
-            lang, score, labels = judge.judge(batch.column(1))
+            lang, score, labels, _ = judge.judge(batch.column(1))
             columns, names = [batch.column(0), pa.array(lang, pa.string()), pa.array(score)], ["key", "lang_pred", "score"]
             if with_runs:
                 runs = [_runs(model.labels, best) if len(best) else [] for best in labels]
@@ -294,8 +303,8 @@ def _accept(model: Model, place: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(model)
         for batch in batches:
-            lang, score, _ = judge.judge(batch.column(place))
-            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score)], pa.bool_()))
+            lang, _, _, clear = judge.judge(batch.column(place))
+            yield batch.filter(pa.array([x != UNKNOWN and c >= least for x, c in zip(lang, clear)], pa.bool_()))
 
     return run
 
@@ -333,10 +342,12 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(_identify(model, with_runs), schema).withColumnRenamed("key", key)
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.3, text: str = "text") -> DataFrame:
-    """The documents with a language, told with at least this score.
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The documents whose words tell a learned language clearly enough.
 
-    The score of a text in two or three languages is the share of the largest, so the bound is low.
+    Clearness is the mean over a text's words with letters of the probability of each word's best language by the word
+    itself, put on a scale from 0 (all languages alike) to 1; ``TRUST`` words of 1 are added. It neither depends on the number of
+    languages nor falls where a text changes its language; words of a script or language far from those learned have little of it.
     """
     require(docs, text)
     return docs.mapInArrow(_accept(model, docs.columns.index(text), least), docs.schema)

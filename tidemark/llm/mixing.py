@@ -12,21 +12,28 @@ taken if that brings the sum closer. The order is cut into hash buckets, so a so
 size is ranked in many small windows; only one row for each (source, bucket) is summed per source.
 
 Null text counts no words; null sources form one source, last in order. An empty table gives
-no rows; a source without words takes none. Equal rows are ranked one after the other.
+no rows; a source without words takes none. Equal rows are ranked one after the other; rows without id are
+ordered by their text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import require, word_count
+from tidemark.llm.common import require, unused, word_count
 from tidemark.plans.stage import stored
 
 #: Hex digits of the hash that name a bucket: 16 ** 4 buckets a source.
 BUCKET_DIGITS = 4
 
 
+def row_hash(seed: str, key: str, text: str) -> Column:
+    """Place of a row in the seeded order: by its id, without one by its text."""
+    known = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.coalesce(F.col(text), F.lit(""))))
+    return F.md5(F.concat(F.lit(seed + ":"), known))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """``source, source_size, target`` from one row ``source, size`` for each document.
 
@@ -66,11 +73,10 @@ def mix(
     source: str = "source",
     key: str = "doc_id",
 ) -> DataFrame:
-    """One row a document: ``key, source, size, source_size, target, copies, taken``."""
+    """One row a document: ``key, source, size, source_size, target, copies, taken`` and ``hash``, its place in the order."""
     require(docs, text, source, key)
-    hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     sized = docs.select(
-        F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), hashed.alias("hash")
+        F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), row_hash(seed, key, text).alias("hash")
     ).withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS))
     # A null source must meet itself in joins.
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
@@ -108,14 +114,25 @@ def mix(
             "target",
             "copies",
             (F.col("copies") * F.col("size")).alias("taken"),
+            "hash",
         )
     )
 
 
+def mixed_documents(docs: DataFrame, seed: str = "mix-1", key: str = "doc_id", text: str = "text", **settings: object) -> DataFrame:
+    """The documents of the mix with ``copies``, the times each is repeated; a column of that name is replaced.
+
+    Rows that share an id, or without id a text, share the larger of their copies.
+    """
+    name = unused(docs, "place")
+    chosen = mix(docs, seed=seed, key=key, text=text, **settings).groupBy(F.col("hash").alias(name)).agg(F.max("copies").alias("copies"))
+    return docs.drop("copies").withColumn(name, row_hash(seed, key, text)).join(chosen.where("copies > 0"), name).drop(name)
+
+
 def _sql(documents: str, seed: str) -> str:
     return f"""WITH d AS (SELECT doc_id, source,
   CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-  md5('{seed}:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h FROM {documents}),
+  md5('{seed}:' || COALESCE(CAST(doc_id AS VARCHAR), 'text:' || COALESCE(text, ''))) AS h FROM {documents}),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 s1 AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w,
   source_size * 3 AS cap FROM s0),
