@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages, each written as Parquet and read again by the next.
 
-Documents whose language cannot be told go, of near duplicates one stays, documents that hold a
+Documents in no language that the labels name go, of near duplicates one stays, documents that hold a
 benchmark item go, secrets are hidden, and the rest is mixed to the sources' target weights.
 """
 
@@ -45,9 +45,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix with ``copies``, the times each is repeated."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    return docs.drop("copies").join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    """The documents of the mix with ``copies``, the times each is repeated; a column of that name is replaced."""
+    return mixing.mixed_documents(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
