@@ -55,7 +55,7 @@ def pieces(seed, vocabulary, many):
 
 
 @pytest.mark.parametrize("vocabulary", [2, 9, 10**6])
-@pytest.mark.parametrize("group", [3, 100_000])
+@pytest.mark.parametrize("group", [3, 12, 40, 100_000])
 def test_overlaps_borders_and_group_sizes(documents, monkeypatch, vocabulary, group):
     monkeypatch.setattr(repeats, "GROUP", group)
     monkeypatch.setattr(repeats, "BATCH", 50)
@@ -98,3 +98,20 @@ def test_equal_windows_have_equal_anchors():
         inside = lambda p, k: {x - k for x in p if k <= x < k + repeats.SPAN}
         shared = inside(pa, i) & inside(pb, j)
         assert shared and all(ha[i + x] == hb[j + x] for x in shared)
+
+
+def test_windows_of_both_longer_prefixes(documents, monkeypatch):
+    """Copies that part from each other on either side of a frequent anchor, at every distance."""
+    monkeypatch.setattr(repeats, "GROUP", 6)
+    rng = random.Random(11)
+    middle = [f"m{i}" for i in range(PREFIX_WORDS)]
+    before, after = [f"b{i}" for i in range(30)], [f"a{i}" for i in range(30)]
+    texts = []
+    for b in range(0, 16):
+        for a in range(0, 16, 3):
+            own = [f"o{rng.randrange(10**9)}" for _ in range(40)]
+            texts.append(" ".join(own[:20] + before[len(before) - b :] + middle + after[:a] + own[20:]))
+    assert rows(repeats.remove_repeats(documents(texts))) == brute(dict(enumerate(texts)))
+
+
+PREFIX_WORDS = repeats.PREFIX

@@ -9,7 +9,10 @@ meet, about one word in eight. They are grouped by their first words:
   the words from the anchor on (sorted suffixes and their longest common prefixes, whose
   intervals are the tree's nodes) and a second tree over the words before the anchor. A node of
   each, together ``WINDOW`` words deep, is a repeat; all but its first place are removed.
-* Suffixes of a more frequent prefix are given longer prefixes, up to the whole window. At that depth a
+* Suffixes of a more frequent prefix are given longer ones, of ``LONGER`` words: those that follow the anchor for the windows
+  that reach so far beyond it, and the words around it for those that end sooner but begin well before it. Groups of these
+  that fit get trees, for their windows alone.
+* What is still too frequent gets the longest prefix, the whole window. At that depth a
   node needs no tree: the first place is a combinable minimum, taken out by digest and place, so a
   passage that stands in a third of all documents is no hot group.
 
@@ -23,6 +26,7 @@ keep all and remove nothing. Rows that share an id are taken as one document tha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import count
 
 import numpy as np
@@ -40,6 +44,12 @@ PREFIX = 6
 #: Prefixes in a window; words before an anchor that a window can reach.
 SPAN = WINDOW - PREFIX + 1
 REACH = SPAN - 1
+#: Words of a longer prefix, and how many of them stand before the anchor where windows end too soon for it.
+LONGER = 13
+LEAD = LONGER - PREFIX
+#: Windows by the words between their beginning and the anchor: those that hold the longer prefix after it, and the others.
+FAR, SOON = range(0, WINDOW - LONGER + 1), range(WINDOW - LONGER + 1, SPAN)
+LANES = tuple(sum(1 << l for l in lanes) for lanes in (FAR, SOON))
 #: Most suffixes of a group (some 150 MB while its trees are built), and suffixes whose trees are built together.
 GROUP = 100_000
 BATCH = 20_000
@@ -90,54 +100,89 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield made()
 
 
-def _placed(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], list[int]]]:
+def _placed(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
     """Row, words and places of each document; a place past the end belongs to another text of the same id."""
     for i, (text, at) in enumerate(zip(batch.column(1), batch.column(2))):
         words = (text.as_py() or "").encode().split()
-        places = [p for p in at.as_py() if p + PREFIX <= len(words)]
-        if places and len(words) >= WINDOW:
+        places = np.array(at.as_py(), np.int64)
+        places = places[places // 2 + PREFIX <= len(words)]
+        if len(places) and len(words) >= WINDOW:
             yield i, words, places
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words around each place, with the number of them before it."""
+def _longer_hashes(words: list[bytes], at: np.ndarray, soon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the longer prefixes and which exist; ``soon`` tells those that begin before the anchor."""
+    begin = np.where(soon, at - LEAD, at)
+    there = (begin >= 0) & (begin + LONGER <= len(words))
+    h = gram_hashes(words, LONGER)[begin[there]] ^ np.where(soon[there], np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+    return h, there
+
+
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both longer prefixes of each place; places carry which in their last bit from here on."""
+    for batch in batches:
+        prefixes, rows, places = [], [], []
+        for i, words, at in _placed(batch):
+            both = np.concatenate((at, at + 1))
+            h, there = _longer_hashes(words, both // 2, both % 2 == 1)
+            prefixes.append(h)
+            places.append(both[there])
+            rows.append(np.full(len(h), i))
+        if rows:
+            ids = batch.column(0).take(pa.array(np.concatenate(rows)))
+            columns = [pa.array(np.concatenate(prefixes).view(np.int64)), ids, pa.array(np.concatenate(places).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["prefix", "id", "pos"])
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], longer: bool = False) -> Iterator[pa.RecordBatch]:
+    """The words around each place, with the number of them before it, and the windows that matter."""
 
     def made() -> pa.RecordBatch:
         columns = [
-            pa.array(np.concatenate(prefixes).view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(places, pa.int32()),
-            pa.array(before, pa.int32()), pa.array(around, pa.binary()),
+            pa.array(np.concatenate(prefixes).view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(places, pa.int64()),
+            pa.array(lanes, pa.int32()), pa.array(before, pa.int32()), pa.array(around, pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["prefix", "id", "pos", "before", "words"])
+        return pa.RecordBatch.from_arrays(columns, ["prefix", "id", "pos", "lanes", "before", "words"])
 
     for batch in batches:
-        prefixes, rows, places, before, around = [], [], [], [], []
+        prefixes, rows, places, lanes, before, around = [], [], [], [], [], []
         for i, words, at in _placed(batch):
-            prefixes.append(gram_hashes(words, PREFIX)[at])
-            for p in at:
+            if longer:
+                h, there = _longer_hashes(words, at // 2, at % 2 == 1)
+                at = at[there]
+                prefixes.append(h)
+            else:
+                prefixes.append(gram_hashes(words, PREFIX)[at // 2])
+            for p, soon in zip((at // 2).tolist(), (at % 2).tolist()):
                 low = max(0, p - REACH)
                 rows.append(i)
                 places.append(p)
+                lanes.append(LANES[soon] if longer else sum(LANES))
                 before.append(p - low)
                 around.append(b" ".join(words[low : p + WINDOW]))
             if len(rows) >= ROWS_OUT:
                 yield made()
-                prefixes, rows, places, before, around = [], [], [], [], []
+                prefixes, rows, places, lanes, before, around = [], [], [], [], [], []
         if rows:
             yield made()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows whose anchor is one of the places, as digests of their words."""
+    """Windows of each place that its longer prefix is for, as digests of their words."""
 
     def made() -> pa.RecordBatch:
-        columns = [pa.array(digests, pa.binary()), batch.column(0).take(pa.array(rows)), pa.array(starts, pa.int32())]
+        columns = [pa.array(digests, pa.binary()), batch.column(0).take(pa.array(rows)), pa.array(starts, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["digest", "id", "pos"])
 
     for batch in batches:
         digests, rows, starts = [], [], []
         for i, words, at in _placed(batch):
             h, least, _ = anchors(words)
-            for s in np.flatnonzero(np.isin(least, h[at])).tolist():
+            begins = np.concatenate([at[at % 2 == soon] // 2 - l for soon, lanes in enumerate((FAR, SOON)) for l in lanes])
+            anchor = np.concatenate([at[at % 2 == soon] // 2 for soon, lanes in enumerate((FAR, SOON)) for _ in lanes])
+            inside = (begins >= 0) & (begins < len(least))
+            begins, anchor = begins[inside], anchor[inside]
+            for s in np.unique(begins[least[begins] == h[anchor]]).tolist():
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words[s : s + WINDOW])))
                 rows.append(i)
                 starts.append(s)
@@ -196,9 +241,9 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle(table: pa.Table) -> pa.RecordBatch:
         prefix, ids, places = (table.column(i).to_numpy() for i in range(3))
         group = np.concatenate(([0], np.cumsum(prefix[1:] != prefix[:-1])))
-        mask = repeated(group, ids, places, table.column(3).to_pylist(), table.column(4).to_pylist())
+        mask = repeated(group, ids, places, table.column(4).to_pylist(), table.column(5).to_pylist()) & table.column(3).to_numpy()
         kept = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(places[kept]), pa.array(mask[kept])], ["id", "pos", "mask"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(places[kept]), pa.array(mask[kept].astype(np.int32))], ["id", "pos", "mask"])
 
     size = 0
     for batch in batches:
@@ -239,7 +284,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _at_places(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``id, text, at`` of the documents that have places."""
-    at = places.groupBy("id").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    at = places.groupBy("id").agg(F.sort_array(F.collect_list(F.col("pos").cast("long"))).alias("at"))
     return possible(docs, "id", places.select("id")).join(at, "id").select("id", "text", "at")
 
 
@@ -258,25 +303,30 @@ def _counted(found: DataFrame, many: DataFrame) -> DataFrame:
     return dealt.drop("often").join(told.drop("often"), ["prefix", "salt"])
 
 
+def _grouped(found: DataFrame, name: str) -> DataFrame:
+    """``id, pos, large`` of the places that share their prefix; large groups have more than ``GROUP``."""
+    many = stored(found.groupBy("prefix").agg(F.count("*").alias("many")).where("many > 1"), f"{name}_prefixes")
+    return stored(_counted(found, many).select("id", "pos", (F.col("many") > GROUP).alias("large")), name)
+
+
 def repeat_marks(docs: DataFrame) -> DataFrame:
     """``id, pos, mask`` of the repeated windows of ``id, text``."""
     kind = docs.schema["id"].dataType.simpleString()
     given = docs.where(F.col("id").isNotNull())
-    found = given.mapInArrow(_anchors, f"prefix long, id {kind}, pos int")
-    many = stored(found.groupBy("prefix").agg(F.count("*").alias("many")).where("many > 1"), "prefixes")
-    places = stored(_counted(found, many).select("id", "pos", (F.col("many") > GROUP).alias("large")), "places")
-
-    suffixes = _at_places(given, places.where("NOT large")).mapInArrow(
-        _suffixes, f"prefix long, id {kind}, pos int, before int, words binary"
-    )
-    of_trees = (
-        suffixes.repartition("prefix")
-        .sortWithinPartitions("prefix", "id", "pos")
-        .mapInArrow(_trees, f"id {kind}, pos int, mask int")
-    )
+    row = f"prefix long, id {kind}, pos long, lanes int, before int, words binary"
+    # The last bit of a place tells its longer prefixes apart; before there are any it is 0.
+    found = given.mapInArrow(_anchors, f"prefix long, id {kind}, pos int").withColumn("pos", F.col("pos").cast("long") * 2)
+    places = _grouped(found, "places")
+    suffixes = _at_places(given, places.where("NOT large")).mapInArrow(_suffixes, row)
+    frequent = places.where("large").select("id", "pos")
+    if not frequent.take(1):
+        return _marked(suffixes, kind)
+    longer = _at_places(given, frequent).mapInArrow(_longer, f"prefix long, id {kind}, pos long")
+    placed = _grouped(longer, "longer_places")
+    suffixes = suffixes.unionByName(_at_places(given, placed.where("NOT large")).mapInArrow(partial(_suffixes, longer=True), row))
     # Stored, as the first places and what is left without them both read it.
     windows = stored(
-        _at_places(given, places.where("large")).mapInArrow(_windows, f"digest binary, id {kind}, pos int").withColumn(
+        _at_places(given, placed.where("large")).mapInArrow(_windows, f"digest binary, id {kind}, pos long").withColumn(
             "order", F.col("id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("pos")
         ),
         "windows",
@@ -292,7 +342,12 @@ def repeat_marks(docs: DataFrame) -> DataFrame:
         .where("NOT first")
         .select("id", "pos", F.lit(1).alias("mask"))
     )
-    return of_trees.unionByName(of_windows)
+    return _marked(suffixes, kind).unionByName(of_windows)
+
+
+def _marked(suffixes: DataFrame, kind: str) -> DataFrame:
+    ordered = suffixes.repartition("prefix").sortWithinPartitions("prefix", "id", "pos")
+    return ordered.mapInArrow(_trees, f"id {kind}, pos long, mask int")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
