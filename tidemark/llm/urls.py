@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import require
 from tidemark.plans.stage import stored
 
-# Public suffixes of more than one label that this filter knows.
-TWO_LABEL_SUFFIXES = (
-    "ac.uk co.uk gov.uk org.uk com.au net.au org.au co.nz co.jp ne.jp or.jp com.br com.cn com.mx com.tr co.in co.kr co.za"
-).split()
+# Second labels that countries register domains under.
+SECOND_LEVEL = "ac co com edu go gob gov ltd me mil ne net nom or org plc sch".split()
+
+#: A public suffix of two labels: such a second label under a country's two letters.
+TWO_LABELS = rf"^({'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -69,12 +70,12 @@ def bare_host(host: Column) -> Column:
 
 def suffix_of(bare: Column) -> Column:
     last_two = F.substring_index(bare, ".", -2)
-    return F.when(last_two.isin(TWO_LABEL_SUFFIXES), last_two).otherwise(F.substring_index(bare, ".", -1))
+    return F.when(F.rlike(last_two, F.lit(TWO_LABELS)), last_two).otherwise(F.substring_index(bare, ".", -1))
 
 
 def domain_of(bare: Column) -> Column:
     last_two = F.substring_index(bare, ".", -2)
-    return F.when(last_two.isin(TWO_LABEL_SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(last_two)
+    return F.when(F.rlike(last_two, F.lit(TWO_LABELS)), F.substring_index(bare, ".", -3)).otherwise(last_two)
 
 
 def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
@@ -153,7 +154,7 @@ def judge(
     )
 
 
-_TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+_TWO = f"regexp_matches(two, '{TWO_LABELS}')"
 
 
 def _level(name: str, source: str, above: str) -> str:
@@ -171,8 +172,8 @@ l AS (SELECT doc_id, max(CASE WHEN COALESCE(toxic, 0) > 0 OR COALESCE(quality, 1
 h0 AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(COALESCE(sum(bad), 0) AS DOUBLE) AS bad FROM p LEFT JOIN l ON p.page_id = l.doc_id GROUP BY 1),
 h1 AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*)?\\.?$', '') AS bare FROM h0),
 h2 AS (SELECT *, regexp_extract(bare, '[^.]*\\.?[^.]*$') AS two FROM h1),
-h AS (SELECT host, n, bad, CASE WHEN two IN ({_TWO}) THEN two ELSE regexp_extract(bare, '[^.]*$') END AS suffix,
-  CASE WHEN two IN ({_TWO}) THEN regexp_extract(bare, '([^.]*\\.)?[^.]*\\.[^.]*$') ELSE two END AS domain FROM h2),
+h AS (SELECT host, n, bad, CASE WHEN {_TWO} THEN two ELSE regexp_extract(bare, '[^.]*$') END AS suffix,
+  CASE WHEN {_TWO} THEN regexp_extract(bare, '([^.]*\\.)?[^.]*\\.[^.]*$') ELSE two END AS domain FROM h2),
 t AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS all_mean FROM h),
 x1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(all_mean) AS all_mean FROM h, t GROUP BY 1),
 {_level("suffix", "x1", "all_mean")},
