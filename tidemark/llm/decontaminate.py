@@ -40,7 +40,7 @@ from tidemark.plans.stage import stored
 
 SHARD_ITEMS = 4096
 BLOCK_ITEMS = 4
-CHUNK_WORDS = 300_000
+CHUNK_WORDS = 100_000
 SHINGLE = 5
 
 #: Part of a block's threshold that skipped terms may add up to.
@@ -245,10 +245,10 @@ class Index:
                 yield d, self.items[j].item_id, *row
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
     first, chunk, held = 0, [], 0
     for i, text in enumerate(texts):
-        words = words_of(text or "")
+        words = words_of(text.as_py() or "")
         if chunk and held + len(words) > CHUNK_WORDS:
             yield first, chunk
             first, chunk, held = i, [], 0
@@ -262,7 +262,7 @@ def _matches(index: Index, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, out = batch.column(0), []
-            for first, chunk in _chunks(batch.column(1).to_pylist()):
+            for first, chunk in _chunks(batch.column(1)):
                 out += [
                     (first + d, item, score, q, a)
                     for d, item, score, q, a in index.search(chunk, overlap)
@@ -281,7 +281,7 @@ def _clean(index: Index, place: int, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for first, chunk in _chunks(batch.column(place).to_pylist()):
+            for first, chunk in _chunks(batch.column(place)):
                 for d, _, _, q, a in index.search(chunk, overlap):
                     if min(q, a) >= overlap:
                         keep[first + d] = False

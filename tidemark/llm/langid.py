@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +44,10 @@ BATCH = 250
 TRUST = 5
 
 #: Words decoded together, and words whose scores a task remembers.
-CHUNK_WORDS = 300_000
+CHUNK_WORDS = 150_000
 CACHE_WORDS = 300_000
+#: New words whose n-grams are looked up together.
+WORDS_AT_ONCE = 10_000
 
 UNKNOWN = "und"
 
@@ -184,8 +187,8 @@ class Decoder:
         self.seen = np.empty((1024, len(self.model.labels)), np.float32)
         self.lettered = np.empty(1024, bool)
 
-    def scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """A row of scores for each word, and whether it has a letter."""
+    def scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row of scores for each word, whether it has a letter, and its number among the words seen."""
         if len(self.numbers) > CACHE_WORDS:
             self.forget()
         had = len(self.numbers)
@@ -198,20 +201,26 @@ class Decoder:
                 self.seen = grown
                 self.lettered = np.concatenate((self.lettered[:had], np.empty(len(grown) - had, bool)))
             self.lettered[had:now] = [any(map(str.isalpha, w.decode())) for w in self.fresh]
-            self.seen[had:now] = emissions(self.model, self.fresh)
+            for first in range(0, len(self.fresh), WORDS_AT_ONCE):
+                part = self.fresh[first : first + WORDS_AT_ONCE]
+                self.seen[had + first : had + first + len(part)] = emissions(self.model, part)
             self.fresh.clear()
-        return self.seen[ids], self.lettered[ids]
+        return self.seen[ids], self.lettered[ids], ids
 
     def decode(self, docs: list[list[bytes]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Mean label probabilities of each document (longest first), its words' labels, and how clear these are."""
         n, m = len(self.model.labels), self.model
         lengths = np.array([len(d) for d in docs])
         begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        flat, lettered = self.scores([w for d in docs for w in d])
+        flat, lettered, ids = self.scores([w for d in docs for w in d])
         seen = np.exp(flat - flat.max(axis=1, keepdims=True)).astype(np.float64)
         # What a word by itself says for its best language, from 0 (nothing) to 1, whatever the number of languages.
         own = (1 / seen.sum(axis=1) - 1 / n) / max(1 - 1 / n, 1 / n) * lettered
-        clear = (np.add.reduceat(own, begins) + TRUST) / (np.add.reduceat(lettered.astype(np.int64), begins) + TRUST)
+        # A word that is said again says nothing more about the language.
+        owner = np.repeat(np.arange(len(docs)), lengths)
+        _, once = np.unique(owner * len(self.numbers) + ids, return_index=True)
+        told, many = (np.bincount(owner[once], x[once], len(docs)) for x in (own, lettered))
+        clear = (told + TRUST) / (many + TRUST)
         active = len(docs) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
         place = np.concatenate(([0], np.cumsum(active)))
         order = np.concatenate([begins[:k] + t for t, k in enumerate(active)])
@@ -256,9 +265,9 @@ class Judge:
 
     def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray, list[np.ndarray], np.ndarray]:
         """Language, score, the words' labels and clearness of each text. Texts are decoded longest first, many at once."""
-        texts = column.to_pylist()
-        lang, score, clear = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        labels = [np.empty(0, np.int8)] * len(texts)
+        many = len(column)
+        lang, score, clear = [UNKNOWN] * many, np.zeros(many), np.zeros(many)
+        labels = [np.empty(0, np.int8)] * many
         chunk: list[tuple[int, list[bytes]]] = []
 
         def settle() -> None:
@@ -269,9 +278,11 @@ class Judge:
             chunk.clear()
 
         held = 0
-        for i in sorted(range(len(texts)), key=lambda i: -len(texts[i] or "")) if self.model.labels else ():
-            text = texts[i]
-            if not any(map(str.isalpha, text or "")):
+        # Texts are taken out one by one, so that no second copy of all of them is held.
+        size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        for i in np.argsort(-size, kind="stable").tolist() if self.model.labels else ():
+            text = column[i].as_py() or ""
+            if not any(map(str.isalpha, text)):
                 continue
             words = words_of(text)
             if chunk and held + len(words) > CHUNK_WORDS:
@@ -345,7 +356,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 def accepted(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
     """The documents whose words tell a learned language clearly enough.
 
-    Clearness is the mean over a text's words with letters of the probability of each word's best language by the word
+    Clearness is the mean over a text's different words with letters of the probability of each word's best language by the word
     itself, put on a scale from 0 (all languages alike) to 1; ``TRUST`` words of 1 are added. It neither depends on the number of
     languages nor falls where a text changes its language; words of a script or language far from those learned have little of it.
     """
