@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import finite
 from tidemark.functions.timeline import aligned_index, step_micros, step_start, zone_shift
 from tidemark.operators.blocks import (
+    BLOCK,
     CORE,
     DEFAULT_BLOCK_STEPS,
     KEYS,
@@ -127,21 +128,21 @@ def window_order(margined: DataFrame) -> str:
     return "_step" if "_step" in margined.columns else "grid_pos"
 
 
-def nearest_levels(
+def with_nearest(
+    margined: DataFrame,
     keys: Sequence[str],
-    max_steps: int,
     order: str = "grid_pos",
     level: str = "water_level_m",
     position: str = "grid_pos",
-) -> dict[str, Column]:
-    """Nearest observed position and level on either side, as far as a fill needs them."""
+) -> DataFrame:
+    """Add ``_left`` and ``_right``: position and level of the nearest observed rows of the block.
+
+    Both are taken in one order, so the block is sorted once, and a row costs the same however far they are.
+    """
     seen = F.when(F.col(level).isNotNull(), F.struct(F.col(position).alias("p"), F.col(level).alias("v")))
-    # Growing frames, so the cost of a row does not depend on ``max_steps``.
-    left = F.last(seen, ignorenulls=True).over(block_window(keys, order).rowsBetween(Window.unboundedPreceding, -1))
-    right = F.last(seen, ignorenulls=True).over(
-        block_window(keys, F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return {"_left": left, "_right": right}
+    by = ", ".join(f"`{c}`" for c in (*keys, BLOCK))
+    near = lambda side: F.expr(f"{side}(_here, 1) IGNORE NULLS OVER (PARTITION BY {by} ORDER BY `{order}`)")
+    return margined.withColumn("_here", seen).withColumns({"_left": near("lag"), "_right": near("lead")}).drop("_here")
 
 
 def interpolated(max_steps: Column, level: str = "water_level_m", position: str = "grid_pos") -> Column:
@@ -157,7 +158,7 @@ def fill_margined(margined: DataFrame, max_steps: int, keys: Sequence[str] = KEY
     if max_steps == 0:
         return margined.withColumn("is_imputed", F.lit(False))
     return (
-        margined.withColumns(nearest_levels(keys, max_steps, window_order(margined)))
+        with_nearest(margined, keys, window_order(margined))
         .withColumn("_fill", interpolated(F.lit(max_steps)))
         .withColumn("is_imputed", F.col("_fill").isNotNull())
         .withColumn("water_level_m", F.coalesce("water_level_m", "_fill"))
@@ -312,7 +313,7 @@ def interpolation_sweep(
     widest = max(candidates)
     reach = max(horizons)
     margined = with_margin(grid, "grid_pos", widest, widest + reach, max(block_steps, widest + reach))
-    near = margined.withColumns(nearest_levels(keys, max(widest, 1)))
+    near = with_nearest(margined, keys)
     run = F.col("_right.p") - F.col("_left.p") - F.lit(1)
     present = near.select(
         *keys, "_block", CORE, "grid_pos",
