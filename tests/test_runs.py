@@ -9,6 +9,7 @@ from helpers import HOUR, START, observations, random_series
 from tidemark.operators import clean, features, grid
 from tidemark.plans import runs
 
+# The 12 rows that the published counts and errors of the sample audit belong to.
 SAMPLE = [
     ("2026-01-01 00:00:00", "3.10", "1001"), ("2026-01-01 01:00:00", "3.12", "1002"), ("2026-01-01 02:00:00", "3.15", "1003"),
     ("2026-01-01 03:00:00", "3.20", "1004"), ("2026-01-01 04:00:00", "3.28", "1005"), ("2026-01-01 05:00:00", "3.35", "1005"),
@@ -17,6 +18,25 @@ SAMPLE = [
 ]
 
 
+#: Ten hours of our own: level 2.00 + 0.05 an hour; one blank, one text, one id used twice.
+OWN = [(f"2025-05-01 {h:02}:00:00", {4: " ", 7: "n/a"}.get(h, f"{2 + 0.05 * h:.2f}"), "s8" if h == 9 else f"s{h}") for h in range(10)]
+
+
+def test_own_sample_end_to_end(spark):
+    df = spark.createDataFrame([("z", i, t, v, n) for n, (t, v, i) in enumerate(OWN)], "series_key string, z_id string, time_d string, up_water_level string, row_position long")
+    result = runs.baseline_audit(df, F.col("row_position"))
+    s = result["summary"].first()
+    assert (s.total_rows, s.valid_rows, s.duplicate_rows, s.invalid_timestamp_rows, s.invalid_level_rows, s.missing_level_rows) == (10, 7, 1, 0, 1, 1)
+    levels = result["grid"].orderBy("observed_at").collect()
+    # Hours 4, 7 and 8 are filled along the straight line that the readings lie on.
+    assert [r.observed_at.hour for r in levels if r.is_imputed] == [4, 7, 8]
+    assert [round(r.water_level_m, 9) for r in levels] == [round(2 + 0.05 * h, 9) for h in range(10)]
+    assert {r.segment: r.rows for r in result["segments"].collect()} == {"train": 7, "validation": 1, "test": 2}
+    assert result["longest_run"].first().longest_run == 2
+    # One hour ahead persistence is always 0.05 too low.
+    assert {round(r.mae, 9) for r in result["metrics"].filter("horizon = 1 and sample_count > 0").collect()} == {0.05}
+
+
 def raw(spark):
     rows = [("s", *r, i) for i, r in enumerate(SAMPLE)]
     return spark.createDataFrame(rows, "series_key string, time_d string, up_water_level string, z_id string, row_position int")
