@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from html.parser import HTMLParser
@@ -39,6 +38,9 @@ TAGS = (
 ).split()
 NUMBERS = 17
 
+#: Signs that end or part sentences.
+MARKS = re.compile(r"[.,;:!?]")
+
 
 class Node:
     __slots__ = ("tag", "tokens", "parent", "parts", "keep")
@@ -72,6 +74,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
+        self.in_head = False
 
     def close_to(self, tags: set[str], fences: set[str]) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -83,8 +86,9 @@ class _Builder(HTMLParser):
 
     def leave_head(self) -> None:
         """What cannot stand in a head ends it, as pages may leave out its end tag and the body's start tag."""
-        if not any(n.tag == "template" for n in self.open):
+        if self.in_head and not any(n.tag == "template" for n in self.open):
             self.close_to({"head"}, {"html"})
+            self.in_head = False
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
@@ -100,6 +104,7 @@ class _Builder(HTMLParser):
         node = Node(tag, tokens_of(attrs), self.open[-1])
         if tag not in VOID:
             self.open.append(node)
+            self.in_head = self.in_head or tag == "head"
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -113,7 +118,7 @@ class _Builder(HTMLParser):
                 return  # an inline end tag closes no block
 
     def handle_data(self, data):
-        if self.open[-1].tag == "head" and data.strip():
+        if self.in_head and self.open[-1].tag == "head" and data.strip():
             self.leave_head()
         parts = self.open[-1].parts
         if parts and isinstance(parts[-1], str):
@@ -168,71 +173,78 @@ class Features:
 
     def of(self, nodes: list[Node]) -> np.ndarray:
         """A row for each node; ``nodes`` are parents first."""
-        place = {id(n): i for i, n in enumerate(nodes)}
+        place = {id(x): i for i, x in enumerate(nodes)}
         n = len(nodes)
-        up = np.array([place.get(id(x.parent), -1) for x in nodes])
-        own, letters, marks, linked, tags, depth = (np.zeros(n) for _ in range(6))
-        last = np.zeros(n)
+        up = [place.get(id(x.parent), -1) for x in nodes]
+        own, letters, marks, depth, rank = ([0] * n for _ in range(5))
+        kids: list[list[int]] = [[] for _ in range(n)]
         for i, x in enumerate(nodes):
-            text = " ".join(p for p in x.parts if isinstance(p, str)).strip()
-            own[i] = len(text)
-            letters[i] = sum(c.isalpha() for c in text)
-            marks[i] = sum(c in ".,;:!?" for c in text)
+            text = " ".join([p for p in x.parts if isinstance(p, str)]).strip()
+            if text:
+                own[i] = len(text)
+                letters[i] = sum(map(str.isalpha, text))
+                marks[i] = len(MARKS.findall(text))
             if up[i] >= 0:
                 depth[i] = depth[up[i]] + 1
-        whole, signs, inner = own.copy(), marks.copy(), np.ones(n)
+                rank[i] = len(kids[up[i]])
+                kids[up[i]].append(i)
+        whole, signs, linked, inner = own[:], marks[:], [0] * n, [1] * n
         for i in range(n - 1, -1, -1):
             if nodes[i].tag == "a":
                 linked[i] = whole[i]
-            if up[i] >= 0:
-                for a in (whole, signs, linked, inner):
-                    a[up[i]] += a[i]
-        total, seen = max(1.0, whole[0]), np.zeros(n)
-        kids = [[] for _ in range(n)]
-        for i in range(1, n):
-            kids[up[i]].append(i)
+            j = up[i]
+            if j >= 0:
+                whole[j] += whole[i]
+                signs[j] += signs[i]
+                linked[j] += linked[i]
+                inner[j] += inner[i]
+        # Of children: how many have each tag, and their texts' length, once for each parent.
+        nothing: Counter[str] = Counter()
+        kinds = [Counter([nodes[j].tag for j in group]) if group else nothing for group in kids]
+        under = [sum([whole[j] for j in group]) for group in kids]
+        size = [len(kids[j]) if j >= 0 else 1 for j in up]
+        same = [kinds[j][x.tag] if j >= 0 else 1 for j, x in zip(up, nodes)]
+        beside = [under[j] if j >= 0 else whole[i] for i, j in enumerate(up)]
+        above = [whole[j] if j >= 0 else whole[0] for j in up]
+        told = np.array(
+            [depth, own, letters, whole, signs, linked, inner, rank, size, same, beside, above, list(map(len, kids)), [k["p"] for k in kinds]], np.float64
+        )
+        depth, own, letters, whole, signs, linked, inner, rank, size, same, beside, above, many, paragraphs = told
+        total, some = max(1.0, whole[0]), np.maximum(1.0, whole)
         out = np.zeros((n, self.width), np.float32)
-        token_lean, tag_lean, above_token, above_tag = (np.zeros((n, 2)) for _ in range(4))
-        before = 0.0
-        # Counts of children by tag and their texts' length, once for each parent.
-        kinds = [Counter(nodes[j].tag for j in group) for group in kids]
-        under = [sum(whole[j] for j in group) for group in kids]
-        for i, x in enumerate(nodes):
-            top = up[i] < 0
-            size = 1 if top else len(kids[up[i]])
-            same = 1 if top else kinds[up[i]][x.tag]
-            parent = max(1.0, whole[up[i]]) if up[i] >= 0 else total
-            out[i, :NUMBERS] = (
-                depth[i],
-                math.log1p(whole[i]),
-                math.log1p(own[i]),
-                whole[i] / total,
-                whole[i] / parent,
-                whole[i] / inner[i],
-                linked[i] / max(1.0, whole[i]),
-                signs[i] / max(1.0, whole[i]),
-                inner[i],
-                len(kids[i]),
+        out[:, :NUMBERS] = np.column_stack(
+            (
+                depth,
+                np.log1p(whole),
+                np.log1p(own),
+                whole / total,
+                whole / np.maximum(1.0, above),
+                whole / inner,
+                linked / some,
+                signs / some,
+                inner,
+                many,
                 size,
-                seen[up[i]] if up[i] >= 0 else 0,
+                rank,
                 same / size,
-                math.log1p((whole[i] if top else under[up[i]]) / size),
-                before / total,
-                letters[i] / max(1.0, own[i]),
-                kinds[i]["p"],
+                np.log1p(beside / size),
+                (np.cumsum(own) - own) / total,
+                letters / np.maximum(1.0, own),
+                paragraphs,
             )
+        )
+        out[np.arange(n), [NUMBERS + self.tags.get(x.tag, len(TAGS)) for x in nodes]] = 1
+        # Least and greatest lean of own words, and of words and tags above.
+        leans = []
+        for i, x in enumerate(nodes):
+            mine = [self.tokens[t] for t in x.tokens if t in self.tokens]
+            low, high = min(mine, default=0.0), max(mine, default=0.0)
             if up[i] >= 0:
-                seen[up[i]] += 1
-            before += own[i]
-            out[i, NUMBERS + self.tags.get(x.tag, len(TAGS))] = 1
-            own_leans = [self.tokens[t] for t in x.tokens if t in self.tokens]
-            token_lean[i] = (min(own_leans, default=0.0), max(own_leans, default=0.0))
-            tag_lean[i] = (min(self.leans.get(x.tag, 0.0), 0.0), max(self.leans.get(x.tag, 0.0), 0.0))
-            if up[i] >= 0:
-                for above, leans in ((above_token, token_lean), (above_tag, tag_lean)):
-                    above[i, 0] = min(above[up[i], 0], leans[up[i], 0])
-                    above[i, 1] = max(above[up[i], 1], leans[up[i], 1])
-        out[:, -6:] = np.hstack((token_lean, above_token, above_tag))
+                _, _, a, b, c, d, ua, ub, tag = leans[up[i]]
+                leans.append((low, high, min(a, ua), max(b, ub), min(c, tag, 0.0), max(d, tag, 0.0), low, high, self.leans.get(x.tag, 0.0)))
+            else:
+                leans.append((low, high, 0.0, 0.0, 0.0, 0.0, low, high, self.leans.get(x.tag, 0.0)))
+        out[:, -6:] = np.array(leans, np.float64)[:, :6]
         return out
 
 
