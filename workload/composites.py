@@ -265,7 +265,7 @@ HOURLY = {
         f"WITH {S.split(S.USER, 2)} SELECT series_key, avg(level) AS train_mean FROM split WHERE segment = 'train' AND NOT imp AND level IS NOT NULL GROUP BY 1",
         ["series_key"], ["train_mean"],
     ),
-    "forecasts": (f"WITH {CONSTANT_CTE} SELECT * FROM both_fc", [*CELL, "target"], ["observed", "prediction"]),
+    "forecasts": (f"WITH {CONSTANT_CTE} SELECT * FROM both_fc", [*CELL, "target"], ["prediction"]),
     "paired": (
         f"""WITH {CONSTANT_CTE} SELECT series_key, model, horizon, count(*) FILTER (observed IS NOT NULL AND prediction IS NOT NULL) AS paired_rows,
   count(*) FILTER (observed IS NOT NULL AND prediction IS NOT NULL AND NOT imp) AS paired_observed_rows FROM both_fc GROUP BY 1, 2, 3""",
