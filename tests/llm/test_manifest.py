@@ -112,6 +112,6 @@ def test_a_changed_text_is_noticed(spark):
 
 
 def test_no_join_touches_a_row_and_one_exchange_carries_it(spark):
-    nodes = spark.range(5000).select(F.lit(0).cast("long").alias("tree"), F.lit(4).alias("height"), F.col("id").alias("at"), F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+    nodes = spark.range(5000).select((F.col("id") % 3).alias("tree"), (F.col("id") % 3 + 4).cast("int").alias("height"), F.floor(F.col("id") / 3).alias("at"), F.sha2(F.col("id").cast("string"), 256).alias("hash"))
     plan = manifest.nested(nodes, 0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Python" not in plan
