@@ -45,7 +45,7 @@ TRUST = 5
 
 #: Words decoded together, and words whose scores a task remembers.
 CHUNK_WORDS = 150_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: New words whose n-grams are looked up together.
 WORDS_AT_ONCE = 10_000
 
