@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import HOUR, START, observations, random_series
 from tidemark.functions.timeline import HOUR_US
-from tidemark.operators import blocks, events, forecast, grid, metrics, quality
+from tidemark.operators import blocks, events, forecast, grid, metrics, quality, quantiles
 from tidemark.operators.quantiles import exact_quantiles
 
 
@@ -64,6 +64,22 @@ def test_quantiles_are_exact(spark, bins, most):
             assert got[(k, q)] == pytest.approx(float(np.quantile(v, q)), abs=1e-9)
 
 
+@pytest.mark.parametrize("few", [20_000, 10])
+def test_thresholds_are_hashed_and_never_the_rows_they_meet(spark, monkeypatch, few):
+    monkeypatch.setattr(quantiles, "FEW", few)
+    df = spark.range(6000).select((F.col("id") % 300).cast("string").alias("k"), (F.col("id") % 7919).cast("double").alias("x"))
+    found = exact_quantiles(df, "x", [0.5], ["k"])
+    # Rows that are still to be expanded look fewer than the thresholds.
+    grown = df.select("k").distinct().withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    joined = grown.join(found, "k")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "SortMergeJoin" not in plan
+    assert ("BroadcastExchange" in plan) == (few > 300) and ("ShuffledHashJoin" in plan) == (few < 300)
+    want = {str(k): float(np.median([i % 7919 for i in range(k, 6000, 300)])) for k in range(300)}
+    got = joined.groupBy("k").agg(F.min("value").alias("value"), F.count("*").alias("n")).collect()
+    assert {r.k: r.value for r in got} == want and {r.n for r in got} == {50}
+
+
 def number(v):
     return None if v is None else float(v)
 
