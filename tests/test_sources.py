@@ -13,6 +13,7 @@ from tidemark import schemas
 from tidemark.operators import clean
 from tidemark.sinks import digests, tables
 from tidemark.sources import archives, files, responses
+from workload import composites
 
 
 def test_raw_files_by_suffix(spark, tmp_path):
@@ -43,6 +44,30 @@ def gbk_zip(members: dict[str, str]) -> bytes:
     return buffer.getvalue()
 
 
+def test_json_numbers_stand_as_written_and_files_are_whole_records(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "r.json"
+    folder.mkdir()
+    (folder / "a.json").write_text('\n[{"z_id": 1.10, "up_water_level": 1E400,\n "note": {"a": [2.00]}},\n {"z_id": -0}]', encoding="utf-8")
+    (folder / "b.json").write_text('[{"z_id": "水", "up_water_level": 12345678901234567890123}, {"z_id": null}]', encoding="utf-8")
+    (folder / "c.json").write_text("[]")
+    want = {("1.10", "1E400", '{"a":["2.00"]}'), ("-0", None, None), ("水", "12345678901234567890123", None), (None, None, None)}
+    for most in (files.RECORD_BYTES, 0):
+        monkeypatch.setattr(files, "RECORD_BYTES", most)
+        got = files.read_raw(spark, str(folder))
+        assert {(r.z_id, r.up_water_level, r.note) for r in got.collect()} == want
+
+
+def test_records_are_written_in_files_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(composites, "STRETCH_BITS", 6)
+    kinds = "event_id long, event_type string, user_id long, props string"
+    rows = [(i if i % 3 else None, "t", i if i % 2 else None, None) for i in range(1000)]
+    arrays = [json.loads(r.value) for r in composites.json_arrays(spark.createDataFrame(rows, kinds).coalesce(2)).collect()]
+    assert max(map(len, arrays)) <= 64 and len(arrays) <= 1000 // 64 + 2 * 8
+    assert sorted((x.get("z_id", -1), x.get("station_code", -1)) for a in arrays for x in a) == sorted(
+        (i if i % 3 else -1, i if i % 2 else -1) for i in range(1000)
+    )
+
+
 def test_archive_is_recognised_by_content_and_merged(spark, tmp_path):
     (tmp_path / "official.csv").write_bytes(
         gbk_zip(

@@ -15,6 +15,9 @@ from tidemark.schemas import PREDICTION_ARTIFACT, PREDICTION_FILE, RAIN_POINTS,
 
 # Accepted raw file types, and how a prediction file is named.
 RAW_SUFFIXES = (".csv", ".json", ".parquet")
+#: Bytes that no JSON holds, as its strings have no bare control characters, and the largest file that is one record.
+NO_JSON = "\u0000\u0001one record a file\u0001\u0000"
+RECORD_BYTES = 1 << 28
 PREDICTION_PATH = r"([^/]+)/([A-Za-z0-9]+)_h(\d+)_([a-z]+)\.csv(?:/[^/]+)?$"
 
 
@@ -65,17 +68,23 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of objects per file, every key as text; anything else fails the read.
 
-    The reader streams the elements of an array. The first sign of each file is checked before.
+    The first sign of each file is checked before. Files of usual size are read as one record each: the other reader opens
+    a file again for every number in it, to have its digits as they stand.
     """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("_file"), F.trim("value").alias("_line"), F.monotonically_increasing_id().alias("_at")
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"),
+        F.trim("value").alias("_line"), F.monotonically_increasing_id().alias("_at"),
     )
-    begins = lines.where("_line <> ''").groupBy("_file").agg(F.min_by("_line", "_at").alias("_line"))
-    wrong = begins.where(~F.startswith("_line", F.lit("["))).select("_file").take(1)
-    if wrong:
-        raise ValueError(f"not a JSON array of records: {wrong[0]._file}")
-    reader = spark.read.option("multiLine", True).option("primitivesAsString", True)
-    rows = reader.option("columnNameOfCorruptRecord", "_broken").json(path)
+    begins = lines.where("_line <> ''").groupBy("_file").agg(F.min_by("_line", "_at").alias("_line"), F.max("_size").alias("_size"))
+    found = begins.agg(F.min(F.when(~F.startswith("_line", F.lit("[")), F.col("_file"))), F.max("_size")).first()
+    if found[0] is not None:
+        raise ValueError(f"not a JSON array of records: {found[0]}")
+    reader = spark.read.option("primitivesAsString", True).option("columnNameOfCorruptRecord", "_broken")
+    if (found[1] or 0) <= RECORD_BYTES:
+        reader = reader.option("lineSep", NO_JSON)
+    else:
+        reader = reader.option("multiLine", True)
+    rows = reader.json(path)
     names = [part.split()[0] for part in RAW.split(", ")]
     if "_broken" in rows.columns:
         raise ValueError(f"a record is not an object in {path}")

@@ -57,19 +57,27 @@ def parquet_round_trip(spark, sf):
     return files.read_raw(spark, path).select("z_id", "event_type")
 
 
+#: A file of records holds 2 to this power at most, so that files grow in number with the rows alone.
+STRETCH_BITS = 15
+
+
+def json_arrays(events: DataFrame) -> DataFrame:
+    """``stretch, value``: the records of a stretch of rows that stand together, as one JSON array."""
+    record = F.struct(
+        F.col("event_id").alias("z_id"), F.col("event_type").alias("time_d"), F.col("user_id").alias("station_code"), F.col("props").alias("note")
+    )
+    stretch = F.shiftright(F.monotonically_increasing_id(), STRETCH_BITS).alias("stretch")
+    return events.groupBy(stretch).agg(F.to_json(F.collect_list(record)).alias("value"))
+
+
 @query(
     "json_round_trip",
     "SELECT CAST(event_id AS VARCHAR) AS z_id, event_type AS time_d, CAST(user_id AS VARCHAR) AS station_code, props AS note, CAST(NULL AS VARCHAR) AS station_name FROM events",
 )
 def json_round_trip(spark, sf):
-    """Each user's events as files that hold a JSON array of a bounded stretch of ids; keys beyond the contract stay."""
+    """Events as files that hold a JSON array of a bounded stretch of rows; keys beyond the contract stay."""
     path = place(spark, "events.json")
-    record = F.struct(
-        F.col("event_id").alias("z_id"), F.col("event_type").alias("time_d"), F.col("user_id").alias("station_code"), F.col("props").alias("note")
-    )
-    stretch = F.floor(F.col("event_id") / 100_000).alias("stretch")
-    arrays = table(spark, sf, "events").groupBy("user_id", stretch).agg(F.to_json(F.collect_list(record)).alias("value"))
-    arrays.repartition("user_id", "stretch").write.partitionBy("user_id", "stretch").text(path)
+    json_arrays(table(spark, sf, "events")).write.partitionBy("stretch").text(path)
     return files.read_raw(spark, path).select("z_id", "time_d", "station_code", "note", "station_name")
 
 
