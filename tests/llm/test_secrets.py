@@ -3,7 +3,9 @@ from __future__ import annotations
 import hashlib
 import re
 
-from tidemark.llm import secrets
+import pyarrow as pa
+
+from tidemark.llm import common, secrets
 from tidemark.llm.queries import QUERIES
 
 ASSIGN = re.compile(
@@ -71,3 +73,22 @@ def test_hidden_spans(spark, documents):
     assert got.columns == docs.columns
     assert [r.text for r in got.orderBy("doc_id").collect()] == ["a [secret] b", None, "clean"]
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_texts_are_held_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(secrets, "ROWS_AT_ONCE", 3)
+    texts = [None, "", "password=abcdef1"] + [f"水 token: {i:06d} end" for i in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(11)), pa.array(texts)], ["doc_id", "text"])
+    out = list(secrets._hide(secrets.RULES, 1, "[secret]")(iter([batch.slice(0, 5), batch.slice(5), batch.slice(0, 0)])))
+    assert max(map(len, out)) == 3
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(11))
+    assert [t for b in out for t in b.column(1).to_pylist()] == [None, "", "[secret]"] + ["水 [secret] end"] * 8
+
+
+def test_a_task_gives_its_memory_back_when_it_has_ended(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    run = common.released(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert (next(run), calls) == (2, []) and list(run) == [3] and calls == [1]
+    monkeypatch.undo()
+    common.give_back()

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_value, require
+from tidemark.llm.common import by_value, released, require
 from tidemark.plans.stage import stored
 
 SHARD_ITEMS = 4096
@@ -318,7 +318,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, overlap:
     given = docs.select(F.col(key).alias("key"), F.col(text))
     out = docs.sparkSession.createDataFrame([], schema)
     for n, index in enumerate(indexes(benchmark, share)):
-        found = given.mapInArrow(_matches(index, overlap), schema)
+        found = given.mapInArrow(released(_matches(index, overlap)), schema)
         out = found if n == 0 else out.unionByName(found)
     return out.withColumnRenamed("key", key)
 
@@ -327,7 +327,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, ove
     """The documents in which no item is found."""
     require(docs, text)
     for index in indexes(benchmark, share):
-        docs = docs.mapInArrow(_clean(index, docs.columns.index(text), overlap), docs.schema)
+        docs = docs.mapInArrow(released(_clean(index, docs.columns.index(text), overlap)), docs.schema)
     return docs
 
 

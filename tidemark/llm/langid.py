@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, by_value, require
+from tidemark.llm.common import WORD, by_value, released, require
 
 #: Bounds of the training sample.
 PER_LANGUAGE = 400
@@ -350,7 +350,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, lang_pred string, score double"
     schema += ", runs array<struct<lang: string, first_word: int, n_words: int>>" * with_runs
-    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(_identify(model, with_runs), schema).withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(released(_identify(model, with_runs)), schema).withColumnRenamed("key", key)
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
@@ -361,7 +361,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5, text: str = "tex
     languages nor falls where a text changes its language; words of a script or language far from those learned have little of it.
     """
     require(docs, text)
-    return docs.mapInArrow(_accept(model, docs.columns.index(text), least), docs.schema)
+    return docs.mapInArrow(released(_accept(model, docs.columns.index(text), least)), docs.schema)
 
 
 by_value(__name__)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bloom import possible
-from tidemark.llm.common import by_value, gram_hashes, mixed, require
+from tidemark.llm.common import by_value, gram_hashes, mixed, released, require
 from tidemark.llm.graph import components
 from tidemark.plans.stage import stored
 
@@ -257,19 +257,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     require(docs, key, text)
     distance = distance_of(similar)
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sketch = stored(given.mapInArrow(_sketch, "id long, n long, set_hash binary, sig binary"), "sketch")
+    sketch = stored(given.mapInArrow(released(_sketch), "id long, n long, set_hash binary, sig binary"), "sketch")
     classes = stored(
         sketch.where(F.col("set_hash").isNotNull() & F.col("id").isNotNull())
         .groupBy("set_hash")
         .agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n")),
         "classes",
     )
-    keys = classes.select("id", "sig").mapInArrow(partial(_keys, distance=distance), "id long, key long")
+    keys = classes.select("id", "sig").mapInArrow(released(partial(_keys, distance=distance)), "id long, key long")
     many = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     # Keys that one class alone has lead to nobody, and most are such.
     buckets = keys.join(many, "key").withColumn("parts", F.ceil(F.col("many") / PART_ROWS))
     signed = buckets.join(classes.select("id", "sig"), "id")
-    forest = _meeting(signed, "key", "parts", ["id", "sig"]).mapInArrow(partial(_forest, distance=distance), "a long, b long")
+    forest = _meeting(signed, "key", "parts", ["id", "sig"]).mapInArrow(released(partial(_forest, distance=distance)), "a long, b long")
     families = stored(components(forest), "families")
 
     sizes = families.join(classes.select(F.col("id").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("held"), F.count("*").alias("many"))
@@ -278,8 +278,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         F.col("node").alias("id"), F.col("component").alias("family"), "parts"
     )
     texts = possible(given, "id", families.select("node")).join(of_family, "id").select("id", "text", "family", "parts")
-    sets = texts.mapInArrow(_with_sets, "id long, family long, parts long, sig binary, shingles binary")
-    links = _meeting(sets, "family", "parts", ["id", "sig", "shingles"]).mapInArrow(partial(_links, similar=similar), "a long, b long")
+    sets = texts.mapInArrow(released(_with_sets), "id long, family long, parts long, sig binary, shingles binary")
+    links = _meeting(sets, "family", "parts", ["id", "sig", "shingles"]).mapInArrow(released(partial(_links, similar=similar)), "a long, b long")
     comps = components(links)
 
     of_set = classes.join(comps.withColumnRenamed("node", "id"), "id", "left").select(

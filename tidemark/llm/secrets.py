@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_value, require
+from tidemark.llm.common import by_value, released, require
 
 #: Bytes of text that are indexed at once.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
+#: Rows whose texts a task holds as strings at once.
+ROWS_AT_ONCE = 1000
 #: Longest list of alternative strings that is followed through a pattern.
 MAX_STRINGS = 64
 
@@ -216,13 +218,20 @@ class Scanner:
         return out
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, few at a time."""
+    for batch in batches:
+        for first in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.slice(first, ROWS_AT_ONCE)
+
+
 def _scan(rules: tuple[Rule, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         kind = pa.list_(
             pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
         )
-        for batch in batches:
+        for batch in slices(batches):
             spans = [[dict(zip(("kind", "start", "end", "base"), s)) for s in row] for row in scanner.scan(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["key", "spans"])
 
@@ -232,7 +241,7 @@ def _scan(rules: tuple[Rule, ...]):
 def _hide(rules: tuple[Rule, ...], place: int, mask: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(place)
             texts = column.to_pylist()
             for i, spans in enumerate(scanner.scan(column)):
@@ -253,13 +262,13 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
     """``key, spans`` for every document; ``spans`` is an array of ``kind, start, end, base``."""
     require(docs, key, text)
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(_scan(rules), f"key {kind}, spans {SPANS}").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(released(_scan(rules)), f"key {kind}, spans {SPANS}").withColumnRenamed("key", key)
 
 
 def hide_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mask: str = "[secret]") -> DataFrame:
     """The documents with every span, overlapping ones joined, replaced by ``mask``."""
     require(docs, text)
-    return docs.mapInArrow(_hide(rules, docs.columns.index(text), mask), docs.schema)
+    return docs.mapInArrow(released(_hide(rules, docs.columns.index(text), mask)), docs.schema)
 
 
 def joined(spans: Column) -> Column:
