@@ -125,3 +125,15 @@ def test_experiment_grid(spark):
 def test_sorted_output(spark):
     obs = clean.normalise(raw(spark), F.col("row_position"))
     assert [r.source_record_id for r in clean.sorted_observations(obs).collect()][:2] == ["1001", "1002"]
+
+
+def test_hourly_baseline_reads_its_levels_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(runs, "stored", lambda df, name: names.append(name) or df.localCheckpoint())
+    rows = [("s", f"2025-05-{d:02} {h:02}:00:00", d + h * 0.1, f"{d}-{h}") for d in (1, 2) for h in range(24)]
+    obs = spark.createDataFrame(rows, "series_key string, t string, water_level_m double, source_record_id string")
+    result = runs.hourly_baseline(grid.resample(obs.withColumn("observed_at", F.to_timestamp("t")), "1h", max_steps=2))
+    assert names == ["lagged"]
+    assert not any("Window" in df._jdf.queryExecution().optimizedPlan().toString() for df in result.values())
+    assert result["forecasts"].count() == 2 * 3 * 48
+    assert {r.horizon: r.paired_rows for r in result["paired"].collect()} == {h: 48 - h for h in (1, 3, 6)}

@@ -47,14 +47,33 @@ def persistence_forecasts(
     A segment's first rows may therefore use the tail of the segment before; this sample set
     differs on purpose from the in-segment ``usable_h`` rows of the feature matrix.
     """
+    return persistence_lines(lagged_levels(split, horizons, keys, block_steps), horizons, step, keys)
+
+
+def lagged_levels(
+    split: DataFrame,
+    horizons: Sequence[int] = (1, 3, 6),
+    keys: Sequence[str] = KEYS,
+    block_steps: int = DEFAULT_BLOCK_STEPS,
+) -> DataFrame:
+    """Each grid row with the level ``h`` steps before, ``_p<h>``, for every horizon."""
     steps = checked_horizons(horizons)
-    width = step_micros(step)
     slim = split.select(*keys, "segment", "grid_pos", "observed_at", "water_level_m", "is_imputed")
-    margined = with_margin(slim, "grid_pos", max(steps), 0, max(block_steps, max(steps)))
-    window = block_window(keys, "grid_pos")
+    margined = with_margin(slim, "grid_pos", max(steps), 0, max(block_steps, max(steps))).drop("grid_pos")
+    # Times ascend with the positions, so only one of them is sent.
+    window = block_window(keys, "observed_at")
     lagged = margined.withColumns(
         {f"_p{h}": F.lag("water_level_m", h).over(window) for h in steps}
     ).filter(F.col(CORE))
+    return lagged.drop(BLOCK, CORE)
+
+
+def persistence_lines(
+    lagged: DataFrame, horizons: Sequence[int] = (1, 3, 6), step: str = "1h", keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Long forecasts from the rows of ``lagged_levels``."""
+    steps = checked_horizons(horizons)
+    width = step_micros(step)
     lines = F.array(
         *[F.struct(F.lit(h).alias("horizon"), F.col(f"_p{h}").alias("prediction")) for h in steps]
     )

@@ -83,10 +83,13 @@ def hourly_baseline(
     horizons: Sequence[int] = (1, 3, 6),
     keys: Sequence[str] = KEYS,
 ) -> dict[str, DataFrame]:
-    """Persistence and the train-mean constant scored on identical sample sets."""
-    split = grid.chronological_split(levels)
-    persistence = forecast.persistence_forecasts(split, horizons, step, keys)
-    means = forecast.train_means(split, keys)
+    """Persistence and the train-mean constant scored on identical sample sets.
+
+    The levels are read once; what is stored is each grid row with its lags, which all tables are made of.
+    """
+    lagged = stored(forecast.lagged_levels(grid.chronological_split(levels), horizons, keys), "lagged")
+    persistence = forecast.persistence_lines(lagged, horizons, step, keys)
+    means = forecast.train_means(lagged, keys)
     constant = forecast.constant_forecasts(persistence, means, keys)
     both = persistence.unionByName(constant)
     return {

@@ -284,7 +284,7 @@ HOURLY = {
 
 @query("hourly_baseline_run", long_sql(HOURLY))
 def hourly_baseline_run(spark, sf):
-    return tables_of(runs.hourly_baseline(stored(filled(spark, sf, "user_id"), "grid")), HOURLY)
+    return tables_of(runs.hourly_baseline(filled(spark, sf, "user_id")), HOURLY)
 
 
 FEATURES = {
