@@ -157,6 +157,13 @@ def test_sweep_equals_one_fill_per_threshold(spark, block_steps):
             assert (s.usable_h1, s.usable_h3, s.usable_h6) == tuple(usable[r.series_key][f"usable_h{h}"] for h in (1, 3, 6))
 
 
+def test_sweep_looks_ahead_once_for_each_horizon(spark):
+    base = grid.complete_grid(observations(spark, {"a": random_series(1)}), "1h")
+    plan = grid.interpolation_sweep(base)._jdf.queryExecution().optimizedPlan().toString()
+    # Three horizons and the next observed row, whatever the number of thresholds.
+    assert 0 < plan.count("lead(") <= 4
+
+
 def test_spread_makes_every_integer_once(spark):
     bounds = spark.createDataFrame([("a", -5, 40), ("b", 7, 7)], "k string, lo long, hi long")
     got = blocks.spread_steps(bounds, ["k"], "lo", "hi", "i", block_steps=8)

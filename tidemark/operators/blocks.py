@@ -123,6 +123,8 @@ def with_margin(
     if max(before, after) > block_steps:
         raise ValueError(f"margin {before}/{after} must not exceed block_steps={block_steps}")
     block = floor_div(F.col(position), block_steps)
+    if before == after == 0:
+        return df.withColumn(BLOCK, block).withColumn(CORE, F.lit(True))
     offset = F.pmod(F.col(position), F.lit(block_steps))
     one = F.lit(1).cast("long")
     none = F.lit(0).cast("long")

@@ -87,12 +87,13 @@ def margined_grid(
         *keys,
         "_step",
         F.lit(1).alias("_empty"),
-        step_start(F.col("_step"), width, shift).alias("observed_at"),
         (F.col("_step") - F.col("_lo")).alias("grid_pos"),
         (F.col("_hi") - F.col("_lo") + F.lit(1)).alias("grid_len"),
     )
+    # The time follows from the step, so it is not sent unless ``enrich`` needs it.
+    start = {"observed_at": step_start(F.col("_step"), width, shift)}
     if enrich is not None:
-        steps = enrich(steps)
+        steps = enrich(steps.withColumns(start))
     rows = reduced.withColumn("_empty", F.lit(0)).unionByName(steps, allowMissingColumns=True)
     margined = with_margin(rows, "_step", before, after, block_steps)
     window = block_window(keys, "_step", "_empty")
@@ -100,7 +101,7 @@ def margined_grid(
     return (
         margined.withColumn("_seen", F.when(same, F.lag("_seen").over(window)))
         .filter(F.col("_empty") == 1)
-        .withColumns({c: F.col(f"_seen.{c}") for c in ("water_level_m", *SOURCE_COLUMNS)})
+        .withColumns({**(start if enrich is None else {}), **{c: F.col(f"_seen.{c}") for c in ("water_level_m", *SOURCE_COLUMNS)}})
         .drop("_seen", "_empty")
     )
 
@@ -306,38 +307,31 @@ def interpolation_sweep(
 ) -> DataFrame:
     """Effect of each fill threshold on imputed, missing and usable rows.
 
-    ``grid`` is the unfilled grid. The neighbours are found once for the largest threshold;
-    whether a row is present under each smaller one is then a comparison of the run length,
-    so the grid is neither copied nor windowed again per candidate.
+    ``grid`` is the unfilled grid. Its neighbours say of each row the least threshold under which it is present; a pair of
+    rows is usable from the larger of theirs on, so the grid is neither copied nor windowed again per candidate. Only
+    whether a row is observed is sent, not its level.
     """
     widest = max(candidates)
     reach = max(horizons)
-    margined = with_margin(grid, "grid_pos", widest, widest + reach, max(block_steps, widest + reach))
-    near = with_nearest(margined, keys)
-    run = F.col("_right.p") - F.col("_left.p") - F.lit(1)
-    present = near.select(
-        *keys, "_block", CORE, "grid_pos",
-        F.col("water_level_m").isNotNull().alias("_seen"),
-        F.when(F.col("water_level_m").isNull(), run).alias("_run"),
-    )
+    slim = grid.select(*keys, "grid_pos", F.col("water_level_m").isNotNull().alias("_seen"))
+    margined = with_margin(slim, "grid_pos", widest, widest + reach, max(block_steps, widest + reach))
+    by = ", ".join(f"`{c}`" for c in (*keys, BLOCK))
+    near = lambda side: F.expr(f"{side}(IF(_seen, grid_pos, NULL), 1) IGNORE NULLS OVER (PARTITION BY {by} ORDER BY `grid_pos`)")
+    never = F.lit(widest + 1)
+    run = F.col("_right") - F.col("_left") - F.lit(1)
+    needs = F.when(F.col("_seen"), F.lit(0)).when(run <= widest, run.cast("int")).otherwise(never)
     window = block_window(keys, "grid_pos")
-    has = {n: F.col("_seen") | F.coalesce(F.col("_run") <= n, F.lit(False)) for n in candidates}
-    flagged = present.withColumns({f"_has_{n}": expr for n, expr in has.items()})
-    flagged = flagged.withColumns(
-        {
-            f"_ahead_{n}_{h}": F.coalesce(F.lead(f"_has_{n}", h).over(window), F.lit(False))
-            for n in candidates
-            for h in horizons
-        }
-    ).filter(F.col(CORE))
+    both = lambda h: F.greatest("_needs", F.coalesce(F.lead("_needs", h).over(window), never))
+    known = margined.withColumns({"_left": near("lag"), "_right": near("lead")}).withColumn("_needs", needs)
+    paired = known.select(
+        *keys, CORE, "_seen", "_needs", *[both(h).alias(f"_both_{h}") for h in horizons]
+    )
     sums = [F.count("*").alias("rows")]
     for n in candidates:
-        sums.append(F.count_if(F.col(f"_has_{n}") & ~F.col("_seen")).alias(f"imputed_{n}"))
-        sums.append(F.count_if(~F.col(f"_has_{n}")).alias(f"missing_{n}"))
-        for h in horizons:
-            both = F.col(f"_has_{n}") & F.col(f"_ahead_{n}_{h}")
-            sums.append(F.count_if(both).alias(f"usable_{n}_{h}"))
-    totals = flagged.groupBy(*keys).agg(*sums)
+        sums.append(F.count_if((F.col("_needs") <= n) & ~F.col("_seen")).alias(f"imputed_{n}"))
+        sums.append(F.count_if(F.col("_needs") > n).alias(f"missing_{n}"))
+        sums.extend(F.count_if(F.col(f"_both_{h}") <= n).alias(f"usable_{n}_{h}") for h in horizons)
+    totals = paired.filter(F.col(CORE)).groupBy(*keys).agg(*sums)
     lines = F.array(
         *[
             F.struct(
